@@ -65,14 +65,18 @@ SQL_BRANCHES = """branch_deposits AS (SELECT s_nationkey AS market, s_suppkey AS
   FROM (SELECT l_suppkey, round(sum(l_extendedprice), 2) AS d FROM lineitem GROUP BY 1) JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a function of the tables under a name, with its SQL."""
+def query(name: str, sql: str | None = None, dates: list[str] | None = None):
+    """Registers a function of the tables under a name, with its SQL. Columns named in ``dates`` are given as text, year first."""
 
     def add(f: Callable[[Tables], DataFrame]):
         assert name not in QUERIES
-        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        if dates:
+            QUERIES[name] = lambda spark, folder: f(Tables(spark, folder)).withColumns({c: F.col(c).cast("string") for c in dates})
+        else:
+            QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
         if sql:
-            ORACLES[name] = sql
+            text = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates or [])
+            ORACLES[name] = f"SELECT * REPLACE ({text}) FROM ({sql})" if dates else sql
         return f
 
     return add

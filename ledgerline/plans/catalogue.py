@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import marketplace, peers
+from . import asof, flows, marketplace, peers
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "marketplace", "peers"]
+__all__ = ["ORACLES", "QUERIES", "asof", "flows", "marketplace", "peers"]
