@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import asof, flows, marketplace, peers
+from . import aggregates, asof, entities, flows, marketplace, peers
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "asof", "flows", "marketplace", "peers"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "asof", "entities", "flows", "marketplace", "peers"]
