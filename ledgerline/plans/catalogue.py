@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, asof, entities, flows, marketplace, peers
+from . import aggregates, asof, entities, flows, ingest, marketplace, peers, statements, valuations
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "asof", "entities", "flows", "marketplace", "peers"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "asof", "entities", "flows", "ingest", "marketplace", "peers", "statements", "valuations"]
