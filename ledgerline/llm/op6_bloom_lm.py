@@ -4,9 +4,10 @@ Training documents give counts of words and word pairs as 64-bit hashes, summed
 dealt by hash part and merged. A count c enters the filter as the levels 1 to
 1 + floor(log2 c) of its key; a reader probes level after level until one is absent and
 takes the middle of the last one's range. The filter is one segment per hash part, built
-where that part's counts are, with about ``BITS_PER_LEVEL`` bits a level, and broadcast.
-Its size is bounded by ``FILTER_BYTES``; a corpus beyond that gives fuller segments, so
-more levels read too high, but no count is dropped.
+where that part's counts are, with ``BITS_PER_LEVEL`` bits a level. Up to ``FILTER_BYTES``
+in all, the filter is broadcast and probed where documents are scored. Beyond, segments
+stay where they are, and each block of documents sends the distinct words and pairs it
+holds to be probed there; the filter, the probes and so the scores are the same.
 
 A token's probability interpolates the pair's share of its first word with the add-one
 share of the word, both from the filter. The base score needs exact counts instead: each
@@ -118,14 +119,14 @@ def _places(keys: np.ndarray, kind: int, level: int, size) -> Iterator[np.ndarra
         yield (a + U(i) * b) % size
 
 
-def _merged(table: pa.Table, bits: int, most: int) -> pa.Table:
+def _merged(table: pa.Table) -> pa.Table:
     """Exact word counts of a hash part, and its segment of the filter."""
     w, wn = _sum(_read(table, "words", U), _read(table, "word_counts", np.int64))
     once, pairs = _read(table, "once", np.uint32), _read(table, "pairs", np.uint32)
     p, pn = _sum(np.concatenate([once, pairs]), np.concatenate([np.ones(len(once), np.int64), _read(table, "pair_counts", np.int64)]))
     keyed = [(w.astype(np.uint32), np.frexp(wn.astype(float))[1]), (p, np.frexp(pn.astype(float))[1])]
     levels = sum(int(q.sum()) for _, q in keyed)
-    size = int(min(max(64, BITS_PER_LEVEL * levels), 8 * most)) // 64 * 64
+    size = max(64, BITS_PER_LEVEL * levels) // 64 * 64
     field = np.zeros(size, bool)
     for kind, (keys, top) in enumerate(keyed):
         for level in range(1, int(top.max(initial=0)) + 1):
@@ -154,10 +155,10 @@ class Filter:
         self.start = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(U)
         self.field = np.frombuffer(b"".join(segments[p] for p in sorted(segments)), np.uint8)
 
-    def count(self, h: np.ndarray, kind: int) -> np.ndarray:
-        """Estimated counts of words (kind 0) or pairs (1) by their hashes: probes of rising levels until one is absent."""
+    def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
+        """Levels of words (kind 0) or pairs (1) by their hashes: probes of rising levels until one is absent."""
         part = _part(h, self.bits)
-        out, level = np.zeros(len(h)), 1
+        out, level = np.zeros(len(h), np.uint8), 1
         alive = np.flatnonzero(self.size[part] > 0)
         while len(alive) and level < 64:
             here = alive
@@ -167,23 +168,29 @@ class Filter:
                 at = base + ((mixed & U(0xFFFFFFFF)) + U(i) * ((mixed >> U(32)) | U(1))) % size
                 hit = (self.field[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
                 here, base, size, key = here[hit], base[hit], size[hit], key[hit]
-            out[here] = (2.0 ** (level - 1) + 2.0**level - 1) / 2
+            out[here] = level
             alive, level = here, level + 1
         return out
 
 
-def _vocabulary(table: pa.Table, bits: int) -> pa.Table:
-    seen = [np.unique(_tokens(part.column("text"))[0]) for part in slices(table, "text")]
-    h = np.unique(np.concatenate(seen))
-    cuts = _cuts(h, bits)
-    full = np.flatnonzero(np.diff(cuts))
-    return pa.table(
-        {
-            "block": pa.array([table.column("block")[0].as_py()] * len(full), pa.int32()),
-            "p": pa.array(full, pa.int32()),
-            "words": pa.array([h[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()),
-        }
-    )
+#: The estimated count of each level: the middle of its range.
+MIDDLE = np.concatenate([[0.0], (2.0 ** np.arange(63) + 2.0 ** np.arange(1, 64) - 1) / 2])
+
+
+def _asked(table: pa.Table, bits: int, pairs: bool) -> pa.Table:
+    """The distinct words, and pairs if wanted, of a block of documents, a row per hash part."""
+    seen: tuple[list, list] = ([], [])
+    for part in slices(table, "text"):
+        token, _, before = _tokens(part.column("text"))
+        seen[0].append(np.unique(token))
+        if pairs:
+            seen[1].append(np.unique(_pair(before, token)))
+    h = [np.unique(np.concatenate(x)) if x else np.zeros(0, U) for x in seen]
+    cuts = [_cuts(x, bits) for x in h]
+    full = np.flatnonzero(np.diff(cuts[0]) + np.diff(cuts[1]))
+    block = table.column("block")[0].as_py()
+    columns = [pa.array([x[c[k] : c[k + 1]].tobytes() for k in full], pa.binary()) for x, c in zip(h, cuts)]
+    return pa.table([pa.array([block] * len(full), pa.int32()), pa.array(full, pa.int32()), *columns], names=["block", "p", "words", "pairs"])
 
 
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -194,20 +201,34 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return np.where(keys[at] == wanted, values[at], 0)
 
 
-def _answers(asked: pa.Table, counted: pa.Table) -> pa.Table:
+_ANSWERED = "block int, p int, words binary, pairs binary, word_counts binary, word_levels binary, pair_levels binary"
+
+
+def _answers(asked: pa.Table, counted: pa.Table, bits: int, probe: bool) -> pa.Table:
+    """Exact counts of the words asked for and, to ``probe``, levels of words and pairs in this part's segment."""
     keys, counts = _read(counted, "words", U), _read(counted, "word_counts", np.int64)
-    found = [_find(keys, counts, np.frombuffer(x.as_py(), U)).tobytes() for x in asked.column("words")]
-    return asked.append_column("word_counts", pa.array(found, pa.binary()))
+    segment = Filter({r["p"]: r["filter"] for r in counted.select(["p", "filter"]).to_pylist()} if probe else {}, bits)
+    words = [np.frombuffer(x.as_py(), U) for x in asked.column("words")]
+    pairs = [np.frombuffer(x.as_py(), U) for x in asked.column("pairs")]
+    found = [_find(keys, counts, x).tobytes() for x in words]
+    levels = [[segment.levels(x, k).tobytes() for x in own] for k, own in enumerate((words, pairs))]
+    for name, column in zip(("word_counts", "word_levels", "pair_levels"), (found, *levels)):
+        asked = asked.append_column(name, pa.array(column, pa.binary()))
+    return asked
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _scored(docs: pa.Table, answers: pa.Table, model, total: int, distinct: int, weight: float) -> pa.Table:
+    """Scores of a block of documents; ``model``: the broadcast filter, None if the answers hold levels."""
     keys, counts = _read(answers, "words", U), _read(answers, "word_counts", np.int64)
     order = np.argsort(keys)
+    read = MIDDLE[model.value.levels(keys, 0) if model else _read(answers, "word_levels", np.uint8)][order]
     keys, counts = keys[order], counts[order]
-    read = model.value.count(keys, 0)
+    pair_keys, pair_levels = _read(answers, "pairs", U), _read(answers, "pair_levels", np.uint8)
+    order = np.argsort(pair_keys)
+    pair_keys, pair_levels = pair_keys[order], pair_levels[order]
     denominator, out = total + distinct + 1, []
     for part in slices(docs, "text"):
         token, doc, before = _tokens(part.column("text"))
@@ -215,7 +236,7 @@ def _scored(docs: pa.Table, answers: pa.Table, model, total: int, distinct: int,
         exact, own = counts[at], read[at]
         pair, where = np.unique(_pair(before, token), return_inverse=True)
         first = read[np.minimum(np.searchsorted(keys, before), len(keys) - 1)]  # every word before is in the block, or an end
-        both = model.value.count(pair, 1)[where]
+        both = MIDDLE[model.value.levels(pair, 1) if model else pair_levels[np.searchsorted(pair_keys, pair)]][where]
         share = np.minimum(1, both / np.maximum(first, 1))
         rows, add = part.num_rows, lambda x: np.bincount(doc, weights=x, minlength=part.num_rows)  # noqa: B023
         out.append(
@@ -248,18 +269,17 @@ def scores(docs: DataFrame, held_out, weight: float = PAIR_WEIGHT, filter_bytes:
     blocks = max(1, -(-size // block_bytes))
     bits = max(4, int(blocks - 1).bit_length())  # as many hash parts as blocks, 16 at least
     counted = plain.where("not held_out").select("text").mapInArrow(lambda it: _counted(it, bits), "p int, words binary, word_counts binary, once binary, pairs binary, pair_counts binary")
-    most = max(8, filter_bytes >> bits)
     merged = written(
-        counted.groupBy("p").applyInArrow(lambda t: _merged(t, bits, most), "p int, words binary, word_counts binary, distinct long, total long, filter binary"), "counts"
+        counted.groupBy("p").applyInArrow(lambda t: _merged(t), "p int, words binary, word_counts binary, distinct long, total long, filter binary"), "counts"
     )
-    row = merged.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    distinct, total = int(row[0]), int(row[1])
-    model = spark.sparkContext.broadcast(Filter({r.p: bytes(r["filter"]) for r in merged.select("p", "filter").toLocalIterator()}, bits))
+    none = F.lit(0)
+    row = merged.agg(F.coalesce(F.sum("distinct"), none), F.coalesce(F.sum("total"), none), F.coalesce(F.sum(F.octet_length("filter")), none)).first()
+    distinct, total, here = int(row[0]), int(row[1]), row[2] <= filter_bytes
+    model = spark.sparkContext.broadcast(Filter({r.p: bytes(r["filter"]) for r in merged.select("p", "filter").toLocalIterator()}, bits)) if here else None
     blocked = plain.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    asked = blocked.groupBy("block").applyInArrow(lambda t: _vocabulary(t, bits), "block int, p int, words binary")
-    told = asked.groupBy("p").cogroup(merged.select("p", "words", "word_counts").groupBy("p")).applyInArrow(
-        lambda a, b: _answers(a, b), "block int, p int, words binary, word_counts binary"
-    )
+    asked = blocked.groupBy("block").applyInArrow(lambda t: _asked(t, bits, not here), "block int, p int, words binary, pairs binary")
+    stored = merged.select("p", "words", "word_counts", F.lit(None).cast("binary").alias("filter") if here else F.col("filter"))
+    told = asked.groupBy("p").cogroup(stored.groupBy("p")).applyInArrow(lambda a, b: _answers(a, b, bits, not here), _ANSWERED)
     return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b, model, total, distinct, weight), _SCORED)
 
 
