@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import dropped, written
+from .scratch import free, written
 from .words import SPACES, U, Words, flat, mix, slices
 
 NAME = "op10_minhash"
@@ -74,8 +74,8 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
                 shingles = np.unique(run[cuts[d] : cuts[d + 1]])
                 size[d], digest[d], sig[d], keys[d] = len(shingles), _digest(shingles), packed[row].tobytes(), bands[row]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "sig", "bands"],
+                [part.column("doc_id"), part.column("text_hash"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "digest", "sig", "bands"],
             )
 
 
@@ -230,7 +230,7 @@ def _blocks(df: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text).
 
     Documents are linked where 100 * intersection >= percent * union of their sets of
     ``n``-word shingles (fewer words: the whole sequence as one). component_id is the
@@ -241,8 +241,9 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
     empty table gives an empty result.
     """
     plain = docs.select("doc_id", "text")
+    hashed = plain.withColumn("text_hash", F.xxhash64("text"))
     signed = written(
-        plain.mapInArrow(lambda it: _signed(it, n), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"), "signed"
+        hashed.mapInArrow(lambda it: _signed(it, n), "doc_id long, text_hash long, n_shingles long, digest binary, sig binary, bands array<long>"), "signed"
     )
     classes = written(
         signed.where("digest is not null and doc_id is not null").groupBy("digest", "sig", "bands").agg(F.min("doc_id").alias("rep")), "classes"
@@ -260,20 +261,22 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
     linked = components(found)
     named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")
+    return signed.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left").select(
+        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "text_hash"
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, with all its columns; of rows that repeat a doc_id within a group, one."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    """Pipeline stage: one document of each group stays, with all its columns; of rows with equal doc_id and text, one. Rows without doc_id stay."""
+    h, r = free(docs.columns, "_hash", "_row")
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id", F.col("text_hash").alias(h)).distinct()
+    named = docs.withColumn(h, F.xxhash64("text")).join(kept, ["doc_id", h], "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.lit(0)))
+    return named.withColumn(r, first).where(F.col(r) == 1).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
 
 
 ORACLE_SQL = r"""

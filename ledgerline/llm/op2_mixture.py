@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import SIZE, Rows, descend, fit, sample
-from .scratch import written
+from .scratch import free, written
 from .words import slices
 
 NAME = "op2_mixture"
@@ -149,15 +149,15 @@ def sampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARG
     parameters = learn(docs, labels, len(targets))
     judged = written(_judged(docs, parameters), "posteriors")
     moves = solve(judged, np.array(list(targets.values())), 1.0)
-    spread, names = docs.sparkSession.sparkContext.broadcast(parameters), docs.columns
-    drawn = docs.withColumn("_draw", F.pmod(F.xxhash64("doc_id", "text", F.lit("mixture")), F.lit(1 << 30)) / float(1 << 30))
+    spread, names, (draw,) = docs.sparkSession.sparkContext.broadcast(parameters), docs.columns, free(docs.columns, "_draw")
+    drawn = docs.withColumn(draw, F.pmod(F.xxhash64("doc_id", "text", F.lit("mixture")), F.lit(1 << 30)) / float(1 << 30))
 
     def judge(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 f = Rows(part)
                 w = rates(_posteriors(spread.value, f.cut, f.index, f.value), moves, 1.0)
-                yield part.filter(pa.array(part.column("_draw").to_numpy() < w)).select(names)
+                yield part.filter(pa.array(part.column(draw).to_numpy() < w)).select(names)
 
     return drawn.mapInArrow(judge, docs.schema)
 

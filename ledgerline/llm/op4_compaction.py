@@ -18,7 +18,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import folder
+from ledgerline.sources.workspace import folder
+
+from .scratch import free
 
 NAME = "op4_compaction"
 TARGET_BYTES = 64 << 20
@@ -94,9 +96,10 @@ class ShardStore:
     def append_arrivals(self, df: DataFrame, arrival) -> int:
         """Several arrivals written by one job, told apart by the column ``arrival``; a version for each, in its order."""
         place = f"{self.uri}/data/{uuid.uuid4().hex}"
-        df.withColumn("_arrival", arrival).write.partitionBy("_arrival").parquet(place)
+        (name,) = free(df.columns, "_arrival")
+        df.withColumn(name, arrival).write.partitionBy(name).parquet(place)
         for key in sorted(r[0] for r in df.select(arrival).distinct().collect()):
-            self._commit(self.shards().unionByName(self._listed(f"{place}/_arrival={key}", df.schema)))
+            self._commit(self.shards().unionByName(self._listed(f"{place}/{name}={key}", df.schema)))
         return self.version
 
     def compact(self, schema) -> int:

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .scratch import written
+from .scratch import free, written
 from .words import PUNCTUATION, U, Words, flat, mix, slices
 
 NAME = "op8_decontaminate"
@@ -98,26 +99,28 @@ class Patterns:
         return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], patterns, make) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], patterns, make, carried: list[str]) -> Iterator[pa.RecordBatch]:
     """``make`` of each run of rows, its count of words, and the hit words and items by row, with those that the rows brought along."""
     for batch in batches:
         for part in slices(batch, "text"):
             words = Words(*flat(part.column("text")), PUNCTUATION)
             found = patterns.value.search(words)
-            if "_hit" in part.schema.names:
-                for k, (hit, of) in enumerate(zip(part.column("_hit").to_pylist(), part.column("_of").to_pylist())):
+            if carried[0] in part.schema.names:
+                for k, (hit, of) in enumerate(zip(*(part.column(c).to_pylist() for c in carried))):
                     if hit:
                         own = found.setdefault(k, (set(), set()))
                         own[0].update(hit)
                         own[1].update(of)
-            yield make(part, words.count, found)
+            yield make(part.select([c for c in part.schema.names if c not in carried]), words.count, found)
 
 
-def _carry(part, counts, found):
-    hit = [sorted(found[k][0]) if k in found else None for k in range(part.num_rows)]
-    of = [sorted(found[k][1]) if k in found else None for k in range(part.num_rows)]
-    kept = [c for c in part.schema.names if c not in ("_hit", "_of")]
-    return pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(hit, pa.list_(pa.int64())), pa.array(of, pa.list_(pa.string()))], [*kept, "_hit", "_of"])
+def _carry(carried: list[str]):
+    def make(part, counts, found):
+        hit = [sorted(found[k][0]) if k in found else None for k in range(part.num_rows)]
+        of = [sorted(found[k][1]) if k in found else None for k in range(part.num_rows)]
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(hit, pa.list_(pa.int64())), pa.array(of, pa.list_(pa.string()))], [*part.schema.names, *carried])
+
+    return make
 
 
 def _contaminated(counts, found) -> np.ndarray:
@@ -147,14 +150,15 @@ def _searched(docs: DataFrame, benchmark: DataFrame, window: int, pattern_bytes:
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-total // pattern_bytes))
+    passes, schema_in = max(1, -(-total // pattern_bytes)), docs.schema
+    carried = free(docs.columns, "_hit", "_of")
     for k in range(passes):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).collect()
         patterns = spark.sparkContext.broadcast(Patterns([(r.item, r.text) for r in own], window))
         if k < passes - 1:
-            fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("_hit", "_of"))
-            docs = written(docs.mapInArrow(lambda it, p=patterns: _scan(it, p, _carry), f"{fields}, _hit array<long>, _of array<string>"), "searched")
-    return docs.mapInArrow(lambda it, p=patterns: _scan(it, p, make), schema)
+            more = StructType([*schema_in.fields, StructField(carried[0], ArrayType(LongType())), StructField(carried[1], ArrayType(StringType()))])
+            docs = written(docs.mapInArrow(lambda it, p=patterns: _scan(it, p, _carry(carried), carried), more), "searched")
+    return docs.mapInArrow(lambda it, p=patterns: _scan(it, p, make, carried), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
@@ -174,8 +178,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pattern_b
     """The rows of ``docs`` that aren't contaminated, with all their columns."""
 
     def make(part, counts, found):
-        kept = part.filter(pa.array(~_contaminated(counts, found)))
-        return kept.select([c for c in part.schema.names if c not in ("_hit", "_of")])
+        return part.filter(pa.array(~_contaminated(counts, found)))
 
     return _searched(docs, benchmark, window, pattern_bytes, make, docs.schema)
 

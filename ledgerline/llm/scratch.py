@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="ledgerline-")
-            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-        base = f"file://{_own[app]}"
-    return f"{base}/ledgerline/{name}-{uuid.uuid4().hex[:12]}"
+from pyspark.sql import DataFrame
+
+from ledgerline.sources.workspace import folder
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as keep it apart from ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
