@@ -102,7 +102,7 @@ class Archive:
 def read_archive(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each record, frame by frame; memory follows the largest record."""
     where, path = place(uri)
-    with where.open_input_stream(path) as f:
+    with where.open_input_stream(path, compression=None) as f:
         held = f.read(8)
         if len(held) == 8 and struct.unpack("<I", held[:4])[0] == DICTIONARY_MAGIC:
             dictionary = f.read(struct.unpack("<I", held[4:])[0])

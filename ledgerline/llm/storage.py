@@ -20,7 +20,7 @@ class NewFile:
         where.create_dir(path, recursive=True)
         name = f"{stem}-{uuid.uuid4().hex[:12]}{suffix}"
         self.uri, self.size = f"{folder}/{name}", 0
-        self._out = where.open_output_stream(f"{path}/{name}")
+        self._out = where.open_output_stream(f"{path}/{name}", compression=None)  # else a suffix as .zst compresses once more
 
     def write(self, data: bytes) -> None:
         self._out.write(data)
