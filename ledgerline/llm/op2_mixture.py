@@ -5,8 +5,11 @@ document a posterior over domains. Rates w >= 0 then minimise the squared distan
 sum(w * tokens * posterior) from the targets by accelerated projected gradient: each
 round sums the totals over all documents, and moves every rate by its posterior times one
 vector, then up to 0. A rate thus follows from its posterior and the short list of
-vectors, so no rates are stored or joined. The step is the inverse of the largest
-eigenvalue of the posteriors' second moments, weighted by tokens.
+vectors, so no rates are stored or joined. The first rounds scale the gradient by the
+inverse second moments of the posteriors, weighted by tokens, of the documents whose rate
+can move; where the targets can be reached, few rounds do. Where they can't, plain rounds
+follow, with momentum and the inverse of all moments' largest eigenvalue as step, which
+always come to the least squares.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ NAME = "op2_mixture"
 ORACLE_SQL = None
 SAMPLE = 20_000
 ROUNDS = 10
-PASSES = 40
+SCALED_PASSES, PASSES = 16, 40
 TOLERANCE = 1e-4
 #: Target weights by domain, in the order of the posteriors.
 TARGETS = {"clean": 0.90, "poor": 0.08, "toxic": 0.02}
@@ -61,12 +64,12 @@ def _momentum(k: int) -> float:
     return k / (k + 3)
 
 
-def rates(posterior: np.ndarray, moves: list[np.ndarray], most: float | None) -> np.ndarray:
-    """Rates after all moves, from 1, each with momentum and followed by projection on [0, most]."""
+def rates(posterior: np.ndarray, moves: list[tuple[np.ndarray, float]], most: float | None) -> np.ndarray:
+    """Rates after all moves (vector, momentum after it), from 1, each followed by projection on [0, most]."""
     w = ahead = np.full(len(posterior), 1.0 if most is None else min(1.0, most))
-    for k, g in enumerate(moves):
+    for g, momentum in moves:
         new = np.clip(ahead - posterior @ g, 0, most)
-        w, ahead = new, new + _momentum(k) * (new - w)
+        w, ahead = new, new + momentum * (new - w)
     return w
 
 
@@ -88,38 +91,57 @@ def _matrix(column, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _totals(judged: DataFrame, moves: list[np.ndarray], most: float | None, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expected domain totals at the present rates, and the second moments of all posteriors by tokens."""
+def _totals(judged: DataFrame, moves: list[tuple[np.ndarray, float]], most: float | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected domain totals at the present rates, and the second moments by tokens of all posteriors and of those whose rate can move."""
 
     def part(batches):
-        out = np.zeros(width + width * width)
+        out = np.zeros(width + 2 * width * width)
         for b in batches:
             n, p = b.column("n_tokens").to_numpy(), _matrix(b.column("posterior"), width)
-            out += np.concatenate([(n * rates(p, moves, most)) @ p, ((p * n[:, None]).T @ p).ravel()])
+            w = rates(p, moves, most)
+            free = (w > 0) & (w < (np.inf if most is None else most))
+            out += np.concatenate([(n * w) @ p, ((p * n[:, None]).T @ p).ravel(), ((p * (n * free)[:, None]).T @ p).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], ["k", "x"])
 
-    found = np.zeros(width + width * width)
+    found = np.zeros(width + 2 * width * width)
     for r in judged.select("n_tokens", "posterior").mapInArrow(part, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
         found[r.k] = r.x
-    return found[:width], found[width:].reshape(width, width)
-
-
-def solve(judged: DataFrame, targets: np.ndarray, most: float | None = None, passes: int = PASSES) -> list[np.ndarray]:
-    """The moves of projected gradient; the targets are shares of all tokens. Ends when the totals are within TOLERANCE, or came no nearer in eight passes."""
-    moves: list[np.ndarray] = []
-    before = best = None
-    for k in range(passes):
-        totals, moments = _totals(judged, moves, most, len(targets))
-        if not (tokens := moments.sum()):
-            break
-        totals, step = totals / tokens, 1 / np.linalg.eigvalsh(moments / tokens)[-1]
-        gap = np.abs(totals - targets).max()
-        if gap < TOLERANCE or (best is not None and k % 8 == 0 and gap > best - TOLERANCE):
-            break
-        best = gap if best is None or k % 8 == 0 else best
-        ahead = totals if before is None else totals + _momentum(k - 1) * (totals - before)
-        before = totals
-        moves.append(step * (ahead - targets))
+    every, moving = found[width:].reshape(2, width, width)
+    return found[:width], every, moving
+
+
+def solve(judged: DataFrame, targets: np.ndarray, most: float | None = None, passes: int = PASSES) -> list[tuple[np.ndarray, float]]:
+    """The moves of projected gradient; the targets are shares of all tokens.
+
+    Ends when the totals are within TOLERANCE, or came no nearer in eight plain passes.
+    Scaled passes end after SCALED_PASSES, or four without gain; those after the nearest totals don't count.
+    """
+    moves: list[tuple[np.ndarray, float]] = []
+    nearest, kept = np.inf, 0
+    for scaled, count, patience in ((True, SCALED_PASSES, 4), (False, passes, 8)):
+        before = best = None
+        for k in range(count):
+            totals, every, moving = _totals(judged, moves, most, len(targets))
+            if not (tokens := every.sum()):
+                return moves
+            totals = totals / tokens
+            miss = np.abs(totals - targets).max()
+            if scaled and miss < nearest:
+                nearest, kept = miss, len(moves)
+            if miss < TOLERANCE:
+                return moves
+            if best is not None and k % patience == 0 and miss > best - TOLERANCE:
+                break
+            best = miss if best is None or k % patience == 0 else best
+            ahead = totals if before is None or scaled else totals + _momentum(k - 1) * (totals - before)
+            before, top = totals, np.linalg.eigvalsh(every / tokens)[-1]
+            if scaled:
+                g = np.linalg.solve(moving / tokens + 1e-9 * top * np.eye(len(targets)), ahead - targets)
+            else:
+                g = (ahead - targets) / top
+            moves.append((g, 0.0 if scaled else _momentum(k)))
+        if scaled:
+            del moves[kept:]
     return moves
 
 
