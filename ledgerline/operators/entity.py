@@ -34,17 +34,21 @@ def jaccard(a: Column, b: Column) -> Column:
 def fuzzy_join(left: DataFrame, right: DataFrame, least: float, most: int = 1) -> DataFrame:
     """Best candidates by name: (id, other, similarity, place) with similarity of ``least`` or more, ties by larger weight, then other.
 
-    ``left`` has (id, name), ``right`` (other, name, weight). Both are blocked by word, so only names that share a
-    word meet; the words' counts make the similarity without a second look at the names.
+    ``left`` has (id, name), ``right`` (other, name, weight). Distinct word sets stand for the names that have them, so
+    copies of a name are compared once: of each set on the right only the best ``most`` rows can be a result, and each
+    set on the left is looked up for all its ids. Sets are blocked by word; the words' counts make the similarity.
     """
-    l = left.select("id", tokens(F.col("name")).alias("_t"))
-    r = right.select("other", "weight", tokens(F.col("name")).alias("_t"))
-    lw = l.select("id", F.size("_t").alias("_n"), F.explode("_t").alias("_w"))
-    rw = r.select("other", "weight", F.size("_t").alias("_m"), F.explode("_t").alias("_w"))
-    met = lw.join(rw, "_w").groupBy("id", "other", "weight", "_n", "_m").agg(F.count("*").alias("_k"))
-    scored = met.withColumn("similarity", F.col("_k") / (F.col("_n") + F.col("_m") - F.col("_k"))).where(F.col("similarity") >= least)
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), F.desc("weight"), "other"))
-    return scored.withColumn("place", place).where(F.col("place") <= most).select("id", "other", "similarity", "place")
+    words = F.array_sort(tokens(F.col("name")))
+    l = left.select("id", words.alias("_a"))
+    first = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("weight"), "other"))
+    r = right.select("other", "weight", words.alias("_b")).withColumn("_r", first).where(F.col("_r") <= most).drop("_r")
+    aw = l.select("_a").distinct().select("_a", F.explode("_a").alias("_w"))
+    bw = r.select("_b").distinct().select("_b", F.explode("_b").alias("_w"))
+    met = aw.join(bw, "_w").groupBy("_a", "_b").agg(F.count("*").alias("_k"))
+    near = met.withColumn("similarity", F.col("_k") / (F.size("_a") + F.size("_b") - F.col("_k"))).where(F.col("similarity") >= least)
+    place = F.row_number().over(Window.partitionBy("_a").orderBy(F.desc("similarity"), F.desc("weight"), "other"))
+    best = near.join(r, "_b").withColumn("place", place).where(F.col("place") <= most)
+    return l.join(best, "_a").select("id", "other", "similarity", "place")
 
 
 def tagged(df: DataFrame, key: str, text: str, phrases: dict[str, str]) -> DataFrame:

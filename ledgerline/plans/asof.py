@@ -65,7 +65,7 @@ def asof_nearest_tolerance(t: Tables) -> DataFrame:
     "reaction_forward_asof",
     """WITH c AS (SELECT event_type AS series, CAST(ts AS DATE) AS dt, round(avg(value), 4) AS price FROM events WHERE extract(dow FROM ts) NOT IN (0, 6) GROUP BY 1, 2),
 l AS (SELECT *, lag(price) OVER (PARTITION BY series ORDER BY dt) AS before FROM c),
-s AS (SELECT event_id, event_type AS series, CAST(CAST(ts AS DATE) + INTERVAL 1 DAY AS DATE) AS dt FROM events WHERE event_id % 10 = 0)
+s AS (SELECT event_id, event_type AS series, CAST(CAST(ts AS DATE) + INTERVAL 1 DAY AS DATE) AS dt FROM events)
 SELECT s.event_id, CASE WHEN date_diff('day', s.dt, l.dt) <= 4 THEN l.dt END AS session, round(CASE WHEN date_diff('day', s.dt, l.dt) <= 4 AND l.before <> 0 THEN (l.price / l.before - 1) * 100 END, 6) AS reaction_pct
 FROM s ASOF LEFT JOIN l ON s.series = l.series AND s.dt <= l.dt""", dates=["session"]
 )
@@ -73,7 +73,7 @@ def reaction_forward_asof(t: Tables) -> DataFrame:
     weekday = F.dayofweek("ts").isin(1, 7)
     c = t.events.where(~weekday).groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("dt")).agg(F.round(F.avg("value"), 4).alias("price"))
     closes = c.withColumn("before", F.lag("price").over(T.by("series", "dt")))
-    s = t.events.where("event_id % 10 = 0").select("event_id", F.col("event_type").alias("series"), F.date_add(F.to_date("ts"), 1).alias("dt"))
+    s = t.events.select("event_id", F.col("event_type").alias("series"), F.date_add(F.to_date("ts"), 1).alias("dt"))
     j = A.fresh(A.forward(s, closes, "series", "dt"), "dt", 4, ["price", "before"])
     return j.select("event_id", F.col("fact_at").alias("session"), F.round(F.when(F.col("before") != 0, (F.col("price") / F.col("before") - 1) * 100), 6).alias("reaction_pct"))
 

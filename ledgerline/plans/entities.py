@@ -172,13 +172,13 @@ TOKENS = lambda c: f"list_filter(list_distinct(string_split(upper({c}), ' ')), l
 
 @query(
     "name_jaccard",
-    f"""WITH l AS (SELECT p_partkey AS id, {TOKENS("p_name")} AS a FROM part WHERE p_partkey % 20 = 0), r AS (SELECT p_partkey AS other, p_retailprice AS weight, {TOKENS("p_name || ' ' || p_type")} AS b FROM part WHERE p_partkey % 20 = 1),
+    f"""WITH l AS (SELECT p_partkey AS id, {TOKENS("p_name")} AS a FROM part), r AS (SELECT p_partkey AS other, p_retailprice AS weight, {TOKENS("p_name || ' ' || p_type")} AS b FROM part),
 j AS (SELECT id, other, weight, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE AS s FROM l JOIN r ON list_has_any(a, b))
 SELECT id, other, round(s, 6) AS similarity, CAST(k AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, weight DESC, other) AS k FROM j WHERE s >= 0.5) WHERE k <= 3""",
 )
 def name_jaccard(t: Tables) -> DataFrame:
-    l = t.part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    r = t.part.where("p_partkey % 20 = 1").select(F.col("p_partkey").alias("other"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.col("p_retailprice").alias("weight"))
+    l = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    r = t.part.select(F.col("p_partkey").alias("other"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.col("p_retailprice").alias("weight"))
     return E.fuzzy_join(l, r, 0.5, 3).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -194,9 +194,9 @@ def entity_tag(t: Tables) -> DataFrame:
     return E.tagged(t.part, "p_partkey", "p_name", PHRASES)
 
 
-@query("headline_key", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents WHERE lang = 'en'")
+@query("headline_key", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
 def headline_key(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select("doc_id", V.headline_key(F.col("text")).alias("key"))
+    return t.documents.select("doc_id", V.headline_key(F.col("text")).alias("key"))
 
 
 @query("html_links", """SELECT page_id, len(l) AS n, array_to_string(l, ' ') AS links FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)""")

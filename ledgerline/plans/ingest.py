@@ -25,9 +25,13 @@ def call_report_coercion(t: Tables) -> DataFrame:
     return reports.coerced(raw, "repdte", ["name"]).withColumn("cert", F.col("cert").cast("long"))
 
 
-@query("cert_history_limit", "SELECT o_orderkey, o_orderdate AS d, o_totalprice FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate DESC LIMIT 8", dates=["d"])
+@query(
+    "cert_history_limit",
+    "SELECT o_custkey AS bank, o_orderkey, o_orderdate AS d, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders) WHERE k <= 8",
+    dates=["d"],
+)
 def cert_history_limit(t: Tables) -> DataFrame:
-    return reports.newest(t.orders, "o_custkey", 7, "o_orderdate", 8).select("o_orderkey", F.col("o_orderdate").alias("d"), "o_totalprice")
+    return reports.newest_each(t.orders, "o_custkey", "o_orderdate", "o_orderkey", 8).select(F.col("o_custkey").alias("bank"), "o_orderkey", F.col("o_orderdate").alias("d"), "o_totalprice")
 
 
 @query(
@@ -42,11 +46,11 @@ def company_facts_flatten(t: Tables) -> DataFrame:
     return reports.facts(per.select(doc.alias("doc")), "doc").select("cik", "taxonomy", "concept", "unit", "filed", "val", "form")
 
 
-@query("feed_items", "SELECT event_id, 'Event ' || event_type AS title, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS at_second FROM events WHERE event_id % 5 = 0")
+@query("feed_items", "SELECT event_id, 'Event ' || event_type AS title, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS at_second FROM events")
 def feed_items(t: Tables) -> DataFrame:
     when = F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
     xml = F.concat(F.lit("<item><title>Event "), F.col("event_type"), F.lit("</title><link>http://example.com/x?a=1&amp;b=2</link><pubDate>"), when, F.lit("</pubDate></item>"))
-    raw = t.events.where("event_id % 5 = 0").select("event_id", xml.alias("xml"))
+    raw = t.events.select("event_id", xml.alias("xml"))
     return feeds.items(raw, "xml").select("event_id", "title", F.unix_seconds("published_at").alias("at_second"))
 
 
@@ -83,10 +87,15 @@ def overlay_known_fields(t: Tables) -> DataFrame:
     return sinks.overlaid(a, b, ["user_id"])
 
 
-@query("unique_insert", "SELECT user_id, event_type FROM events WHERE event_id >= 5000 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id < 300) GROUP BY 1, 2")
+@query(
+    "unique_insert",
+    """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS d, event_type FROM events)
+SELECT user_id, d FROM e WHERE event_type <> 'purchase' AND (user_id, d) NOT IN (SELECT (user_id, d) FROM e WHERE event_type = 'purchase') GROUP BY 1, 2""",
+    dates=["d"],
+)
 def unique_insert(t: Tables) -> DataFrame:
-    e = t.events.select("event_id", "user_id", "event_type")
-    return sinks.unique(e.where("event_id < 300"), e.where("event_id >= 5000"), ["user_id", "event_type"]).drop("event_id")
+    e = t.events.select("user_id", F.to_date("ts").alias("d"), "event_type")
+    return sinks.unique(e.where("event_type = 'purchase'"), e.where("event_type != 'purchase'"), ["user_id", "d"]).drop("event_type")
 
 
 @query("cache_live", "SELECT event_id FROM events WHERE epoch(TIMESTAMP '2024-01-15 00:00:00') - floor(epoch(ts)) BETWEEN 0 AND 86399")

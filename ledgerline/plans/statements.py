@@ -68,8 +68,8 @@ def quarter_from_durations(t: Tables) -> DataFrame:
 
 @query("composition_reconcile")
 def composition_reconcile(t: Tables) -> DataFrame:
-    p = t.part.where("p_partkey % 20 < 12").select(F.floor(F.col("p_partkey") / 20).alias("grp"), F.col("p_partkey").alias("member"), (F.col("p_size") + F.col("p_partkey") * 7919 % 10007 / 10007.0).alias("value"))
-    totals = p.where("member % 20 < 7").groupBy("grp").agg(F.sum("value").alias("total"))
+    p = t.part.select(F.floor(F.col("p_partkey") / 12).alias("grp"), F.col("p_partkey").alias("member"), (F.col("p_size") + F.col("p_partkey") * 7919 % 10007 / 10007.0).alias("value"))
+    totals = p.where("member % 12 < 7").groupBy("grp").agg(F.sum("value").alias("total"))
     return S.compositions(p.join(totals, "grp"), "grp", "member", "value", "total", 1e-6)
 
 

@@ -6,7 +6,7 @@ become null. Everything is an expression over the scan, so pruning reaches the f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import number
@@ -26,6 +26,12 @@ def newest(df: DataFrame, key: str, value, date: str, n: int) -> DataFrame:
     return df.where(F.col(key) == value).orderBy(F.desc(date)).limit(n)
 
 
+def newest_each(df: DataFrame, key: str, date: str, tie: str, n: int) -> DataFrame:
+    """The newest n records of every entity; each task keeps n rows a key before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(date), tie))
+    return df.withColumn("_k", place).where(F.col("_k") <= n).drop("_k")
+
+
 def quarter_of(df: DataFrame, date: str, quarter, keys: DataFrame | None = None, key: str = "cert") -> DataFrame:
     """One quarter's records, of all entities or those in a table of keys."""
     own = df.where(F.col(date) == quarter)
