@@ -113,7 +113,8 @@ def _totals(judged: DataFrame, moves: list[tuple[np.ndarray, float]], most: floa
 def solve(judged: DataFrame, targets: np.ndarray, most: float | None = None, passes: int = PASSES) -> list[tuple[np.ndarray, float]]:
     """The moves of projected gradient; the targets are shares of all tokens.
 
-    Ends when the totals are within TOLERANCE, or came no nearer in eight plain passes.
+    Ends when the totals are within TOLERANCE, or their distance from the targets (the root of the squares that are made
+    least, which still falls where one domain's share can't) shrank by no more than that in eight plain passes.
     Scaled passes end after SCALED_PASSES, or four without gain; those after the nearest totals don't count.
     """
     moves: list[tuple[np.ndarray, float]] = []
@@ -125,14 +126,14 @@ def solve(judged: DataFrame, targets: np.ndarray, most: float | None = None, pas
             if not (tokens := every.sum()):
                 return moves
             totals = totals / tokens
-            miss = np.abs(totals - targets).max()
+            miss, distance = np.abs(totals - targets).max(), np.linalg.norm(totals - targets)
             if scaled and miss < nearest:
                 nearest, kept = miss, len(moves)
             if miss < TOLERANCE:
                 return moves
-            if best is not None and k % patience == 0 and miss > best - TOLERANCE:
+            if best is not None and k % patience == 0 and distance > best - TOLERANCE:
                 break
-            best = miss if best is None or k % patience == 0 else best
+            best = distance if best is None or k % patience == 0 else best
             ahead = totals if before is None or scaled else totals + _momentum(k - 1) * (totals - before)
             before, top = totals, np.linalg.eigvalsh(every / tokens)[-1]
             if scaled:

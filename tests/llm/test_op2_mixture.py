@@ -41,6 +41,20 @@ def test_against_plain_least_squares(judged, most):
     assert np.abs(own @ a - target).sum() <= np.abs(w @ a - target).sum() + 2e-3
 
 
+def test_other_domains_are_fitted_where_one_is_out_of_reach(judged):
+    """The first domain falls short at rates of 1 at the most; the others' totals are still brought to theirs."""
+    rng = np.random.default_rng(5)
+    sure = np.eye(3)[rng.choice(3, 400, p=[0.76, 0.14, 0.10])]
+    n, p = rng.integers(1, 400, 400), 0.97 * sure + 0.01
+    target = np.array([0.90, 0.08, 0.02])
+    w = np.ones(400)
+    a = p * (n / n.sum())[:, None]
+    for _ in range(50_000):
+        w = np.clip(w - p @ (w @ a - target), 0, 1)
+    moves = op.solve(judged(n, p), target, 1.0)
+    assert np.abs(op.rates(p, moves, 1.0) @ a - w @ a).max() < 4e-3
+
+
 def test_out_of_reach_ends(judged):
     moves = op.solve(judged([10, 10], [[1, 0], [1, 0]]), np.array([0.5, 0.5]))
     own = op.rates(np.array([[1.0, 0], [1, 0]]), moves, None)
