@@ -71,7 +71,7 @@ FROM s ASOF LEFT JOIN l ON s.series = l.series AND s.dt <= l.dt""", dates=["sess
 )
 def reaction_forward_asof(t: Tables) -> DataFrame:
     weekday = F.dayofweek("ts").isin(1, 7)
-    c = t.events.where(~weekday).groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("dt")).agg(F.round(F.avg("value"), 4).alias("price"))
+    c = t.events.where(~weekday).groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("dt")).agg((F.round(F.avg("value") * 10_000) / 10_000).alias("price"))  # ties as the scaled double has them
     closes = c.withColumn("before", F.lag("price").over(T.by("series", "dt")))
     s = t.events.select("event_id", F.col("event_type").alias("series"), F.date_add(F.to_date("ts"), 1).alias("dt"))
     j = A.fresh(A.forward(s, closes, "series", "dt"), "dt", 4, ["price", "before"])
