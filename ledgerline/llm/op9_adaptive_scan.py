@@ -7,8 +7,10 @@ entries; after each block a hypothesis test drops those whose scaled partial dis
 says that the full one exceeds the query's bound, and only the rest read further blocks.
 Those that pass all blocks are scored exactly, in double precision, on original vectors.
 
-The bound starts from the query's k-th best in the sample, whose best join the results,
-so it holds in every list and no query is left with fewer than k.
+The bound starts from the query's k-th best among the sample's entries in the lists it
+probes. Every answer comes from the scan: the nearest lists that hold k entries together
+also return those that look nearest on the leading block, so no query is left with fewer
+than k.
 How many lists to probe is measured: for a bounded set of queries the true neighbours,
 found by brute force over all entries, tell how deep their lists lie.
 
@@ -67,10 +69,11 @@ def _rotation(width: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(64).normal(size=(width, width)))[0].astype(np.float32)
 
 
-def scan(q: np.ndarray, x: np.ndarray, qr: np.ndarray, xr: np.ndarray, bound: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def scan(q: np.ndarray, x: np.ndarray, qr: np.ndarray, xr: np.ndarray, bound: np.ndarray, k: int, sure: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query, the entries (rows of x) that may be among its k best, and their exact inner products.
 
-    ``q``, ``x``: original vectors, ``qr``, ``xr``: rotated; ``bound``: inner products that k entries are known to reach.
+    ``q``, ``x``: original vectors, ``qr``, ``xr``: rotated; ``bound``: inner products that k entries are known to reach;
+    ``sure``: queries that get k entries (all where there are fewer) whatever the tests drop.
     """
     width, out = x.shape[1], []
     xx, qq = (x.astype(np.float64) ** 2).sum(axis=1), (q.astype(np.float64) ** 2).sum(axis=1)
@@ -91,6 +94,8 @@ def scan(q: np.ndarray, x: np.ndarray, qr: np.ndarray, xr: np.ndarray, bound: np
             more = min(width, done + COLUMNS)
             part = part + ((xr[at, done:more] - qr[i, done:more]) ** 2).sum(axis=1)
             done = more
+        if sure is not None and sure[i] and len(at) < k:
+            at = np.union1d(at, np.argpartition(first[i], min(k, len(x)) - 1)[:k])
         score = x[at].astype(np.float64) @ own
         if len(at) > k:
             cut = np.partition(score, len(score) - k)[len(score) - k]
@@ -127,15 +132,15 @@ def searched(embeddings: DataFrame, is_query, k: int = NEIGHBOURS, recall: float
     def fraction(most: int, salt: str):
         return F.pmod(F.xxhash64("uid", F.lit(salt)), F.lit(1_000_000)) < int(min(1.0, most / count) * 1_000_000)
 
-    def gathered(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        table = df.select("uid", "embedding").toArrow()
-        return table.column(0).to_numpy(), _vectors(table.column(1), width)
+    def gathered(df: DataFrame) -> np.ndarray:
+        return _vectors(df.select("embedding").toArrow().column(0), width)
 
-    known, sample = gathered(entries.where(fraction(SAMPLE, "sample")))
+    sample = gathered(entries.where(fraction(SAMPLE, "sample")))
     if not len(sample):
-        known, sample = gathered(entries.limit(SAMPLE))
+        sample = gathered(entries.limit(SAMPLE))
     lists = int(max(1, min(count // LIST_SIZE, MOST_LISTS, len(sample))))
     centre, turn = _means(sample, lists), _rotation(width)
+    sample_list = _nearest(sample, centre)
     half = 0.5 * (centre**2).sum(axis=1)
 
     def assign(batches):
@@ -175,12 +180,15 @@ def searched(embeddings: DataFrame, is_query, k: int = NEIGHBOURS, recall: float
         depth = np.argsort(np.argsort(-(q @ centre.T - half), axis=1, kind="stable"), axis=1)
         probes = int(np.quantile([depth[r.q, r["list"]] for r in near], recall)) + 1
 
-    def chosen(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lists that each query probes, query by query, and how many."""
+    def chosen(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists that each query probes, query by query, how many, and which of them are the nearest that hold enough entries."""
         order = np.argsort(-(v @ centre.T - half), axis=1, kind="stable")
-        enough = np.maximum(probes, (np.cumsum(sizes[order], axis=1) < 4 * keep).sum(axis=1) + 1)
+        held = np.cumsum(sizes[order], axis=1)
+        enough = np.maximum(probes, (held < 4 * keep).sum(axis=1) + 1)
         n = np.minimum(enough, lists)
-        return np.concatenate([order[i, : n[i]] for i in range(len(v))] or [np.zeros(0, np.int64)]), n
+        sure = held - sizes[order] < keep
+        cut = lambda a: np.concatenate([a[i, : n[i]] for i in range(len(v))] or [np.zeros(0, a.dtype)])
+        return cut(order), n, cut(sure)
 
     def counted(batches):
         total = np.zeros(lists, np.int64)
@@ -191,21 +199,21 @@ def searched(embeddings: DataFrame, is_query, k: int = NEIGHBOURS, recall: float
     def probe(batches):
         for b in batches:
             v = _vectors(b.column("vector"), width)
-            own, n = chosen(v)
-            score = v.astype(np.float64) @ sample.T.astype(np.float64)
-            bound = np.partition(score, len(sample) - keep, axis=1)[:, len(sample) - keep] - 1e-6 if len(sample) > keep else np.full(len(v), -np.inf)
-            row = pa.array(np.repeat(np.arange(len(v)), n))
-            yield pa.RecordBatch.from_arrays([b.column("uid").take(row), pa.array(own, pa.int32()), b.column("vector").take(row), pa.array(bound).take(row)], ["uid", "list", "vector", "bound"])
-
-    def from_sample(batches):
-        for b in batches:
-            score = _vectors(b.column("vector"), width).astype(np.float64) @ sample.T.astype(np.float64)
-            n = min(keep, len(sample))
-            at = np.argpartition(-score, n - 1, axis=1)[:, :n]
-            yield pa.RecordBatch.from_arrays([b.column("uid").take(pa.array(np.repeat(np.arange(len(score)), n))), pa.array(known[at].ravel()), pa.array(np.take_along_axis(score, at, 1).ravel())], ["quid", "uid", "score"])
+            own, n, sure = chosen(v)
+            at = np.repeat(np.arange(len(v)), n)
+            bound = np.full(len(v), -np.inf)
+            if len(sample) >= keep:
+                probed = np.zeros((len(v), lists), bool)
+                probed[at, own] = True
+                for i in range(0, len(v), 512):
+                    score = v[i : i + 512].astype(np.float64) @ sample.T.astype(np.float64)
+                    score[~probed[i : i + 512, sample_list]] = -np.inf
+                    bound[i : i + 512] = np.partition(score, len(sample) - keep, axis=1)[:, len(sample) - keep] - 1e-6
+            row = pa.array(at)
+            yield pa.RecordBatch.from_arrays([b.column("uid").take(row), pa.array(own, pa.int32()), b.column("vector").take(row), pa.array(bound).take(row), pa.array(sure)], ["uid", "list", "vector", "bound", "sure"])
 
     asking_rows = index.where("asks").select("uid", "vector")
-    asked = asking_rows.mapInArrow(probe, "uid long, list int, vector binary, bound double")
+    asked = asking_rows.mapInArrow(probe, "uid long, list int, vector binary, bound double, sure boolean")
     queries_of = np.zeros(lists, np.int64)
     for r in asking_rows.select("vector").mapInArrow(counted, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect():
         queries_of[r["list"]] = r.n
@@ -220,7 +228,7 @@ def searched(embeddings: DataFrame, is_query, k: int = NEIGHBOURS, recall: float
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         q, v, r = _vectors(left.column("vector"), width), _vectors(right.column("vector"), width), _vectors(right.column("rotated"), width)
-        found = scan(q, v, q @ turn, r, left.column("bound").to_numpy(), keep) if len(v) else []
+        found = scan(q, v, q @ turn, r, left.column("bound").to_numpy(), keep, left.column("sure").to_numpy()) if len(v) else []
         ids, uids = left.column("uid").to_numpy(), right.column("uid").to_numpy()
         return pa.table(
             {
@@ -232,7 +240,6 @@ def searched(embeddings: DataFrame, is_query, k: int = NEIGHBOURS, recall: float
 
     keys = ["list", "eb", "qb"]
     hits = spread_q.groupBy(*keys).cogroup(spread_e.groupBy(*keys)).applyInArrow(search, "quid long, uid long, score double")
-    hits = hits.unionByName(asking_rows.mapInArrow(from_sample, "quid long, uid long, score double")).groupBy("quid", "uid").agg(F.max("score").alias("score"))
     first = F.row_number().over(Window.partitionBy("quid").orderBy(F.desc("score"), "uid"))
     best = hits.withColumn("r", first).where(F.col("r") <= keep).drop("r")
     queries = valid.where("asks").join(entries.select("embedding", F.col("uid").alias("quid")), "embedding").select(F.col("vec_id").alias("query_id"), "quid")

@@ -80,3 +80,30 @@ def test_scan_drops_no_entry_within_the_bound():
     exact = x.astype(np.float64) @ q.T.astype(np.float64)
     kept = [len(set(at) & set(np.argsort(-exact[:, i])[:10])) for i, (at, _) in enumerate(hits)]
     assert np.mean(kept) >= 9.7
+
+
+def clustered(n, seed):
+    rng = np.random.default_rng(seed)
+    return (rng.normal(size=(40, 32))[rng.integers(0, 40, n)] + 0.3 * rng.normal(size=(n, 32))).astype(np.float32)
+
+
+def test_every_answer_comes_from_the_scan(spark, monkeypatch):
+    x = clustered(600, 3)
+    monkeypatch.setattr(op, "scan", lambda q, *rest: [(np.zeros(0, np.int64), np.zeros(0)) for _ in q])
+    assert op.searched(table(spark, range(600), x), asks()).collect() == []
+
+
+def test_recall_with_a_sample_far_below_the_table(spark, monkeypatch):
+    monkeypatch.setattr(op, "SAMPLE", 256)
+    x = clustered(6000, 4)
+    got, want = found(op.searched(table(spark, range(6000), x), asks())), brute(range(6000), x)
+    assert set(got) == set(want) and {len(n) for n in got.values()} == {20}
+    assert recall(got, want) >= 0.9
+
+
+def test_scan_gives_enough_entries_where_it_must():
+    rng = np.random.default_rng(8)
+    x, q = rng.normal(size=(50, 32)).astype(np.float32), rng.normal(size=(4, 32)).astype(np.float32)
+    turn = op._rotation(32)
+    hits = op.scan(q, x, q @ turn, x @ turn, np.full(4, 1e6), 10, np.array([True, False, True, False]))
+    assert [len(at) for at, _ in hits] == [10, 0, 10, 0]
