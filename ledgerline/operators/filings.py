@@ -95,13 +95,18 @@ def compositions(df: DataFrame, group: str, member: str, value: str, total: str,
 
 def merged_order(lists: list[list[str]]) -> list[str]:
     """One order of all labels that keeps the newest list's and puts each further label after the one it followed."""
-    out: list[str] = []
+    start = object()
+    after: dict = {start: start}  # each label's next one, in a ring through the start
     for labels in lists:
-        before = None
+        before = start
         for label in labels:
-            if label not in out:
-                out.insert(out.index(before) + 1 if before is not None else 0, label)
+            if label not in after:
+                after[label], after[before] = after[before], label
             before = label
+    out, label = [], after[start]
+    while label is not start:
+        out.append(label)
+        label = after[label]
     return out
 
 

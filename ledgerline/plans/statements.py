@@ -76,5 +76,6 @@ def composition_reconcile(t: Tables) -> DataFrame:
 @query("statement_row_order")
 def statement_row_order(t: Tables) -> DataFrame:
     rows = t.lineitem.join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-    lists = rows.groupBy(F.col("l_suppkey").alias("company"), F.year("l_shipdate").alias("filing")).agg(F.slice(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "p_name"))), lambda x: x["p_name"])), 1, 12).alias("labels"))
+    first = rows.groupBy(F.col("l_suppkey").alias("company"), F.year("l_shipdate").alias("filing"), "p_name").agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("at"))
+    lists = first.groupBy("company", "filing").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "p_name"))), lambda x: x["p_name"]).alias("labels"))
     return S.row_order(lists, "company", "filing", "labels")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import numbers
 from ledgerline.operators import asof, estimates, filings, geo, markets, ownership, peers, timeseries, valuation
 from ledgerline.operators.screen import Spec, screen
+from ledgerline.plans import catalogue
 
 
 def one(spark, column):
@@ -116,3 +117,31 @@ def test_subset_that_reconciles():
     assert filings.reconciling_subset([5.0, 5.0, 1.0], 6.0, 0.1) is None  # two ways
     assert filings.reconciling_subset([1.0, 2.0], 9.0, 0.1) is None
     assert filings.merged_order([["a", "c"], ["a", "b", "c", "d"]]) == ["a", "b", "c", "d"]
+
+
+def test_row_order_takes_every_label(spark, tmp_path):
+    rng = random.Random(6)
+    parts = [(p, f"name {p % 35}") for p in range(60)]
+    lines = [(o, n, rng.randrange(60), rng.randrange(3), f"{rng.randrange(1996, 2000)}-03-01") for o in range(300) for n in range(3)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    df = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, day string")
+    df.withColumn("l_shipdate", F.col("day").cast("timestamp_ntz")).drop("day").write.parquet(f"{tmp_path}/lineitem.parquet")
+    wanted, longest = [], 0
+    for company in range(3):
+        out = []
+        for year in range(1999, 1995, -1):
+            labels = []
+            for name in (dict(parts)[p] for _, _, p, s, day in sorted(lines) if s == company and int(day[:4]) == year):
+                if name not in labels:
+                    labels.append(name)
+            longest, before = max(longest, len(labels)), -1
+            for label in labels:
+                if label in out:
+                    before = out.index(label)
+                else:
+                    before += 1
+                    out.insert(before, label)
+        wanted += [(company, k, label) for k, label in enumerate(out)]
+    assert longest > 12
+    found = catalogue.QUERIES["statement_row_order"](spark, str(tmp_path)).collect()
+    assert sorted((r.company, r.position, r.label) for r in found) == wanted
