@@ -1,7 +1,8 @@
 """Near-duplicate groups by b-bit MinHash.
 
-Per document one pass computes the set of word shingles, 80 minima, 20 band keys of four
-minima each and the low four bits of every minimum, packed in 40 bytes. Documents with
+Per document one pass computes the set of word shingles, minima, band keys of some minima
+each and the low four bits of every minimum, packed (at 85 percent: 80 minima, 20 bands of
+four, 40 bytes). Documents with
 equal sets form a class, which its smallest doc_id stands for. Band keys that several
 classes share give candidates; inside a band the packed signatures are compared by
 counting equal low bits, corrected for chance collisions. Classes that may be similar
@@ -12,14 +13,18 @@ and clusters over a fixed size are cut into blocks and every pair of blocks is a
 its own, so no group grows with the data; each emits at most one link per row, enough for
 the components, and no pair of different texts goes unjudged.
 
-Chance of losing a link at a similarity of 0.85: 4e-7 in the bands, about 1e-7 in the
-estimate (cut-off 0.62, over five standard deviations below). What is confirmed is exact.
+Bands, minima and the cut-off of the estimate follow from the similarity asked for: the
+chance of losing a link that just reaches it is at most LOSS in the bands and at most LOSS
+in the estimate. What is confirmed is exact.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +36,49 @@ from .scratch import free, written
 from .words import SPACES, U, Words, flat, mix, slices
 
 NAME = "op10_minhash"
-ROWS, BANDS, BITS = 4, 20, 4
-MINIMA = ROWS * BANDS
-CUTOFF = 0.62
+BITS, LOSS, MOST_MINIMA = 4, 4e-7, 512
 BAND_BLOCK, CLUSTER_BLOCK = 2048, 256
 
-_rng = np.random.default_rng(10)
-_A = _rng.integers(0, 1 << 32, MINIMA, np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, MINIMA, np.uint32)
+
+class Plan(NamedTuple):
+    """Minima of a band, bands, and how many low bits of candidates may differ."""
+
+    rows: int
+    bands: int
+    most: int
+
+
+@cache
+def plan(percent: int) -> Plan:
+    """The plan that loses a link at ``percent`` with a chance of at most LOSS in the bands and in the estimate: up to four minima a band, fewer where that takes over MOST_MINIMA."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent must be from 1 to 100, not {percent}")
+    like, word = percent / 100, 64 // BITS
+    for rows in (4, 3, 2, 1):
+        miss = 1 - like**rows
+        bands = max(1, math.ceil(math.log(LOSS) / math.log(miss))) if miss else 1
+        step = word // math.gcd(word, rows)  # minima fill whole 64-bit words
+        bands = -(-bands // step) * step
+        if rows * bands <= MOST_MINIMA:
+            break
+    minima, differs = rows * bands, (1 - like) * (1 - 2.0**-BITS)
+    tail, most = 0.0, minima
+    while most and differs:
+        log = math.lgamma(minima + 1) - math.lgamma(most + 1) - math.lgamma(minima - most + 1) + most * math.log(differs) + (minima - most) * math.log1p(-differs)
+        tail += math.exp(log)
+        if tail > LOSS:
+            break
+        most -= 1
+    return Plan(rows, bands, most if differs else 0)
+
+
+@cache
+def _factors(minima: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(10)
+    return rng.integers(0, 1 << 32, minima, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, minima, np.uint32)
+
+
+MINIMA = plan(85).rows * plan(85).bands
 
 
 def _sets(words: Words, n: int) -> list[np.ndarray]:
@@ -52,7 +92,10 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _signed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], n: int, of_plan: Plan) -> Iterator[pa.RecordBatch]:
+    rows, count, _ = of_plan
+    total = rows * count
+    factor, shift = _factors(total)
     for batch in batches:
         for part in slices(batch, "text"):
             words = Words(*flat(part.column("text")), SPACES)
@@ -60,15 +103,15 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             cuts = np.searchsorted(of, np.arange(part.num_rows + 1))
             full = np.flatnonzero(cuts[:-1] < cuts[1:])
             low, at = (run >> U(32)).astype(np.uint32), cuts[:-1][full]
-            minima = np.empty((len(full), MINIMA), np.uint32)
-            for k in range(MINIMA if len(full) else 0):
-                minima[:, k] = np.minimum.reduceat(low * _A[k] + _B[k], at)
+            minima = np.empty((len(full), total), np.uint32)
+            for k in range(total if len(full) else 0):
+                minima[:, k] = np.minimum.reduceat(low * factor[k] + shift[k], at)
             bits = (minima & ((1 << BITS) - 1)).astype(np.uint8)
             packed = bits[:, 0::2] | (bits[:, 1::2] << 4)
-            bands = np.zeros((len(full), BANDS), U)
-            for r in range(ROWS):
-                bands = mix(bands + minima[:, r::ROWS].astype(U) + U(1))
-            bands = mix(bands + np.arange(BANDS, dtype=U)).view(np.int64)
+            bands = np.zeros((len(full), count), U)
+            for r in range(rows):
+                bands = mix(bands + minima[:, r::rows].astype(U) + U(1))
+            bands = mix(bands + np.arange(count, dtype=U)).view(np.int64)
             size, digest, sig, keys = [0] * part.num_rows, *([None] * part.num_rows for _ in range(3))
             for row, d in enumerate(full):
                 shingles = np.unique(run[cuts[d] : cuts[d + 1]])
@@ -80,7 +123,7 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 
 
 def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many of the packed minima differ, by bit counts; rows of five 64-bit words."""
+    """How many of the packed minima differ, by bit counts; rows of 64-bit words."""
     x = a ^ b
     x |= x >> U(1)
     x |= x >> U(2)
@@ -93,9 +136,6 @@ def similarity(differing: np.ndarray) -> np.ndarray:
     return (1 - differing / MINIMA - chance) / (1 - chance)
 
 
-_MOST = int(MINIMA * (1 - CUTOFF * (1 - 2.0**-BITS) - 2.0**-BITS))
-
-
 class _Links:
     """Joined sets of ids; keeps the links that join two of them."""
 
@@ -161,10 +201,11 @@ def _near(at: np.ndarray, block: np.ndarray | None, similar) -> Iterator[tuple[i
                 yield k, other
 
 
-def _soft(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _soft(batches: Iterator[pa.RecordBatch], of_plan: Plan) -> Iterator[pa.RecordBatch]:
+    minima, most = of_plan.rows * of_plan.bands, of_plan.most
     for table, cuts in _groups(batches, 3, 4 << 20):
         ids, links = table.column("rep").to_numpy(), _Links()
-        sig = np.frombuffer(flat(table.column("sig").cast(pa.large_binary()))[0], U).reshape(-1, MINIMA * BITS // 64)
+        sig = np.frombuffer(flat(table.column("sig").cast(pa.large_binary()))[0], U).reshape(-1, minima * BITS // 64)
         i, j, block = (table.column(c).to_numpy() for c in ("i", "j", "block"))
         sizes = np.diff(cuts)
         for s in np.unique(sizes[sizes > 1]):
@@ -173,13 +214,13 @@ def _soft(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = np.triu_indices(int(s), 1)
                 for part in np.array_split(at, max(1, len(at) * len(x) // 200_000)):
                     a, b = (part[:, None] + x).ravel(), (part[:, None] + y).ravel()
-                    near = (unlike(sig[a], sig[b]) <= _MOST) & ((i[a] == j[a]) | (block[a] != block[b]))
+                    near = (unlike(sig[a], sig[b]) <= most) & ((i[a] == j[a]) | (block[a] != block[b]))
                     for p, q in zip(ids[a[near]].tolist(), ids[b[near]].tolist()):
                         links.join(p, q)
             else:
                 for o in at:
                     own = sig[o : o + s]
-                    for p, q in _near(own, None if i[o] == j[o] else block[o : o + s], lambda k, own=own: unlike(own, own[k]) <= _MOST):
+                    for p, q in _near(own, None if i[o] == j[o] else block[o : o + s], lambda k, own=own: unlike(own, own[k]) <= most):
                         links.join(int(ids[o + p]), int(ids[o + q]))
         yield links.batch()
 
@@ -233,17 +274,18 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text).
 
     Documents are linked where 100 * intersection >= percent * union of their sets of
-    ``n``-word shingles (fewer words: the whole sequence as one). component_id is the
+    ``n``-word shingles (fewer words: the whole sequence as one); percent from 1 to 100. component_id is the
     smallest doc_id reachable by links, kept is doc_id = component_id. Null or wordless
     texts have empty sets, link with nothing and are kept, each as its own component.
     Rows that repeat a doc_id are judged by their own texts and count as one node. A null
     doc_id takes no part: component_id null, kept true. Further columns are ignored; an
     empty table gives an empty result.
     """
+    own_plan = plan(percent)
     plain = docs.select("doc_id", "text")
     hashed = plain.withColumn("text_hash", F.xxhash64("text"))
     signed = written(
-        hashed.mapInArrow(lambda it: _signed(it, n), "doc_id long, text_hash long, n_shingles long, digest binary, sig binary, bands array<long>"), "signed"
+        hashed.mapInArrow(lambda it: _signed(it, n, own_plan), "doc_id long, text_hash long, n_shingles long, digest binary, sig binary, bands array<long>"), "signed"
     )
     classes = written(
         signed.where("digest is not null and doc_id is not null").groupBy("digest", "sig", "bands").agg(F.min("doc_id").alias("rep")), "classes"
@@ -251,7 +293,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
     banded = classes.select(F.explode("bands").alias("band"), "rep", "sig")
     shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     dealt = _blocks(banded.join(shared, "band"), "band", BAND_BLOCK)
-    soft = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_soft, "a long, b long")
+    soft = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(lambda it: _soft(it, own_plan), "a long, b long")
     clusters = components(soft).toDF("rep", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     members = clusters.join(sizes, "cluster").join(classes.select("rep", "digest"), "rep")

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -102,3 +103,28 @@ def test_corrected_estimate(equal):
     pack = lambda x: (x[:, 0::2] | (x[:, 1::2] << 4)).copy().view(np.uint64)
     assert (op.unlike(pack(a), pack(b)) == (a != b).sum(axis=1)).all()
     assert abs(op.similarity(op.unlike(pack(a), pack(b))).mean() - equal) < 0.01
+
+
+@pytest.mark.parametrize("percent", [30, 50, 65, 80, 100])
+def test_lower_percents_lose_no_link(docs, percent):
+    pairs, of = [], 0
+    for k in range(30):  # a text and one with a block added, alike by a little over the percent
+        text = [f"a{k}_{w}" for w in range(202)]
+        pairs += [(of, " ".join(text)), (of + 1, " ".join(text + [f"b{k}_{w}" for w in range(200 * (100 - percent) // percent - k % 3 if percent < 100 else 0)]))]
+        of += 2
+    got = rows(op.near_duplicates(docs(pairs), percent=percent))
+    assert got == brute(pairs, percent) and sum(not kept for *_, kept in got) == 30
+
+
+@pytest.mark.parametrize("percent", range(1, 101))
+def test_chance_of_loss_holds_for_every_percent(percent):
+    r, bands, most = op.plan(percent)
+    minima, differs = r * bands, (1 - percent / 100) * (1 - 2.0**-op.BITS)
+    assert minima * op.BITS % 64 == 0 and (1 - (percent / 100) ** r) ** bands <= op.LOSS
+    assert sum(math.comb(minima, k) * differs**k * (1 - differs) ** (minima - k) for k in range(most + 1, minima + 1)) <= op.LOSS * 1.001
+
+
+@pytest.mark.parametrize("percent", [-1, 0, 101])
+def test_percent_out_of_range(docs, percent):
+    with pytest.raises(ValueError):
+        op.near_duplicates(docs([]), percent=percent)
