@@ -5,11 +5,16 @@ a rest, and packs buffers of about ``BUFFER`` tokens: longest segment first, eac
 row with the least space that still holds it. A segment tree over the spaces 0 to L finds
 that row. Nothing is shuffled, memory follows the buffer, and a task that is run again
 gives the same rows.
+
+Rows are written as matrix files of bounded size, each with an Arrow file beside it that
+holds cumulative segment lengths, position resets and the segments' documents. The written
+manifest says which files count; query and pipeline return the rows read back from them.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +23,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .storage import NewFile
+from ledgerline.sources.workspace import folder
+
+from .scratch import written
+from .storage import NewFile, place
 from .words import slices
 
 NAME = "op7_pack"
@@ -27,9 +35,14 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LENGTH = 2048
 PAD = 50256
 BUFFER = 4 << 20
+FILE_BYTES = 64 << 20
+LONG_RUN = 100_000
 
 # Fixed value: the vocabulary's public splitting pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: the characters of the pattern's class of white space.
+_BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_BLANK = re.compile(f"(?<!{_BLANK}){_BLANK}{{{LONG_RUN}}}{_BLANK}*")
 
 
 class Spaces:
@@ -93,6 +106,23 @@ def _encoding(vocabulary):
     return _encodings[vocabulary.value]
 
 
+def token_ids(encoding, text: str) -> np.ndarray:
+    """The tokenizer's ids of a text of any kind.
+
+    The pattern backtracks over runs of white space and fails on very long ones. Such a
+    run is one word of the pattern, without its last character where text follows; it is
+    encoded by itself, and the text is cut at its ends, where no word reaches across.
+    """
+    ids, at = [], 0
+    for run in _LONG_BLANK.finditer(text) if len(text) >= LONG_RUN else ():
+        end = run.end() - (run.end() < len(text))
+        ids.append(encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+        ids.append(np.array(encoding._encode_single_piece(text[run.start() : end]), np.uint32))
+        at = end
+    ids.append(encoding.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(ids).astype("<u2") if len(ids) > 1 else ids[0].astype("<u2")
+
+
 SCHEMA = "pack_id string, token_ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, pieces array<int>"
 _ARROW = pa.schema(
     [("pack_id", pa.string()), ("token_ids", pa.binary()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32()))]
@@ -121,7 +151,7 @@ def _packed(batches: Iterator[pa.RecordBatch], vocabulary, length: int, pad: int
     for batch in batches:
         for part in slices(batch, "text"):
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                ids = encode.encode_to_numpy(text or "", disallowed_special=()).astype(kind)
+                ids = token_ids(encode, text or "")
                 for p, a in enumerate(range(0, max(1, len(ids)), length)):
                     segments.append((doc, p, ids[a : a + length]))
                 held += len(ids) + 16
@@ -155,35 +185,94 @@ def position_ids(row, length: int = LENGTH) -> np.ndarray:
     return out - np.repeat(starts, lengths)
 
 
-def write_matrices(rows: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
-    """Writes the ids of packed rows as matrix files (rows of ``length`` 16-bit ids) under a URI; returns the manifest.
+MANIFEST = "file string, index string, rows long, columns long, crc32 long, pack_ids array<string>, cu_seqlens array<int>, counts array<int>"
+
+
+def write_matrices(rows: DataFrame, folder: str, length: int = LENGTH, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes packed rows under a URI, as matrix files (rows of ``length`` 16-bit ids) of at most ``file_bytes``; returns the manifest.
 
-    The manifest, one row per file, has its URI, rows, columns, CRC-32 and, row by row,
-    pack_ids, cu_seqlens (all rows' one after another) and the count of each row's.
+    Beside each matrix an Arrow file holds, row by row, pack_id, n_tokens, cu_seqlens,
+    position_resets, doc_ids and pieces. The manifest, one row per matrix, has the URIs of
+    both, rows, columns, CRC-32 of the ids and, row by row, pack_ids, cu_seqlens (all
+    rows' one after another) and the count of each row's.
     """
+    named = [f.name for f in _ARROW if f.name != "token_ids"]
+    index_schema = pa.schema([_ARROW.field(n) for n in named])
 
     def write(batches):
-        file, ids, ends, counts, crc = None, [], [], [], 0
-        for b in batches:
-            for k, data in enumerate(b.column("token_ids").to_pylist()):
-                file = file or NewFile(folder, f"ids-{TaskContext.get().partitionId():06d}", ".bin")
-                file.write(data)
-                crc = zlib.crc32(data, crc)
-                own = b.column("cu_seqlens")[k].as_py()
-                ids.append(b.column("pack_id")[k].as_py())
-                ends += own
-                counts.append(len(own))
-        if file:
+        file = index = sink = None
+        crc, held = 0, []
+
+        def closed():
             file.close()
-            yield pa.RecordBatch.from_pydict({"file": [file.uri], "rows": [len(ids)], "columns": [length], "crc32": [crc], "pack_ids": [ids], "cu_seqlens": pa.array([ends], pa.list_(pa.int32())), "counts": pa.array([counts], pa.list_(pa.int32()))})
+            sink.close()
+            index.close()
+            own = pa.Table.from_batches(held, index_schema)
+            ends = own.column("cu_seqlens").combine_chunks()
+            return pa.RecordBatch.from_pydict(
+                {
+                    "file": [file.uri], "index": [index.uri], "rows": [own.num_rows], "columns": [length], "crc32": [crc], "pack_ids": [own.column("pack_id").to_pylist()],
+                    "cu_seqlens": pa.array([ends.flatten()], pa.list_(pa.int32())), "counts": pa.array([np.diff(ends.offsets.to_numpy())], pa.list_(pa.int32())),
+                }
+            )
+
+        most = max(1, file_bytes // (2 * length))
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                if file is None:
+                    stem = f"ids-{TaskContext.get().partitionId():06d}"
+                    file, index, crc, held, left = NewFile(folder, stem, ".bin"), NewFile(folder, stem, ".arrow"), 0, [], most
+                    sink = pa.ipc.new_stream(index, index_schema)
+                part = batch.slice(at, left)
+                for data in part.column("token_ids"):
+                    file.write(data.as_buffer())
+                    crc = zlib.crc32(data.as_buffer(), crc)
+                held.append(pa.RecordBatch.from_arrays([part.column(n) for n in named], schema=index_schema))
+                sink.write_batch(held[-1])
+                at, left = at + part.num_rows, left - part.num_rows
+                if not left:
+                    yield closed()
+                    file = None
+        if file:
+            yield closed()
 
-    return rows.select("pack_id", "token_ids", "cu_seqlens").mapInArrow(write, "file string, rows long, columns long, crc32 long, pack_ids array<string>, cu_seqlens array<int>, counts array<int>")
+    return rows.select(_ARROW.names).mapInArrow(write, MANIFEST)
+
+
+def read_matrices(manifest: DataFrame) -> DataFrame:
+    """The packed rows of the files that a manifest names, as :func:`packed` gives them. A matrix of another size or CRC-32 is an error."""
+
+    def parse(batches):
+        for b in batches:
+            for uri, index, rows, columns, crc in zip(*(b.column(c).to_pylist() for c in ("file", "index", "rows", "columns", "crc32"))):
+                (where, path), (_, beside) = place(uri), place(index)
+                seen = found = 0
+                with where.open_input_stream(path, compression=None) as ids, where.open_input_stream(beside, compression=None) as own:
+                    for part in pa.ipc.open_stream(own):
+                        data = ids.read(2 * columns * part.num_rows)
+                        seen, found = zlib.crc32(data, seen), found + part.num_rows
+                        if len(data) != 2 * columns * part.num_rows:
+                            raise ValueError(f"{uri} ends within a row")
+                        matrix = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * columns), part.num_rows, [None, pa.py_buffer(data)]).cast(pa.binary())
+                        yield pa.RecordBatch.from_arrays([part.column("pack_id"), matrix, *part.columns[1:]], schema=_ARROW)
+                    if ids.read(1) or seen != crc or found != rows:
+                        raise ValueError(f"{uri} is damaged")
+
+    files = manifest.count()
+    return manifest.select("file", "index", "rows", "columns", "crc32").repartition(max(1, min(files, 100_000)), "file").mapInArrow(parse, SCHEMA)
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """The packed rows of ``docs``, written as matrix files to the shared folder and read back."""
+    manifest = written(write_matrices(packed(docs), folder(docs.sparkSession, "matrices")), "manifest")
+    return read_matrices(manifest)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the packed rows."""
-    return packed(docs)
+    """Pipeline stage, the last: the packed rows, as read back from their matrix files. Null and empty texts are segments without tokens, repeated rows are packed each."""
+    return stored(docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return stored(spark.read.parquet(f"{sf_dir}/documents.parquet"))

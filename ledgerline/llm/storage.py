@@ -22,9 +22,17 @@ class NewFile:
         self.uri, self.size = f"{folder}/{name}", 0
         self._out = where.open_output_stream(f"{path}/{name}", compression=None)  # else a suffix as .zst compresses once more
 
-    def write(self, data: bytes) -> None:
+    def write(self, data) -> int:
         self._out.write(data)
         self.size += len(data)
+        return len(data)
+
+    def flush(self) -> None:
+        self._out.flush()
+
+    @property
+    def closed(self) -> bool:
+        return self._out.closed
 
     def close(self) -> None:
         self._out.close()

@@ -101,3 +101,53 @@ def test_matrix_files(spark, docs, tmp_path):
             assert row.tobytes() == held[name].token_ids and next(ends).tolist() == held[name].cu_seqlens
             seen += 1
     assert seen == len(held)
+
+
+BLANKS = " " * 1_200_000
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a" + BLANKS + "b", BLANKS, "a" + BLANKS, BLANKS + "b", "a" + "\n" * 5_000_000 + "b", "x " + " \n\t\u3000" * 400_000 + "\nend", "one" + BLANKS + "two" + BLANKS + "\nthree", "\u00a0" * 1_100_000 + "9"],
+    ids=lambda t: f"{len(t)}",
+)
+def test_long_blanks(spark, docs, text):
+    from regex import compile as pattern
+
+    # words as the pattern has them, by a matcher that copes with such runs, each encoded by itself
+    coder, wanted = op._encoding(Held()), []
+    space = op._BLANK
+    words = pattern(op.PATTERN.replace(r"[^\s", "[^" + space[1:-1]).replace(r"\s", space).replace(r"\S", "[^" + space[1:]))
+    for w in words.finditer(text):
+        wanted += coder._encode_single_piece(w.group())
+    assert coder.decode(wanted) == text
+    assert op.token_ids(coder, text).tolist() == wanted
+    rows = op.packed(docs([(1, text)])).collect()
+    assert sum((x for _, x in sorted(unpacked(rows, op.LENGTH)[1])), []) == wanted
+
+
+def test_cut_at_any_run_gives_the_same_ids(monkeypatch, encode):
+    rng = random.Random(8)
+    monkeypatch.setattr(op, "LONG_RUN", 2)
+    monkeypatch.setattr(op, "_LONG_BLANK", __import__("re").compile(f"(?<!{op._BLANK}){op._BLANK}{{2}}{op._BLANK}*"))
+    for _ in range(500):
+        text = "".join(rng.choice([" ", "  ", "\n", "\t ", "\u2003", "ab", "7", "don't", "!", "\x1c", "\u200b"]) for _ in range(rng.randrange(30)))
+        assert op.token_ids(op._encoding(Held()), text).tolist() == encode(text)
+
+
+def test_files_of_bounded_size_come_back(spark, docs, tmp_path):
+    rows = op.packed(docs([(k, "some words here " * (k % 40)) for k in range(300)] + [(None, None), (7, "twice"), (7, "twice")]), length=64, buffer=2000).persist()
+    manifest = op.write_matrices(rows, f"file://{tmp_path}/ids", 64, file_bytes=20 * 128)
+    manifest.write.parquet(f"{tmp_path}/manifest")
+    manifest = spark.read.parquet(f"{tmp_path}/manifest")
+    files = manifest.collect()
+    assert len(files) > 5 and all(m.rows <= 20 for m in files)
+    back = op.read_matrices(manifest)
+    assert back.schema == rows.schema
+    key = lambda r: r.pack_id
+    assert sorted(back.collect(), key=key) == sorted(rows.collect(), key=key)
+    with open(files[0].file.removeprefix("file://"), "r+b") as f:
+        f.write(b"\x01\x02\x03\x04")
+    with pytest.raises(Exception, match="damaged"):
+        back.collect()
+    assert op.stored(docs([])).collect() == []
