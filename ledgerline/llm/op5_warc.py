@@ -4,8 +4,8 @@ A Zstandard dictionary is trained on a bounded sample of records and embedded, i
 skippable frame, at the start of every archive, so that each archive can be read alone
 and each record from its offset. Pages with equal payloads are told by digests: of each
 group the smallest page_id is archived as response, the others as revisits that refer to
-it. Only digests are grouped; pages meet their decision by page_id, so a payload that a
-third of all pages share loads no single task. Archives are files in the shared folder
+it. Only digests are grouped, those of a payload that a third of all pages share dealt over
+many tasks, and pages meet their decision by page_id. Archives are files in the shared folder
 under names no other attempt uses; the written manifest alone says which count.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.sources.workspace import folder
 
-from .scratch import written
+from .scratch import fraction, looked_up, written
 from .storage import NewFile, place
 
 NAME = "op5_warc"
@@ -131,8 +131,10 @@ def decided(pages: DataFrame, least: int = 0) -> DataFrame:
     digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     narrow = pages.select("page_id", digest.alias("_digest"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("_size")).where(F.col("_size") >= least)
     first = narrow.groupBy("_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    revisits = narrow.join(first, "_digest").where("page_id > refers_to").select("page_id", "_digest", "refers_to").distinct()
-    return pages.select("page_id", "url", "html", digest.alias("_digest")).join(revisits, ["page_id", "_digest"], "left").drop("_digest")
+    revisits = looked_up(narrow.where("page_id is not null"), first, "_digest", "page_id", "inner").where("page_id > refers_to").select("page_id", "_digest", "refers_to").distinct()
+    named = pages.select("page_id", "url", "html", digest.alias("_digest"))
+    told = named.where("page_id is not null").join(revisits, ["page_id", "_digest"], "left")
+    return told.unionByName(named.where("page_id is null"), allowMissingColumns=True).drop("_digest")
 
 
 def archived(pages: DataFrame, where: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -140,8 +142,9 @@ def archived(pages: DataFrame, where: str, least: int = 0, archive_bytes: int =
     spark = pages.sparkSession
     count = pages.count()
     share = min(1.0, SAMPLE_RECORDS / max(1, count))
-    chosen = pages.where((F.coalesce(F.octet_length("html"), F.lit(0)) <= SAMPLE_BYTES) & (F.pmod(F.xxhash64("page_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)))
-    dictionary = train([page_record(r.page_id, r.url, r.html, None, False) for r in chosen.select("page_id", "url", "html").limit(2 * SAMPLE_RECORDS).toLocalIterator()])
+    short = pages.where(F.coalesce(F.octet_length("html"), F.lit(0)) <= SAMPLE_BYTES).select("page_id", "url", "html")
+    chosen = short.where(fraction(share, "sample", "page_id")).limit(2 * SAMPLE_RECORDS).collect() or short.limit(SAMPLE_RECORDS).collect()
+    dictionary = train([page_record(r.page_id, r.url, r.html, None, False) for r in chosen])
     spread = spark.sparkContext.broadcast(dictionary)
 
     def write(batches):
