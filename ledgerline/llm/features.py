@@ -2,8 +2,8 @@
 
 Features are hashed words (log counts, divided by the root of their length in each text), structure
 statistics and the metadata column n_chars where there is one. A model is fitted in
-rounds: shards of the sample each take a pass of minibatch descent from the same
-parameters, and the driver averages what they return. Parameters have a fixed size.
+rounds: shards of the sample, read where they were written, each take a pass of minibatch
+descent from the same parameters, and the driver averages what they return. Parameters have a fixed size.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from ledgerline.sources.workspace import folder
+
+from .scratch import fraction
 from .words import SPACES, U, Words, flat, mix, slices
 
 WORD_BITS = 15
@@ -105,14 +107,16 @@ def sample(docs: DataFrame, labelled: DataFrame, most: int) -> DataFrame:
     """Features of about ``most`` labelled rows at the most, chosen by a hash of doc_id: (shard, label, index, value), written.
 
     ``labelled`` has (doc_id, label), one row per doc_id. Its chosen rows, of bounded
-    number, are broadcast; no text is shuffled.
+    number, are broadcast; only their texts are shuffled. Of rows of ``docs`` that repeat
+    a doc_id one counts. Each shard is one folder with one file, which rounds read in place.
     """
     count = labelled.count()
     share = min(1.0, most / max(1, count))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = labelled.where(fraction(share, "sample", "doc_id"))
     named = [c for c in ("text", "n_chars") if c in docs.columns]
     rows = docs.select("doc_id", *named).join(F.broadcast(chosen), "doc_id")
-    rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int").alias("shard"), F.col("label").cast("int"), *named)
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.col("label").cast("int").alias("label"), *named)).alias("_r"))
+    rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int").alias("shard"), "_r.*")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,11 +127,13 @@ def sample(docs: DataFrame, labelled: DataFrame, most: int) -> DataFrame:
                     ["shard", "label", "index", "value"],
                 )
 
-    return written(rows.mapInArrow(make, "shard int, label int, index array<int>, value array<float>"), "sample")
+    made, path = rows.mapInArrow(make, "shard int, label int, index array<int>, value array<float>"), folder(docs.sparkSession, "sample")
+    made.repartition(SHARDS, "shard").write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema("label int, index array<int>, value array<float>, shard int").parquet(path)
 
 
 def _pass(spread, step: Callable, turn: int, batch: int) -> Callable:
-    """One pass over a shard, from the round's parameters."""
+    """One pass over each shard of a task, from the round's parameters."""
 
     def shard(table):
         own = {k: {n: v.copy() for n, v in x.items()} for k, x in spread.value.items()}
@@ -142,9 +148,20 @@ def _pass(spread, step: Callable, turn: int, batch: int) -> Callable:
             at = np.repeat(cut[chosen] - inner[:-1], sizes) + np.arange(inner[-1])
             step(own["parameters"], own["sums"], inner, index[at], value[at], label[chosen])
         names = [(k, n) for k in own for n in own[k]]
-        return pa.table({"part": [k for k, _ in names], "name": [n for _, n in names], "n": [len(label)] * len(names), "data": pa.array([own[k][n].tobytes() for k, n in names], pa.binary())})
+        return pa.RecordBatch.from_pydict({"part": [k for k, _ in names], "name": [n for _, n in names], "n": [len(label)] * len(names), "data": pa.array([own[k][n].tobytes() for k, n in names], pa.binary())})
+
+    def shards(batches):
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for b in batches:  # a batch may end one shard's file and begin the next
+            number = b.column("shard").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(number[1:] != number[:-1]) + 1, [len(number)]])
+            for a, z in zip(cuts, cuts[1:]):
+                if z > a:
+                    held.setdefault(int(number[a]), []).append(b.slice(a, z - a))
+        for k in sorted(held):
+            yield shard(pa.Table.from_batches(held[k]))
 
-    return shard
+    return shards
 
 
 def fit(rows: DataFrame, start: dict[str, np.ndarray], step: Callable, rounds: int, batch: int = 32) -> dict[str, np.ndarray]:
@@ -153,7 +170,7 @@ def fit(rows: DataFrame, start: dict[str, np.ndarray], step: Callable, rounds: i
     for turn in range(rounds):
         spread = spark.sparkContext.broadcast(state)
         total, weight = {k: {n: np.zeros(v.shape) for n, v in x.items()} for k, x in state.items()}, 0
-        for r in rows.groupBy("shard").applyInArrow(_pass(spread, step, turn, batch), "part string, name string, n long, data binary").toLocalIterator():
+        for r in rows.mapInArrow(_pass(spread, step, turn, batch), "part string, name string, n long, data binary").collect():
             total[r.part][r.name] += r.n * np.frombuffer(r.data, np.float32).reshape(total[r.part][r.name].shape)
             weight += r.n if (r.part, r.name) == ("parameters", next(iter(start))) else 0
         if weight:
