@@ -8,10 +8,13 @@ classes share give candidates; inside a band the packed signatures are compared
 counting equal low bits, corrected for chance collisions. Classes that may be similar
 form clusters (connected components), and within each cluster full shingle sets decide.
 
-Skew: classes absorb exact copies before anything is grouped by band or cluster. Bands
-and clusters over a fixed size are cut into blocks and every pair of blocks is a group of
-its own, so no group grows with the data; each emits at most one link per row, enough for
-the components, and no pair of different texts goes unjudged.
+Skew: classes absorb exact copies before anything is grouped by band or cluster. In a
+band, and again in a cluster, every class first meets the hub, its smallest doc_id, where
+the class is; no group is gathered for that. Those linked with the hub are linked with
+each other, so only pairs with a class that isn't are left: such classes, in blocks, meet
+all others of the band or cluster, in blocks, and each pair of blocks is a group of its
+own. No group grows with the data, copies of one text cost one comparison each, and no
+pair of different texts goes unjudged.
 
 Bands, minima and the cut-off of the estimate follow from the similarity asked for: the
 chance of losing a link that just reaches it is at most LOSS in the bands and at most LOSS
@@ -32,12 +35,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import free, written
+from .scratch import free, looked_up, written
 from .words import SPACES, U, Words, flat, mix, slices
 
 NAME = "op10_minhash"
 BITS, LOSS, MOST_MINIMA = 4, 4e-7, 512
-BAND_BLOCK, CLUSTER_BLOCK = 2048, 256
+BAND_BLOCK, CLUSTER_BLOCK = 1024, 256
+#: Words of a shingle and percent of the pipeline's stage.
+STAGE = 5, 80
 
 
 class Plan(NamedTuple):
@@ -187,13 +192,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int, most: int) -> Iterator
         yield table, cut(table)
 
 
-def _near(at: np.ndarray, block: np.ndarray | None, similar) -> Iterator[tuple[int, int]]:
-    """Links that join the rows of a group as all similar pairs would; ``similar(k)``: the rows similar to row k."""
-    label = np.arange(len(at))
-    for k in range(len(at)):
+def _near(count: int, similar) -> Iterator[tuple[int, int]]:
+    """Links that join ``count`` rows of a group as all similar pairs would; ``similar(k)``: the rows similar to row k."""
+    label = np.arange(count)
+    for k in range(count):
         hit = similar(k)
-        if block is not None:
-            hit = hit & (block != block[k])
         for x in np.unique(label[hit]):
             if x != label[k]:
                 other = int(np.flatnonzero(hit & (label == x))[0])
@@ -201,12 +204,23 @@ def _near(at: np.ndarray, block: np.ndarray | None, similar) -> Iterator[tuple[i
                 yield k, other
 
 
+def _signatures(column, minima: int) -> np.ndarray:
+    return np.frombuffer(flat(column.cast(pa.large_binary()))[0], U).reshape(-1, minima * BITS // 64)
+
+
+def _near_hub(batches: Iterator[pa.RecordBatch], of_plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Whether each class of a band may be similar to the band's hub: ``rest`` if not."""
+    minima = of_plan.rows * of_plan.bands
+    for b in batches:
+        far = unlike(_signatures(b.column("sig"), minima), _signatures(b.column("hub_sig"), minima)) > of_plan.most
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("band", "rep", "sig", "hub")), pa.array(far)], ["band", "rep", "sig", "hub", "rest"])
+
+
 def _soft(batches: Iterator[pa.RecordBatch], of_plan: Plan) -> Iterator[pa.RecordBatch]:
     minima, most = of_plan.rows * of_plan.bands, of_plan.most
     for table, cuts in _groups(batches, 3, 4 << 20):
-        ids, links = table.column("rep").to_numpy(), _Links()
-        sig = np.frombuffer(flat(table.column("sig").cast(pa.large_binary()))[0], U).reshape(-1, minima * BITS // 64)
-        i, j, block = (table.column(c).to_numpy() for c in ("i", "j", "block"))
+        ids, links, rest = table.column("rep").to_numpy(), _Links(), table.column("rest").to_numpy()
+        sig = _signatures(table.column("sig"), minima)
         sizes = np.diff(cuts)
         for s in np.unique(sizes[sizes > 1]):
             at = cuts[:-1][sizes == s]
@@ -214,17 +228,31 @@ def _soft(batches: Iterator[pa.RecordBatch], of_plan: Plan) -> Iterator[pa.Recor
                 x, y = np.triu_indices(int(s), 1)
                 for part in np.array_split(at, max(1, len(at) * len(x) // 200_000)):
                     a, b = (part[:, None] + x).ravel(), (part[:, None] + y).ravel()
-                    near = (unlike(sig[a], sig[b]) <= most) & ((i[a] == j[a]) | (block[a] != block[b]))
+                    near = (unlike(sig[a], sig[b]) <= most) & (rest[a] | rest[b])
                     for p, q in zip(ids[a[near]].tolist(), ids[b[near]].tolist()):
                         links.join(p, q)
             else:
                 for o in at:
-                    own = sig[o : o + s]
-                    for p, q in _near(own, None if i[o] == j[o] else block[o : o + s], lambda k, own=own: unlike(own, own[k]) <= most):
+                    own, alone = sig[o : o + s], rest[o : o + s]
+                    for p, q in _near(int(s), lambda k, own=own, alone=alone: (unlike(own, own[k]) <= most) & (alone | alone[k])):
                         links.join(int(ids[o + p]), int(ids[o + q]))
         yield links.batch()
 
 
+def _to_hub(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Whether the full set of each class of a cluster is linked with that of the cluster's hub: ``rest`` if not."""
+    known, hub = None, None
+    for batch in batches:
+        for part in slices(batch, "text"):
+            rest, clusters = np.zeros(part.num_rows, bool), part.column("cluster").to_numpy()
+            for k, own in enumerate(_sets(Words(*flat(part.column("text")), SPACES), n)):
+                if known != clusters[k]:
+                    known, hub = clusters[k], _sets(Words(*flat(part.column("hub_text").slice(k, 1)), SPACES), n)[0]
+                both = len(np.intersect1d(own, hub, assume_unique=True))
+                rest[k] = 100 * both < percent * (len(own) + len(hub) - both)
+            yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("rep"), pa.array(rest)], ["cluster", "rep", "rest"])
+
+
 def _common(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, exact, by products of incidence matrices in column blocks."""
     rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -244,30 +272,37 @@ def _exact(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[
         links, sets = _Links(), []
         for part in slices(table, "text"):
             sets += _sets(Words(*flat(part.column("text")), SPACES), n)
-        ids, digest = table.column("rep").to_numpy(), table.column("digest").to_pylist()
-        i, j, block = (table.column(c).to_numpy() for c in ("i", "j", "block"))
+        ids, rest = table.column("rep").to_numpy(), table.column("rest").to_numpy()
         for a, b in zip(cuts, cuts[1:]):
-            at = np.array([k for k in range(a, b) if len(sets[k]) and _digest(sets[k]) == digest[k]], np.int64)
-            if len(at) < 2:
+            own = sets[a:b]
+            if len(own) < 2:
                 continue
-            sizes = np.array([len(sets[k]) for k in at])
-            if len(at) == 2:
-                both = len(np.intersect1d(sets[at[0]], sets[at[1]], assume_unique=True))
+            sizes, alone = np.array([len(x) for x in own]), rest[a:b]
+            if len(own) == 2:
+                both = len(np.intersect1d(*own, assume_unique=True))
                 common = np.array([[sizes[0], both], [both, sizes[1]]])
             else:
-                common = _common([sets[k] for k in at])
-            linked = 100 * common >= percent * (sizes[:, None] + sizes - common)
-            for p, q in _near(at, None if i[a] == j[a] else block[at], lambda k, m=linked: m[k]):
-                links.join(int(ids[at[p]]), int(ids[at[q]]))
+                common = _common(own)
+            linked = (100 * common >= percent * (sizes[:, None] + sizes - common)) & (alone[:, None] | alone)
+            for p, q in _near(len(own), lambda k, m=linked: m[k]):
+                links.join(int(ids[a + p]), int(ids[a + q]))
         yield links.batch()
 
 
-def _blocks(df: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows with the size of their group (``size``) dealt to all pairs of blocks that hold them: columns i, j and the row's own block."""
-    count = F.ceil(F.col("size") / size).cast("int")
-    dealt = df.withColumn("count", count).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("count")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
-    return dealt.select(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *[c for c in df.columns if c not in (key, "size")])
+def _rest_cells(df: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows (key, rep, rest, ...) of the keys with a ``rest`` row, dealt to cells (key, i, j) where each of those meets every row of its key.
+
+    ``rest`` rows are in blocks i, all rows in blocks j, of about ``size``.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"), F.count_if("rest").alias("_r")).where("_r > 0 and _n > 1")
+    blocks = lambda n: F.ceil(F.col(n) / size).cast("int")
+    met = looked_up(df, counts, key, "rep", "inner").withColumn("_is", blocks("_r")).withColumn("_js", blocks("_n"))
+    met = met.withColumn("_i", F.pmod(F.xxhash64("rep"), F.col("_is")).cast("int")).withColumn("_j", F.pmod(F.xxhash64("rep"), F.col("_js")).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    down = F.transform(F.filter(every("_is"), lambda i: ~F.col("rest") | (i != F.col("_i"))), lambda i: F.struct(i.alias("i"), F.col("_j").alias("j")))
+    across = F.transform(every("_js"), lambda j: F.struct(F.col("_i").alias("i"), j.alias("j")))
+    cells = met.withColumn("_c", F.explode(F.when(F.col("rest"), F.concat(across, down)).otherwise(down)))
+    return cells.select(key, "_c.i", "_c.j", *[c for c in df.columns if c != key])
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame:
@@ -282,36 +317,50 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
     empty table gives an empty result.
     """
     own_plan = plan(percent)
-    plain = docs.select("doc_id", "text")
-    hashed = plain.withColumn("text_hash", F.xxhash64("text"))
+    hashed = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     signed = written(
         hashed.mapInArrow(lambda it: _signed(it, n, own_plan), "doc_id long, text_hash long, n_shingles long, digest binary, sig binary, bands array<long>"), "signed"
     )
     classes = written(
         signed.where("digest is not null and doc_id is not null").groupBy("digest", "sig", "bands").agg(F.min("doc_id").alias("rep")), "classes"
     )
+    # classes that may be similar
     banded = classes.select(F.explode("bands").alias("band"), "rep", "sig")
-    shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    dealt = _blocks(banded.join(shared, "band"), "band", BAND_BLOCK)
-    soft = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(lambda it: _soft(it, own_plan), "a long, b long")
-    clusters = components(soft).toDF("rep", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    members = clusters.join(sizes, "cluster").join(classes.select("rep", "digest"), "rep")
-    texts = members.join(plain.withColumnRenamed("doc_id", "rep"), "rep")
-    dealt = _blocks(texts, "cluster", CLUSTER_BLOCK)
-    found = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda it: _exact(it, n, percent), "a long, b long")
-    linked = components(found)
+    shared = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
+    shared = shared.join(classes.select(F.col("rep").alias("hub"), F.col("sig").alias("hub_sig")), "hub").drop("size")
+    met = looked_up(banded, shared, "band", "rep", "inner").where("rep != hub")
+    judged = written(met.mapInArrow(lambda it: _near_hub(it, own_plan), "band long, rep long, sig binary, hub long, rest boolean"), "judged")
+    cells = _rest_cells(judged.drop("hub"), "band", BAND_BLOCK).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    more = cells.mapInArrow(lambda it: _soft(it, own_plan), "a long, b long")
+    clusters = components(judged.where("not rest").select("rep", "hub").distinct().union(more).toDF("a", "b")).toDF("rep", "cluster")
+    # links of full sets within clusters
+    members = clusters.join(classes.select("rep", "digest"), "rep")
+    hashes = signed.select(F.col("doc_id").alias("rep"), "digest", "text_hash")
+    members = members.join(hashes, ["rep", "digest"]).groupBy("rep", "cluster").agg(F.min("text_hash").alias("text_hash"))
+    texts = members.join(hashed.withColumnRenamed("doc_id", "rep"), ["rep", "text_hash"]).select("rep", "cluster", "text")
+    hubs = texts.where("rep = cluster").groupBy("cluster").agg(F.first("text").alias("hub_text"))
+    met = looked_up(texts.where("rep != cluster"), hubs, "cluster", "rep", "inner")
+    judged = written(met.mapInArrow(lambda it: _to_hub(it, n, percent), "cluster long, rep long, rest boolean"), "judged")
+    cells = _rest_cells(judged.distinct(), "cluster", CLUSTER_BLOCK)
+    wanted = texts.join(cells.select("rep").distinct(), "rep", "left_semi").select("rep", "text").dropDuplicates(["rep"])
+    cells = cells.join(wanted, "rep").select("cluster", "i", "j", "rep", "rest", "text")
+    more = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda it: _exact(it, n, percent), "a long, b long")
+    linked = components(judged.where("not rest").select("rep", "cluster").union(more).toDF("a", "b"))
     named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return signed.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left").select(
+    return looked_up(signed.select("doc_id", "text_hash", "n_shingles", "digest"), named, "digest", "doc_id").select(
         "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "text_hash"
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, with all its columns; of rows with equal doc_id and text, one. Rows without doc_id stay."""
+    """Pipeline stage: one document of each group stays, with all its columns; groups are of texts alike by STAGE (words of a shingle, percent).
+
+    Of rows with equal doc_id and text, one stays. Rows without doc_id, and null or
+    wordless texts, stay.
+    """
     h, r = free(docs.columns, "_hash", "_row")
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id", F.col("text_hash").alias(h)).distinct()
+    kept = near_duplicates(docs, *STAGE).where("kept and doc_id is not null").select("doc_id", F.col("text_hash").alias(h)).distinct()
     named = docs.withColumn(h, F.xxhash64("text")).join(kept, ["doc_id", h], "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.lit(0)))
     return named.withColumn(r, first).where(F.col(r) == 1).select(docs.columns).unionByName(docs.where("doc_id is null"))
