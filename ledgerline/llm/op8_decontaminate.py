@@ -3,33 +3,33 @@
 The patterns are all windows of 13 consecutive words of an item (an item of fewer words,
 but not none, is one window), grouped by length. For each length a table of shifts,
 indexed by a hash of a block of two words, tells how far the search may move on; where it
-is zero, the bucket of windows with that last block is compared: first the hash of the
-window's first block, then its words, byte by byte.
-
-The patterns are broadcast in blocks of at most ``PATTERN_BYTES`` of item text; a larger
-benchmark takes further passes over the documents, each written to the shared folder.
-The search itself needs no shuffle, and a document of any length is one row.
+is zero, the bucket of windows with that last block is looked up, and those of them with
+the same hash of the whole window are compared word by word, byte by byte.
+
+All patterns are arrays over the bytes of the items. They are broadcast in blocks of at
+most ``PATTERN_BYTES`` of item text, for which the driver and each worker hold about ten
+times as much. A larger benchmark takes further passes over the documents; each writes
+only what it hit, by digest of the text. The search itself needs no shuffle, and a
+document of any length is one row.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .scratch import free, written
-from .words import PUNCTUATION, U, Words, flat, mix, slices
+from .words import LOWER, PUNCTUATION, U, Words, flat, mix, slices
 
 NAME = "op8_decontaminate"
 WINDOW = 13
-PATTERN_BYTES = 16 << 20
-TABLE_BITS = 18
+PATTERN_BYTES = 8 << 20
+TABLE_BITS = 18, 26
 _K = U(0x9FB21C651E98DF25)
 
 
@@ -41,43 +41,52 @@ def _blocks(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _whole(h: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` words from each place."""
+    out = np.zeros(len(at), U)
+    for k in range(length):
+        out = out * _K + h[at + k]
+    return mix(out)
+
+
+class _Windows:
+    """All windows of one length, sorted by the hash of their last block."""
+
+    def __init__(self, words: Words, items: np.ndarray, length: int):
+        self.length, self.size = length, min(2, length)
+        n = words.count[items] - length + 1
+        at = np.repeat(words.first[items], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        h, last = _blocks(words.hash, self.size), length - self.size
+        self.bits = int(np.clip(int(8 * len(at)).bit_length(), *TABLE_BITS))
+        self.shift = np.full(1 << self.bits, last + 1, np.uint8)
+        for k in range(last + 1):
+            np.minimum.at(self.shift, h[at + self.size - 1 + k] >> U(64 - self.bits), np.uint8(last - k))
+        end = h[at + length - 1]
+        order = np.argsort(end, kind="stable")
+        self.end, self.at, self.owner = end[order], at[order].astype(np.int32), np.repeat(items, n)[order].astype(np.int32)
+        self.whole = _whole(words.hash, self.at, length)
+
+
 class Patterns:
-    """Windows of the items, with shift table and buckets for each length."""
+    """Windows of the items (name, text), with shift table and buckets for each length. An item without name marks words only."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.by_length: dict[int, tuple[np.ndarray, dict[int, list]]] = {}
-        owners: dict[int, dict[bytes, tuple[int, int, set]]] = defaultdict(dict)
-        blocks: dict[int, list[np.ndarray]] = defaultdict(list)
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         words = Words(*flat(pa.array([x or "" for _, x in items], pa.large_string())), PUNCTUATION)
-        for d, (item, _) in enumerate(items):
-            a, b = int(words.first[d]), int(words.first[d + 1])
-            if (length := min(window, b - a)) < 1:
-                continue
-            size = min(2, length)
-            h = _blocks(words.hash[a:b], size)
-            for i in range(b - a - length + 1):
-                found = owners[length].setdefault(words.text(a + i, a + i + length), (int(h[i + length - 1]), int(h[i + size - 1]), set()))
-                if not found[2]:
-                    blocks[length].append(h[i + size - 1 : i + length])
-                found[2].add(item)
-        for length, found in owners.items():
-            size = min(2, length)
-            shift = np.full(1 << TABLE_BITS, length - size + 1, np.uint8)
-            ends = np.stack(blocks[length])
-            for k in range(ends.shape[1]):
-                np.minimum.at(shift, ends[:, k] >> U(64 - TABLE_BITS), np.uint8(ends.shape[1] - 1 - k))
-            buckets = defaultdict(list)
-            for text, (last, first, of) in found.items():
-                buckets[last].append((first, text, tuple(sorted(of))))
-            self.by_length[length] = (shift, dict(buckets))
-
-    def search(self, words: Words) -> dict[int, tuple[set[int], set[str]]]:
-        """By document with occurrences: the words that they hold (from 0), the items."""
-        out: dict[int, tuple[set[int], set[str]]] = {}
-        for length, (table, buckets) in self.by_length.items():
-            size = min(2, length)
-            ends = _blocks(words.hash, size)
-            shift = table[ends >> U(64 - TABLE_BITS)].tobytes()
+        self.names, self.data = [n for n, _ in items], LOWER[words.data].tobytes()
+        self.start, self.stop = words.start.astype(np.int32), words.end.astype(np.int32)
+        lengths = np.minimum(window, words.count)
+        self.windows = [_Windows(words, np.flatnonzero(lengths == n), int(n)) for n in np.unique(lengths[lengths > 0])]
+
+    def _text(self, at: int, length: int) -> list[bytes]:
+        return [self.data[self.start[k] : self.stop[k]] for k in range(at, at + length)]
+
+    def search(self, words: Words) -> dict[int, tuple[np.ndarray, set[str]]]:
+        """By document with occurrences: which of its words they hold, the names of the items."""
+        out: dict[int, tuple[np.ndarray, set[str]]] = {}
+        for w in self.windows:
+            length = w.length
+            ends = _blocks(words.hash, w.size)
+            shift = w.shift[ends >> U(64 - w.bits)].tobytes()
             for d in np.flatnonzero(words.count >= length):
                 start, stop = int(words.first[d]), int(words.first[d + 1])
                 e = start + length - 1
@@ -85,48 +94,33 @@ class Patterns:
                     if step := shift[e]:
                         e += step
                         continue
-                    at = e - length + 1
-                    if bucket := buckets.get(int(ends[e])):
-                        first, text = int(ends[at + size - 1]), None
-                        for head, pattern, items in bucket:
-                            if head == first:
-                                text = text or words.text(at, e + 1)
-                                if text == pattern:
-                                    hit, of = out.setdefault(int(d), (set(), set()))
-                                    hit.update(range(at - start, e + 1 - start))
-                                    of.update(items)
+                    a, b = w.end.searchsorted(ends[e]), w.end.searchsorted(ends[e], "right")
+                    if a < b:
+                        at = e - length + 1
+                        alike = a + np.flatnonzero(w.whole[a:b] == _whole(words.hash, np.array([at]), length)[0])
+                        text = words.text(at, e + 1).split(b" ") if len(alike) else None
+                        for k in alike:
+                            if self._text(int(w.at[k]), length) == text:
+                                hit, of = out.setdefault(int(d), (np.zeros(stop - start, bool), set()))
+                                hit[at - start : e + 1 - start] = True
+                                if (name := self.names[w.owner[k]]) is not None:
+                                    of.add(name)
                     e += 1
         return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], patterns, make, carried: list[str]) -> Iterator[pa.RecordBatch]:
-    """``make`` of each run of rows, its count of words, and the hit words and items by row, with those that the rows brought along."""
+def _scan(batches: Iterator[pa.RecordBatch], patterns, make) -> Iterator[pa.RecordBatch]:
+    """``make`` of each run of rows, its count of words, and the hit words and items by row."""
     for batch in batches:
         for part in slices(batch, "text"):
             words = Words(*flat(part.column("text")), PUNCTUATION)
-            found = patterns.value.search(words)
-            if carried[0] in part.schema.names:
-                for k, (hit, of) in enumerate(zip(*(part.column(c).to_pylist() for c in carried))):
-                    if hit:
-                        own = found.setdefault(k, (set(), set()))
-                        own[0].update(hit)
-                        own[1].update(of)
-            yield make(part.select([c for c in part.schema.names if c not in carried]), words.count, found)
-
-
-def _carry(carried: list[str]):
-    def make(part, counts, found):
-        hit = [sorted(found[k][0]) if k in found else None for k in range(part.num_rows)]
-        of = [sorted(found[k][1]) if k in found else None for k in range(part.num_rows)]
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(hit, pa.list_(pa.int64())), pa.array(of, pa.list_(pa.string()))], [*part.schema.names, *carried])
-
-    return make
+            yield make(part, words.count, patterns.value.search(words))
 
 
 def _contaminated(counts, found) -> np.ndarray:
     hits = np.zeros(len(counts), np.int64)
     for k, (hit, _) in found.items():
-        hits[k] = len(hit)
+        hits[k] = hit.sum()
     return (hits > 0) & (20 * hits >= counts)
 
 
@@ -137,7 +131,7 @@ def _digests(part, counts, found):
         [
             part.column("doc_id"),
             pa.array(counts, pa.int64()),
-            pa.array([len(found[k][0]) if k in found else 0 for k in rows], pa.int64()),
+            pa.array([int(found[k][0].sum()) if k in found else 0 for k in rows], pa.int64()),
             pa.array([len(found[k][1]) if k in found else 0 for k in rows], pa.int64()),
             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]),
             pa.array(_contaminated(counts, found)),
@@ -146,19 +140,47 @@ def _digests(part, counts, found):
     )
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, window: int, pattern_bytes: int, make, schema) -> DataFrame:
-    spark = docs.sparkSession
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+def _hits(part, counts, found):
+    """Only the rows with hits: digest of the text, count of words, hit words, names."""
+    own = sorted(found)
+    return pa.RecordBatch.from_arrays(
+        [
+            part.column("digest").take(pa.array(own, pa.int64())),
+            pa.array(counts[own] if own else [], pa.int64()),
+            pa.array([np.flatnonzero(found[k][0]) for k in own], pa.list_(pa.int64())),
+            pa.array([sorted(found[k][1]) for k in own], pa.list_(pa.string())),
+        ],
+        ["digest", "n_words", "hit", "names"],
+    )
+
+
+def _passes(spark: SparkSession, benchmark: DataFrame, window: int, pattern_bytes: int) -> Iterator:
+    """The benchmark's patterns, broadcast block by block."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes, schema_in = max(1, -(-total // pattern_bytes)), docs.schema
-    carried = free(docs.columns, "_hit", "_of")
+    passes = max(1, -(-total // pattern_bytes))
     for k in range(passes):
-        own = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).collect()
-        patterns = spark.sparkContext.broadcast(Patterns([(r.item, r.text) for r in own], window))
-        if k < passes - 1:
-            more = StructType([*schema_in.fields, StructField(carried[0], ArrayType(LongType())), StructField(carried[1], ArrayType(StringType()))])
-            docs = written(docs.mapInArrow(lambda it, p=patterns: _scan(it, p, _carry(carried), carried), more), "searched")
-    return docs.mapInArrow(lambda it, p=patterns: _scan(it, p, make, carried), schema)
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).collect()
+        yield passes, spark.sparkContext.broadcast(Patterns([(r.item, r.text) for r in own], window))
+
+
+def _hit_texts(docs: DataFrame, patterns: Iterator) -> DataFrame:
+    """What many passes hit, a row per text: digest, n_hit, names, contaminated."""
+    found = None
+    for _, p in patterns:
+        rows = docs.select(F.sha1("text").alias("digest"), "text").mapInArrow(lambda it, p=p: _scan(it, p, _hits), "digest string, n_words long, hit array<long>, names array<string>")
+        rows = written(rows.distinct(), "hits")
+        found = rows if found is None else found.unionByName(rows)
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    one = found.groupBy("digest", "n_words").agg(F.size(every("hit")).cast("long").alias("n_hit"), F.array_sort(every("names")).alias("names"))
+    return one.select("digest", "n_hit", "names", (20 * F.col("n_hit") >= F.col("n_words")).alias("contaminated"))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            n = pa.array(Words(*flat(part.column("text")), PUNCTUATION).count, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), n], ["doc_id", "digest", "n_words"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
@@ -166,25 +188,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 
     A word inside any occurrence of a window of ``benchmark`` (item_id, text) is hit;
     contaminated: n_hit > 0 and 20 * n_hit >= n_words. A null text has no words and is
-    not contaminated. Items without id, text or words have no windows; repeated items
-    count once. Without items nothing is hit, and items_sha256 is that of an empty
-    string. Repeated documents are judged each. Further columns are ignored.
+    not contaminated. Items without text or words have no windows; items without id mark
+    words as hit but count and are named nowhere; repeated items count once. Without items
+    nothing is hit, and items_sha256 is that of an empty string. Repeated documents are
+    judged each. Further columns are ignored.
     """
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return _searched(docs.select("doc_id", "text"), benchmark, window, pattern_bytes, _digests, schema)
+    plain, patterns = docs.select("doc_id", "text"), _passes(docs.sparkSession, benchmark, window, pattern_bytes)
+    passes, first = next(patterns)
+    if passes == 1:
+        return plain.mapInArrow(lambda it: _scan(it, first, _digests), schema)
+    found = _hit_texts(plain, _chained((passes, first), patterns))
+    counted = plain.select("doc_id", F.sha1("text").alias("digest"), "text").mapInArrow(_counts, "doc_id long, digest string, n_words long")
+    none = F.lit(0).cast("long")
+    return counted.join(found, "digest", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce(F.size("names").cast("long"), none).alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("names", ","), F.lit("")), 256).alias("items_sha256"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
+    )
+
+
+def _chained(first, rest: Iterator) -> Iterator:
+    yield first
+    yield from rest
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    """The rows of ``docs`` that aren't contaminated, with all their columns; null texts and those without words stay, repeated rows are judged each."""
 
     def make(part, counts, found):
         return part.filter(pa.array(~_contaminated(counts, found)))
 
-    return _searched(docs, benchmark, window, pattern_bytes, make, docs.schema)
+    patterns = _passes(docs.sparkSession, benchmark, window, pattern_bytes)
+    passes, first = next(patterns)
+    if passes == 1:
+        return docs.mapInArrow(lambda it: _scan(it, first, make), docs.schema)
+    (name,) = free(docs.columns, "_digest")
+    bad = _hit_texts(docs.select("text"), _chained((passes, first), patterns)).where("contaminated").select(F.col("digest").alias(name))
+    return docs.withColumn(name, F.sha1("text")).join(bad, name, "left_anti").select(docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go."""
+    """Pipeline stage: contaminated documents go; null texts and those without words stay, repeated rows are judged each."""
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -203,7 +247,7 @@ dw AS (SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS g
   FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, lens WHERE len(ws) >= m)),
 hit AS (SELECT dw.doc_id, dw.m, dw.i, win.item FROM dw JOIN win ON dw.m = win.m AND dw.g = win.g),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY 1),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+its AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(pos.n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
   sha256(coalesce(its.names, '')) AS items_sha256,
   coalesce(pos.n_hit, 0) > 0 AND 20 * coalesce(pos.n_hit, 0) >= len(d.ws) AS contaminated
