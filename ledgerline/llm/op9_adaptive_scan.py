@@ -1,7 +1,9 @@
 """Nearest vectors by inner product: probed lists, scanned with early abandonment.
 
-Equal vectors are one entry with its smallest ids. A k-means of a bounded sample gives
-lists; vectors are rotated by a random orthogonal matrix and kept in blocks of columns.
+Equal vectors are one entry with its smallest ids. Lists are about LIST_SIZE entries each,
+as long as their centroids take no more than CENTROID_BYTES: up to MEANS lists a k-means of
+a bounded sample gives them, more are the sample's own vectors. Vectors are rotated by a
+random orthogonal matrix and kept in blocks of columns.
 Inside a probed list a query first takes partial distances over the leading block of all
 entries; after each block a hypothesis test drops those whose scaled partial distance
 says that the full one exceeds the query's bound, and only the rest read further blocks.
@@ -24,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .scratch import written
+from .scratch import fraction, written
 
 NAME = "op9_adaptive_scan"
 ORACLE_SQL = None
 NEIGHBOURS = 20
-LIST_SIZE, MOST_LISTS = 256, 1024
+LIST_SIZE, MEANS, CENTROID_BYTES = 256, 1024, 64 << 20
 SAMPLE = 8192
 TRIALS, RECALL = 64, 0.97
 COLUMNS = 16
@@ -61,8 +64,15 @@ def _means(x: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     return centre.astype(np.float32)
 
 
+def _parts(rows: int, lists: int):
+    """Runs of rows whose distances to all lists take at most 64 MB."""
+    step = max(1, (16 << 20) // lists)
+    return [slice(a, a + step) for a in range(0, rows, step)]
+
+
 def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    return np.argmax(x @ centre.T - 0.5 * (centre**2).sum(axis=1), axis=1)
+    half = 0.5 * (centre**2).sum(axis=1)
+    return np.concatenate([np.argmax(x[p] @ centre.T - half, axis=1) for p in _parts(len(x), len(centre))] or [np.zeros(0, np.int64)])
 
 
 def _rotation(width: int) -> np.ndarray:
@@ -114,9 +124,11 @@ def searched(embeddings: DataFrame, is_query, k: int = NEIGHBOURS, recall: float
     Rows that repeat vec_id and vector count once. Further columns are ignored.
     """
     spark = embeddings.sparkSession
+    double = embeddings.schema["embedding"].dataType.elementType == DoubleType()
+    kind, element = (np.float64, "double") if double else (np.float32, "float")
     x = F.col("embedding")
     fine = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    valid = embeddings.where(fine & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), is_query.alias("asks"))
+    valid = embeddings.where(fine & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast(f"array<{element}>").alias("embedding"), is_query.alias("asks"))
     top = valid.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
     out = "query_id long, rank int, vec_id long, score double"
     if top is None:
@@ -129,24 +141,26 @@ def searched(embeddings: DataFrame, is_query, k: int = NEIGHBOURS, recall: float
     entries = written(ids.join(asks, "embedding").select(F.col("ids")[0].alias("uid"), "embedding", "ids", "asks"), "entries")
     count = entries.count()
 
-    def fraction(most: int, salt: str):
-        return F.pmod(F.xxhash64("uid", F.lit(salt)), F.lit(1_000_000)) < int(min(1.0, most / count) * 1_000_000)
-
     def gathered(df: DataFrame) -> np.ndarray:
         return _vectors(df.select("embedding").toArrow().column(0), width)
 
-    sample = gathered(entries.where(fraction(SAMPLE, "sample")))
+    lists = max(1, min(count // LIST_SIZE, CENTROID_BYTES // (4 * width)))
+    most = max(SAMPLE, lists if lists > MEANS else 0)
+    sample = gathered(entries.where(fraction(most / count, "sample", "uid")).limit(2 * most))
     if not len(sample):
-        sample = gathered(entries.limit(SAMPLE))
-    lists = int(max(1, min(count // LIST_SIZE, MOST_LISTS, len(sample))))
-    centre, turn = _means(sample, lists), _rotation(width)
-    sample_list = _nearest(sample, centre)
+        sample = gathered(entries.limit(most))
+    lists = min(lists, len(sample))
+    centre, turn = _means(sample, lists) if lists <= MEANS else sample[:lists], _rotation(width)
+    near_sample = sample[:SAMPLE]
+    sample_list = _nearest(near_sample, centre)
+    spread = spark.sparkContext.broadcast((centre, turn, near_sample, sample_list))
     half = 0.5 * (centre**2).sum(axis=1)
 
     def assign(batches):
+        centre, turn, *_ = spread.value
         for b in batches:
-            v = _vectors(b.column("embedding"), width)
-            own, r = _nearest(v, centre), v @ turn
+            v = _vectors(b.column("embedding"), width, kind)
+            own, r = _nearest(v.astype(np.float32), centre), v.astype(np.float32) @ turn
             yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(own.astype(np.int32)), pa.array([y.tobytes() for y in v], pa.binary()), pa.array([y.tobytes() for y in r], pa.binary()), b.column("asks")], ["uid", "list", "vector", "rotated", "asks"])
 
     index = written(entries.select("uid", "embedding", "asks").mapInArrow(assign, "uid long, list int, vector binary, rotated binary, asks boolean"), "index")
@@ -157,15 +171,15 @@ def searched(embeddings: DataFrame, is_query, k: int = NEIGHBOURS, recall: float
     # how deep the lists of true neighbours lie
     trials = index.where("asks")
     asking = max(1, trials.count())
-    trials = trials.where(F.pmod(F.xxhash64("uid", F.lit("trial")), F.lit(1_000_000)) < int(min(1.0, TRIALS / asking) * 1_000_000)).select("uid", "vector").limit(4 * TRIALS).collect()
+    trials = trials.where(fraction(min(1.0, TRIALS / asking), "trial", "uid")).limit(4 * TRIALS).collect() or trials.limit(TRIALS).collect()
     probes = lists
     if trials and lists > 1:
-        q = np.stack([np.frombuffer(r.vector, np.float32) for r in trials])
+        q = np.stack([np.frombuffer(r.vector, kind) for r in trials])
 
         def brute(batches):
             best = None
             for b in batches:
-                score = _vectors(b.column("vector"), width).astype(np.float64) @ q.T.astype(np.float64)
+                score = _vectors(b.column("vector"), width, kind).astype(np.float64) @ q.T.astype(np.float64)
                 own = np.repeat(b.column("list").to_numpy()[:, None], len(q), axis=1)
                 if best is not None:
                     score, own = np.concatenate([best[0], score]), np.concatenate([best[1], own])
@@ -177,11 +191,17 @@ def searched(embeddings: DataFrame, is_query, k: int = NEIGHBOURS, recall: float
 
         near = index.select("vector", "list").mapInArrow(brute, "q int, score double, list int")
         near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("r") <= keep).select("q", "list").collect()
-        depth = np.argsort(np.argsort(-(q @ centre.T - half), axis=1, kind="stable"), axis=1)
+        depth = np.argsort(np.argsort(-(q.astype(np.float32) @ centre.T - half), axis=1, kind="stable"), axis=1)
         probes = int(np.quantile([depth[r.q, r["list"]] for r in near], recall)) + 1
+    held_sizes = spark.sparkContext.broadcast(sizes)
 
     def chosen(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lists that each query probes, query by query, how many, and which of them are the nearest that hold enough entries."""
+        parts = [few(v[p].astype(np.float32)) for p in _parts(len(v), lists)]
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else few(np.zeros((0, width), np.float32))
+
+    def few(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        centre, sizes = spread.value[0], held_sizes.value
         order = np.argsort(-(v @ centre.T - half), axis=1, kind="stable")
         held = np.cumsum(sizes[order], axis=1)
         enough = np.maximum(probes, (held < 4 * keep).sum(axis=1) + 1)
@@ -193,22 +213,24 @@ def searched(embeddings: DataFrame, is_query, k: int = NEIGHBOURS, recall: float
     def counted(batches):
         total = np.zeros(lists, np.int64)
         for b in batches:
-            total += np.bincount(chosen(_vectors(b.column("vector"), width))[0], minlength=lists)
+            total += np.bincount(chosen(_vectors(b.column("vector"), width, kind))[0], minlength=lists)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(lists), pa.int32()), pa.array(total)], ["list", "n"])
 
     def probe(batches):
+        *_, sample, sample_list = spread.value
         for b in batches:
-            v = _vectors(b.column("vector"), width)
+            v = _vectors(b.column("vector"), width, kind)
             own, n, sure = chosen(v)
-            at = np.repeat(np.arange(len(v)), n)
+            at, ends = np.repeat(np.arange(len(v)), n), np.concatenate([[0], np.cumsum(n)])
             bound = np.full(len(v), -np.inf)
             if len(sample) >= keep:
-                probed = np.zeros((len(v), lists), bool)
-                probed[at, own] = True
-                for i in range(0, len(v), 512):
-                    score = v[i : i + 512].astype(np.float64) @ sample.T.astype(np.float64)
-                    score[~probed[i : i + 512, sample_list]] = -np.inf
-                    bound[i : i + 512] = np.partition(score, len(sample) - keep, axis=1)[:, len(sample) - keep] - 1e-6
+                for i in range(0, len(v), 256):
+                    j = min(len(v), i + 256)
+                    probed = np.zeros((j - i, lists), bool)
+                    probed[at[ends[i] : ends[j]] - i, own[ends[i] : ends[j]]] = True
+                    score = v[i:j].astype(np.float64) @ sample.T.astype(np.float64)
+                    score[~probed[:, sample_list]] = -np.inf
+                    bound[i:j] = np.partition(score, len(sample) - keep, axis=1)[:, len(sample) - keep] - 1e-6 * np.maximum(1, np.abs(v[i:j]).max(axis=1))
             row = pa.array(at)
             yield pa.RecordBatch.from_arrays([b.column("uid").take(row), pa.array(own, pa.int32()), b.column("vector").take(row), pa.array(bound).take(row), pa.array(sure)], ["uid", "list", "vector", "bound", "sure"])
 
@@ -218,17 +240,16 @@ def searched(embeddings: DataFrame, is_query, k: int = NEIGHBOURS, recall: float
     for r in asking_rows.select("vector").mapInArrow(counted, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect():
         queries_of[r["list"]] = r.n
 
-    def blocks(n: np.ndarray, size: int):
-        return F.element_at(F.lit([max(1, -(-int(x) // size)) for x in n]), F.col("list") + 1)
-
-    entry_blocks, query_blocks = blocks(sizes, ENTRY_BLOCK), blocks(queries_of, QUERY_BLOCK)
-    own_block = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
-    spread_q = asked.withColumn("qb", own_block(query_blocks)).withColumn("eb", F.explode(F.sequence(F.lit(0), entry_blocks - 1)))
-    spread_e = index.select("uid", "list", "vector", "rotated").withColumn("eb", own_block(entry_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), query_blocks - 1)))
+    blocks = lambda n, size: np.maximum(1, -(-n // size)).tolist()
+    cut = F.broadcast(spark.createDataFrame(list(zip(range(lists), blocks(sizes, ENTRY_BLOCK), blocks(queries_of, QUERY_BLOCK))), "list int, ebs int, qbs int"))
+    own_block = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
+    other_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spread_q = asked.join(cut, "list").withColumn("qb", own_block("qbs")).withColumn("eb", other_blocks("ebs")).drop("ebs", "qbs")
+    spread_e = index.select("uid", "list", "vector", "rotated").join(cut, "list").withColumn("eb", own_block("ebs")).withColumn("qb", other_blocks("qbs")).drop("ebs", "qbs")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, v, r = _vectors(left.column("vector"), width), _vectors(right.column("vector"), width), _vectors(right.column("rotated"), width)
-        found = scan(q, v, q @ turn, r, left.column("bound").to_numpy(), keep, left.column("sure").to_numpy()) if len(v) else []
+        q, v, r = _vectors(left.column("vector"), width, kind), _vectors(right.column("vector"), width, kind), _vectors(right.column("rotated"), width)
+        found = scan(q, v, q.astype(np.float32) @ spread.value[1], r, left.column("bound").to_numpy(), keep, left.column("sure").to_numpy()) if len(v) else []
         ids, uids = left.column("uid").to_numpy(), right.column("uid").to_numpy()
         return pa.table(
             {

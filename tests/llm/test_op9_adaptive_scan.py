@@ -107,3 +107,19 @@ def test_scan_gives_enough_entries_where_it_must():
     turn = op._rotation(32)
     hits = op.scan(q, x, q @ turn, x @ turn, np.full(4, 1e6), 10, np.array([True, False, True, False]))
     assert [len(at) for at, _ in hits] == [10, 0, 10, 0]
+
+
+def test_lists_of_the_sample_itself(spark, monkeypatch):
+    monkeypatch.setattr(op, "MEANS", 4)
+    monkeypatch.setattr(op, "SAMPLE", 64)
+    monkeypatch.setattr(op, "LIST_SIZE", 40)
+    x = clustered(4000, 5)
+    got, want = found(op.searched(table(spark, range(4000), x), asks())), brute(range(4000), x)
+    assert set(got) == set(want) and recall(got, want) >= 0.9
+
+
+def test_vectors_of_doubles_are_scored_as_they_are(spark):
+    x = [[1.0 + k * 1e-12, 0.5] for k in range(40)]  # distinct as doubles, equal as floats
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, want = found(op.searched(df, asks(), 5)), brute(range(40), x, 5)
+    assert got == {q: [(v, s) for v, s in near] for q, near in want.items()}
