@@ -10,10 +10,12 @@ stay where they are, and each block of documents sends the distinct words and pa
 holds to be probed there; the filter, the probes and so the scores are the same.
 
 A token's probability interpolates the pair's share of its first word with the add-one
-share of the word, both from the filter. The base score needs exact counts instead: each
+share of the word, both from the filter; after a word that isn't known, the word alone. The base score needs exact counts instead: each
 block of documents asks for the counts of its distinct words, part by part, and the
 answers come back to the block. What is dealt are arrays of hashes, one row per block (or
-task) and part, so a word with a third of all tokens costs one entry a row.
+task) and part, so a word with a third of all tokens costs one entry a row. Where there
+are more than 2 ** FIRST_BITS parts, counts are dealt twice, by the first bits of the part
+and then by all, so that rows hold many entries however large the corpus is.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ ORACLE_SQL = None
 BITS_PER_LEVEL, PROBES = 8, 4
 FILTER_BYTES = 128 << 20
 PAIR_WEIGHT = 0.25
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES, PART_BLOCKS = 12 << 20, 4
+FIRST_BITS, BUFFER = 10, 4 << 20
 END = U(0x5851F42D4C957F2D)
 _K = U(0xC2B2AE3D27D4EB4F)
 _STEP = U(0x2545F4914F6CDD1D)
@@ -71,20 +74,25 @@ def _cuts(h: np.ndarray, bits: int) -> np.ndarray:
 _COUNTED = pa.schema([("p", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()), ("once", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())])
 
 
-def _counted(batches: Iterator[pa.RecordBatch], bits: int, buffer: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Sums of what a task has read, a row per hash part each time its buffer is full. A pair's key is the low half of its hash."""
+def _rows(w: np.ndarray, wn: np.ndarray, p: np.ndarray, pn: np.ndarray, bits: int, key) -> pa.RecordBatch:
+    """Sorted words and pairs with their counts, a row for each hash part that has some; a pair is kept as ``key``, all of its hash or the low half."""
+    wc, pc, low = _cuts(w, bits), _cuts(p, bits), p.astype(key)
+    rows = []
+    for k in np.flatnonzero(np.diff(wc) + np.diff(pc)):
+        a, b = pc[k], pc[k + 1]
+        many = pn[a:b] > 1
+        rows.append((k, w[wc[k] : wc[k + 1]].tobytes(), wn[wc[k] : wc[k + 1]].tobytes(), low[a:b][~many].tobytes(), low[a:b][many].tobytes(), pn[a:b][many].tobytes()))
+    columns = list(zip(*rows)) or [()] * len(_COUNTED)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _COUNTED.types)], schema=_COUNTED)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], bits: int, key, buffer: int = BUFFER) -> Iterator[pa.RecordBatch]:
+    """Sums of what a task has read, a row per hash part with some each time its buffer is full."""
 
     def summed(tokens, pairs):
         w, wn = np.unique(np.concatenate(tokens), return_counts=True)
         p, pn = np.unique(np.concatenate(pairs), return_counts=True)
-        wn, pn, low = wn.astype(np.int64), pn.astype(np.int64), p.astype(np.uint32)
-        wc, pc = _cuts(w, bits), _cuts(p, bits)
-        rows = []
-        for k in range(1 << bits):
-            a, b = pc[k], pc[k + 1]
-            many = pn[a:b] > 1
-            rows.append((k, w[wc[k] : wc[k + 1]].tobytes(), wn[wc[k] : wc[k + 1]].tobytes(), low[a:b][~many].tobytes(), low[a:b][many].tobytes(), pn[a:b][many].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _COUNTED.types)], schema=_COUNTED)
+        return _rows(w, wn.astype(np.int64), p, pn.astype(np.int64), bits, key)
 
     tokens, pairs, held = [], [], 0
     for batch in batches:
@@ -100,6 +108,30 @@ def _counted(batches: Iterator[pa.RecordBatch], bits: int, buffer: int = 4 << 20
         yield summed(tokens, pairs)
 
 
+def _refined(batches: Iterator[pa.RecordBatch], bits: int, buffer: int = BUFFER) -> Iterator[pa.RecordBatch]:
+    """Rows of first parts, sorted by them, summed up to the buffer's size and cut into full parts."""
+    held: list[tuple] = []
+    size, now = 0, None
+
+    def summed():
+        join = lambda k, kind: np.frombuffer(b"".join(r[k] for r in held), kind)
+        w, wn = _sum(join(0, U), join(1, np.int64))
+        once = join(2, U)
+        p, pn = _sum(np.concatenate([once, join(3, U)]), np.concatenate([np.ones(len(once), np.int64), join(4, np.int64)]))
+        return _rows(w, wn, p, pn, bits, np.uint32)
+
+    for b in batches:
+        for p, *row in zip(*(b.column(c).to_pylist() for c in _COUNTED.names)):
+            if held and (p != now or size >= buffer):
+                yield summed()
+                held, size = [], 0
+            now = p
+            held.append(tuple(row))
+            size += (len(row[0]) + len(row[2]) + len(row[3])) // 8
+    if held:
+        yield summed()
+
+
 def _read(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(flat(table.column(name).cast(pa.large_binary()))[0].tobytes(), kind)
 
@@ -238,6 +270,7 @@ def _scored(docs: pa.Table, answers: pa.Table, model, total: int, distinct: int,
         first = read[np.minimum(np.searchsorted(keys, before), len(keys) - 1)]  # every word before is in the block, or an end
         both = MIDDLE[model.value.levels(pair, 1) if model else pair_levels[np.searchsorted(pair_keys, pair)]][where]
         share = np.minimum(1, both / np.maximum(first, 1))
+        mixed = np.where(first > 0, weight, 0.0)  # after an unseen word the word alone counts
         rows, add = part.num_rows, lambda x: np.bincount(doc, weights=x, minlength=part.num_rows)  # noqa: B023
         out.append(
             pa.table(
@@ -248,7 +281,7 @@ def _scored(docs: pa.Table, answers: pa.Table, model, total: int, distinct: int,
                     pa.array(np.bincount(doc[exact > 0], minlength=rows), pa.int64()),
                     pa.array(np.full(rows, total), pa.int64()),
                     pa.array(add(np.log10((exact + 1) / denominator))),
-                    pa.array(add(np.log10(weight * share + (1 - weight) * (own + 1) / denominator))),
+                    pa.array(add(np.log10(mixed * share + (1 - mixed) * (own + 1) / denominator))),
                 ],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
@@ -266,9 +299,14 @@ def scores(docs: DataFrame, held_out, weight: float = PAIR_WEIGHT, filter_bytes:
     spark = docs.sparkSession
     plain = docs.select("doc_id", "text", held_out.alias("held_out"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    bits = max(4, int(blocks - 1).bit_length())  # as many hash parts as blocks, 16 at least
-    counted = plain.where("not held_out").select("text").mapInArrow(lambda it: _counted(it, bits), "p int, words binary, word_counts binary, once binary, pairs binary, pair_counts binary")
+    blocks = max(1, -(-size // max(1, min(block_bytes, max(1 << 20, size // 64)))))
+    bits = max(4, int(max(1, size // (PART_BLOCKS * block_bytes)) - 1).bit_length())  # a hash part for some blocks' worth of text, 16 at least
+    first, counted_schema = min(bits, FIRST_BITS), "p int, words binary, word_counts binary, once binary, pairs binary, pair_counts binary"
+    key = np.uint32 if first == bits else U
+    counted = plain.where("not held_out").select("text").mapInArrow(lambda it: _counted(it, first, key), counted_schema)
+    if first < bits:
+        many = F.pmod(F.xxhash64("words", "once"), F.lit(1 << (bits - first)))
+        counted = counted.repartition("p", many).sortWithinPartitions("p").mapInArrow(lambda it: _refined(it, bits), counted_schema)
     merged = written(
         counted.groupBy("p").applyInArrow(lambda t: _merged(t), "p int, words binary, word_counts binary, distinct long, total long, filter binary"), "counts"
     )

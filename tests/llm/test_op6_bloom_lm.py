@@ -59,6 +59,26 @@ def test_filter_that_stays_where_it_is(documents):
     assert near == far
 
 
+def test_counts_dealt_twice_give_the_same_filter(documents, monkeypatch):
+    """More parts than the first dealing has: the same counts and scores."""
+    once = {r.doc_id: r for r in op.scores(documents, held(), block_bytes=1 << 12).collect()}
+    monkeypatch.setattr(op, "FIRST_BITS", 2)
+    twice = {r.doc_id: r for r in op.scores(documents, held(), block_bytes=1 << 12).collect()}
+    assert once == twice
+
+
+def test_after_an_unseen_word_the_word_alone_counts(docs):
+    train = [(1, "a b")] * 3
+    table = docs([*train, (6, "zz a")])
+    (r,) = op.scores(table, F.col("doc_id") == 6).where("held_out").collect()
+    n, v = 9, 3
+    alone = lambda c: (c + 1) / (n + v + 1)
+    count = lambda c: op.MIDDLE[int(math.log2(c)) + 1] if c else 0
+    w = op.PAIR_WEIGHT
+    wanted = math.log10((1 - w) * alone(0)) + math.log10(alone(count(3))) + math.log10((1 - w) * alone(count(3)))
+    assert abs(r.score - wanted) < 1e-9
+
+
 def test_repeated_rows_count_and_are_scored_each(docs):
     found = op.scores(docs([(1, "a b"), (1, "a b"), (None, "a")]), F.lit(False)).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, r.train_tokens) for r in found) == [(0, 2, 8), (1, 3, 8), (1, 3, 8)]
