@@ -4,8 +4,9 @@ Arrivals are appended as the small Parquet files their tasks write. Compaction t
 shards of one size tier, where at least ``FANOUT`` have gathered, and rewrites them as
 files of about the target size: tasks read several shards and write one file, without a
 shuffle. Each change is a new manifest, the full list of live shards, written aside and
-committed by an atomic rename to the next version; a reader uses one version throughout,
-and of two writers of the same version one fails and starts anew. Files that no manifest
+committed by an atomic rename to the next version (HDFS and local folders have one; an
+object store without needs a file system layer that does); a reader uses one version
+throughout, and of two writers of the same version one fails and starts anew. Files that no manifest
 names, such as those of failed tasks, are never read and go with ``vacuum``.
 
 All data move through DataFrame readers and writers; the driver only renames and lists.
@@ -13,6 +14,7 @@ All data move through DataFrame readers and writers; the driver only renames and
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.sources.workspace import folder
 
-from .scratch import free
+from .scratch import free, written
 
 NAME = "op4_compaction"
 TARGET_BYTES = 64 << 20
@@ -98,8 +100,9 @@ class ShardStore:
         place = f"{self.uri}/data/{uuid.uuid4().hex}"
         (name,) = free(df.columns, "_arrival")
         df.withColumn(name, arrival).write.partitionBy(name).parquet(place)
-        for key in sorted(r[0] for r in df.select(arrival).distinct().collect()):
-            self._commit(self.shards().unionByName(self._listed(f"{place}/{name}={key}", df.schema)))
+        listed = written(self._listed(place, df.schema).withColumn("arrival", F.regexp_extract("path", f"/{name}=([^/]*)/", 1).cast("long")), "arrivals")
+        for key in sorted(r[0] for r in listed.select("arrival").distinct().collect()):
+            self._commit(self.shards().unionByName(listed.where(F.col("arrival") == key).drop("arrival")))
         return self.version
 
     def compact(self, schema) -> int:
@@ -128,14 +131,16 @@ class ShardStore:
         paths = [r.path for r in self.shards(version).select("path").toLocalIterator()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes files that none of the last ``keep`` manifests names; returns how many."""
+    def vacuum(self, keep: int = 1, age: float = 86_400.0) -> int:
+        """Deletes files that none of the last ``keep`` manifests names and that are older than ``age`` seconds, as one may belong to an append that is yet to commit; returns how many."""
+        oldest = (time.time() - age) * 1000
         fs = self._path("data").getFileSystem(self._conf)
         live = {r.path.rsplit("/data/", 1)[1] for v in range(max(1, self.version - keep + 1), self.version + 1) for r in self.shards(v).select("path").toLocalIterator()}
         found, gone = fs.listFiles(self._path("data"), True), 0
         while found.hasNext():
-            path = found.next().getPath()
-            if path.getName().endswith(".parquet") and path.toString().rsplit("/data/", 1)[1] not in live:
+            status = found.next()
+            path = status.getPath()
+            if path.getName().endswith(".parquet") and status.getModificationTime() <= oldest and path.toString().rsplit("/data/", 1)[1] not in live:
                 gone += bool(fs.delete(path, False))
         return gone
 

@@ -67,6 +67,7 @@ def test_vacuum_deletes_only_what_no_kept_version_names(docs, store):
     for k in range(4):
         s.append(table.where(F.col("doc_id") % 4 == k).coalesce(1))
     s.compact(table.schema)
-    assert s.vacuum(keep=2) == 0
-    assert s.vacuum() == 4
+    assert s.vacuum(keep=2, age=0) == 0
+    assert s.vacuum() == 0  # files younger than a day may be an append that is yet to commit
+    assert s.vacuum(age=0) == 4
     assert rows(s.read(table.schema)) == rows(table)
