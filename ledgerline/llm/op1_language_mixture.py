@@ -26,7 +26,8 @@ ORACLE_SQL = None
 BUCKET_BITS = 16
 SMOOTHING = 0.5
 PENALTY = 3.0
-LEAST = 0.02
+#: Least share of a language that may join the set, and EM's rounds over all languages and over a set; 0 and many are exact.
+LEAST, ROUNDS = 0.02, (10, 8)
 NONE = "und"
 
 _letter: list[np.ndarray] = []
@@ -87,7 +88,7 @@ class Model:
         self.names = sorted(counts["lang"].unique())
         table = np.zeros((1 << BUCKET_BITS, len(self.names)))
         table[counts["bucket"], counts["lang"].map({x: k for k, x in enumerate(self.names)}).astype(int)] = counts["n"]
-        self.p = ((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * len(table))).astype(np.float32)
+        self.p = (table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * len(table))
 
 
 def _fit(p: np.ndarray, n: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
@@ -103,38 +104,40 @@ def _fit(p: np.ndarray, n: np.ndarray, share: np.ndarray, rounds: int) -> tuple[
     return share, now
 
 
-def mixture(p: np.ndarray, n: np.ndarray, penalty: float = PENALTY) -> dict[int, float]:
-    """Proportions by language of one document; ``p``: likelihoods of its distinct trigrams, ``n``: their counts."""
+def mixture(p: np.ndarray, n: np.ndarray, penalty: float = PENALTY, least: float = LEAST, rounds: tuple[int, int] = ROUNDS) -> tuple[dict[int, float], float]:
+    """Proportions by language of one document, and their log-likelihood; ``p``: likelihoods of its distinct trigrams, ``n``: their counts."""
     single = n @ np.log(p)
     rank = np.argsort(-single, kind="stable")
-    best, found = float(single[rank[0]]), {int(rank[0]): 1.0}
+    like, found = float(single[rank[0]]), {int(rank[0]): 1.0}
     if p.shape[1] == 1:
-        return found
-    start = np.exp(np.maximum((single - best) / n.sum(), -6)).astype(np.float32)
-    share, _ = _fit(p, n, start / start.sum(), 10)
+        return found, like
+    best, start = like, np.exp(np.maximum((single - like) / n.sum(), -6))
+    share, _ = _fit(p, n, start / start.sum(), rounds[0])
     order = np.argsort(-share, kind="stable")
     cost = penalty * math.log(n.sum() + 1)
-    for k in range(2, int((share >= LEAST).sum()) + 1):
+    for k in range(2, int((share >= least).sum()) + 1):
         own = order[:k]
-        part, like = _fit(p[:, own], n, share[own] / share[own].sum(), 8)
-        if like - cost * (k - 1) <= best:
+        part, now = _fit(p[:, own], n, share[own] / share[own].sum(), rounds[1])
+        if now - cost * (k - 1) <= best:
             break
-        best, found = like - cost * (k - 1), dict(zip(own.tolist(), part.tolist()))
-    return found
+        like, best, found = now, now - cost * (k - 1), dict(zip(own.tolist(), part.tolist()))
+    return found, like
 
 
-def _predict(column: pa.Array, model: Model, penalty: float) -> list[dict[str, float]]:
+def _predict(column: pa.Array, model: Model, penalty: float) -> list[tuple[dict[str, float], float]]:
+    """Of each text the proportions by language, most first, and by how much a trigram is likelier than one drawn from all buckets alike (log)."""
     bucket, doc, some = _trigrams(column.to_pylist())
     key, n = np.unique((doc.astype(np.uint32) << np.uint32(BUCKET_BITS)) | bucket, return_counts=True)
     cuts = np.searchsorted(key >> np.uint32(BUCKET_BITS), np.arange(len(column) + 1))
-    n, out = n.astype(np.float32), []
+    n, out = n.astype(np.float64), []
     for k in range(len(column)):
         a, b = cuts[k], cuts[k + 1]
         if not some[k] or a == b or not model.names:
-            out.append({})
+            out.append(({}, 0.0))
             continue
-        found = mixture(model.p[key[a:b] & ((1 << BUCKET_BITS) - 1)], n[a:b], penalty)
-        out.append({model.names[i]: x for i, x in sorted(found.items(), key=lambda x: (-x[1], x[0]))})
+        found, like = mixture(model.p[key[a:b] & ((1 << BUCKET_BITS) - 1)], n[a:b], penalty)
+        gain = like / n[a:b].sum() + BUCKET_BITS * math.log(2)
+        out.append(({model.names[i]: x for i, x in sorted(found.items(), key=lambda x: (-x[1], x[0]))}, gain))
     return out
 
 
@@ -158,7 +161,7 @@ def languages(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFr
     def judge(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                found = _predict(part.column("text"), spread.value, penalty)
+                found = [x for x, _ in _predict(part.column("text"), spread.value, penalty)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -173,13 +176,18 @@ def languages(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFr
 
 
 def accepted(docs: DataFrame, model: Model, wanted: list[str] | None = None, penalty: float = PENALTY) -> DataFrame:
-    """The rows of ``docs`` with a learnt (and wanted) language, with all their columns."""
+    """The rows of ``docs`` with a learnt (and wanted) language, with all their columns.
+
+    Texts that are null or have no letter go, and so do those whose trigrams are no
+    likelier under their own mixture than if drawn from all buckets alike: no learnt
+    language accounts for them. Repeated rows are judged each.
+    """
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [next(iter(x), NONE) for x in _predict(part.column("text"), spread.value, penalty)]
+                found = [next(iter(x), NONE) if gain > 0 else NONE for x, gain in _predict(part.column("text"), spread.value, penalty)]
                 yield part.filter(pa.array([x != NONE and (wanted is None or x in wanted) for x in found], pa.bool_()))
 
     return docs.mapInArrow(judge, docs.schema)
@@ -190,7 +198,7 @@ def _held_out():
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a recognised language go."""
+    """Pipeline stage: documents without a recognised language go, null and letterless texts among them; repeated rows are judged each."""
     return accepted(docs, learn(docs, ~_held_out()))
 
 

@@ -71,3 +71,27 @@ def test_stage_keeps_rows_as_they_are(spark, documents):
     assert kept.columns == documents.columns
     wanted = sorted(r.doc_id for r in documents.collect() if has_letter(r.text))
     assert sorted(r.doc_id for r in kept.collect()) == wanted
+
+
+def test_text_of_no_learnt_language_goes(documents, docs):
+    model = op.learn(documents, F.lit(True))
+    known = documents.where("lang is not null and length(text) > 200").first().text
+    table = docs([(1, known), (2, "\u0e01\u0e02\u0e03\u0e04 \u0e05\u0e06\u0e07\u0e08 " * 30), (3, None), (4, "77"), (1, known)])
+    assert sorted(r.doc_id for r in op.accepted(table, model).collect()) == [1, 1]
+
+
+def test_against_em_over_every_set_of_languages():
+    """The penalised likelihood of the set that is found is that of the best of all sets, by long EM in double precision."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    for case in range(12):
+        p, n = rng.dirichlet(np.full(300, 0.05), 4).T + 1e-6, np.zeros(300)
+        share = np.zeros(4)
+        share[rng.choice(4, case % 3 + 1, replace=False)] = 1 / (case % 3 + 1)
+        np.add.at(n, rng.choice(300, 400, p=(p @ share) / (p @ share).sum()), 1)
+        p, n = p[n > 0], n[n > 0]
+        cost = op.PENALTY * np.log(n.sum() + 1)
+        best = max(op._fit(p[:, own], n, np.full(len(own), 1 / len(own)), 3000)[1] - cost * (len(own) - 1) for k in range(1, 5) for own in map(list, combinations(range(4), k)))
+        found, like = op.mixture(p, n, rounds=(500, 500), least=0.0)
+        assert like - cost * (len(found) - 1) > best - 0.1
