@@ -40,7 +40,7 @@ from .words import SPACES, U, Words, flat, mix, slices
 
 NAME = "op10_minhash"
 BITS, LOSS, MOST_MINIMA = 4, 4e-7, 512
-BAND_BLOCK, CLUSTER_BLOCK = 1024, 256
+BAND_BLOCK, CLUSTER_BLOCK = 512, 256
 #: Words of a shingle and percent of the pipeline's stage.
 STAGE = 5, 80
 
@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
     members = clusters.join(classes.select("rep", "digest"), "rep")
     hashes = signed.select(F.col("doc_id").alias("rep"), "digest", "text_hash")
     members = members.join(hashes, ["rep", "digest"]).groupBy("rep", "cluster").agg(F.min("text_hash").alias("text_hash"))
-    texts = members.join(hashed.withColumnRenamed("doc_id", "rep"), ["rep", "text_hash"]).select("rep", "cluster", "text")
+    texts = written(members.join(hashed.withColumnRenamed("doc_id", "rep"), ["rep", "text_hash"]).select("rep", "cluster", "text"), "texts")
     hubs = texts.where("rep = cluster").groupBy("cluster").agg(F.first("text").alias("hub_text"))
     met = looked_up(texts.where("rep != cluster"), hubs, "cluster", "rep", "inner")
     judged = written(met.mapInArrow(lambda it: _to_hub(it, n, percent), "cluster long, rep long, rest boolean"), "judged")
