@@ -172,11 +172,15 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH,
     further columns ignored; an empty table gives no rows. ``vocabulary``: path of a
     ranks file with ids below 65,536; read by the driver and broadcast (its size is fixed).
     """
-    with open(vocabulary, "rb") as f:
-        spread = docs.sparkSession.sparkContext.broadcast(f.read())
+    spread = _spread(docs, vocabulary)
     return docs.select("doc_id", "text").mapInArrow(lambda it: _packed(it, spread, length, pad, buffer), SCHEMA)
 
 
+def _spread(docs: DataFrame, vocabulary: str):
+    with open(vocabulary, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
+
+
 def position_ids(row, length: int = LENGTH) -> np.ndarray:
     """Positions of a packed row's ids: from 0 in each segment, and in the padding."""
     out = np.arange(length)
@@ -188,6 +192,48 @@ def position_ids(row, length: int = LENGTH) -> np.ndarray:
 MANIFEST = "file string, index string, rows long, columns long, crc32 long, pack_ids array<string>, cu_seqlens array<int>, counts array<int>"
 
 
+def _files(batches: Iterator[pa.RecordBatch], folder: str, length: int, file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Writes a task's packed rows; the manifest's rows."""
+    named = [f.name for f in _ARROW if f.name != "token_ids"]
+    index_schema = pa.schema([_ARROW.field(n) for n in named])
+    file = index = sink = None
+    crc, held = 0, []
+
+    def closed():
+        file.close()
+        sink.close()
+        index.close()
+        own = pa.Table.from_batches(held, index_schema)
+        ends = own.column("cu_seqlens").combine_chunks()
+        return pa.RecordBatch.from_pydict(
+            {
+                "file": [file.uri], "index": [index.uri], "rows": [own.num_rows], "columns": [length], "crc32": [crc], "pack_ids": [own.column("pack_id").to_pylist()],
+                "cu_seqlens": pa.array([ends.flatten()], pa.list_(pa.int32())), "counts": pa.array([np.diff(ends.offsets.to_numpy())], pa.list_(pa.int32())),
+            }
+        )
+
+    most = max(1, file_bytes // (2 * length))
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            if file is None:
+                stem = f"ids-{TaskContext.get().partitionId():06d}"
+                file, index, crc, held, left = NewFile(folder, stem, ".bin"), NewFile(folder, stem, ".arrow"), 0, [], most
+                sink = pa.ipc.new_stream(index, index_schema)
+            part = batch.slice(at, left)
+            for data in part.column("token_ids"):
+                file.write(data.as_buffer())
+                crc = zlib.crc32(data.as_buffer(), crc)
+            held.append(pa.RecordBatch.from_arrays([part.column(n) for n in named], schema=index_schema))
+            sink.write_batch(held[-1])
+            at, left = at + part.num_rows, left - part.num_rows
+            if not left:
+                yield closed()
+                file = None
+    if file:
+        yield closed()
+
+
 def write_matrices(rows: DataFrame, folder: str, length: int = LENGTH, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes packed rows under a URI, as matrix files (rows of ``length`` 16-bit ids) of at most ``file_bytes``; returns the manifest.
 
@@ -196,48 +242,7 @@ def write_matrices(rows: DataFrame, folder: str, length: int = LENGTH, file_byte
     both, rows, columns, CRC-32 of the ids and, row by row, pack_ids, cu_seqlens (all
     rows' one after another) and the count of each row's.
     """
-    named = [f.name for f in _ARROW if f.name != "token_ids"]
-    index_schema = pa.schema([_ARROW.field(n) for n in named])
-
-    def write(batches):
-        file = index = sink = None
-        crc, held = 0, []
-
-        def closed():
-            file.close()
-            sink.close()
-            index.close()
-            own = pa.Table.from_batches(held, index_schema)
-            ends = own.column("cu_seqlens").combine_chunks()
-            return pa.RecordBatch.from_pydict(
-                {
-                    "file": [file.uri], "index": [index.uri], "rows": [own.num_rows], "columns": [length], "crc32": [crc], "pack_ids": [own.column("pack_id").to_pylist()],
-                    "cu_seqlens": pa.array([ends.flatten()], pa.list_(pa.int32())), "counts": pa.array([np.diff(ends.offsets.to_numpy())], pa.list_(pa.int32())),
-                }
-            )
-
-        most = max(1, file_bytes // (2 * length))
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                if file is None:
-                    stem = f"ids-{TaskContext.get().partitionId():06d}"
-                    file, index, crc, held, left = NewFile(folder, stem, ".bin"), NewFile(folder, stem, ".arrow"), 0, [], most
-                    sink = pa.ipc.new_stream(index, index_schema)
-                part = batch.slice(at, left)
-                for data in part.column("token_ids"):
-                    file.write(data.as_buffer())
-                    crc = zlib.crc32(data.as_buffer(), crc)
-                held.append(pa.RecordBatch.from_arrays([part.column(n) for n in named], schema=index_schema))
-                sink.write_batch(held[-1])
-                at, left = at + part.num_rows, left - part.num_rows
-                if not left:
-                    yield closed()
-                    file = None
-        if file:
-            yield closed()
-
-    return rows.select(_ARROW.names).mapInArrow(write, MANIFEST)
+    return rows.select(_ARROW.names).mapInArrow(lambda it: _files(it, folder, length, file_bytes), MANIFEST)
 
 
 def read_matrices(manifest: DataFrame) -> DataFrame:
@@ -263,10 +268,11 @@ def read_matrices(manifest: DataFrame) -> DataFrame:
     return manifest.select("file", "index", "rows", "columns", "crc32").repartition(max(1, min(files, 100_000)), "file").mapInArrow(parse, SCHEMA)
 
 
-def stored(docs: DataFrame) -> DataFrame:
-    """The packed rows of ``docs``, written as matrix files to the shared folder and read back."""
-    manifest = written(write_matrices(packed(docs), folder(docs.sparkSession, "matrices")), "manifest")
-    return read_matrices(manifest)
+def stored(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, pad: int = PAD, buffer: int = BUFFER, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """The packed rows of ``docs``, as :func:`packed` gives them, written as matrix files to the shared folder by the tasks that pack them, and read back."""
+    spread, where = _spread(docs, vocabulary), folder(docs.sparkSession, "matrices")
+    made = docs.select("doc_id", "text").mapInArrow(lambda it: _files(_packed(it, spread, length, pad, buffer), where, length, file_bytes), MANIFEST)
+    return read_matrices(written(made, "manifest"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
