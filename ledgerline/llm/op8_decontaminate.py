@@ -62,9 +62,21 @@ class _Windows:
         for k in range(last + 1):
             np.minimum.at(self.shift, h[at + self.size - 1 + k] >> U(64 - self.bits), np.uint8(last - k))
         end = h[at + length - 1]
-        order = np.argsort(end, kind="stable")
+        whole = _whole(words.hash, at, length)
+        order = np.lexsort((whole, end))
         self.end, self.at, self.owner = end[order], at[order].astype(np.int32), np.repeat(items, n)[order].astype(np.int32)
-        self.whole = _whole(words.hash, self.at, length)
+        self.whole, self.known = whole[order], np.sort(whole)
+
+    def steps(self, h: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """For each word, how far the search may move on from a window that ends there, 0 where a bucket holds its hash; and hashes of those ends and windows, in order."""
+        ends = _blocks(h, self.size)
+        shift = self.shift[ends >> U(64 - self.bits)]
+        stops = np.flatnonzero(shift == 0)
+        whole = _whole(h, np.maximum(stops - self.length + 1, 0), self.length)
+        for held, wanted in ((self.end, ends[stops]), (self.known, whole)):
+            shift[stops[held[np.minimum(held.searchsorted(wanted), len(held) - 1)] != wanted]] = 1  # no such bucket, or none of it alike
+        real = shift[stops] == 0
+        return shift.tobytes(), ends, whole[real]
 
 
 class Patterns:
@@ -85,8 +97,10 @@ class Patterns:
         out: dict[int, tuple[np.ndarray, set[str]]] = {}
         for w in self.windows:
             length = w.length
-            ends = _blocks(words.hash, w.size)
-            shift = w.shift[ends >> U(64 - w.bits)].tobytes()
+            if len(words.hash) < length:
+                continue
+            shift, ends, whole = w.steps(words.hash)
+            at_stop = dict(zip(np.flatnonzero(np.frombuffer(shift, np.uint8) == 0).tolist(), whole.tolist())) if len(whole) else {}
             for d in np.flatnonzero(words.count >= length):
                 start, stop = int(words.first[d]), int(words.first[d + 1])
                 e = start + length - 1
@@ -95,16 +109,14 @@ class Patterns:
                         e += step
                         continue
                     a, b = w.end.searchsorted(ends[e]), w.end.searchsorted(ends[e], "right")
-                    if a < b:
-                        at = e - length + 1
-                        alike = a + np.flatnonzero(w.whole[a:b] == _whole(words.hash, np.array([at]), length)[0])
-                        text = words.text(at, e + 1).split(b" ") if len(alike) else None
-                        for k in alike:
-                            if self._text(int(w.at[k]), length) == text:
-                                hit, of = out.setdefault(int(d), (np.zeros(stop - start, bool), set()))
-                                hit[at - start : e + 1 - start] = True
-                                if (name := self.names[w.owner[k]]) is not None:
-                                    of.add(name)
+                    at, wanted = e - length + 1, U(at_stop[e])
+                    text = words.text(at, e + 1).split(b" ")
+                    for k in range(a + w.whole[a:b].searchsorted(wanted), a + w.whole[a:b].searchsorted(wanted, "right")):
+                        if self._text(int(w.at[k]), length) == text:
+                            hit, of = out.setdefault(int(d), (np.zeros(stop - start, bool), set()))
+                            hit[at - start : e + 1 - start] = True
+                            if (name := self.names[w.owner[k]]) is not None:
+                                of.add(name)
                     e += 1
         return out
 
