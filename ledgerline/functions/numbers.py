@@ -12,6 +12,16 @@ def number(x: Column) -> Column:
     return F.when(~F.isnan(d), d)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded as the binary double is, halves away from zero, as SQL does it by round(x * 10^digits) / 10^digits."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
+def exact_mean(x: Column, digits: int = 4) -> Column:
+    """Aggregate: the mean of values with at most ``digits`` decimals, from an exact sum, so that it doesn't hang on the order of rows."""
+    return F.sum(x.cast(f"decimal(28,{digits})")).cast("double") / F.count(x)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is not positive."""
     return F.when(b > 0, a / b)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +29,39 @@ def clamped(ts: Column, now: Column, hours: int = 12) -> Column:
 
 
 def deduplicated(df: DataFrame, keys: list[str], order: list[str], days: int = 5) -> DataFrame:
-    """One event of each story: rows with equal keys, none more than ``days`` after the one before. The best source stays, of equals the earliest."""
-    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    new = (F.lag("ts").over(w).isNull() | (F.col("ts") > F.lag("ts").over(w) + F.expr(f"interval {days} days"))).cast("int")
-    story = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    told = df.withColumn("_new", new).withColumn("_story", story)
-    best = told.groupBy(*keys, "_story").agg(F.min(F.struct(rank(F.col("source"), order), "ts", "event_id")).alias("_b"), F.count("*").alias("copies"))
-    return best.select(F.col("_b.event_id").alias("event_id"), *keys, "copies")
+    """The stored row of each story, by order of arrival (ts, event_id): event_id, keys, copies.
+
+    An event with the keys of a stored row no more than ``days`` older is a copy; from a
+    better source it takes the stored row's place, its time too. Later ones are new
+    stories. Rows stream by in order, so a key that holds a third of all events is one
+    row of state.
+    """
+    named = [F.col(k) for k in keys]
+    rows = df.select(*named, F.col("ts").cast("timestamp").alias("ts"), "event_id", rank(F.col("source"), order).alias("_rank"))
+    width = len(keys)
+    schema = f"event_id {dict(df.dtypes)['event_id']}, " + ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", copies long"
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = stored = None  # stored: time, rank, event_id, copies
+        span = timedelta(days=days)
+        for b in batches:
+            out = []
+            for *own, ts, event, place in zip(*(c.to_pylist() for c in b.columns)):
+                if own != key or ts > stored[0] + span:
+                    if stored:
+                        out.append((stored[2], *key, stored[3]))
+                    key, stored = own, (ts, place, event, 1)
+                else:
+                    stored = (ts, place, event, stored[3] + 1) if place < stored[1] else (*stored[:3], stored[3] + 1)
+            yield made(out, b.schema)
+        if stored:
+            yield made([(stored[2], *key, stored[3])], b.schema)
+
+    def made(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        types = [schema.field("event_id").type, *(schema.field(k).type for k in range(width)), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["event_id", *keys, "copies"])
+
+    return rows.where(F.col("ts").isNotNull()).repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id").mapInArrow(walk, schema)
 
 
 def capped_feed(df: DataFrame, per: list[str], cap: int, n: int) -> DataFrame:

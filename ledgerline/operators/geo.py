@@ -17,9 +17,11 @@ def miles(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
 
 
 def box(lat: Column, radius: float) -> tuple[Column, Column]:
-    """Half height and half width, in degrees, of a box around a circle, half a percent wider."""
-    per = EARTH_MILES * math.pi / 180
-    return F.lit(radius / per * 1.005), radius / (per * F.greatest(F.cos(F.radians(lat)), F.lit(0.01))) * 1.005
+    """Half height and half width, in degrees, of a box around a circle, half a percent wider; all longitudes where the circle holds a pole."""
+    angle = radius / EARTH_MILES
+    high = math.degrees(angle) * 1.005
+    half = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(angle, math.pi / 2))) / F.cos(F.radians(lat))))) * 1.005
+    return F.lit(high), F.when(F.abs(lat) + high >= 90, 180.0).otherwise(F.least(F.lit(180.0), half))
 
 
 def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
@@ -37,8 +39,6 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     row = F.floor(F.col("lat") / step).cast("long")
     _, half = box(F.col("lat"), radius)
     r = right.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), row.alias("_r"), F.pmod(cell(F.col("lng")), F.lit(columns)).alias("_c"))
-    # a box may reach poleward, where it is wider: one row's worth of margin
-    half = half * F.cos(F.radians(F.col("lat"))) / F.greatest(F.cos(F.radians(F.least(F.lit(90.0), F.abs(F.col("lat")) + step))), F.lit(0.01))
     lo, hi = cell(F.col("lng") - half), cell(F.col("lng") + half)
     cells = F.sequence(lo, F.least(hi, lo + columns - 1))
     l = left.select("id", "lat", "lng", F.explode(F.sequence(row - 1, row + 1)).alias("_r"), cells.alias("_cs"))

@@ -29,22 +29,41 @@ def moves(df: DataFrame) -> DataFrame:
 
 
 def turnover(df: DataFrame) -> DataFrame:
-    """issuer, holder, turnover: mean change between a holder's quarters against the mean of the two, in percent, with a band from four issuers' holders."""
+    """issuer, holder, quarters, turnover, category: mean change between stored quarters against the mean position, in percent.
+
+    Null below two quarters or without a positive mean. The category is the quartile
+    (exclusive, as p * (n + 1) places it) among the issuer's holders; null where fewer
+    than two have a turnover.
+    """
     w = Window.partitionBy("issuer", "holder").orderBy("qi")
-    step = df.withColumn("_b", F.lag("shares").over(w)).where("_b is not null and _b + shares > 0")
-    rate = F.abs(F.col("shares") - F.col("_b")) / ((F.col("shares") + F.col("_b")) / 2) * 100
-    return step.groupBy("issuer", "holder").agg(F.avg(rate).alias("turnover"), F.count("*").alias("steps"))
+    step = df.where("shares is not null").withColumn("_m", F.abs(F.col("shares") - F.lag("shares").over(w)))
+    rate = (F.sum("_m") / F.count("_m")) / (F.sum("shares") / F.count("*")) * 100
+    out = step.groupBy("issuer", "holder").agg(F.count("*").alias("quarters"), F.when((F.count("*") >= 2) & (F.sum("shares") > 0), rate).alias("turnover"))
+    place = F.row_number().over(Window.partitionBy("issuer").orderBy("turnover"))
+    known = out.where("turnover is not null").select("issuer", "turnover", place.alias("_k"))
+    n = known.groupBy("issuer").agg(F.count("*").alias("_n")).where("_n >= 2")
+    cuts = {i: F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.floor(F.lit(i) * (F.col("_n") + 1) / 4))) for i in (1, 2, 3)}
+
+    def quartile(i: int) -> Column:
+        low, high = (F.max(F.when(F.col("_k") == cuts[i] + d, F.col("turnover"))) for d in (0, 1))
+        over = F.lit(i) * (F.max("_n") + 1) - F.max(cuts[i]) * 4
+        return (low * (4 - over) + high * over) / 4
+
+    q = known.join(n, "issuer").groupBy("issuer").agg(*(quartile(i).alias(f"_q{i}") for i in (1, 2, 3)))
+    t = F.col("turnover")
+    category = F.when(t <= F.col("_q1"), "Very Low").when(t <= F.col("_q2"), "Low").when(t <= F.col("_q3"), "Moderate").when(t > F.col("_q3"), "High")
+    return out.join(q, "issuer", "left").select("issuer", "holder", "quarters", "turnover", category.alias("category"))
 
 
 def concentration(df: DataFrame) -> DataFrame:
-    """issuer, n, total, top5, top10 (percent), hhi over each issuer's newest quarter."""
+    """issuer, n, total, top5, top10 (percent of shares), hhi over each issuer's newest quarter."""
     w = Window.partitionBy("issuer")
-    new = df.withColumn("_q", F.max("qi").over(w)).where("qi = _q and value_usd > 0")
-    rank = F.row_number().over(w.orderBy(F.desc("value_usd"), "holder"))
-    top = lambda n: F.sum(F.when(F.col("_r") <= n, F.col("value_usd"))) / F.sum("value_usd") * 100
+    new = df.withColumn("_q", F.max("qi").over(w)).where("qi = _q and shares > 0")
+    rank = F.row_number().over(w.orderBy(F.desc("shares"), "holder"))
+    top = lambda n: F.sum(F.when(F.col("_r") <= n, F.col("shares"))) / F.sum("shares") * 100
     return new.withColumn("_r", rank).groupBy("issuer").agg(
-        F.count("*").alias("n"), F.sum("value_usd").alias("total"), top(5).alias("top5"), top(10).alias("top10"),
-        (F.sum(F.col("value_usd") * F.col("value_usd")) / (F.sum("value_usd") * F.sum("value_usd")) * 10000).alias("hhi"),
+        F.count("*").alias("n"), F.sum("shares").alias("total"), top(5).alias("top5"), top(10).alias("top10"),
+        (F.sum(F.col("shares") * F.col("shares")) / (F.sum("shares") * F.sum("shares")) * 10000).alias("hhi"),
     )
 
 

@@ -60,14 +60,19 @@ def composite(df: DataFrame, key: str, scope: list[str], metrics: dict[str, bool
 def nearest(df: DataFrame, scope: list[str], key: str, size: str, n: int = 5) -> DataFrame:
     """For each row the n others of its scope with the nearest size: scope, key, peer, distance, rank; ties by peer.
 
-    In size order, the n nearest are among the n rows before and the n after, so no pairs
-    of a scope are formed.
+    The n nearest are among those of the same size and of the n next sizes each way, of
+    each size the n + 1 smallest keys; rows of one size are looked up together, so no
+    pairs of a scope are formed. Give sizes as decimals where distances should tie exactly.
     """
-    w = Window.partitionBy(*scope).orderBy(size, key)
-    known = df.where(F.col(size).isNotNull()).withColumn("_me", F.struct(F.col(key).alias("peer"), F.col(size).alias("s")))
-    # rows equal in size to the n-th neighbour are taken along on both sides by one extra row
-    near = known.withColumn("_near", F.concat(F.collect_list("_me").over(w.rowsBetween(-2 * n, -1)), F.collect_list("_me").over(w.rowsBetween(1, 2 * n))))
-    pairs = near.select(*scope, key, size, F.explode("_near").alias("p"))
-    pairs = pairs.select(*scope, key, F.col("p.peer").alias("peer"), F.abs(F.col(size) - F.col("p.s")).alias("distance"))
+    known = df.where(F.col(size).isNotNull())
+    place = F.row_number().over(Window.partitionBy(*scope, size).orderBy(key))
+    few = known.select(*scope, size, key, place.alias("_k")).where(F.col("_k") <= n + 1)
+    sizes = few.groupBy(*scope, size).agg(F.struct(F.col(size).alias("s"), F.sort_array(F.collect_list(key)).alias("keys")).alias("_g"))
+    w = Window.partitionBy(*scope).orderBy(size)
+    near = sizes.select(*scope, size, F.concat(F.collect_list("_g").over(w.rowsBetween(-n, 0)), F.collect_list("_g").over(w.rowsBetween(1, n))).alias("_near"))
+    near = near.select(*scope, size, F.explode("_near").alias("_g")).select(*scope, size, F.abs(F.col(size) - F.col("_g.s")).alias("distance"), F.explode("_g.keys").alias("peer"))
+    best = F.row_number().over(Window.partitionBy(*scope, size).orderBy("distance", "peer"))
+    near = near.withColumn("_k", best).where(F.col("_k") <= n + 1).drop("_k")
     rank = F.row_number().over(Window.partitionBy(*scope, key).orderBy("distance", "peer"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= n)
+    pairs = known.select(*scope, size, key).join(near, [*scope, size]).where(F.col(key) != F.col("peer"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= n).select(*scope, key, "peer", "distance", "rank")

@@ -84,13 +84,13 @@ def rolling_slope(df: DataFrame, key, order: str, y: str, x: str, n: int = 4, le
     return df.withColumn("slope", F.when(fine, F.regr_slope(y, x).over(rows))).withColumn("r2", F.when(fine, F.regr_r2(y, x).over(rows)))
 
 
-def zscore(df: DataFrame, key, order: str, value: str, n: int, least: int) -> DataFrame:
-    """Adds ``z``: distance from the mean of the last n rows in sample deviations; over all rows so far below ``least``."""
-    near, far = by(key, order).rowsBetween(1 - n, 0), by(key, order).rowsBetween(Window.unboundedPreceding, 0)
+def zscore(df: DataFrame, key, order: str, value: str, days: int, least: int = 12) -> DataFrame:
+    """Adds ``z``: distance from the mean of the last ``days`` days in sample deviations; over all days so far where those hold fewer than ``least`` values, null where all do."""
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.unix_date(order))
+    near, far = w.rangeBetween(-days, 0), w.rangeBetween(Window.unboundedPreceding, 0)
     enough = F.count(value).over(near) >= least
-    mean = F.when(enough, F.avg(value).over(near)).otherwise(F.avg(value).over(far))
-    sd = F.when(enough, F.stddev_samp(value).over(near)).otherwise(F.stddev_samp(value).over(far))
-    return df.withColumn("_m", mean).withColumn("_s", sd).withColumn("z", F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
+    pick = lambda f: F.when(enough, f(value).over(near)).when(F.count(value).over(far) >= least, f(value).over(far))
+    return df.withColumn("_m", pick(F.avg)).withColumn("_s", pick(F.stddev_samp)).withColumn("z", F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
 
 
 def runs(df: DataFrame, key, order: str, flag: str) -> DataFrame:
@@ -102,25 +102,37 @@ def runs(df: DataFrame, key, order: str, flag: str) -> DataFrame:
     return marked.where(flag).groupBy(*keys, "_run").agg(F.min(order).alias("run_start"), F.max(order).alias("run_end"), F.count("*").alias("length")).drop("_run")
 
 
-def cycle_beta(df: DataFrame, key, order: str, value: str, rate: str, least_move: float = 0.0) -> DataFrame:
-    """The last one-way cycle of ``rate``: key, cycle_start, cycle_end, beta (change of value per change of rate).
+def cycle_beta(df: DataFrame, key, order: str, value: str, rate: str, noise: float = 0.03, least: float = 0.15) -> DataFrame:
+    """The present one-way cycle of ``rate``: key, cycle_start, cycle_end, rows, rate_change, value_change, direction, beta.
 
-    Walks back from the last move of the rate to where its direction last flipped.
+    The last move beyond ``noise`` gives the direction; the cycle runs from the last move
+    the other way (else the first row) to the last row. Keys whose rate changed by less
+    than ``least``, or never moved, give none. Rows without rate or value don't count. One
+    window and one grouping.
     """
     w = by(key, order)
-    moved = df.withColumn("_d", F.col(rate) - F.lag(rate).over(w)).withColumn("_sign", F.signum("_d"))
-    moves = moved.where(F.abs("_d") > least_move)
-    wm = by(key, order)
-    flips = moves.withColumn("_flip", (F.col("_sign") != F.lag("_sign").over(wm)).cast("int"))
-    cycle = flips.withColumn("_c", F.sum(F.coalesce("_flip", F.lit(0))).over(wm.rowsBetween(Window.unboundedPreceding, 0)))
-    last = cycle.withColumn("_l", F.max("_c").over(Window.partitionBy(key))).where("_c = _l")
-    ends = last.groupBy(key).agg(F.min(order).alias("_first"), F.max(order).alias("cycle_end"))
-    j = df.join(ends, key).where((F.col(order) <= F.col("cycle_end")))
-    before = j.where(F.col(order) < F.col("_first")).groupBy(key).agg(F.max_by(F.struct(order, value, rate), order).alias("_a"))
-    after = j.where(F.col(order) == F.col("cycle_end")).select(key, "cycle_end", F.col(value).alias("_v"), F.col(rate).alias("_r"))
-    out = before.join(after, key)
-    move = F.col("_r") - F.col(f"_a.{rate}")
-    return out.select(key, F.col(f"_a.{order}").alias("cycle_start"), "cycle_end", F.when(F.abs(move) > 0, (F.col("_v") - F.col(f"_a.{value}")) / move).alias("beta"))
+    known = df.where(F.col(rate).isNotNull() & F.col(value).isNotNull())
+    move = F.col(rate) - F.lag(rate).over(w)
+    rows = known.select(key, order, F.struct(F.col(order).alias("at"), F.col(value).alias("v"), F.col(rate).alias("r"), F.row_number().over(w).alias("k")).alias("_x"), F.when(move > noise, 1).when(move < -noise, -1).alias("_d"))
+    last = lambda d: F.max_by("_x", F.when(F.col("_d") == d, F.col(order)))
+    ends = rows.groupBy(key).agg(F.min_by("_x", order).alias("_a"), F.max_by("_x", order).alias("_z"), last(1).alias("_up"), last(-1).alias("_down"), F.max_by("_d", F.when(F.col("_d").isNotNull(), F.col(order))).alias("_d"))
+    ends = ends.withColumn("_s", F.coalesce(F.when(F.col("_d") == 1, F.col("_down")).otherwise(F.col("_up")), F.col("_a")))
+    change = F.col("_z.r") - F.col("_s.r")
+    return ends.where(F.col("_d").isNotNull() & (F.col("_z.k") > F.col("_s.k")) & (F.abs(change) >= least)).select(
+        key, F.col("_s.at").alias("cycle_start"), F.col("_z.at").alias("cycle_end"), (F.col("_z.k") - F.col("_s.k") + 1).cast("long").alias("rows"), change.alias("rate_change"),
+        (F.col("_z.v") - F.col("_s.v")).alias("value_change"), F.when(F.col("_d") == 1, "up").otherwise("down").alias("direction"), ((F.col("_z.v") - F.col("_s.v")) / change).alias("beta"),
+    )
+
+
+def year_on_year(df: DataFrame, key, order: str, value: str, n: int = 4) -> DataFrame:
+    """Adds ``growth_pct``: the last n rows' sum against that of the n rows before, whatever gaps lie between; null unless all are known and no sum is zero."""
+    w = by(key, order)
+
+    def total(a: int, b: int) -> Column:
+        rows = w.rowsBetween(a, b)
+        return F.when(F.count(value).over(rows) == n, F.nullif(F.sum(value).over(rows), F.lit(0.0)))
+
+    return df.withColumn("growth_pct", (total(1 - n, 0) / total(1 - 2 * n, -n) - 1) * 100)
 
 
 def anchors(df: DataFrame, key, order: str, value: str, n: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.numbers import exact_mean, rounded
 from ledgerline.operators import estimates as E
 from ledgerline.operators import ownership as O
 from ledgerline.operators import quality as V
@@ -65,12 +66,12 @@ def consensus_compile(t: Tables) -> DataFrame:
 
 @query(
     "consensus_matrix",
-    f"""WITH {SQL_ESTIMATES} SELECT ticker, period, metric, {", ".join(f"round(max(CASE WHEN firm = {k} THEN v END), 2) AS firm_{k}" for k in range(10))} FROM firm GROUP BY ALL""",
+    f"""WITH {SQL_ESTIMATES} SELECT ticker, period, metric, {", ".join(f"round(CAST(sum(CASE WHEN firm = {k} THEN CAST(v AS DECIMAL(28, 6)) END) AS DOUBLE) / count(CASE WHEN firm = {k} THEN v END) * 100) / 100 AS firm_{k}" for k in range(10))} FROM can GROUP BY ALL""",
 )
 def consensus_matrix(t: Tables) -> DataFrame:
     v = _estimates(t).withColumn("v", E.canonical(F.col("value"), F.col("unit")))
-    m = v.groupBy("ticker", "period", "metric").pivot("firm", list(range(10))).agg(F.avg("v"))
-    return m.select("ticker", "period", "metric", *(F.round(F.col(str(k)), 2).alias(f"firm_{k}") for k in range(10)))
+    m = v.groupBy("ticker", "period", "metric").pivot("firm", list(range(10))).agg(exact_mean(F.col("v"), 6))
+    return m.select("ticker", "period", "metric", *(rounded(F.col(str(k)), 2).alias(f"firm_{k}") for k in range(10)))
 
 
 SQL_BEAT = f"""WITH {SQL_ESTIMATES}, j AS (SELECT a.ticker, a.period, a.metric, a.mean AS actual, b.mean AS estimate,
@@ -104,8 +105,14 @@ def estimate_coverage(t: Tables) -> DataFrame:
 
 @query(
     "holder_turnover",
-    f"""WITH {SQL_HOLDINGS}, s AS (SELECT *, lag(shares) OVER (PARTITION BY issuer, holder ORDER BY qi) AS b FROM holdings)
-SELECT issuer, holder, round(avg(abs(shares - b) / ((shares + b) / 2) * 100), 6) AS turnover, count(*) AS steps FROM s WHERE b IS NOT NULL AND b + shares > 0 GROUP BY 1, 2""",
+    f"""WITH {SQL_HOLDINGS}, s AS (SELECT *, abs(shares - lag(shares) OVER (PARTITION BY issuer, holder ORDER BY qi)) AS move FROM holdings),
+h AS (SELECT issuer, holder, count(*) AS quarters, CASE WHEN count(*) >= 2 AND avg(shares) > 0 THEN (sum(move) / count(move)) / (sum(shares) / count(shares)) * 100 END AS t FROM s GROUP BY 1, 2),
+l AS (SELECT issuer, list_sort(list(t)) AS d, len(list(t)) AS n FROM h WHERE t IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+j AS (SELECT issuer, d, i, greatest(1, least(n - 1, i * (n + 1) // 4)) AS j, n FROM l, (SELECT unnest([1, 2, 3]) AS i)),
+q AS (SELECT issuer, i, (d[j] * (4 - (i * (n + 1) - j * 4)) + d[j + 1] * (i * (n + 1) - j * 4)) / 4 AS q FROM j),
+p AS (SELECT issuer, max(CASE WHEN i = 1 THEN q END) AS q1, max(CASE WHEN i = 2 THEN q END) AS q2, max(CASE WHEN i = 3 THEN q END) AS q3 FROM q GROUP BY 1)
+SELECT h.issuer, holder, quarters, round(t, 6) AS turnover, CASE WHEN t <= q1 THEN 'Very Low' WHEN t <= q2 THEN 'Low' WHEN t <= q3 THEN 'Moderate' WHEN t > q3 THEN 'High' END AS category
+FROM h LEFT JOIN p ON h.issuer = p.issuer""",
 )
 def holder_turnover(t: Tables) -> DataFrame:
     return O.turnover(t.holdings()).withColumn("turnover", F.round("turnover", 6))
@@ -113,10 +120,10 @@ def holder_turnover(t: Tables) -> DataFrame:
 
 @query(
     "holder_concentration",
-    f"""WITH {SQL_HOLDINGS}, n AS (SELECT * FROM holdings h WHERE qi = (SELECT max(qi) FROM holdings x WHERE x.issuer = h.issuer) AND value_usd > 0),
-k AS (SELECT *, row_number() OVER (PARTITION BY issuer ORDER BY value_usd DESC, holder) AS k FROM n)
-SELECT issuer, count(*) AS n, round(sum(value_usd), 2) AS total, round(sum(CASE WHEN k <= 5 THEN value_usd END) / sum(value_usd) * 100, 6) AS top5,
-  round(sum(CASE WHEN k <= 10 THEN value_usd END) / sum(value_usd) * 100, 6) AS top10, round(sum(value_usd * value_usd) / (sum(value_usd) * sum(value_usd)) * 10000, 4) AS hhi FROM k GROUP BY 1""",
+    f"""WITH {SQL_HOLDINGS}, n AS (SELECT * FROM holdings h WHERE qi = (SELECT max(qi) FROM holdings x WHERE x.issuer = h.issuer) AND shares > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY issuer ORDER BY shares DESC, holder) AS k FROM n)
+SELECT issuer, count(*) AS n, round(sum(shares), 2) AS total, round(sum(CASE WHEN k <= 5 THEN shares END) / sum(shares) * 100, 6) AS top5,
+  round(sum(CASE WHEN k <= 10 THEN shares END) / sum(shares) * 100, 6) AS top10, round(sum(shares * shares) / (sum(shares) * sum(shares)) * 10000, 4) AS hhi FROM k GROUP BY 1""",
 )
 def holder_concentration(t: Tables) -> DataFrame:
     return O.concentration(t.holdings()).select("issuer", "n", r("total", 2), r("top5", 6), r("top10", 6), r("hhi", 4))
@@ -202,12 +209,11 @@ def freshest_wins(t: Tables) -> DataFrame:
 
 @query(
     "pivot_quarter_grid",
-    f"""WITH {SQL_FILINGS} SELECT bank, {", ".join(f"max(CASE WHEN qi = {1998 * 4 + k} THEN revenue END) AS q{k + 1}_1998" for k in range(4))} FROM filings WHERE qi BETWEEN {1998 * 4} AND {1998 * 4 + 3} GROUP BY 1""",
+    f"""WITH {SQL_FILINGS} SELECT bank, qi // 4 AS year, {", ".join(f"max(CASE WHEN qi % 4 = {k} THEN revenue END) AS q{k + 1}" for k in range(4))} FROM filings GROUP BY 1, 2""",
 )
 def pivot_quarter_grid(t: Tables) -> DataFrame:
-    base = 1998 * 4
-    g = t.filings().where(F.col("qi").between(base, base + 3)).groupBy("bank").pivot("qi", [base + k for k in range(4)]).agg(F.max("revenue"))
-    return g.select("bank", *(F.col(str(base + k)).alias(f"q{k + 1}_1998") for k in range(4)))
+    quarter = F.concat(F.lit("q"), (F.col("qi") % 4 + 1).cast("string"))
+    return t.filings().withColumn("quarter", quarter).groupBy("bank", F.floor(F.col("qi") / 4).alias("year")).pivot("quarter", ["q1", "q2", "q3", "q4"]).agg(F.max("revenue"))
 
 
 SQL_SEGMENTS = """seg AS (SELECT o_custkey AS bank, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END), 2) AS open, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 2) AS filled,
@@ -279,11 +285,11 @@ def agreement_gate(t: Tables) -> DataFrame:
     "deal_comps",
     """WITH d AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS year, o_totalprice AS v, CASE WHEN o_totalprice < 100000 THEN 'small' WHEN o_totalprice < 300000 THEN 'middle' ELSE 'large' END AS size FROM orders WHERE o_orderstatus = 'F'),
 s AS (SELECT unnest(range(1994, 2004)) AS year)
-SELECT s.year, round(median(d.v), 2) AS median, count(d.v) AS n, count(d.v) FILTER (WHERE size = 'large') AS large FROM s LEFT JOIN d ON s.year = d.year GROUP BY 1""",
+SELECT s.year, round(median(d.v), 4) AS median, count(d.v) AS n, count(d.v) FILTER (WHERE size = 'large') AS large FROM s LEFT JOIN d ON s.year = d.year GROUP BY 1""",
 )
 def deal_comps(t: Tables) -> DataFrame:
     d = t.orders.where("o_orderstatus = 'F'").select(F.year("o_orderdate").cast("long").alias("year"), F.col("o_totalprice").alias("v"))
-    by_year = d.groupBy("year").agg(F.round(F.median("v"), 2).alias("median"), F.count("v").alias("n"), F.count_if(F.col("v") >= 300000).alias("large"))
+    by_year = d.groupBy("year").agg(F.round(F.median("v"), 4).alias("median"), F.count("v").alias("n"), F.count_if(F.col("v") >= 300000).alias("large"))
     spine = t.spark.range(1994, 2004).select(F.col("id").alias("year"))
     return spine.join(by_year, "year", "left").select("year", "median", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("large", F.lit(0)).alias("large"))
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions.numbers import exact_mean
 from ledgerline.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +37,7 @@ class Tables:
 
     def daily(self) -> DataFrame:
         """Daily level of each event type: series, d, v, n."""
-        return self.events.groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("d")).agg(F.round(F.avg("value"), 4).alias("v"), F.count("*").alias("n"))
+        return self.events.groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("d")).agg(exact_mean(F.col("value")).alias("v"), F.count("*").alias("n"))
 
     def holdings(self) -> DataFrame:
         """Shares and value by issuer (part brand), quarter and holder (supplier)."""
@@ -58,7 +59,7 @@ class Tables:
 
 SQL_FILINGS = """filings AS (SELECT o_custkey AS bank, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS BIGINT) AS qi,
   round(sum(o_totalprice), 2) AS revenue, count(*) AS filings FROM orders GROUP BY 1, 2)"""
-SQL_DAILY = """daily AS (SELECT event_type AS series, CAST(ts AS DATE) AS d, round(avg(value), 4) AS v, count(*) AS n FROM events GROUP BY 1, 2)"""
+SQL_DAILY = """daily AS (SELECT event_type AS series, CAST(ts AS DATE) AS d, CAST(sum(CAST(value AS DECIMAL(28, 4))) AS DOUBLE) / count(value) AS v, count(*) AS n FROM events GROUP BY 1, 2)"""
 SQL_HOLDINGS = """holdings AS (SELECT p_brand AS issuer, l_suppkey AS holder, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS BIGINT) AS qi,
   sum(l_quantity) AS shares, round(sum(l_extendedprice), 2) AS value_usd FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3)"""
 SQL_BRANCHES = """branch_deposits AS (SELECT s_nationkey AS market, s_suppkey AS bank, d AS deposits

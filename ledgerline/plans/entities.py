@@ -26,11 +26,13 @@ def _store(t: Tables) -> DataFrame:
 
 @query(
     "event_dedup_priority",
-    f"""WITH {SQL_STORE}, k AS (SELECT *, {KEY_SQL} AS key FROM store),
-n AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 5 DAY THEN 1 ELSE 0 END AS new FROM k WINDOW w AS (PARTITION BY ticker, key ORDER BY ts, event_id)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY ticker, key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS story FROM n),
-r AS (SELECT *, row_number() OVER (PARTITION BY ticker, key, story ORDER BY {RANK_SQL}, ts, event_id) AS place, count(*) OVER (PARTITION BY ticker, key, story) AS copies FROM s)
-SELECT event_id, ticker, key, copies FROM r WHERE place = 1""",
+    f"""WITH RECURSIVE {SQL_STORE}, k AS (SELECT *, {KEY_SQL} AS key FROM store),
+r AS (SELECT ticker, key, event_id, ts, {RANK_SQL} AS rank, row_number() OVER (PARTITION BY ticker, key ORDER BY ts, event_id) AS k FROM k),
+w AS (SELECT ticker, key, k, event_id, ts, rank, 1 AS story FROM r WHERE k = 1
+  UNION ALL SELECT r.ticker, r.key, r.k, CASE WHEN r.ts > w.ts + INTERVAL 5 DAY OR r.rank < w.rank THEN r.event_id ELSE w.event_id END,
+    CASE WHEN r.ts > w.ts + INTERVAL 5 DAY OR r.rank < w.rank THEN r.ts ELSE w.ts END, CASE WHEN r.ts > w.ts + INTERVAL 5 DAY OR r.rank < w.rank THEN r.rank ELSE w.rank END,
+    CASE WHEN r.ts > w.ts + INTERVAL 5 DAY THEN w.story + 1 ELSE w.story END FROM w JOIN r ON r.ticker = w.ticker AND r.key = w.key AND r.k = w.k + 1)
+SELECT max_by(event_id, k) AS event_id, ticker, key, count(*) AS copies FROM w GROUP BY ticker, key, story""",
 )
 def event_dedup_priority(t: Tables) -> DataFrame:
     return V.deduplicated(_store(t).withColumn("key", V.headline_key(F.col("headline"))), ["ticker", "key"], ORDER)
@@ -121,12 +123,12 @@ def _edges(t: Tables) -> DataFrame:
 @query(
     "hierarchy_tree",
     f"""WITH RECURSIVE {SQL_EDGES}, live AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY pct DESC, child) AS place FROM edges WHERE active),
-t AS (SELECT 'R1' AS root, 'R1' AS node, NULL::VARCHAR AS parent, NULL::DOUBLE AS pct, 0 AS depth, NULL::BIGINT AS place
+t AS (SELECT 'R' || r_regionkey AS root, 'R' || r_regionkey AS node, NULL::VARCHAR AS parent, NULL::DOUBLE AS pct, 0 AS depth, NULL::BIGINT AS place FROM region
   UNION ALL SELECT t.root, l.child, l.parent, l.pct, t.depth + 1, l.place FROM t JOIN live l ON t.node = l.parent WHERE t.depth < 4)
 SELECT root, node, parent, pct, depth, CAST(place AS INTEGER) AS place FROM t WHERE depth > 0""",
 )
 def hierarchy_tree(t: Tables) -> DataFrame:
-    return G.tree(_edges(t), t.region.where("r_regionkey = 1").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("node")))
+    return G.tree(_edges(t), t.region.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("node")))
 
 
 @query(

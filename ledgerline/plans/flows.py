@@ -51,14 +51,12 @@ def ttm_partial_scaled(t: Tables) -> DataFrame:
 
 @query(
     "yoy_ttm",
-    f"""WITH {TTM}, y AS (SELECT bank, qi, ttm, CASE WHEN qi - lag(qi, 4) {W} = 4 THEN lag(ttm, 4) {W} END AS before FROM s)
-SELECT bank, qi, round(CASE WHEN before > 0 THEN (ttm / before - 1) * 100 END, 4) AS growth_pct FROM y""",
+    f"""WITH {SQL_FILINGS}, s AS (SELECT bank, qi, count(revenue) OVER a AS k1, sum(revenue) OVER a AS s1, count(revenue) OVER b AS k2, sum(revenue) OVER b AS s2 FROM filings
+  WINDOW a AS (PARTITION BY bank ORDER BY qi ROWS 3 PRECEDING), b AS (PARTITION BY bank ORDER BY qi ROWS BETWEEN 7 PRECEDING AND 4 PRECEDING))
+SELECT bank, qi, round(CASE WHEN k1 = 4 AND k2 = 4 AND s1 <> 0 AND s2 <> 0 THEN (s1 / s2 - 1) * 100 END, 4) AS growth_pct FROM s""",
 )
 def yoy_ttm(t: Tables) -> DataFrame:
-    s = T.full_window_sum(t.filings(), "bank", "qi", "revenue")
-    w = T.by("bank", "qi")
-    before = F.when(F.col("qi") - F.lag("qi", 4).over(w) == 4, F.lag("ttm", 4).over(w))
-    return s.withColumn("before", before).select("bank", "qi", F.round(F.when(F.col("before") > 0, (F.col("ttm") / F.col("before") - 1) * 100), 4).alias("growth_pct"))
+    return T.year_on_year(t.filings(), "bank", "qi", "revenue").select("bank", "qi", r("growth_pct", 4))
 
 
 @query(
@@ -110,27 +108,28 @@ def rolling_ols_beta(t: Tables) -> DataFrame:
 
 @query(
     "cycle_beta",
-    f"""WITH {SQL_DAILY}, m AS (SELECT *, n - lag(n) OVER (PARTITION BY series ORDER BY d) AS dn FROM daily), k AS (SELECT *, sign(dn) AS s FROM m WHERE dn <> 0),
-f AS (SELECT *, CASE WHEN s <> lag(s) OVER (PARTITION BY series ORDER BY d) THEN 1 ELSE 0 END AS flip FROM k),
-c AS (SELECT *, sum(flip) OVER (PARTITION BY series ORDER BY d) AS cy FROM f), l AS (SELECT *, max(cy) OVER (PARTITION BY series) AS last FROM c),
-e AS (SELECT series, min(d) AS first, max(d) AS cycle_end FROM l WHERE cy = last GROUP BY 1),
-a AS (SELECT daily.series, max(daily.d) AS cycle_start FROM daily JOIN e ON daily.series = e.series AND daily.d < e.first GROUP BY 1)
-SELECT e.series, a.cycle_start, e.cycle_end, round((y.v - x.v) / nullif(y.n - x.n, 0), 6) AS beta
-FROM e JOIN a ON e.series = a.series JOIN daily x ON x.series = e.series AND x.d = a.cycle_start JOIN daily y ON y.series = e.series AND y.d = e.cycle_end""", dates=["cycle_start", "cycle_end"]
+    f"""WITH {SQL_DAILY}, m AS (SELECT *, n - lag(n) OVER w AS dn, row_number() OVER w AS k FROM daily WINDOW w AS (PARTITION BY series ORDER BY d)),
+s AS (SELECT *, CASE WHEN dn > 0.03 THEN 1 WHEN dn < -0.03 THEN -1 END AS s FROM m),
+l AS (SELECT series, max(k) AS z, max_by(s, k) FILTER (WHERE s IS NOT NULL) AS way FROM s GROUP BY 1),
+a AS (SELECT l.series, l.z, l.way, coalesce(max(k) FILTER (WHERE s = -l.way), 1) AS a FROM l JOIN s ON l.series = s.series WHERE way IS NOT NULL GROUP BY ALL)
+SELECT a.series, x.d AS cycle_start, y.d AS cycle_end, a.z - a.a + 1 AS rows, CAST(y.n - x.n AS DOUBLE) AS rate_change, round(y.v - x.v, 6) AS value_change,
+  CASE WHEN way = 1 THEN 'up' ELSE 'down' END AS direction, round((y.v - x.v) / (y.n - x.n), 6) AS beta
+FROM a JOIN s x ON x.series = a.series AND x.k = a.a JOIN s y ON y.series = a.series AND y.k = a.z WHERE a.z > a.a AND abs(y.n - x.n) >= 0.15""", dates=["cycle_start", "cycle_end"]
 )
 def cycle_beta(t: Tables) -> DataFrame:
-    return T.cycle_beta(t.daily(), "series", "d", "v", "n").withColumn("beta", F.round("beta", 6))
+    c = T.cycle_beta(t.daily(), "series", "d", "v", "n")
+    return c.withColumns({"rate_change": F.col("rate_change").cast("double"), "value_change": F.round("value_change", 6), "beta": F.round("beta", 6)})
 
 
 @query(
     "zscore_trailing",
-    f"""WITH {SQL_DAILY}, s AS (SELECT series, d, v, count(v) OVER a AS k, avg(v) OVER a AS m1, stddev_samp(v) OVER a AS s1, avg(v) OVER b AS m2, stddev_samp(v) OVER b AS s2 FROM daily
-  WINDOW a AS (PARTITION BY series ORDER BY d ROWS 9 PRECEDING), b AS (PARTITION BY series ORDER BY d ROWS UNBOUNDED PRECEDING)),
-z AS (SELECT series, d, v, CASE WHEN k >= 6 THEN m1 ELSE m2 END AS m, CASE WHEN k >= 6 THEN s1 ELSE s2 END AS s FROM s)
+    f"""WITH {SQL_DAILY}, s AS (SELECT series, d, v, count(v) OVER a AS k, avg(v) OVER a AS m1, stddev_samp(v) OVER a AS s1, count(v) OVER b AS k2, avg(v) OVER b AS m2, stddev_samp(v) OVER b AS s2 FROM daily
+  WINDOW a AS (PARTITION BY series ORDER BY d RANGE BETWEEN INTERVAL 10 DAY PRECEDING AND CURRENT ROW), b AS (PARTITION BY series ORDER BY d ROWS UNBOUNDED PRECEDING)),
+z AS (SELECT series, d, v, CASE WHEN k >= 12 THEN m1 WHEN k2 >= 12 THEN m2 END AS m, CASE WHEN k >= 12 THEN s1 WHEN k2 >= 12 THEN s2 END AS s FROM s)
 SELECT series, d, round(CASE WHEN s > 0 THEN (v - m) / s END, 6) AS z FROM z""", dates=["d"]
 )
 def zscore_trailing(t: Tables) -> DataFrame:
-    return T.zscore(t.daily(), "series", "d", "v", 10, 6).select("series", "d", r("z", 6))
+    return T.zscore(t.daily(), "series", "d", "v", 10).select("series", "d", r("z", 6))
 
 
 @query(

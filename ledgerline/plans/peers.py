@@ -9,6 +9,7 @@ from ledgerline.functions.numbers import banded, size_tier
 from ledgerline.functions.registry import Metric, project
 from ledgerline.operators import peers as P
 from ledgerline.operators import timeseries as T
+from ledgerline.operators.order import placed
 from ledgerline.operators.screen import Spec, screen
 
 from .base import SQL_FILINGS, Tables, query
@@ -161,8 +162,8 @@ p AS (SELECT a.bank, b.bank AS peer, round(abs(a.size - b.size), 2) AS distance,
 SELECT bank, peer, distance, CAST(rank AS INTEGER) AS rank FROM p WHERE rank <= 5""",
 )
 def nearest_peers(t: Tables) -> DataFrame:
-    k = t.customer.select(F.col("c_custkey").alias("bank"), F.col("c_nationkey").alias("scope"), F.col("c_acctbal").alias("size"))
-    return P.nearest(k, ["scope"], "bank", "size", 5).select("bank", "peer", F.round("distance", 2).alias("distance"), "rank")
+    k = t.customer.select(F.col("c_custkey").alias("bank"), F.col("c_nationkey").alias("scope"), F.col("c_acctbal").cast("decimal(18,2)").alias("size"))
+    return P.nearest(k, ["scope"], "bank", "size", 5).select("bank", "peer", F.col("distance").cast("double").alias("distance"), "rank")
 
 
 @query(
@@ -176,8 +177,7 @@ def leaderboard(t: Tables) -> DataFrame:
 
 @query(
     "screen_sort_nulls_first",
-    f"WITH {SQL_CAPITAL} SELECT bank, capital, CAST(row_number() OVER (ORDER BY capital DESC NULLS FIRST, bank) AS INTEGER) AS place FROM k ORDER BY place LIMIT 200",
+    f"WITH {SQL_CAPITAL} SELECT bank, capital, row_number() OVER (ORDER BY capital DESC NULLS FIRST, bank) AS place FROM k",
 )
 def screen_sort(t: Tables) -> DataFrame:
-    top = _capital(t).select("bank", "capital").orderBy(F.desc_nulls_first("capital"), "bank").limit(200)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_first("capital"), "bank")))
+    return placed(_capital(t).select("bank", "capital"), [F.desc_nulls_first("capital"), F.asc("bank")], "place")

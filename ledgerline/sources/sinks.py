@@ -1,8 +1,8 @@
 """Writes with the store's rules: fresher wins, unique keys, guarded snapshots, time to live.
 
 Plain Parquet has no MERGE. A table here is a folder of versions; an upsert writes the
-merged rows as a new version and commits it with a marker that is created only if absent,
-so readers see the old or the new version and a lost writer leaves only unread files.
+merged rows as a new version and commits it with a marker named by the version alone, put
+there by a rename that fails if it exists, so readers see the old or the new version and a lost writer leaves only unread files.
 """
 
 from __future__ import annotations
@@ -38,6 +38,10 @@ def live(df: DataFrame, stamped: str, now: Column, seconds: int) -> DataFrame:
     return df.where(now - F.col(stamped) < seconds)
 
 
+class VersionTaken(RuntimeError):
+    """Another writer has committed this version first."""
+
+
 class Table:
     """A versioned table under a URI."""
 
@@ -50,17 +54,32 @@ class Table:
 
     def version(self) -> int:
         where = self._path("commits")
-        names = [s.getPath().getName().split(".")[0] for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
+        names = [s.getPath().getName() for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
         return max((int(n) for n in names if n.isdigit()), default=0)
 
     def read(self, version: int | None = None) -> DataFrame:
-        version = version or self.version()
-        where = [s.getPath().getName() for s in self._fs.listStatus(self._path("commits")) if s.getPath().getName().startswith(f"{version:08d}.")]
-        return self.spark.read.parquet(f"{self.uri}/data/{where[0].split('.')[1]}")
-
-    def publish(self, df: DataFrame, least: float | None = None) -> bool:
-        """Writes a new version. With ``least``, only if it has that share of the present rows: a thin snapshot never replaces a full one."""
-        name, before = uuid.uuid4().hex, self.version()
+        marker = self._fs.open(self._path(f"commits/{version or self.version():08d}"))
+        name = self.spark._jvm.org.apache.commons.io.IOUtils.toString(marker, "UTF-8")
+        marker.close()
+        return self.spark.read.parquet(f"{self.uri}/data/{name}")
+
+    def _commit(self, version: int, name: str) -> None:
+        """The marker, written aside with the data's name, becomes the version's by a rename that fails if there is one."""
+        aside = self._path(f"commits/_{name}")
+        out = self._fs.create(aside, False)
+        out.write(name.encode())
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(aside, self._path(f"commits/{version:08d}"), options)
+        except Exception as e:
+            self._fs.delete(aside, False)
+            raise VersionTaken(f"version {version} of {self.uri} was committed meanwhile") from e
+
+    def publish(self, df: DataFrame, least: float | None = None, after: int | None = None) -> bool:
+        """Writes the version after ``after`` (the present one), or raises VersionTaken. With ``least``, only if it has that share of the present rows: a thin snapshot never replaces a full one."""
+        name, before = uuid.uuid4().hex, self.version() if after is None else after
         df.write.parquet(f"{self.uri}/data/{name}")
         if least is not None and before:
             new, old = self.spark.read.parquet(f"{self.uri}/data/{name}").count(), self.read(before).count()
@@ -68,11 +87,10 @@ class Table:
                 self._fs.delete(self._path(f"data/{name}"), True)
                 return False
         self._fs.mkdirs(self._path("commits"))
-        taken = any(s.getPath().getName().startswith(f"{before + 1:08d}.") for s in self._fs.listStatus(self._path("commits")))
-        if taken:
-            raise RuntimeError(f"version {before + 1} of {self.uri} was committed meanwhile")
-        self._fs.create(self._path(f"commits/{before + 1:08d}.{name}"), False).close()
+        self._commit(before + 1, name)
         return True
 
     def upsert(self, fresh: DataFrame, keys: list[str], order: list[Column]) -> bool:
-        return self.publish(merged(self.read(), fresh, keys, order) if self.version() else merged(fresh.limit(0), fresh, keys, order))
+        """Merges fresh rows into the version that it reads; of two writers that read the same one, one fails."""
+        seen = self.version()
+        return self.publish(merged(self.read(seen) if seen else fresh.limit(0), fresh, keys, order), after=seen)

@@ -13,9 +13,11 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """A new path under ``spark.checkpoint.dir``; a temporary folder only where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="ledgerline-")

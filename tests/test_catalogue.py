@@ -6,13 +6,15 @@ import __spark_entry__
 from ledgerline.plans import catalogue
 from tests.oracle import compare
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDERS = ("/root/testdata/sf0.001", "/root/testdata/sf0.01")
+FOLDER = FOLDERS[0]
 NO_SQL = {"composition_reconcile", "statement_row_order", "implied_irr"}
 
 
+@pytest.mark.parametrize("folder", FOLDERS)
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
-def test_against_sql(spark, name):
-    compare(catalogue.QUERIES[name](spark, FOLDER), catalogue.ORACLES[name], FOLDER)
+def test_against_sql(spark, name, folder):
+    compare(catalogue.QUERIES[name](spark, folder), catalogue.ORACLES[name], folder)
 
 
 def test_which_have_no_sql():

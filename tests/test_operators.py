@@ -54,7 +54,7 @@ def test_miles(spark, points, wanted):
 
 def test_points_within_a_radius(spark):
     rng = random.Random(5)
-    rows = [(k, rng.uniform(-89, 89), rng.uniform(-180, 180)) for k in range(150)] + [(200, 40.0, -75.0), (201, 40.13, -75.18), (202, 10.0, 179.99), (203, 10.0, -179.99)]
+    rows = [(k, rng.uniform(-89, 89), rng.uniform(-180, 180)) for k in range(150)] + [(200, 40.0, -75.0), (201, 40.13, -75.18), (202, 10.0, 179.99), (203, 10.0, -179.99), (204, 89.95, 10.0), (205, 89.93, -170.0), (206, -89.99, 5.0), (207, -90.0, 99.0)]
     df = spark.createDataFrame(rows, "id long, lat double, lng double")
 
     def miles(a, b):
@@ -74,7 +74,7 @@ def test_consensus(spark):
 
 
 def test_holders(spark):
-    df = spark.createDataFrame([("I", k, 8096, 1.0, v) for k, v in enumerate((500.0, 300.0, 200.0))] + [("I", 9, 8095, 1.0, 9e9)], "issuer string, holder long, qi long, shares double, value_usd double")
+    df = spark.createDataFrame([("I", k, 8096, v, 1.0) for k, v in enumerate((500.0, 300.0, 200.0))] + [("I", 9, 8095, 9e9, 1.0)], "issuer string, holder long, qi long, shares double, value_usd double")
     r = ownership.concentration(df).first()
     assert (r.top5, r.top10, round(r.hhi)) == (100, 100, 3800)
     weights = spark.createDataFrame([("E", 60.0, 10.0), ("E", 40.0, 20.0)], "fund string, w double, pe double")
@@ -145,3 +145,71 @@ def test_row_order_takes_every_label(spark, tmp_path):
     assert longest > 12
     found = catalogue.QUERIES["statement_row_order"](spark, str(tmp_path)).collect()
     assert sorted((r.company, r.position, r.label) for r in found) == wanted
+
+
+def test_turnover_and_its_quartiles(spark):
+    held = {"a": (100.0, 100.0), "b": (100.0, 110.0), "c": (100.0, 150.0), "d": (100.0, 300.0)}
+    rows = [("I", k, q, v, 1.0) for k, vs in held.items() for q, v in enumerate(vs)] + [("J", "z", q, v, 1.0) for q, v in enumerate((100.0, 150.0, 100.0))] + [("J", "y", 1, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "issuer string, holder string, qi long, shares double, value_usd double")
+    got = {(r.issuer, r.holder): (r.turnover and round(r.turnover, 4), r.category) for r in ownership.turnover(df).collect()}
+    assert got == {("I", "a"): (0, "Very Low"), ("I", "b"): (9.5238, "Low"), ("I", "c"): (40, "Moderate"), ("I", "d"): (100, "High"), ("J", "z"): (42.8571, None), ("J", "y"): (None, None)}
+
+
+def test_cycle_beta_runs_from_the_last_move_the_other_way(spark):
+    def cycle(rates, values):
+        df = spark.createDataFrame([("s", k, r, v) for k, (r, v) in enumerate(zip(rates, values))], "s string, t long, r double, v double")
+        return timeseries.cycle_beta(df, "s", "t", "v", "r").first()
+
+    c = cycle([5.00, 5.25, 5.50, 5.51, 5.25, 5.00, 5.00], [1.0, 1.1, 1.3, 1.5, 1.7, 1.6, 1.2])
+    assert (c.cycle_start, c.cycle_end, c.direction) == (2, 6, "down") and c.beta == pytest.approx(0.2)
+    assert cycle([5.0, 5.1, 5.0], [1.0, 2.0, 3.0]) is None  # moved by less than 0.15
+    assert cycle([1.0, 1.25, 1.5], [1.0, 1.1, 1.2]).cycle_start == 0
+
+
+def test_nearest_with_many_ties(spark):
+    df = spark.createDataFrame([(1, k, 7.0) for k in range(1, 101)] + [(2, 1, 1.0), (2, 2, 2.0), (2, 3, 3.0), (2, 4, 3.0)], "scope long, bank long, size double")
+    got = {}
+    for r in peers.nearest(df, ["scope"], "bank", "size", 5).collect():
+        got.setdefault((r.scope, r.bank), {})[r["rank"]] = r.peer
+    assert [got[1, 90][k] for k in range(1, 6)] == [1, 2, 3, 4, 5] and [got[1, 3][k] for k in range(1, 6)] == [1, 2, 4, 5, 6]
+    assert [got[2, 2][k] for k in range(1, 4)] == [1, 3, 4]
+
+
+def test_growth_looks_past_gaps(spark):
+    df = spark.createDataFrame([("b", q, v) for q, v in zip((1, 2, 3, 9, 10, 11, 12, 20), (1.0, 1.0, 1.0, 1.0, 2.0, 2.0, 2.0, 2.0))], "bank string, qi long, v double")
+    assert [r.growth_pct for r in timeseries.year_on_year(df, "bank", "qi", "v").orderBy("qi").collect()] == [None] * 7 + [100.0]
+
+
+def test_of_two_writers_of_a_version_one_fails(spark, tmp_path):
+    from ledgerline.sources import sinks
+
+    a, b = (sinks.Table(spark, f"file://{tmp_path}/t") for _ in range(2))
+    one = spark.createDataFrame([(1, "a")], "k long, v string")
+    a.publish(one)
+    seen = b.version()
+    a.publish(one.union(one), after=seen)
+    with pytest.raises(sinks.VersionTaken):
+        b.publish(one, after=seen)
+    assert b.version() == 2 and b.read().count() == 2 and b.read(1).count() == 1
+
+
+def test_a_story_ends_days_after_its_stored_row(spark):
+    from ledgerline.operators import events
+
+    def kept(rows):
+        df = spark.createDataFrame([(k, "T", s, d) for k, (s, d) in enumerate(rows)], "event_id long, ticker string, source string, day int")
+        df = df.withColumn("ts", F.timestamp_seconds(F.col("day") * 86400))
+        return sorted((r.event_id, r.copies) for r in events.deduplicated(df, ["ticker"], ["wire", "site"]).collect())
+
+    assert kept([("site", d) for d in range(30)]) == [(0, 6), (6, 6), (12, 6), (18, 6), (24, 6)]
+    assert kept([("site", 0), ("wire", 3), ("site", 8), ("site", 9)]) == [(1, 3), (3, 1)]  # the better copy takes the row and its time
+
+
+def test_places_over_a_whole_table(spark):
+    from ledgerline.operators.order import placed
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, *range(9)])) for k in range(500)]
+    got = {r.k: r.p for r in placed(spark.createDataFrame(rows, "k long, v int"), [F.desc_nulls_first("v"), F.asc("k")], "p").collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[0]))
+    assert got == {k: n for n, (k, _) in enumerate(order, 1)}
