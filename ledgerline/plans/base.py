@@ -76,7 +76,7 @@ def query(name: str, sql: str | None = None, dates: list[str] | None = None):
         else:
             QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
         if sql:
-            text = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates or [])
+            text = ", ".join(f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in dates or [])
             ORACLES[name] = f"SELECT * REPLACE ({text}) FROM ({sql})" if dates else sql
         return f
 

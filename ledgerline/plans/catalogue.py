@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, asof, entities, flows, ingest, marketplace, peers, statements, valuations
+from . import aggregates, asof, entities, facts, flows, ingest, marketplace, peers, statements, timelines, valuations
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "asof", "entities", "flows", "ingest", "marketplace", "peers", "statements", "valuations"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "asof", "entities", "facts", "flows", "ingest", "marketplace", "peers", "statements", "timelines", "valuations"]
