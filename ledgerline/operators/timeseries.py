@@ -161,3 +161,28 @@ def stats(df: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
     """First, last, lowest, highest and return in percent of each key."""
     out = df.groupBy(*key).agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"), F.min(value).alias("low"), F.max(value).alias("high"))
     return out.withColumn("return_pct", F.when(F.col("first") != 0, (F.col("last") / F.col("first") - 1) * 100))
+
+
+def last_move(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """The newest step of a level that mostly holds: key, direction (hike, cut, hold), bps (of percent), moved (its date; null on hold)."""
+    step = df.where(F.col(value).isNotNull()).withColumn("_d", F.col(value) - F.lag(value).over(by(key, order)))
+    at = F.when(F.col("_d") != 0, F.col(order))
+    last = step.groupBy(key).agg(F.max_by("_d", at).alias("_d"), F.max(at).alias("moved"))
+    return last.select(key, F.when(F.col("_d") > 0, "hike").when(F.col("_d") < 0, "cut").otherwise("hold").alias("direction"), F.coalesce(F.round(F.col("_d") * 100), F.lit(0.0)).cast("long").alias("bps"), "moved")
+
+
+def trend(df: DataFrame, key: str, order: str, value: str, n: int = 30, least: float = 0.05) -> DataFrame:
+    """key, trend: up, down or flat from the first to the last of the newest n known values."""
+    w = Window.partitionBy(key).orderBy(F.desc(order))
+    near = df.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
+    change = F.max_by(value, order) - F.min_by(value, order)
+    return near.groupBy(key).agg(F.when(change > least, "up").when(change < -least, "down").otherwise("flat").alias("trend"))
+
+
+def zscore_latest(df: DataFrame, key: str, order: str, value: str, days: int, least: int = 12) -> DataFrame:
+    """key, z of each key's newest value against its last ``days`` days, or all its history where those hold fewer than ``least`` values; null where all do, or without spread."""
+    known = df.where(F.col(value).isNotNull()).withColumn("_last", F.max(order).over(Window.partitionBy(key)))
+    x, near = F.col(value), F.when(F.datediff("_last", order) <= days, F.col(value))
+    g = known.groupBy(key).agg(F.max_by(value, order).alias("_v"), F.count(near).alias("_k"), F.avg(near).alias("_m1"), F.stddev_samp(near).alias("_s1"), F.count(x).alias("_n"), F.avg(x).alias("_m2"), F.stddev_samp(x).alias("_s2"))
+    z = lambda m, s: F.when(F.col(s) > 0, (F.col("_v") - F.col(m)) / F.col(s))
+    return g.select(key, F.when(F.col("_k") >= least, z("_m1", "_s1")).when(F.col("_n") >= least, z("_m2", "_s2")).alias("z"))
