@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, asof, entities, facts, flows, ingest, marketplace, peers, registers, rules, statement_rows, statements, timelines, valuations
+from . import aggregates, asof, entities, facts, flows, ingest, marketplace, metrics, peers, registers, rules, statement_rows, statements, timelines, valuations
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "asof", "entities", "facts", "flows", "ingest", "marketplace", "peers", "registers", "rules", "statement_rows", "statements", "timelines", "valuations"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "asof", "entities", "facts", "flows", "ingest", "marketplace", "metrics", "peers", "registers", "rules", "statement_rows", "statements", "timelines", "valuations"]
