@@ -88,3 +88,37 @@ def curated(df: DataFrame, keywords: dict[str, int], n: int) -> DataFrame:
     scored = df.select("event_id", score.alias("score"), stem.alias("_k")).where("score > 0")
     best = scored.groupBy("_k").agg(F.max(F.struct("score", (-F.col("event_id")).alias("i"))).alias("_b"))
     return best.select((-F.col("_b.i")).alias("event_id"), F.col("_b.score").alias("score")).orderBy(F.desc("score"), "event_id").limit(n)
+
+
+def universe_feed(df: DataFrame, n: int, exempt: list[str], capped: list[str], cap: int, deal_days: int = 5) -> DataFrame:
+    """The newest n events with copies taken out afterwards, so that fewer than n may come: event_id, position.
+
+    Of the n rows, newest first, goes one whose headline key a kept row of its ticker has
+    (sources in ``exempt`` aside); a deal (``kind`` m_and_a) that shares two tokens with a
+    kept deal of its ticker within ``deal_days`` days; and of sources in ``capped`` what is
+    over ``cap`` of one ticker and kind. Only these n rows, a bound, meet in one task.
+    """
+    few = df.select("event_id", "ticker", "source", "kind", "tokens", headline_key(F.col("headline")).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("s")).orderBy(F.desc("ts"), "event_id").limit(n)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (-r["s"], r["event_id"]))
+        seen, deals, counts, kept = set(), {}, {}, []
+        for r in rows:
+            if r["source"] not in exempt:
+                if (r["ticker"], r["key"]) in seen:
+                    continue
+                seen.add((r["ticker"], r["key"]))
+            if r["kind"] == "m_and_a":
+                own, before = set(r["tokens"] or []), deals.setdefault(r["ticker"], [])
+                if any(len(own & t) >= 2 and abs(r["s"] - s) <= deal_days * 86_400_000_000 for t, s in before):
+                    continue
+                before.append((own, r["s"]))
+            if r["source"] in capped:
+                k = r["ticker"], r["kind"]
+                counts[k] = counts.get(k, 0) + 1
+                if counts[k] > cap:
+                    continue
+            kept.append(r["event_id"])
+        yield pa.RecordBatch.from_pydict({"event_id": pa.array(kept, pa.int64()), "position": pa.array(range(1, len(kept) + 1), pa.int32())})
+
+    return few.coalesce(1).mapInArrow(keep, "event_id long, position int")

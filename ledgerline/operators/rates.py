@@ -50,3 +50,40 @@ def errors(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(
         F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.corr(p, a).alias("corr"), F.avg((F.signum(p) == F.signum(a)).cast("double")).alias("hit_rate")
     )
+
+
+# Growth per 100 basis points of loans, deposits and securities; betas where history gives none.
+VOLUME = {"loans": -0.02, "deposits": -0.01, "securities": 0.005}
+TEXTBOOK_BETA = 0.50
+# Maturity buckets in years.
+BUCKETS = [("le_3mo", 0.0, 0.25), ("3mo_1y", 0.25, 1.0), ("1y_3y", 1.0, 3.0), ("3y_5y", 3.0, 5.0), ("5y_15y", 5.0, 15.0), ("gt_15y", 15.0, 20.0)]
+
+
+def adjusted_growth(base: dict[str, Column], shock_bps: Column) -> dict[str, Column]:
+    """Growth rates of loans, deposits, securities and earning assets (70 percent loans) after a change of rates."""
+    step = shock_bps / 100.0
+    out = {k: base[k] + step * v for k, v in VOLUME.items()}
+    return out | {"earning_assets": base["earning_assets"] + step * (VOLUME["loans"] * 0.7 + VOLUME["securities"] * 0.3)}
+
+
+def curve_scenario(margin: Column, earning_assets: Column, interest_bearing: Column, non_interest: Column, deposits: Column, short_bps: Column, long_bps: Column, beta: Column, asset_beta: float = 1.0, non_interest_beta: float = 0.0) -> tuple[Column, Column]:
+    """Change of the margin in basis points and of yearly net interest income: yields follow the long rate, costs the short one by the deposits' betas and weights."""
+    short, long = short_bps / 100.0, long_bps / 100.0
+    cost = F.when(deposits > 0, (interest_bearing * short * beta + non_interest * short * non_interest_beta) / deposits).otherwise(short * beta)
+    move = long * asset_beta - cost
+    return move * 100, earning_assets * move / 100
+
+
+def resolved_beta(custom: Column, historical: Column) -> tuple[Column, Column]:
+    """The deposit beta and where it is from: a given one within 0 and 1, else history within -0.2 and 1.5, else the textbook's."""
+    value = F.when(custom.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), custom))).when(historical.isNotNull(), F.greatest(F.lit(-0.2), F.least(F.lit(1.5), historical))).otherwise(TEXTBOOK_BETA)
+    return value, F.when(custom.isNotNull(), "custom").when(historical.isNotNull(), "historical").otherwise("textbook_fallback")
+
+
+def ladder(amounts: list[Column]) -> dict[str, Column]:
+    """Of the amounts in BUCKETS: total, floating share, share within a year, weighted years (two digits); null without a positive total."""
+    known = [F.coalesce(a, F.lit(0.0)) for a in amounts]
+    total = sum(known[1:], known[0])
+    part = lambda x: F.when(total > 0, x / total)
+    years = sum((a * ((lo + hi) / 2) for a, (_, lo, hi) in zip(known, BUCKETS)), F.lit(0.0))
+    return {"total": F.when(total > 0, total), "floating": part(known[0]), "within_year": part(known[0] + known[1]), "years": F.round(part(years), 2)}

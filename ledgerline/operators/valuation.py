@@ -72,3 +72,55 @@ def tornado(df: DataFrame, key: str, value, params: dict[str, float]) -> DataFra
     cases = F.array(*(F.struct(F.lit(p).alias("param"), value(zero | {p: -d}).alias("low"), value(zero | {p: d}).alias("high")) for p, d in params.items()))
     out = df.select(key, F.explode(cases).alias("c")).select(key, "c.param", "c.low", "c.high")
     return out.withColumn("spread", F.abs(F.col("high") - F.col("low")))
+
+
+def fcfe(eps: Column, loan_growth: Column, loans: Column, target: float) -> Column:
+    """Yearly flows to equity per share: earnings less the capital (``target`` percent) that the growth of loans per share ties up.
+
+    ``eps`` and ``loan_growth`` (fractions) are arrays by year, ``loans`` the start.
+    """
+    step = F.aggregate(
+        F.arrays_zip(eps.alias("e"), loan_growth.alias("g")), F.struct(F.array().cast("array<double>").alias("out"), loans.cast("double").alias("l")),
+        lambda a, x: F.struct(F.concat(a["out"], F.array(x["e"] - a["l"] * x["g"] * (target / 100))).alias("out"), (a["l"] * (1 + x["g"])).alias("l")),
+    )
+    return step["out"]
+
+
+def warranted_price(roatce: Column, coe: Column, growth: Column, tbvps: Column) -> Column:
+    """The warranted multiple times tangible book per share; null where either is."""
+    return warranted(roatce, coe, growth) * F.nullif(tbvps, F.lit(0.0))
+
+
+def scenarios(df: DataFrame, key: str, value, shifts: dict[str, dict[str, float]]) -> DataFrame:
+    """key, scenario, value: ``value(shifts)`` under the base and each named set of shifts of its parameters."""
+    cases = F.array(*(F.struct(F.lit(name).alias("scenario"), value(s).alias("value")) for name, s in {"base": {}, **shifts}.items()))
+    return df.select(key, F.explode(cases).alias("c")).select(key, "c.scenario", "c.value")
+
+
+def per_year(period: Column) -> Column:
+    """What brings a per-share figure of a period to a year: 4 for YYYYQn, 1 for YYYY, else null."""
+    p = F.upper(F.trim(period))
+    return F.when(p.rlike("^[0-9]{4}Q[1-4]$"), 4.0).when(p.rlike("^[0-9]{4}$"), 1.0)
+
+
+def plausible_quarter(stated: Column, priors: Column, low: float = 0.2, high: float = 5.0) -> Column:
+    """Whether a stated figure lies within multiples of the median of three prior quarters, in size; false where anything is missing."""
+    known = F.filter(priors, lambda x: x.isNotNull())
+    middle = F.abs(F.get(F.sort_array(known), 1))
+    return F.coalesce((F.size(priors) == 3) & (F.size(known) == 3) & (middle > 0) & F.abs(stated).between(middle * low, middle * high), F.lit(False))
+
+
+def ties_out(stated: Column, income: Column, shares: Column) -> Column:
+    """Whether income over shares, at a scale of 1, a thousand or a million, gives the stated figure within 2 percent or 0.006; null without inputs."""
+    tolerance = F.greatest(F.abs(stated) * 0.02, F.lit(0.006))
+    out = F.lit(False)
+    for scale in (1.0, 1e3, 1e6):
+        out = out | (F.abs(income / (shares * scale) - stated) <= tolerance)
+    return F.when((stated != 0) & income.isNotNull() & (shares != 0), out)
+
+
+def chosen_figure(stated: Column, rebuilt: Column, band: float = 0.15) -> tuple[Column, Column, Column]:
+    """A company's own figure or the rebuilt one: value, source, conflict. The stated one counts unless it is ``band`` or more away from the rebuilt one, which is then flagged."""
+    off = F.coalesce(F.abs(stated - rebuilt) >= band * F.abs(rebuilt), F.lit(False))
+    own = stated.isNotNull() & ~off
+    return F.when(own, stated).otherwise(rebuilt), F.when(own, "reported").when(rebuilt.isNotNull(), "reconstructed"), off

@@ -95,6 +95,18 @@ def topic_curation(t: Tables) -> DataFrame:
     return V.curated(s, {"purchase": 3, "69": 2, "click": 1}, 25)
 
 
+@query(
+    "universe_feed",
+    f"""WITH {SQL_STORE}, n AS (SELECT *, {KEY_SQL} AS key FROM store ORDER BY ts DESC, event_id LIMIT 400),
+d AS (SELECT *, row_number() OVER (PARTITION BY ticker, key ORDER BY source = 'error', ts DESC, event_id) AS k FROM n),
+c AS (SELECT *, row_number() OVER (PARTITION BY ticker, source ORDER BY ts DESC, event_id) AS m FROM d WHERE k = 1 OR source = 'error')
+SELECT event_id, CAST(row_number() OVER (ORDER BY ts DESC, event_id) AS INTEGER) AS position FROM c WHERE source <> 'click' OR m <= 2""",
+)
+def universe_feed(t: Tables) -> DataFrame:
+    s = _store(t).withColumns({"kind": F.col("source"), "tokens": F.array().cast("array<string>")})
+    return V.universe_feed(s, 400, ["error"], ["click"], 2)
+
+
 @query("exclusion_antijoin", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def exclusion_antijoin(t: Tables) -> DataFrame:
     out = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).union(t.customer.where("c_acctbal < 0").select("c_custkey"))

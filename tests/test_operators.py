@@ -213,3 +213,84 @@ def test_places_over_a_whole_table(spark):
     got = {r.k: r.p for r in placed(spark.createDataFrame(rows, "k long, v int"), [F.desc_nulls_first("v"), F.asc("k")], "p").collect()}
     order = sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[0]))
     assert got == {k: n for n, (k, _) in enumerate(order, 1)}
+
+
+def test_feed_takes_copies_out_after_the_limit(spark):
+    from ledgerline.operators import events
+
+    rows = [
+        (1, "T", "wire", "news", "Same headline", 10, []), (2, "T", "agg", "news", "same HEADLINE!", 9, []), (3, "T", "wire", "m_and_a", "Deal one", 8, ["alpha", "beta"]), (4, "T", "sec", "m_and_a", "Filing", 7, ["alpha", "beta", "x"]),
+        (5, "T", "wire", "m_and_a", "Deal two", 6, ["alpha", "gamma"]), (6, "T", "wire", "m_and_a", "Deal one again", 1, ["alpha", "beta"]), (7, "T", "agg", "news", "a", 5, []), (8, "T", "agg", "news", "b", 4, []), (9, "T", "sec", "news", "Filing", 3, []), (10, "T", "sec", "news", "Filing", 2, []), (11, "T", "wire", "news", "old", 0, []),
+    ]
+    df = spark.createDataFrame(rows, "event_id long, ticker string, source string, kind string, headline string, day int, tokens array<string>").withColumn("ts", F.timestamp_seconds(F.col("day") * 86400))
+    got = [r.event_id for r in events.universe_feed(df, 10, ["sec"], ["agg"], 1).orderBy("position").collect()]
+    assert got == [1, 3, 5, 7, 9, 10, 6]
+
+
+def test_facts_hand_cases(spark):
+    from ledgerline.operators import facts
+
+    def rows(*given):
+        df = spark.createDataFrame([(1, "C", "USD", *r) for r in given], "cik long, concept string, unit string, start string, end string, val double, form string, filed string")
+        return df.withColumns({c: F.col(c).cast("date") for c in ("start", "end", "filed")})
+
+    day = F.lit("2024-03-01").cast("date")
+    ytd = [("2023-01-01", "2023-03-31", 10.0, "10-Q", "2023-05-01"), ("2023-01-01", "2023-06-30", 25.0, "10-Q", "2023-08-01"), ("2023-01-01", "2023-09-30", 45.0, "10-Q", "2023-11-01")]
+    year = ("2023-01-01", "2023-12-31", 70.0, "10-K", "2024-02-20")
+    q = {str(r.end): r.val for r in facts.quarters(facts.spans(rows(*ytd, year))).collect()}
+    assert q == {"2023-03-31": 10, "2023-06-30": 15, "2023-09-30": 20, "2023-12-31": 25}
+    assert facts.trailing_year(rows(*ytd, year), day).first()[2:] == (70, "quarters")
+    assert facts.trailing_year(rows(ytd[0], year), day).first()[2:] == (70, "annual")
+    assert facts.trailing_year(rows(*ytd), day).first().value is None
+    restated = ("2023-01-01", "2023-03-31", 11.0, "10-Q", "2024-01-01")
+    assert facts.trailing_year(rows(*ytd, year, restated), day).first().value == 70 and facts.quarters(facts.spans(rows(ytd[0], restated))).first().val == 11
+    skipped = [("2023-07-01", "2023-09-30", 0.08, "10-Q", "2023-11-01"), ("2022-10-01", "2022-12-31", 0.08, "10-K", "2023-02-01"), ("2022-04-01", "2022-06-30", 0.08, "10-Q", "2022-08-01")]
+    assert facts.trailing_dividend(rows(*skipped), day).first().value == pytest.approx(0.16)  # the window ends at 2023-09-30
+    assert facts.latest(rows(("2019-01-01", "2019-12-31", 5.0, "10-K", "2020-02-01")), day).first().value is None
+
+
+def test_timeline_hand_cases(spark):
+    from ledgerline.operators import timelines
+
+    assert one(spark, timelines.reserve_coverage(F.lit(2.0), F.lit(1.0), F.lit(9.0))) == 200 and one(spark, timelines.reserve_coverage(F.lit(2.0), F.lit(0.0), F.lit(9.0))) == 9
+    assert one(spark, timelines.organic_need(F.lit(-5.0))) == 0 and one(spark, timelines.organic_need(F.lit(50.0))) == 5
+    assert one(spark, timelines.share(F.lit(0.0), F.lit(10.0))) == 0 and one(spark, timelines.share(F.lit(1.0), F.lit(0.0))) is None
+    df = spark.createDataFrame([("b", 8000 + k, None, 1e8, 2e9, 100.0) for k in range(4)] + [("c", 8000 + 3 * k, 1.0, 1.0, 1.0, 100.0) for k in range(4)], "bank string, qi long, dividends double, buybacks double, income double, shares double")
+    ttm = {(r.bank, r.qi): r for r in timelines.capital_return_ttm(timelines.capital_return(df)).collect()}
+    b, c = ttm["b", 8003], ttm["c", 8009]
+    assert (b.dividends_ttm, b.buybacks_ttm, b.returned_ttm, b.income_ttm) == (None, 4e8, 4e8, 8e9) and c.returned_ttm is None  # quarters apart
+
+
+def test_rule_hand_cases(spark):
+    from ledgerline.functions import rules
+
+    text = lambda f, *xs: [one(spark, f(F.lit(x))) for x in xs]
+    assert text(rules.release_kind, "Acme to acquire Beta", "Q3 results", "Acme joins X", "hello", None) == ["m_and_a", "earnings", "executive_change", "press_release", "press_release"]
+    assert text(rules.material_regulatory, "OCC fined Acme", "Consent order", "Acme opens branch", None) == [True, True, False, False]
+    assert text(rules.own_release, "Acme Announces Results", "Analyst: Acme announces", None) == [True, False, False]
+    assert text(rules.safe_url, "https://chat.whatsapp.com/x", "https://example.com", "https://notx.com") == [False, True, True]
+    assert text(lambda x: rules.report_quarter(x.cast("date")), "2025-11-10", "2026-02-10", "2026-05-10") == ["2025Q3", "2025Q4", "2026Q1"]
+    assert one(spark, rules.credit_regime(F.lit(float("nan")))) == "n/a" and one(spark, rules.quote_move(F.lit(10.0), F.lit(10.5), F.lit(9.0))) is None
+    assert one(spark, rules.units_scale(F.lit("x - shares in Thousands, $ in Millions"))) == 1e6
+
+
+def test_deposit_cost_of_a_quarter(spark):
+    from ledgerline.operators import rowkinds
+
+    df = spark.createDataFrame([("b", 8000, 14000.0, 1_500_000.0), ("b", 8001, 30000.0, 1_520_000.0), ("b", 8003, 60000.0, 1_520_000.0)], "bank string, qi long, cost double, balance double")
+    got = {r.qi: r.rate for r in rowkinds.statement(df, [("rate", "dep_rate", "cost", "balance")]).collect()}
+    assert got[8001] == pytest.approx(4.2105, abs=1e-4) and got[8003] is None
+    assert rowkinds.terms("A+B-C") == [(1, "A"), (1, "B"), (-1, "C")]
+
+
+def test_implied_rate_by_closed_form(spark):
+    # a flow that only grows: price = flow / (k - g), so k = flow / price + g
+    value = lambda k: valuation.terminal(F.lit(2.0), k, F.lit(3.0))
+    assert one(spark, valuation.implied_rate(F.lit(25.0), value)) == pytest.approx(11.0, abs=1e-6)
+    assert one(spark, valuation.implied_rate(F.lit(1e9), value)) is None
+
+
+def test_registry_is_whole():
+    from ledgerline.functions import metrics
+
+    assert len(metrics.directions()) == 159 and len(metrics.filed()) == 91
