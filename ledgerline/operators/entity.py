@@ -36,7 +36,8 @@ def fuzzy_join(left: DataFrame, right: DataFrame, least: float, most: int = 1) -
 
     ``left`` has (id, name), ``right`` (other, name, weight). Distinct word sets stand for the names that have them, so
     copies of a name are compared once: of each set on the right only the best ``most`` rows can be a result, and each
-    set on the left is looked up for all its ids. Sets are blocked by word; the words' counts make the similarity.
+    set on the left is looked up for all its ids. Sets meet over their rarest words alone, as many as two sets of that
+    similarity must share one of, so that a common word brings no pairs together.
     """
     words = F.array_sort(tokens(F.col("name")))
     l = left.select("id", words.alias("_a"))
@@ -44,8 +45,15 @@ def fuzzy_join(left: DataFrame, right: DataFrame, least: float, most: int = 1) -
     r = right.select("other", "weight", words.alias("_b")).withColumn("_r", first).where(F.col("_r") <= most).drop("_r")
     aw = l.select("_a").distinct().select("_a", F.explode("_a").alias("_w"))
     bw = r.select("_b").distinct().select("_b", F.explode("_b").alias("_w"))
-    met = aw.join(bw, "_w").groupBy("_a", "_b").agg(F.count("*").alias("_k"))
-    near = met.withColumn("similarity", F.col("_k") / (F.size("_a") + F.size("_b") - F.col("_k"))).where(F.col("similarity") >= least)
+    counts = aw.select("_w").unionByName(bw.select("_w")).groupBy("_w").agg(F.count("*").alias("_n"))
+
+    def rarest(df: DataFrame, of: str) -> DataFrame:
+        ranked = df.join(counts, "_w").groupBy(of).agg(F.sort_array(F.collect_list(F.struct("_n", "_w"))).alias("_s"))
+        enough = F.size("_s") - F.ceil(F.lit(least) * F.size("_s") - 1e-9).cast("int") + 1
+        return ranked.select(of, F.explode(F.slice("_s", 1, enough)).alias("_x")).select(of, F.col("_x._w").alias("_w"))
+
+    met = rarest(aw, "_a").join(rarest(bw, "_b"), "_w").select("_a", "_b").distinct()
+    near = met.withColumn("similarity", jaccard(F.col("_a"), F.col("_b"))).where(F.col("similarity") >= least)
     place = F.row_number().over(Window.partitionBy("_a").orderBy(F.desc("similarity"), F.desc("weight"), "other"))
     best = near.join(r, "_b").withColumn("place", place).where(F.col("place") <= most)
     return l.join(best, "_a").select("id", "other", "similarity", "place")

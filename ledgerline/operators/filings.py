@@ -42,38 +42,46 @@ def row_value(sign_terms: list[tuple[int, Column]], denominator: bool = False) -
     return F.when(every & (total > 0), total) if denominator else F.when(some, total)
 
 
-def reconciling_subset(values: list[float], total: float, tolerance: float, budget: int = 200_000) -> list[int] | None:
-    """Positions of the only subset that sums to the total within a tolerance; none, several, or an exhausted budget give None."""
+def searched_subset(values: list[float], total: float, tolerance: float, budget: int | None = 200_000) -> tuple[str, list[int]]:
+    """Status and positions: 'unique' with the only subset that sums to the total within a tolerance, 'several', 'none', or 'exhausted' after ``budget`` steps (None: never)."""
     order = sorted(range(len(values)), key=lambda k: -values[k])
     rest = [0.0] * (len(order) + 1)
     for i in range(len(order) - 1, -1, -1):
         rest[i] = rest[i + 1] + max(0.0, values[order[i]])
     found: list[list[int]] = []
     stack: list[tuple[int, float, tuple[int, ...]]] = [(0, 0.0, ())]
+    steps = 0
     while stack:
-        budget -= 1
-        if budget < 0:
-            return None
+        steps += 1
+        if budget is not None and steps > budget:
+            return "exhausted", []
         i, s, chosen = stack.pop()
         if i == len(order):
             if chosen and abs(s - total) <= tolerance:
                 found.append(list(chosen))
                 if len(found) > 1:
-                    return None
+                    return "several", []
             continue
         if s + rest[i] < total - tolerance:
             continue
         stack.append((i + 1, s, chosen))
         stack.append((i + 1, s + values[order[i]], (*chosen, order[i])))
-    return sorted(found[0]) if found else None
+    return ("unique", sorted(found[0])) if found else ("none", [])
 
 
-def compositions(df: DataFrame, group: str, member: str, value: str, total: str, tolerance: float = 0.5, most: int = 64) -> DataFrame:
+def reconciling_subset(values: list[float], total: float, tolerance: float, budget: int | None = 200_000) -> list[int] | None:
+    """Positions of the only subset that sums to the total within a tolerance; else None."""
+    status, chosen = searched_subset(values, total, tolerance, budget)
+    return chosen if status == "unique" else None
+
+
+def compositions(df: DataFrame, group: str, member: str, value: str, total: str, tolerance: float = 0.5, budget: int | None = 200_000) -> DataFrame:
     """Members of each group whose values alone make up its total: group, member, value, stage.
 
-    Stage 'all' if every member together does, else 'subset' if exactly one subset does; groups that don't
-    reconcile give no rows. Totals are checked natively; only the others' short lists go to Python, one
-    array a group, and groups of over ``most`` members have no searchable subset.
+    Stage 'all' if every member together does, else 'unique' if exactly one subset does. A group that doesn't reconcile
+    gives one row without member, its stage 'several', 'none' or, where the search ended before it was through,
+    'exhausted'; ``budget`` None searches to the end. Totals are checked natively; only the others' lists go to Python,
+    one array a group.
     """
     lists = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(member, value))).alias("_m"), F.max(total).alias("_t"))
     whole = F.aggregate("_m", F.lit(0.0), lambda a, x: a + x[value])
@@ -82,14 +90,12 @@ def compositions(df: DataFrame, group: str, member: str, value: str, total: str,
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for values, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                keep.append(reconciling_subset(values, t, tolerance) or [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keep, pa.list_(pa.int32()))], [group, "_k"])
-
-    hard = judged.where(~F.col("_all") & (F.size("_m") <= most))
-    found = hard.select(group, F.col(f"_m.{value}").alias("_v"), "_t").mapInArrow(search, f"{group} {dict(df.dtypes)[group]}, _k array<int>")
-    part = hard.join(found, group).select(group, F.explode("_k").alias("_i"), "_m").select(group, F.element_at("_m", F.col("_i") + 1).alias("m"), F.lit("subset").alias("stage"))
+            found = [searched_subset(values, t, tolerance, budget) for values, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in found], pa.string()), pa.array([k for _, k in found], pa.list_(pa.int32()))], [group, "stage", "_k"])
+
+    hard = judged.where(~F.col("_all"))
+    found = hard.select(group, F.col(f"_m.{value}").alias("_v"), "_t").mapInArrow(search, f"{group} {dict(df.dtypes)[group]}, stage string, _k array<int>")
+    part = hard.join(found, group).select(group, F.explode_outer("_k").alias("_i"), "_m", "stage").select(group, F.when(F.col("_i").isNotNull(), F.get("_m", F.col("_i"))).alias("m"), "stage")
     return done.unionByName(part).select(group, f"m.{member}", f"m.{value}", "stage")
 
 

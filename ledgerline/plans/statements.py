@@ -66,11 +66,22 @@ def quarter_from_durations(t: Tables) -> DataFrame:
     return q.select("bank", (F.year("end") * 4 + F.quarter("end") - 1).cast("long").alias("qi"), F.round("value", 2).alias("value"), "derived")
 
 
-@query("composition_reconcile")
+@query(
+    "composition_reconcile",
+    """WITH p AS (SELECT p_partkey // 6 AS grp, p_partkey AS member, CAST(p_size * 100 + p_partkey % 7 AS BIGINT) AS v FROM part), t AS (SELECT grp, sum(v) FILTER (WHERE member % 6 < 3) AS total FROM p GROUP BY 1),
+g AS (SELECT p.grp, list(member ORDER BY member) AS ms, list(v ORDER BY member) AS vs, sum(v) AS every, any_value(total) AS total FROM p JOIN t ON p.grp = t.grp WHERE total IS NOT NULL GROUP BY 1),
+c AS (SELECT grp, ms, vs, total, every, m FROM g, (SELECT unnest(range(1, 64)) AS m) WHERE m < (1 << len(ms))),
+s AS (SELECT grp, m, ms, vs FROM c WHERE every <> total AND list_sum(list_transform(range(1, len(vs) + 1), lambda i: CASE WHEN (m >> (i - 1)) & 1 = 1 THEN vs[i] ELSE 0 END)) = total),
+n AS (SELECT grp, count(*) AS n, any_value(m) AS m, any_value(ms) AS ms, any_value(vs) AS vs FROM s GROUP BY 1),
+u AS (SELECT grp, unnest(range(1, len(ms) + 1)) AS i, m, ms, vs FROM n WHERE n = 1)
+SELECT grp, unnest(ms) AS member, CAST(unnest(vs) AS DOUBLE) AS value, 'all' AS stage FROM g WHERE every = total
+UNION ALL SELECT grp, ms[i], CAST(vs[i] AS DOUBLE), 'unique' FROM u WHERE (m >> (i - 1)) & 1 = 1 UNION ALL SELECT grp, NULL, NULL, 'several' FROM n WHERE n > 1
+UNION ALL SELECT grp, NULL, NULL, 'none' FROM g WHERE every <> total AND grp NOT IN (SELECT grp FROM n)""",
+)
 def composition_reconcile(t: Tables) -> DataFrame:
-    p = t.part.select(F.floor(F.col("p_partkey") / 12).alias("grp"), F.col("p_partkey").alias("member"), (F.col("p_size") + F.col("p_partkey") * 7919 % 10007 / 10007.0).alias("value"))
-    totals = p.where("member % 12 < 7").groupBy("grp").agg(F.sum("value").alias("total"))
-    return S.compositions(p.join(totals, "grp"), "grp", "member", "value", "total", 1e-6)
+    p = t.part.select(F.floor(F.col("p_partkey") / 6).alias("grp"), F.col("p_partkey").alias("member"), (F.col("p_size") * 100 + F.col("p_partkey") % 7).cast("double").alias("value"))
+    totals = p.where("member % 6 < 3").groupBy("grp").agg(F.sum("value").alias("total"))
+    return S.compositions(p.join(totals, "grp"), "grp", "member", "value", "total", 0.5, None)
 
 
 @query("statement_row_order")

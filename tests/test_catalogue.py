@@ -8,7 +8,7 @@ from tests.oracle import compare
 
 FOLDERS = ("/root/testdata/sf0.001", "/root/testdata/sf0.01")
 FOLDER = FOLDERS[0]
-NO_SQL = {"composition_reconcile", "statement_row_order", "implied_irr"}
+NO_SQL = {"statement_row_order", "implied_irr"}
 
 
 @pytest.mark.parametrize("folder", FOLDERS)

@@ -294,3 +294,27 @@ def test_registry_is_whole():
     from ledgerline.functions import metrics
 
     assert len(metrics.directions()) == 159 and len(metrics.filed()) == 91
+
+
+def test_search_says_how_it_ended():
+    assert filings.searched_subset([5.0, 5.0, 1.0], 6.0, 0.1) == ("several", []) and filings.searched_subset([1.0, 2.0], 9.0, 0.1) == ("none", [])
+    many = [float(k) for k in range(1, 40)]
+    assert filings.searched_subset(many, 390.5, 0.1, budget=1000) == ("exhausted", [])
+    assert filings.searched_subset([500.0, 300.0, 200.0, 70.0], 1000.0, 0.5, None) == ("unique", [0, 1, 2])
+
+
+def test_names_that_share_only_common_words(spark):
+    from ledgerline.operators import entity
+
+    rng = random.Random(9)
+    vocabulary = [f"W{k}" for k in range(12)]
+    names = sorted({" ".join(["COMMON"] + rng.sample(vocabulary, rng.randrange(1, 5))) for _ in range(60)})
+    l = spark.createDataFrame(list(enumerate(names[:30])), "id long, name string")
+    r = spark.createDataFrame([(k, n, float(k % 5)) for k, n in enumerate(names[20:])], "other long, name string, weight double")
+    for least in (0.34, 0.5, 0.8):
+        wanted = set()
+        for i, a in enumerate(names[:30]):
+            x = set(a.split())
+            met = [(-len(x & set(b.split())) / len(x | set(b.split())), -float(k % 5), k) for k, b in enumerate(names[20:])]
+            wanted |= {(i, k) for s, _, k in sorted(m for m in met if -m[0] >= least)[:2]}
+        assert {(g.id, g.other) for g in entity.fuzzy_join(l, r, least, 2).collect()} == wanted
