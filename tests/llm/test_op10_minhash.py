@@ -128,3 +128,16 @@ def test_chance_of_loss_holds_for_every_percent(percent):
 def test_percent_out_of_range(docs, percent):
     with pytest.raises(ValueError):
         op.near_duplicates(docs([]), percent=percent)
+
+
+def test_a_third_copies_and_a_third_near_copies(docs, monkeypatch):
+    """Groups far over the blocks, one of exact and one of near copies, beside clean texts."""
+    monkeypatch.setattr(op, "BAND_BLOCK", 7)
+    monkeypatch.setattr(op, "CLUSTER_BLOCK", 5)
+    base = family(7, 0, 80)[0].split()
+    near = [" ".join([*base[:k], f"n{k}", *base[k + 1 :]]) for k in range(60)]  # each linked with the base, few with each other
+    pairs = list(enumerate([" ".join(base)] + near + ["the same text for all of these rows here"] * 60 + [" ".join(f"c{k}_{w}" for w in range(30)) for k in range(60)]))
+    random.Random(3).shuffle(pairs)
+    assert rows(op.near_duplicates(docs(pairs))) == brute(pairs)
+    moved = [(d + 1000 if d == 0 else d, t) for d, t in pairs]  # the base is no longer the smallest
+    assert rows(op.near_duplicates(docs(moved))) == brute(moved)

@@ -79,3 +79,8 @@ def test_damage_is_an_error(spark, pages, tmp_path):
 
 def test_no_pages(pages):
     assert op.round_trip(pages([])).collect() == []
+
+
+def test_payload_of_a_third_of_all_pages(pages):
+    case = [(k, f"http://h/{k}", "shared page" if k % 3 == 0 else f"page {k % 40}") for k in range(300)] + [(None, "n", "shared page")] * 5
+    assert rows(op.round_trip(pages(case))) == brute(case)

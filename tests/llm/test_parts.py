@@ -88,3 +88,35 @@ def test_pipeline_over_no_documents(spark, small, tmp_path, docs):
         shutil.copy(f"{small}/{t}.parquet", tmp_path)
     docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_components_without_a_small_finish(spark, monkeypatch):
+    """The distributed steps, with a star that holds a third of all edges."""
+    from ledgerline.llm import graph
+
+    monkeypatch.setattr(graph, "SMALL", 0)
+    rng = random.Random(4)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500 + k, 501 + k) for k in range(20)] + [(900, 1000 + k) for k in range(80)]
+    found = sorted(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
+    monkeypatch.setattr(graph, "SMALL", 1 << 20)
+    assert found == sorted(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert dict(found)[1079] == 900 and dict(found)[520] == 500
+
+
+def test_lookup_of_a_key_with_a_third_of_all_rows(spark):
+    from ledgerline.llm.scratch import looked_up
+
+    rows = [(k, "hot" if k % 3 == 0 else f"k{k % 50}" if k % 7 else None) for k in range(900)]
+    df, table = spark.createDataFrame(rows, "id long, key string"), spark.createDataFrame([("hot", 1), ("k1", 2), ("absent", 3)], "key string, v int")
+    known = {"hot": 1, "k1": 2}
+    left = {r.id: r.v for r in looked_up(df, table, "key", "id").collect()}
+    assert left == {i: known.get(k) for i, k in rows}
+    assert {r.id for r in looked_up(df, table, "key", "id", "inner").collect()} == {i for i, k in rows if k in known}
+
+
+def test_sample_fractions_do_not_vanish(spark):
+    from ledgerline.llm.scratch import fraction
+
+    df = spark.range(200_000)
+    n = df.where(fraction(1e-3, "s", "id")).count()
+    assert 120 < n < 290 and df.where(fraction(2.0, "s", "id")).count() == 200_000
