@@ -58,3 +58,10 @@ def competitors(df: DataFrame) -> DataFrame:
     j = df.join(top, "market")
     other = F.when(F.col("_1.bank") == F.col("bank"), F.col("_2")).otherwise(F.col("_1"))
     return j.withColumn("_o", other).select(*df.columns, F.col("_o.bank").alias("top_competitor"), F.col("_o.share").alias("top_share"))
+
+
+def skipped(df: DataFrame, a: int, b: int) -> DataFrame:
+    """Markets where both banks are but one has no deposits, which the merger screen leaves out: market, reason."""
+    held = lambda k: F.sum(F.when(F.col("bank") == k, F.coalesce("deposits", F.lit(0.0))))
+    m = df.groupBy("market").agg(held(a).alias("_a"), held(b).alias("_b")).where("_a is not null and _b is not null and (_a <= 0 or _b <= 0)")
+    return m.select("market", F.lit("zero deposits").alias("reason"))

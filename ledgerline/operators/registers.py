@@ -181,3 +181,32 @@ def collapsed(df: DataFrame, group: str, label: str, member: str, value: str) ->
 def one_of_equal(df: DataFrame, group: str, member: str, value: str) -> DataFrame:
     """Members of a group with exactly one value as one, the first by name."""
     return df.groupBy(group, value).agg(F.min(member).alias(member)).select(group, member, value)
+
+
+def consolidated(df: DataFrame, keys: list[str], member: str, size: str, sums: list[str], ratios: dict[str, tuple[str, str]], averages: list[str]) -> DataFrame:
+    """One record per key of its members' records: sums, ratios computed anew from sums (in percent), the largest member's id, the count.
+
+    Ratios to average balances can't be computed from members and are null, but a single
+    record passes through untouched. A sum skips missing values; null if all are missing.
+    """
+    n = F.count("*")
+    out = df.groupBy(*keys).agg(
+        *(F.sum(c).alias(c) for c in sums), *(F.when(F.sum(b) != 0, F.sum(a) / F.sum(b) * 100).alias(r) for r, (a, b) in ratios.items()), *(F.when(n == 1, F.max(c)).alias(c) for c in averages),
+        F.max_by(member, F.struct(F.col(size), -F.col(member))).alias("lead"), n.alias("members"),
+    )
+    return out
+
+
+def best_of_each(df: DataFrame, key: str, metrics: dict[str, bool]) -> DataFrame:
+    """metric, key, value: the best row by each metric's direction (ties: the smaller key); metrics nobody has are left out."""
+    long = df.unpivot([key], list(metrics), "metric", "value").where("value is not null")
+    up = F.col("metric").isin([m for m, higher in metrics.items() if higher])
+    best = long.groupBy("metric").agg(F.max(F.struct(F.when(up, F.col("value")).otherwise(-F.col("value")).alias("s"), (-F.col(key)).alias("k"), "value")).alias("b"))
+    return best.select("metric", (-F.col("b.k")).alias(key), "b.value")
+
+
+def against_median(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
+    """metric, key, value, median, gap: each row's known metrics beside the cohort's median."""
+    long = df.unpivot([key], metrics, "metric", "value").where("value is not null")
+    mid = long.groupBy("metric").agg(F.median("value").alias("median"))
+    return long.join(F.broadcast(mid), "metric").select("metric", key, "value", "median", (F.col("value") - F.col("median")).alias("gap"))
