@@ -3,6 +3,8 @@
 Documents are a column of text, one a row; schemas are given. A broken document, a null
 and an empty text give no rows. All of it is expressions over the scan; only facts meet
 their contexts in a join, on (filing, context), for a filing may split them over documents.
+Arrays are exploded outer, nulls dropped after: of an inner explode Spark infers a filter
+below it that parses every document once more.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def trades(df: DataFrame, key: str, column: str) -> DataFrame:
             F.struct(F.lit(True).alias("derivative"), F.col("x.derivativeTable.derivativeTransaction").alias("t")),
         ).alias("parts"),
     )
-    rows = head.select(key, "ticker", "insider", "role", F.explode("parts").alias("p")).select(key, "ticker", "insider", "role", "p.derivative", F.explode("p.t").alias("t"))
+    rows = head.select(key, "ticker", "insider", "role", F.explode_outer("parts").alias("p")).select(key, "ticker", "insider", "role", "p.derivative", F.explode_outer("p.t").alias("t")).where("t is not null")
     given = {"shares": F.col("t.transactionAmounts.transactionShares.value"), "price": F.col("t.transactionAmounts.transactionPricePerShare.value")}
     code = F.col("t.transactionCoding.transactionCode")
     out = rows
@@ -66,7 +68,7 @@ def trades(df: DataFrame, key: str, column: str) -> DataFrame:
 
 def holdings(df: DataFrame, key: str, column: str, filed: str) -> DataFrame:
     """Positions of quarterly holdings tables: key, issuer, title, cusip, shares, value_usd. Values filed before 2023 are in thousands."""
-    i = df.select(key, filed, F.from_xml(column, HOLDINGS, PLAIN).alias("x")).select(key, filed, F.explode("x.infoTable").alias("i"))
+    i = df.select(key, filed, F.from_xml(column, HOLDINGS, PLAIN).alias("x")).select(key, filed, F.explode_outer("x.infoTable").alias("i")).where("i is not null")
     scale = F.when(F.col(filed) < F.lit("2023-01-01").cast("date"), 1000.0).otherwise(1.0)
     return i.select(
         key, F.trim("i.nameOfIssuer").alias("issuer"), F.trim("i.titleOfClass").alias("title"), F.trim("i.cusip").alias("cusip"),
@@ -98,7 +100,7 @@ def contexts(df: DataFrame, filing: str, column: str) -> DataFrame:
 
     An id used twice takes its last use within a document and the greatest text across documents; so does an axis.
     """
-    c = df.select(filing, F.posexplode(_all(F.col(column), _element("context"))).alias("at", "c"))
+    c = df.select(filing, F.posexplode_outer(_all(F.col(column), _element("context"))).alias("at", "c")).where("c is not null")
     member = F.col("m")
     explicit = F.transform(_all(F.col("c"), _element("explicitMember")), lambda m: F.struct(_attribute(m, "dimension").alias("axis"), F.trim(F.regexp_extract(m, ">([^<]*)<", 1)).alias("member")))
     typed = F.transform(
@@ -121,7 +123,7 @@ def contexts(df: DataFrame, filing: str, column: str) -> DataFrame:
 
 def units(df: DataFrame, filing: str, column: str) -> DataFrame:
     """Units: filing, unit_id, unit, the local names of its measures joined by a slash."""
-    u = df.select(filing, F.explode(_all(F.col(column), _element("unit"))).alias("u"))
+    u = df.select(filing, F.explode_outer(_all(F.col(column), _element("unit"))).alias("u")).where("u is not null")
     measures = F.transform(_all(F.col("u"), _element("measure")), lambda m: F.regexp_replace(F.trim(F.regexp_extract(m, ">([^<]*)<", 1)), "^.*:", ""))
     named = u.select(filing, _attribute(F.col("u"), "id").alias("unit_id"), F.nullif(F.array_join(measures, "/"), F.lit("")).alias("unit"))
     return named.where("unit_id is not null").groupBy(filing, "unit_id").agg(F.max("unit").alias("unit"))
@@ -136,7 +138,7 @@ def _resolved(facts: DataFrame, df: DataFrame, filing: str, column: str) -> Data
 def instance_facts(df: DataFrame, filing: str, column: str) -> DataFrame:
     """Numeric facts of instance documents: filing, concept (with its prefix), value, unit, start, end, dims."""
     pattern = r"""(?s)<[\w.-]+:[\w.-]+\s[^>]*?\bcontextRef\s*=\s*["'][^"']*["'][^>]*>[^<]*</"""
-    f = df.select(filing, F.explode(_all(F.col(column), pattern)).alias("f"))
+    f = df.select(filing, F.explode_outer(_all(F.col(column), pattern)).alias("f")).where("f is not null")
     value = number(F.trim(F.regexp_extract("f", ">([^<]*)<", 1)))
     facts = f.select(filing, F.regexp_extract("f", r"^<([\w.:-]+)", 1).alias("concept"), _attribute(F.col("f"), "contextRef").alias("context"), _attribute(F.col("f"), "unitRef").alias("unit_id"), value.alias("value"))
     return _resolved(facts.where("value is not null"), df, filing, column)
@@ -144,7 +146,7 @@ def instance_facts(df: DataFrame, filing: str, column: str) -> DataFrame:
 
 def inline_facts(df: DataFrame, filing: str, column: str) -> DataFrame:
     """Numeric facts inside pages: as ``instance_facts``. A minus sign attribute or parentheses make a value negative; scale is a power of ten."""
-    f = df.select(filing, F.explode(_all(F.col(column), _element("nonFraction"))).alias("f"))
+    f = df.select(filing, F.explode_outer(_all(F.col(column), _element("nonFraction"))).alias("f")).where("f is not null")
     raw = F.trim(F.regexp_replace("f", "(?s)<[^>]*>", ""))
     bare = F.regexp_replace(F.regexp_replace(raw, r"^[()]+|[()]+$", ""), "[, ]", "")
     scale = F.coalesce(_attribute(F.col("f"), "scale").try_cast("int"), F.lit(0))
