@@ -44,8 +44,9 @@ def _table(name):
         elif name == "inv":
             _tables[name] = _powers(_PINV)
         else:
-            values = LOWER.astype(U) + U(1)
-            values[np.frombuffer(name, np.uint8)] = 0
+            delimiters, lower = name
+            values = (LOWER if lower else np.arange(256)).astype(U) + U(1)
+            values[np.frombuffer(delimiters, np.uint8)] = 0
             _tables[name] = values
     return _tables[name]
 
@@ -73,10 +74,10 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of a column: byte ranges, document and hash of each, and where each document's begin."""
+    """The words of a column: byte ranges, document and hash (of the lower-cased word, unless ``lower`` is false) of each, and where each document's begin."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, delimiters: bytes):
-        values = _table(delimiters)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, delimiters: bytes, lower: bool = True):
+        values = _table((delimiters, lower))
         self.data, self.offsets, docs = data, offsets, len(offsets) - 1
         inside = (values != 0)[data]
         first, last = inside.copy(), inside.copy()
