@@ -57,15 +57,17 @@ def nearest(probes: DataFrame, facts: DataFrame, key: str, at: str, ahead: int,
 
 
 def newest_within(left: DataFrame, right: DataFrame, key: str, at: str, days: int, right_at: str, order: list[str]) -> DataFrame:
-    """Each row of ``left`` with the newest row of ``right`` from its day to ``days`` later, ties by ``order``; only matches.
+    """Each row of ``left`` with the newest row of ``right`` from its day to ``days`` later, ties by ``order``; only matches, repeated rows each.
 
     Right rows enter the buckets of ``days`` + 1 days that they can answer, so the join is an equi-join.
     """
     span = days + 1
     day = lambda c: F.floor(F.unix_date(F.to_date(c)) / span)
-    l = left.withColumn("_b", F.explode(F.array(day(at), day(at) + 1)))
+    times = left.groupBy(*left.columns).agg(F.count("*").alias("_n"))  # equal rows have equal answers
+    l = times.withColumn("_b", F.explode(F.array(day(at), day(at) + 1)))
     r = right.withColumn("_b", day(right_at))
     apart = F.datediff(F.to_date(right_at), F.to_date(at))
     met = l.join(r, [key, "_b"]).where((apart >= 0) & (apart <= days)).drop("_b")
-    w = Window.partitionBy(key, at).orderBy(F.desc(right_at), *order)
-    return met.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    w = Window.partitionBy(*(met[c] for c in left.columns)).orderBy(F.desc(right_at), *order)
+    first = met.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return first.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n")

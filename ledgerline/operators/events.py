@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,16 +29,21 @@ def clamped(ts: Column, now: Column, hours: int = 12) -> Column:
     return F.when(ts > now + F.expr(f"interval {hours} hours"), now).otherwise(ts)
 
 
-def deduplicated(df: DataFrame, keys: list[str], order: list[str], days: int = 5) -> DataFrame:
+def deduplicated(df: DataFrame, keys: list[str], order: list[str], days: int = 5, eligible: list[str] | None = None) -> DataFrame:
     """The stored row of each story, by order of arrival (ts, event_id): event_id, keys, copies.
 
-    An event with the keys of a stored row no more than ``days`` older is a copy; from a
-    better source it takes the stored row's place, its time too. Later ones are new
-    stories. Rows stream by in order, so a key that holds a third of all events is one
-    row of state.
+    Among the ``eligible`` sources (all, if None) an event with the keys of a stored row no
+    more than ``days`` older is a copy; from a better source it takes the stored row's
+    place, its time too. Later ones are new stories. Events of other sources, whose
+    headlines may be generic, and events without time, which can't be placed, are each a
+    story of their own; only the same event of the same source repeats it. Rows stream by
+    in order, so a key that holds a third of all events is one row of state; rows alone
+    with their key pass as whole columns.
     """
     named = [F.col(k) for k in keys]
-    rows = df.select(*named, F.col("ts").cast("timestamp").alias("ts"), "event_id", rank(F.col("source"), order).alias("_rank"))
+    placed = F.col("ts").isNotNull() & (F.lit(True) if eligible is None else F.coalesce(F.col("source").isin(eligible), F.lit(False)))
+    rows = df.where(placed).select(*named, F.col("ts").cast("timestamp").alias("ts"), "event_id", rank(F.col("source"), order).alias("_rank"))
+    alone = df.where(~placed).groupBy("source", "event_id", *named).agg(F.count("*").alias("copies")).select("event_id", *named, "copies")
     width = len(keys)
     schema = f"event_id {dict(df.dtypes)['event_id']}, " + ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", copies long"
 
@@ -46,6 +52,20 @@ def deduplicated(df: DataFrame, keys: list[str], order: list[str], days: int = 5
         span = timedelta(days=days)
         for b in batches:
             out = []
+            if not b.num_rows:
+                continue
+            if stored:
+                if (own := [c[0].as_py() for c in b.columns[:width]]) != key:  # a story that the last batch left open, and that ended there
+                    yield made([(stored[2], *key, stored[3])], b.schema)
+                    key = stored = None
+            shared = between(b)
+            first, last = shared[:-1], shared[1:]
+            first[0], last[-1] = stored is not None, True  # the last row's key may go on in the next batch
+            single = ~(first | last)
+            if single.any():
+                some = b.filter(pa.array(single))
+                yield pa.RecordBatch.from_arrays([some.column(width + 1), *some.columns[:width], pa.array(np.ones(some.num_rows, np.int64))], names)
+                b = b.filter(pa.array(~single))
             for *own, ts, event, place in zip(*(c.to_pylist() for c in b.columns)):
                 if own != key or ts > stored[0] + span:
                     if stored:
@@ -57,11 +77,21 @@ def deduplicated(df: DataFrame, keys: list[str], order: list[str], days: int = 5
         if stored:
             yield made([(stored[2], *key, stored[3])], b.schema)
 
+    def between(b: pa.RecordBatch) -> np.ndarray:
+        """Whether each row has the keys of the row before it; one more at the end."""
+        same = np.zeros(b.num_rows + 1, bool)
+        same[1:-1] = True
+        for c in b.columns[:width]:
+            coded = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            same[1:-1] &= coded[1:] == coded[:-1]
+        return same
+
     def made(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         types = [schema.field("event_id").type, *(schema.field(k).type for k in range(width)), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["event_id", *keys, "copies"])
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
-    return rows.where(F.col("ts").isNotNull()).repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id").mapInArrow(walk, schema)
+    names = ["event_id", *keys, "copies"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id").mapInArrow(walk, schema).unionByName(alone)
 
 
 def capped_feed(df: DataFrame, per: list[str], cap: int, n: int) -> DataFrame:
@@ -95,13 +125,14 @@ def universe_feed(df: DataFrame, n: int, exempt: list[str], capped: list[str], c
 
     Of the n rows, newest first, goes one whose headline key a kept row of its ticker has
     (sources in ``exempt`` aside); a deal (``kind`` m_and_a) that shares two tokens with a
-    kept deal of its ticker within ``deal_days`` days; and of sources in ``capped`` what is
-    over ``cap`` of one ticker and kind. Only these n rows, a bound, meet in one task.
+    kept deal of its ticker within ``deal_days`` days, or if either has no time; and of sources in ``capped`` what is
+    over ``cap`` of one ticker and kind. Events without time come last. Only these n rows, a
+    bound, meet in one task.
     """
-    few = df.select("event_id", "ticker", "source", "kind", "tokens", headline_key(F.col("headline")).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("s")).orderBy(F.desc("ts"), "event_id").limit(n)
+    few = df.select("event_id", "ticker", "source", "kind", "tokens", headline_key(F.col("headline")).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("s")).orderBy(F.desc_nulls_last("s"), "event_id").limit(n)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (-r["s"], r["event_id"]))
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["s"] is None, -(r["s"] or 0), r["event_id"]))
         seen, deals, counts, kept = set(), {}, {}, []
         for r in rows:
             if r["source"] not in exempt:
@@ -110,7 +141,7 @@ def universe_feed(df: DataFrame, n: int, exempt: list[str], capped: list[str], c
                 seen.add((r["ticker"], r["key"]))
             if r["kind"] == "m_and_a":
                 own, before = set(r["tokens"] or []), deals.setdefault(r["ticker"], [])
-                if any(len(own & t) >= 2 and abs(r["s"] - s) <= deal_days * 86_400_000_000 for t, s in before):
+                if any(len(own & t) >= 2 and (r["s"] is None or s is None or abs(r["s"] - s) <= deal_days * 86_400_000_000) for t, s in before):
                     continue
                 before.append((own, r["s"]))
             if r["source"] in capped:

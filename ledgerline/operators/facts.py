@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # The forms that count, the order of units, and the tolerances around a fiscal date, in days.
 FORMS = ["10-K", "10-Q"]
 UNITS = ["USD", "USD/shares", "shares", "pure"]
+FLOW_UNITS = ["USD", "USD/shares", "pure"]
+DIVIDEND_UNITS = ["USD/shares", "USD"]
 END_DAYS, START_DAYS = 14, 20
 
 
@@ -38,10 +40,15 @@ def latest(df: DataFrame, as_of: Column, years: int = 3) -> DataFrame:
     return best.select("cik", "concept", F.when(fresh, -F.col("b.v")).alias("value"), F.when(fresh, end).alias("end"), F.col("b.unit").alias("unit"))
 
 
-def spans(df: DataFrame) -> DataFrame:
-    """Facts with a duration in FORMS, one per (cik, concept, start, end): the latest filed (ties: larger value)."""
-    own = df.where(F.col("form").isin(FORMS) & F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("val").isNotNull())
-    return own.groupBy("cik", "concept", "start", "end").agg(F.max_by("val", F.struct("filed", "val")).alias("val"), F.max("filed").alias("filed"))
+def in_units(df: DataFrame, units: list[str]) -> DataFrame:
+    """Facts in the units only, other currencies aside, with ``_u``: minus the unit's place, so that the earlier one is larger."""
+    return df.withColumn("_u", -place(F.col("unit"), units)).where("_u is not null")
+
+
+def spans(df: DataFrame, units: list[str] = FLOW_UNITS) -> DataFrame:
+    """Facts with a duration in FORMS and ``units``, one per (cik, concept, start, end): the latest filed (ties: earlier unit, larger value)."""
+    own = in_units(df, units).where(F.col("form").isin(FORMS) & F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("val").isNotNull())
+    return own.groupBy("cik", "concept", "start", "end").agg(F.max_by("val", F.struct("filed", "_u", "val")).alias("val"), F.max("filed").alias("filed"))
 
 
 def quarters(durations: DataFrame) -> DataFrame:
@@ -71,7 +78,7 @@ def trailing_dividend(df: DataFrame, as_of: Column) -> DataFrame:
     An annual figure that ends there, else the sum of the quarters of the 370 days before,
     else the newest longer span: a skipped quarter is never made up by an older one.
     """
-    d = spans(df)
+    d = spans(df, DIVIDEND_UNITS)
     anchored = d.withColumn("_e", F.max("end").over(Window.partitionBy("cik", "concept"))).where(F.datediff(as_of, "_e") <= 400)
     back = F.datediff("_e", "end")
     pick = lambda cond, key: F.max_by("val", F.when(cond, key))
@@ -85,8 +92,9 @@ def trailing_dividend(df: DataFrame, as_of: Column) -> DataFrame:
 
 
 def series(df: DataFrame) -> DataFrame:
-    """(cik, concept, end, val): every end once, as filed last in FORMS."""
-    return df.where(F.col("form").isin(FORMS) & F.col("end").isNotNull() & F.col("val").isNotNull()).groupBy("cik", "concept", "end").agg(F.max_by("val", F.struct("filed", "val")).alias("val"))
+    """(cik, concept, end, val): every end once, as filed last in FORMS and UNITS (ties: later unit, larger value)."""
+    own = in_units(df, UNITS).where(F.col("form").isin(FORMS) & F.col("end").isNotNull() & F.col("val").isNotNull())
+    return own.groupBy("cik", "concept", "end").agg(F.max_by("val", F.struct("filed", -F.col("_u"), "val")).alias("val"))
 
 
 def merged_ladder(series: DataFrame, ladder: list[str]) -> DataFrame:
@@ -108,13 +116,13 @@ def _near(c: str, target: Column, tolerance: int) -> Column:
     return F.abs(F.datediff(F.col(c), target)) <= tolerance
 
 
-def fiscal(df: DataFrame, ladder: list[str]) -> DataFrame:
-    """Figures by fiscal quarter: (cik, year, quarter, ytd, direct, instant), each from the first concept of the ladder that has it, as filed last.
+def fiscal(df: DataFrame, ladder: list[str], units: tuple[str, ...] = ("USD",)) -> DataFrame:
+    """Figures by fiscal quarter: (cik, year, quarter, ytd, direct, instant), each from the first concept of the ladder that has it in ``units``, as filed last (ties: earlier unit, larger value).
 
     ytd starts within START_DAYS of the year's first day, direct spans 80 to 100 days; ends
     lie within END_DAYS of the quarter's.
     """
-    own = df.where(F.col("form").isin(FORMS) & F.col("val").isNotNull()).withColumn("_p", place(F.col("concept"), ladder)).where("_p is not null")
+    own = in_units(df, list(units)).where(F.col("form").isin(FORMS) & F.col("val").isNotNull()).withColumn("_p", place(F.col("concept"), ladder)).where("_p is not null")
     middle = F.date_sub(F.col("end"), END_DAYS)  # within the quarter also for ends a few days late
     q_end = F.last_day(F.add_months(F.trunc(middle, "quarter"), 2))
     own = own.withColumn("year", F.year(middle)).withColumn("quarter", F.quarter(middle)).where(_near("end", q_end, END_DAYS))
@@ -122,7 +130,7 @@ def fiscal(df: DataFrame, ladder: list[str]) -> DataFrame:
         F.when(F.col("start").isNull(), "instant").when(_near("start", F.make_date("year", F.lit(1), F.lit(1)), START_DAYS), "ytd").when(days().between(80, 100), "direct")
     )
     first_quarter = own.withColumn("_k", F.explode(F.when((kind == "ytd") & days().between(80, 100), F.array(F.lit("ytd"), F.lit("direct"))).otherwise(F.array(kind))))
-    best = lambda k: F.max_by("val", F.when(F.col("_k") == k, F.struct((-F.col("_p")).alias("p"), F.col("filed"), F.col("val")))).alias(k)
+    best = lambda k: F.max_by("val", F.when(F.col("_k") == k, F.struct((-F.col("_p")).alias("p"), F.col("filed"), F.col("_u"), F.col("val")))).alias(k)
     return first_quarter.groupBy("cik", "year", "quarter").agg(best("ytd"), best("direct"), best("instant"))
 
 
@@ -137,7 +145,7 @@ def flows(fiscal: DataFrame, prefer: str = "difference") -> DataFrame:
 
 def corrupt_scale(df: DataFrame, a: str, b: str, as_of: Column, factor: float = 10.0, age: int = 460) -> DataFrame:
     """(cik, corrupt): whether two concepts that should agree differ by ``factor`` on one period of the last ``age`` days."""
-    d = spans(df).where(F.col("concept").isin(a, b) & (F.datediff(as_of, "end") <= age))
+    d = spans(df, ["USD"]).where(F.col("concept").isin(a, b) & (F.datediff(as_of, "end") <= age))
     pair = d.groupBy("cik", "start", "end").agg(F.max(F.when(F.col("concept") == a, F.abs("val"))).alias("x"), F.max(F.when(F.col("concept") == b, F.abs("val"))).alias("y")).where("x > 0 and y > 0")
     return pair.groupBy("cik").agg(F.max((F.greatest("x", "y") / F.least("x", "y") >= factor).cast("int")).cast("boolean").alias("corrupt"))
 

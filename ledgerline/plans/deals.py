@@ -75,7 +75,7 @@ def deal_stock_value(t: Tables) -> DataFrame:
 
 @query(
     "deal_groups",
-    """WITH d AS (SELECT l_orderkey AS filing, l_linenumber AS n, CAST(l_shipdate AS DATE) AS filed, CASE l_linenumber % 5 WHEN 0 THEN '1.02' WHEN 1 THEN '9.01' WHEN 2 THEN '8.01' WHEN 3 THEN '5.02' ELSE '1.01' END AS item FROM lineitem WHERE l_suppkey % 3 = 0),
+    """WITH d AS (SELECT l_orderkey AS filing, l_linenumber AS n, CAST(l_shipdate AS DATE) AS filed, CASE l_linenumber % 5 WHEN 0 THEN '1.02' WHEN 1 THEN '9.01' WHEN 2 THEN '8.01' WHEN 3 THEN '5.02' ELSE '1.01' END AS item FROM lineitem),
 g AS (SELECT filing, min(filed) AS filed, coalesce(min(n) FILTER (WHERE n % 2 = 0), min(n)) AS document, bool_or(item = '1.02') AS ended, bool_or(item IN ('1.01', '7.01', '8.01')) AS said FROM d GROUP BY 1)
 SELECT filing, filed, CAST(document AS BIGINT) AS document, CASE WHEN ended THEN 'termination' ELSE 'announcement' END AS side FROM g WHERE ended OR said""",
     dates=["filed"],
@@ -83,7 +83,7 @@ SELECT filing, filed, CAST(document AS BIGINT) AS document, CASE WHEN ended THEN
 def deal_groups(t: Tables) -> DataFrame:
     n = F.col("l_linenumber")
     item = F.when(n % 5 == 0, "1.02").when(n % 5 == 1, "9.01").when(n % 5 == 2, "8.01").when(n % 5 == 3, "5.02").otherwise("1.01")
-    d = t.lineitem.where("l_suppkey % 3 = 0").select(F.col("l_orderkey").alias("filing"), F.to_date("l_shipdate").alias("filed"), F.array(item).alias("items"), F.when(n % 2 == 0, "EX-99.1").otherwise("8-K").alias("kind"), n.cast("long").alias("document"))
+    d = t.lineitem.select(F.col("l_orderkey").alias("filing"), F.to_date("l_shipdate").alias("filed"), F.array(item).alias("items"), F.when(n % 2 == 0, "EX-99.1").otherwise("8-K").alias("kind"), n.cast("long").alias("document"))
     return D.merger_groups(d, "filing", "filed", "items", "kind", "document")
 
 

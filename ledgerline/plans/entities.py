@@ -27,15 +27,15 @@ def _store(t: Tables) -> DataFrame:
 @query(
     "event_dedup_priority",
     f"""WITH RECURSIVE {SQL_STORE}, k AS (SELECT *, {KEY_SQL} AS key FROM store),
-r AS (SELECT ticker, key, event_id, ts, {RANK_SQL} AS rank, row_number() OVER (PARTITION BY ticker, key ORDER BY ts, event_id) AS k FROM k),
+r AS (SELECT ticker, key, event_id, ts, {RANK_SQL} AS rank, row_number() OVER (PARTITION BY ticker, key ORDER BY ts, event_id) AS k FROM k WHERE source <> 'error'),
 w AS (SELECT ticker, key, k, event_id, ts, rank, 1 AS story FROM r WHERE k = 1
   UNION ALL SELECT r.ticker, r.key, r.k, CASE WHEN r.ts > w.ts + INTERVAL 5 DAY OR r.rank < w.rank THEN r.event_id ELSE w.event_id END,
     CASE WHEN r.ts > w.ts + INTERVAL 5 DAY OR r.rank < w.rank THEN r.ts ELSE w.ts END, CASE WHEN r.ts > w.ts + INTERVAL 5 DAY OR r.rank < w.rank THEN r.rank ELSE w.rank END,
     CASE WHEN r.ts > w.ts + INTERVAL 5 DAY THEN w.story + 1 ELSE w.story END FROM w JOIN r ON r.ticker = w.ticker AND r.key = w.key AND r.k = w.k + 1)
-SELECT max_by(event_id, k) AS event_id, ticker, key, count(*) AS copies FROM w GROUP BY ticker, key, story""",
+SELECT max_by(event_id, k) AS event_id, ticker, key, count(*) AS copies FROM w GROUP BY ticker, key, story UNION ALL SELECT event_id, ticker, key, 1 FROM k WHERE source = 'error'""",
 )
 def event_dedup_priority(t: Tables) -> DataFrame:
-    return V.deduplicated(_store(t).withColumn("key", V.headline_key(F.col("headline"))), ["ticker", "key"], ORDER)
+    return V.deduplicated(_store(t).withColumn("key", V.headline_key(F.col("headline"))), ["ticker", "key"], ORDER, eligible=ORDER)
 
 
 @query(
@@ -97,13 +97,19 @@ def topic_curation(t: Tables) -> DataFrame:
 
 @query(
     "universe_feed",
-    f"""WITH {SQL_STORE}, n AS (SELECT *, {KEY_SQL} AS key FROM store ORDER BY ts DESC, event_id LIMIT 400),
-d AS (SELECT *, row_number() OVER (PARTITION BY ticker, key ORDER BY source = 'error', ts DESC, event_id) AS k FROM n),
-c AS (SELECT *, row_number() OVER (PARTITION BY ticker, source ORDER BY ts DESC, event_id) AS m FROM d WHERE k = 1 OR source = 'error')
-SELECT event_id, CAST(row_number() OVER (ORDER BY ts DESC, event_id) AS INTEGER) AS position FROM c WHERE source <> 'click' OR m <= 2""",
+    f"""WITH RECURSIVE store AS (SELECT event_id, user_id % 20 AS ticker, event_type AS source, CASE event_type WHEN 'purchase' THEN 'm_and_a' ELSE event_type END AS kind, props AS headline, ts,
+  ['a' || event_id % 2, 'b' || event_id % 3, 'c' || event_id % 5] AS tokens FROM events),
+n AS (SELECT *, {KEY_SQL} AS key, row_number() OVER (ORDER BY ts DESC NULLS LAST, event_id) AS k FROM store ORDER BY k LIMIT 400),
+w AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id BIGINT, ticker BIGINT, key VARCHAR, source VARCHAR, kind VARCHAR, tokens VARCHAR[], ts TIMESTAMP, stage INTEGER)[]) AS st
+  UNION ALL SELECT n.k, list_append(st, {{'id': n.event_id, 'ticker': n.ticker, 'key': n.key, 'source': n.source, 'kind': n.kind, 'tokens': n.tokens, 'ts': n.ts, 'stage': CASE
+    WHEN n.source <> 'error' AND len(list_filter(st, lambda x: x.ticker = n.ticker AND x.key = n.key AND x.source <> 'error')) > 0 THEN 0
+    WHEN n.kind = 'm_and_a' AND len(list_filter(st, lambda x: x.kind = 'm_and_a' AND x.stage >= 2 AND x.ticker = n.ticker AND len(list_intersect(x.tokens, n.tokens)) >= 2 AND coalesce(x.ts - n.ts <= INTERVAL 5 DAY, true))) > 0 THEN 1
+    WHEN n.source = 'click' AND len(list_filter(st, lambda x: x.source = 'click' AND x.stage >= 2 AND x.ticker = n.ticker AND x.kind = n.kind)) >= 2 THEN 2 ELSE 3 END}}) FROM w JOIN n ON n.k = w.k + 1)
+SELECT x.id AS event_id, CAST(row_number() OVER (ORDER BY i) AS INTEGER) AS position FROM (SELECT unnest(st) AS x, generate_subscripts(st, 1) AS i FROM (SELECT st FROM w ORDER BY k DESC LIMIT 1)) WHERE x.stage = 3""",
 )
 def universe_feed(t: Tables) -> DataFrame:
-    s = _store(t).withColumns({"kind": F.col("source"), "tokens": F.array().cast("array<string>")})
+    tokens = F.array(*(F.concat(F.lit(c), (F.col("event_id") % k).cast("string")) for c, k in (("a", 2), ("b", 3), ("c", 5))))
+    s = _store(t).withColumns({"ticker": F.col("ticker") % 20, "kind": F.when(F.col("source") == "purchase", "m_and_a").otherwise(F.col("source")), "tokens": tokens})
     return V.universe_feed(s, 400, ["error"], ["click"], 2)
 
 

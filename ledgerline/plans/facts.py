@@ -21,7 +21,12 @@ KINDS = [
     ("k % 4 = 0", "PreferredStock", "USD", "CASE WHEN k % 8 = 0 THEN 0e0 ELSE revenue / 8 END", "instant"),
     ("k % 6 = 0", "PreferredStockOld", "USD", "revenue / 16", "instant"),
     ("bank % 3 = 0", "SharesOutstanding", "shares", "1000e0 + k % 50", "instant"),
+    ("k % 4 = 1", "Revenues", "EUR", "revenue * 0.9e0", "quarter"),
+    ("k % 9 = 2", "Revenues", "EUR", "ytd * 0.9e0", "year"),
+    ("k % 6 = 5", "Assets", "EUR", "revenue * 9", "instant"),
+    ("k % 11 < 3", "Dividends", "USD", "2e0 + k % 5", "quarter"),
 ]
+PLACE = "CASE unit WHEN 'USD' THEN 0 WHEN 'USD/shares' THEN 1 WHEN 'shares' THEN 2 WHEN 'pure' THEN 3 END"
 _ROWS = """SELECT bank AS cik, '{concept}' AS concept, '{unit}' AS unit, {start} AS start, q_end AS "end", {value} + d.late * 0.5e0 AS val,
   CASE WHEN k % 29 = 0 THEN '8-K' WHEN qi % 4 = 3 THEN '10-K' ELSE '10-Q' END AS form, CAST(q_end + INTERVAL (40 + d.late * 365) DAY AS DATE) AS filed
   FROM based, (SELECT unnest([0, 1]) AS late) d WHERE ({cond}) AND (d.late = 0 OR k % 10 = 1)"""
@@ -29,7 +34,8 @@ _START = {"quarter": "q_start", "year": "y_start", "instant": "CAST(NULL AS DATE
 SQL_FACTS = f"""{SQL_FILINGS}, based AS (SELECT *, bank * 31 + qi * 17 AS k, sum(revenue) OVER (PARTITION BY bank, qi // 4 ORDER BY qi) AS ytd, make_date(qi // 4, 1, 1) AS y_start, make_date(qi // 4, qi % 4 * 3 + 1, 1) AS q_start,
   last_day(make_date(qi // 4, qi % 4 * 3 + 3, 1)) AS q_end FROM filings),
 facts AS ({" UNION ALL ".join(_ROWS.format(cond=c, concept=n, unit=u, value=v, start=_START[s]) for c, n, u, v, s in KINDS)}),
-spans AS (SELECT cik, concept, start, "end", arg_max(val, {{'f': filed, 'v': val}}) AS val, max(filed) AS filed, date_diff('day', start, "end") AS days FROM facts WHERE form IN ('10-K', '10-Q') AND start IS NOT NULL GROUP BY ALL)"""
+spans AS (SELECT cik, concept, start, "end", arg_max(val, {{'f': filed, 'u': -({PLACE}), 'v': val}}) AS val, max(filed) AS filed, date_diff('day', start, "end") AS days FROM facts
+  WHERE form IN ('10-K', '10-Q') AND start IS NOT NULL AND unit IN ('USD', 'USD/shares', 'pure') GROUP BY ALL)"""
 
 
 def _facts(t: Tables) -> DataFrame:
@@ -56,7 +62,7 @@ def r(*names: str, digits: int = 8):
 
 
 SQL_LATEST = f"""{SQL_FACTS}, latest AS (SELECT cik, concept, unit, CASE WHEN e >= DATE '{AS_OF}' - 365 * 3 THEN val END AS value, CASE WHEN e >= DATE '{AS_OF}' - 365 * 3 THEN e END AS "end"
-  FROM (SELECT *, "end" AS e, row_number() OVER (PARTITION BY cik, concept ORDER BY form NOT IN ('10-K', '10-Q'), "end" DESC, filed DESC, val DESC) AS k FROM facts) WHERE k = 1)"""
+  FROM (SELECT *, "end" AS e, row_number() OVER (PARTITION BY cik, concept ORDER BY {PLACE}, form NOT IN ('10-K', '10-Q'), "end" DESC, filed DESC, val DESC) AS k FROM facts WHERE unit <> 'EUR') WHERE k = 1)"""
 
 
 @query("latest_value_stale_guard", f'WITH {SQL_LATEST} SELECT cik, concept, unit, round(value, 8) AS value, "end" FROM latest', dates=["end"])
@@ -88,7 +94,9 @@ def ttm_with_annual_fallback(t: Tables) -> DataFrame:
 
 @query(
     "ttm_dividend",
-    f"""WITH {SQL_FACTS}, e AS (SELECT *, max("end") OVER (PARTITION BY cik) AS e, row_number() OVER (PARTITION BY cik, "end", days BETWEEN 80 AND 100 ORDER BY filed DESC, val DESC) AS k FROM spans WHERE concept = 'Dividends'),
+    f"""WITH {SQL_FACTS}, divs AS (SELECT cik, concept, start, "end", arg_max(val, {{'f': filed, 'u': unit = 'USD/shares', 'v': val}}) AS val, max(filed) AS filed, date_diff('day', start, "end") AS days FROM facts
+  WHERE form IN ('10-K', '10-Q') AND start IS NOT NULL AND unit IN ('USD/shares', 'USD') AND concept = 'Dividends' GROUP BY ALL),
+e AS (SELECT *, max("end") OVER (PARTITION BY cik) AS e, row_number() OVER (PARTITION BY cik, "end", days BETWEEN 80 AND 100 ORDER BY filed DESC, val DESC) AS k FROM divs),
 g AS (SELECT cik, arg_max(val, {{'f': filed, 'v': val}}) FILTER (WHERE days BETWEEN 350 AND 380 AND date_diff('day', "end", e) <= 15) AS a, sum(val) FILTER (WHERE days BETWEEN 80 AND 100 AND date_diff('day', "end", e) < 370 AND k = 1) AS q,
   arg_max(val, {{'e': "end", 'f': filed, 'v': val}}) FILTER (WHERE days > 100) AS y FROM e WHERE date_diff('day', e, DATE '{AS_OF}') <= 400 GROUP BY 1)
 SELECT cik, round(coalesce(a, q, y), 8) AS value, CASE WHEN a IS NOT NULL THEN 'annual' WHEN q IS NOT NULL THEN 'quarters' WHEN y IS NOT NULL THEN 'to date' END AS path FROM g""",
@@ -97,7 +105,7 @@ def ttm_dividend(t: Tables) -> DataFrame:
     return P.trailing_dividend(_facts(t).where("concept = 'Dividends'"), _day()).select("cik", *r("value"), "path")
 
 
-SQL_SERIES = f"""{SQL_FACTS}, series AS (SELECT cik, concept, "end", arg_max(val, {{'f': filed, 'v': val}}) AS val FROM facts WHERE form IN ('10-K', '10-Q') GROUP BY ALL)"""
+SQL_SERIES = f"""{SQL_FACTS}, series AS (SELECT cik, concept, "end", arg_max(val, {{'f': filed, 'u': {PLACE}, 'v': val}}) AS val FROM facts WHERE form IN ('10-K', '10-Q') AND unit <> 'EUR' GROUP BY ALL)"""
 LADDER = ["PreferredStockOld", "PreferredStock"]
 
 
@@ -126,7 +134,7 @@ def fundamentals_ladder(t: Tables) -> DataFrame:
     return f.select("cik", *r("revenue"), "revenue_source", *r("preferred"), "preferred_source")
 
 
-SQL_FISCAL = f"""{SQL_FACTS}, own AS (SELECT *, CAST(year("end" - 14) AS INTEGER) AS year, CAST(quarter("end" - 14) AS INTEGER) AS quarter, date_diff('day', start, "end") AS days FROM facts WHERE form IN ('10-K', '10-Q')),
+SQL_FISCAL = f"""{SQL_FACTS}, own AS (SELECT *, CAST(year("end" - 14) AS INTEGER) AS year, CAST(quarter("end" - 14) AS INTEGER) AS quarter, date_diff('day', start, "end") AS days FROM facts WHERE form IN ('10-K', '10-Q') AND unit = CASE concept WHEN 'Dividends' THEN 'USD/shares' ELSE 'USD' END),
 fiscal AS (SELECT cik, concept, year, quarter, arg_max(val, {{'f': filed, 'v': val}}) FILTER (WHERE abs(date_diff('day', make_date(year, 1, 1), start)) <= 20) AS ytd,
   arg_max(val, {{'f': filed, 'v': val}}) FILTER (WHERE days BETWEEN 80 AND 100) AS direct, arg_max(val, {{'f': filed, 'v': val}}) FILTER (WHERE start IS NULL) AS instant FROM own GROUP BY ALL),
 flows AS (SELECT *, CASE WHEN quarter = 1 THEN ytd WHEN lag(quarter) OVER w = quarter - 1 THEN ytd - lag(ytd) OVER w END AS step FROM fiscal WINDOW w AS (PARTITION BY cik, concept, year ORDER BY quarter))"""
@@ -142,7 +150,7 @@ def fiscal_flows(t: Tables) -> DataFrame:
 
 @query("fiscal_direct_first", f"WITH {SQL_FISCAL} SELECT cik, year, quarter, round(coalesce(direct, step), 2) AS flow FROM flows WHERE concept = 'Dividends'")
 def fiscal_direct_first(t: Tables) -> DataFrame:
-    return P.flows(P.fiscal(_facts(t), ["Dividends"]), "direct").select("cik", "year", "quarter", *r("flow", digits=2))
+    return P.flows(P.fiscal(_facts(t), ["Dividends"], ("USD/shares",)), "direct").select("cik", "year", "quarter", *r("flow", digits=2))
 
 
 @query("fiscal_instants", f"WITH {SQL_FISCAL} SELECT cik, year, quarter, round(instant, 8) AS instant FROM fiscal WHERE concept = 'Assets'")

@@ -208,11 +208,13 @@ def quote_states(t: Tables) -> DataFrame:
 
 @query(
     "premarket",
-    """SELECT event_id, extract(dow FROM l) NOT IN (0, 6) AND extract(hour FROM l) * 60 + extract(minute FROM l) BETWEEN 240 AND 569 AS premarket FROM (SELECT event_id, ts - INTERVAL 5 HOUR AS l FROM events WHERE ts < TIMESTAMP '2024-03-01')""",
+    """WITH y AS (SELECT DISTINCT CAST(year(ts) AS INTEGER) AS y FROM events WHERE ts IS NOT NULL), m AS (SELECT y, make_date(y, 3, 1) AS a, make_date(y, 11, 1) AS b FROM y),
+z AS (SELECT y, CAST(a + CAST((7 - dayofweek(a)) % 7 + 7 AS INTEGER) AS TIMESTAMP) + INTERVAL 7 HOUR AS starts, CAST(b + CAST((7 - dayofweek(b)) % 7 AS INTEGER) AS TIMESTAMP) + INTERVAL 6 HOUR AS ends FROM m),
+l AS (SELECT event_id, CASE WHEN ts >= starts AND ts < ends THEN ts - INTERVAL 4 HOUR ELSE ts - INTERVAL 5 HOUR END AS l FROM events LEFT JOIN z ON y = year(ts))
+SELECT event_id, extract(dow FROM l) NOT IN (0, 6) AND extract(hour FROM l) * 60 + extract(minute FROM l) BETWEEN 240 AND 569 AS premarket FROM l""",
 )
 def premarket(t: Tables) -> DataFrame:
-    e = t.events.where(F.col("ts") < F.lit("2024-03-01").cast("timestamp_ntz"))  # winter time throughout
-    return e.select("event_id", R.premarket(F.col("ts").cast("timestamp")).alias("premarket"))
+    return t.events.select("event_id", R.premarket(F.col("ts").cast("timestamp")).alias("premarket"))
 
 
 @query(

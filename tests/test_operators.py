@@ -205,6 +205,36 @@ def test_a_story_ends_days_after_its_stored_row(spark):
     assert kept([("site", 0), ("wire", 3), ("site", 8), ("site", 9)]) == [(1, 3), (3, 1)]  # the better copy takes the row and its time
 
 
+def test_stories_of_some_sources_only(spark):
+    """Filings with one generic headline stay apart, as do events without time; keys alone and in runs give what a plain walk gives."""
+    from ledgerline.operators import events
+
+    rng = random.Random(6)
+    rows = [(k, rng.choice("ABCDEFGH") * rng.choice([1, 1, 2, 3]), rng.choice(["wire", "site", "sec_8k", None]), rng.choice([None, *range(40)])) for k in range(400)]
+    rows += [(900, "Z", "sec_8k", 1), (901, "Z", "sec_8k", 1), (901, "Z", "sec_8k", 1), (902, None, "wire", 1), (903, None, "wire", 2)]
+    df = spark.createDataFrame(rows, "event_id long, ticker string, source string, day int").withColumn("ts", F.timestamp_seconds(F.col("day") * 86400))
+    got = sorted((r.event_id, r.copies) for r in events.deduplicated(df.repartition(3), ["ticker"], ["wire", "site"], eligible=["wire", "site"]).collect())
+    stories, wanted = {}, [(e, 1) for e, _, s, d in rows if (s not in ("wire", "site") or d is None) and e != 901] + [(901, 2)]
+    for e, t, s, d in sorted((r for r in rows if r[2] in ("wire", "site") and r[3] is not None), key=lambda r: (str(r[1]), r[3], r[0])):
+        last = stories.setdefault(t, [])
+        if not last or d > last[-1][0] + 5:
+            last.append([d, s, e, 1])
+        else:
+            last[-1][3] += 1
+            if s == "wire" and last[-1][1] == "site":
+                last[-1][:3] = d, s, e
+    assert got == sorted(wanted + [(e, n) for x in stories.values() for _, _, e, n in x])
+
+
+def test_repeated_probes_are_answered_each(spark):
+    from ledgerline.operators import asof
+
+    left = spark.createDataFrame([("k", "2024-01-05", "one"), ("k", "2024-01-05", "two"), ("k", "2024-01-05", "two"), ("k", "2024-02-01", "none")], "key string, at string, name string")
+    right = spark.createDataFrame([("k", "2024-01-05", 1), ("k", "2024-01-08", 2), ("k", "2024-01-09", 3)], "key string, ts string, v int")
+    got = asof.newest_within(left.withColumn("at", F.to_date("at")), right.withColumn("ts", F.to_date("ts")), "key", "at", 3, "ts", ["v"]).collect()
+    assert sorted((r.name, r.v) for r in got) == [("one", 2), ("two", 2), ("two", 2)]
+
+
 def test_places_over_a_whole_table(spark):
     from ledgerline.operators.order import placed
 
@@ -225,6 +255,10 @@ def test_feed_takes_copies_out_after_the_limit(spark):
     df = spark.createDataFrame(rows, "event_id long, ticker string, source string, kind string, headline string, day int, tokens array<string>").withColumn("ts", F.timestamp_seconds(F.col("day") * 86400))
     got = [r.event_id for r in events.universe_feed(df, 10, ["sec"], ["agg"], 1).orderBy("position").collect()]
     assert got == [1, 3, 5, 7, 9, 10, 6]
+    timeless = df.withColumn("ts", F.when(F.col("event_id") != 4, F.col("ts")))
+    timeless = timeless.withColumn("ts", F.when(F.col("event_id") != 6, F.col("ts")))
+    got = [r.event_id for r in events.universe_feed(timeless, 20, ["sec"], ["agg"], 1).orderBy("position").collect()]
+    assert got == [1, 3, 5, 7, 9, 10, 11]  # deals without time, last, are copies of deal one
 
 
 def test_facts_hand_cases(spark):
@@ -318,3 +352,18 @@ def test_names_that_share_only_common_words(spark):
             met = [(-len(x & set(b.split())) / len(x | set(b.split())), -float(k % 5), k) for k, b in enumerate(names[20:])]
             wanted |= {(i, k) for s, _, k in sorted(m for m in met if -m[0] >= least)[:2]}
         assert {(g.id, g.other) for g in entity.fuzzy_join(l, r, least, 2).collect()} == wanted
+
+
+def test_other_currencies_do_not_displace_dollars(spark):
+    from ledgerline.operators import facts
+
+    ends = [("2023-01-01", "2023-03-31"), ("2023-04-01", "2023-06-30"), ("2023-07-01", "2023-09-30"), ("2023-10-01", "2023-12-31")]
+    rows = [(1, "C", u, a, b, v, "10-Q", f) for a, b in ends for u, v, f in (("USD", 100.0, "2024-01-10"), ("EUR", 90.0, "2024-02-10"))]
+    rows += [(2, "D", u, a, b, v, "10-Q", "2024-01-10") for a, b in ends for u, v in (("USD", 8.0), ("USD/shares", 0.25))]
+    df = spark.createDataFrame(rows, "cik long, concept string, unit string, start string, end string, val double, form string, filed string")
+    df = df.withColumns({c: F.col(c).cast("date") for c in ("start", "end", "filed")})
+    day = F.lit("2024-03-01").cast("date")
+    assert {r.cik: r.value for r in facts.trailing_year(df, day).collect()} == {1: 400, 2: 32}
+    assert {r.cik: r.value for r in facts.trailing_dividend(df, day).collect()} == {1: 400, 2: 1}
+    assert {(r.cik, r.val) for r in facts.series(df).collect()} == {(1, 100), (2, 0.25)}
+    assert {(r.cik, r.direct) for r in facts.fiscal(df, ["C", "D"]).collect()} == {(1, 100), (2, 8)}
