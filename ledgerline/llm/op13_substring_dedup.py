@@ -12,7 +12,8 @@ document has are leaves that hang alone; they are found by counting and never se
 
 Prefixes of two lengths: a prefix of half a window with at most GROUP suffixes is a group.
 One with more is split by prefixes of a whole window's length; each of those is a node
-deep enough by itself, of which only the smallest document matters, a keyed minimum.
+deep enough by itself, of which only the smallest document matters, a keyed minimum; a
+text that has it again and again is one row of it.
 
 Subtrees: breadth first, word by word, all groups of a task at once: the suffixes of a
 node go to its children by their next word. The same is done to the left of the anchor. A
@@ -177,18 +178,25 @@ def _subtrees(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
 
 
 def _whole(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """All windows of suffixes, each with 128 bits of a hash of its words."""
+    """The windows of suffixes by 128 bits of a hash of their words, those of a text together: where they start."""
     for batch in batches:
         for part in slices(batch, "words"):
             words = _words(part.column("words"))
             n = words.count - window + 1
             of = np.repeat(np.arange(part.num_rows), n)
             nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            keys = np.stack([_hashes(words.hash, window, f)[words.first[of] + nth] for f in _FACTORS], 1)
-            rows = pa.array(of, pa.int64())
-            key = pa.Array.from_buffers(pa.binary(16), len(of), [None, pa.py_buffer(np.ascontiguousarray(keys).tobytes())]).cast(pa.binary())
-            starts = pa.array(part.column("place").to_numpy()[of] + nth, pa.int32())
-            yield pa.RecordBatch.from_arrays([key, part.column("doc_id").take(rows), part.column("text_hash").take(rows), starts], ["key", "doc_id", "text_hash", "start"])
+            doc, text, starts = part.column("doc_id").to_numpy()[of], part.column("text_hash").to_numpy()[of], part.column("place").to_numpy()[of] + nth
+            by = [starts, text, doc, *(_hashes(words.hash, window, f)[words.first[of] + nth] for f in _FACTORS)]
+            order = np.lexsort(by)
+            starts, text, doc, low, high = (x[order] for x in by)
+            new = np.zeros(len(of), bool)
+            new[:1] = True
+            for x in (text, doc, low, high):
+                new[1:] |= x[1:] != x[:-1]
+            first = np.flatnonzero(new)
+            keys = np.ascontiguousarray(np.stack([low[first], high[first]], 1)).tobytes()
+            key = pa.Array.from_buffers(pa.binary(16), len(first), [None, pa.py_buffer(keys)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([key, pa.array(doc[first]), pa.array(text[first]), _listed(starts, np.cumsum(new) - 1, len(first), pa.int32())], ["key", "doc_id", "text_hash", "starts"])
 
 
 def _kept(starts: np.ndarray, count: int, window: int) -> np.ndarray:
@@ -245,9 +253,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> tuple[
     )
     grouped = suffixes.where("not hot").repartition("prefix").sortWithinPartitions("prefix")
     found = grouped.mapInArrow(lambda it: _subtrees(it, window), "doc_id long, text_hash long, starts array<int>")
-    nodes = written(suffixes.where("hot").mapInArrow(lambda it: _whole(it, window), "key binary, doc_id long, text_hash long, start int").distinct(), "nodes")
+    nodes = written(suffixes.where("hot").mapInArrow(lambda it: _whole(it, window), "key binary, doc_id long, text_hash long, starts array<int>"), "nodes")
     smallest = nodes.groupBy("key").agg(F.min("doc_id").alias("smallest"))
-    hot = looked_up(nodes, smallest, "key", "doc_id", "inner").where("doc_id > smallest").select("doc_id", "text_hash", F.array("start").alias("starts"))
+    hot = looked_up(nodes, smallest, "key", "doc_id", "inner").where("doc_id > smallest").select("doc_id", "text_hash", "starts")
     spans = found.union(hot).groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     parts = texts.select("doc_id", "text_hash", "text").dropDuplicates(["doc_id", "text_hash"]).join(spans, ["doc_id", "text_hash"])
     cut = parts.select("doc_id", "text_hash", "text", "starts").mapInArrow(lambda it: _cut(it, window), "doc_id long, text_hash long, n_removed long, kept string")
