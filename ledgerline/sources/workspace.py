@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -24,3 +24,10 @@ def folder(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         base = f"file://{_own[app]}"
     return f"{base}/ledgerline/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: computed once, and not again when an executor is lost."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
