@@ -7,7 +7,8 @@ that covers the column. Nothing is guessed: a period that two columns of one spa
 a row whose figures can't be matched to the columns, an amount without stated unit and
 tables that disagree give null.
 
-All of it is grouping by (page, table) and joins on (page, table, column).
+All of it is grouping by (page, table) and joins on (page, table, column); cells are read
+several times, so give a written table.
 """
 
 from __future__ import annotations
@@ -52,10 +53,10 @@ def _span(text: Column) -> Column:
     return F.when(text.rlike(QUARTER_SPAN), "quarter").when(text.rlike(LONG_SPAN), "long")
 
 
-def number(text: Column) -> Column:
-    """The figure of a cell: signs and separators aside, in parentheses or after a minus negative; footnote marks and words are null."""
+def number(text: Column, notes: bool = True) -> Column:
+    """The figure of a cell: signs and separators aside, in parentheses or after a minus negative; words are null, and so is one digit in parentheses, a footnote mark where there are ``notes``."""
     plain = F.regexp_replace(text, r"[$,%\s()−-]", "")
-    size = F.when(~text.rlike(R.FOOTNOTE) & plain.rlike(r"^(?:\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))
+    size = F.when(~(F.lit(notes) & text.rlike(R.FOOTNOTE)) & plain.rlike(r"^(?:\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))
     return F.when(text.rlike(r"^\s*[$]?\s*[(−-]"), -size).otherwise(size)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import reltables as T
 from ledgerline.sources import pages
+from ledgerline.sources.workspace import written
 
 from .base import SQL_FILINGS, Tables, query
 
@@ -81,7 +82,7 @@ first AS (SELECT f.*, s.span FROM four f JOIN runs r USING (bank) JOIN (VALUES (
   SELECT f.bank, NULL, '', CASE layout WHEN 5 THEN 'repeated' ELSE 'unknown' END FROM four f JOIN runs r USING (bank) WHERE layout = 5 OR (layout = 4 AND NOT fits))
 SELECT bank, period, span, status FROM c""", dates=["period"])
 def release_columns(t: Tables) -> DataFrame:
-    return T.columns(pages.table_cells(_pages(t), "bank", "html").where("tab = 0"), "bank").where("not change").select("bank", "period", "span", "status")
+    return T.columns(written(pages.table_cells(_pages(t), "bank", "html"), "cells").where("tab = 0"), "bank").where("not change").select("bank", "period", "span", "status")
 
 
 @query(
@@ -97,5 +98,5 @@ SELECT bank, metric, period, span, round(value, 6) AS value, tables, status FROM
     dates=["period"],
 )
 def release_metrics(t: Tables) -> DataFrame:
-    cells = pages.table_cells(_pages(t), "bank", "html")
+    cells = written(pages.table_cells(_pages(t), "bank", "html"), "cells")
     return T.metrics(cells, "bank", SPECS).withColumn("value", F.round("value", 6))

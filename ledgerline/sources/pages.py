@@ -13,7 +13,7 @@ SPAN = 200
 
 
 class _Tables(HTMLParser):
-    """Collects (table, row, column, width, height, text) of each cell; a nested table counts by itself."""
+    """Collects (table, row, column, width, height, whether a header cell, its class, the element it refers to, its table's name, text) of each cell; a nested table counts by itself."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -23,7 +23,7 @@ class _Tables(HTMLParser):
         if tag in ("script", "style"):
             self.hidden += 1
         elif tag == "table":
-            self.open.append({"id": self.count, "row": -1, "col": 0, "taken": {}, "cell": None})
+            self.open.append({"id": self.count, "name": dict(attrs).get("id") or "", "row": -1, "col": 0, "taken": {}, "cell": None})
             self.count += 1
         elif self.open and tag == "tr":
             t = self.open[-1]
@@ -39,11 +39,14 @@ class _Tables(HTMLParser):
             width, height = (min(SPAN, max(1, int(given[k]))) if str(given.get(k, "")).strip().isdigit() else 1 for k in ("colspan", "rowspan"))
             while any(t["taken"].get(t["col"] + k) for k in range(width)):
                 t["col"] += 1
-            t["cell"] = [t["id"], t["row"], t["col"], width, height, []]
+            t["cell"] = [t["id"], t["row"], t["col"], width, height, tag == "th", dict(attrs).get("class") or "", "", t["name"], []]
             t["new"] = {t["col"] + k: height for k in range(width)}
             t["col"] += width
         elif self.open and self.open[-1]["cell"]:
-            self.open[-1]["cell"][5].append(" ")
+            cell = self.open[-1]["cell"]
+            cell[-1].append(" ")
+            if not cell[7] and (found := re.search(r"defref_([\w-]+)", dict(attrs).get("onclick") or "")):
+                cell[7] = found[1]
 
     def _shut(self, t):
         if t["cell"]:
@@ -62,20 +65,22 @@ class _Tables(HTMLParser):
 
     def handle_data(self, data):
         if self.open and self.open[-1]["cell"] and not self.hidden:
-            self.open[-1]["cell"][5].append(data)
+            self.open[-1]["cell"][-1].append(data)
 
 
 def table_cells(df: DataFrame, key: str, html: str) -> DataFrame:
-    """Each cell of each table of ``html``: key, tab, row, col (from 0), width, height, text.
+    """Each cell of each table of ``html``: key, tab, row, col (from 0), width, height, head, style, ref, name, text.
 
     Columns count spans of cells before it in the row and of cells above that reach down;
-    spans are taken up to SPAN. Text has no tags, single spaces. Null, empty and broken
+    spans are taken up to SPAN. head: a header cell; style: its class; ref: the element that
+    a definition link in it refers to; name: the id of its table. Text has no tags, single spaces. Null, empty and broken
     pages give the cells that can be told. A page is one row.
     """
     kind = df.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["tab", "row", "col", "width", "height", "text"]
+        names = ["tab", "row", "col", "width", "height", "head", "style", "ref", "name", "text"]
+        kinds = [pa.int32()] * 5 + [pa.bool_()] + [pa.string()] * 4
         for b in batches:
             own, found = [], []
             for k, page in enumerate(b.column(1).to_pylist()):
@@ -86,7 +91,7 @@ def table_cells(df: DataFrame, key: str, html: str) -> DataFrame:
                     parser._shut(parser.open.pop())
                 found += parser.cells
                 own += [k] * len(parser.cells)
-            columns = [pa.array([x[i] for x in found], pa.string() if i == 5 else pa.int32()) for i in range(6)]
+            columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), *columns], [key, *names])
 
-    return df.select(key, html).mapInArrow(read, f"`{key}` {kind}, tab int, row int, col int, width int, height int, text string")
+    return df.select(key, html).mapInArrow(read, f"`{key}` {kind}, tab int, row int, col int, width int, height int, head boolean, style string, ref string, name string, text string")
