@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, asof, boards, compositions, deals, entities, facts, flows, ingest, marketplace, metrics, peers, registers, releases, reltables, rendered, rules, scenarios, statement_rows, statements, timelines, valuations
+from . import aggregates, asof, boards, compositions, deals, entities, facts, flows, ingest, knowledge, marketplace, metrics, peers, registers, registry, releases, reltables, rendered, rules, scenarios, statement_rows, statements, timelines, valuations
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "asof", "boards", "compositions", "deals", "entities", "facts", "flows", "ingest", "marketplace", "metrics", "peers", "registers", "releases", "reltables", "rendered", "rules", "scenarios", "statement_rows", "statements", "timelines", "valuations"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "asof", "boards", "compositions", "deals", "entities", "facts", "flows", "ingest", "knowledge", "marketplace", "metrics", "peers", "registers", "registry", "releases", "reltables", "rendered", "rules", "scenarios", "statement_rows", "statements", "timelines", "valuations"]
