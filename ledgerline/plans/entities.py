@@ -10,9 +10,12 @@ from ledgerline.functions import text as X
 from ledgerline.operators import entity as E
 from ledgerline.operators import events as V
 from ledgerline.operators import graph as G
+from ledgerline.sources.sinks import Table
+from ledgerline.sources.workspace import folder
 from ledgerline.streaming import events as S
+from ledgerline.streaming.stories import land, stories
 
-from .base import Tables, query
+from .base import ORACLES, Tables, query
 
 ORDER = ["purchase", "signup", "click", "view"]
 RANK_SQL = "CASE source WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END"
@@ -280,6 +283,23 @@ def search_universe(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", "c_name", p.alias("p")).where("p is not null").orderBy("p", "c_name").limit(25)
 
 
+@query("stream_story_store", ORACLES["event_dedup_priority"])
+def stream_story_store(t: Tables) -> DataFrame:
+    """The store's events in three shuffled arrivals and a last one that moves the watermark past them all."""
+    store = _store(t).withColumn("key", V.headline_key(F.col("headline")))
+    arrivals = folder(t.spark, "arrivals")
+    third = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for k in range(3):
+        store.where(third == k).repartition(1).write.mode("append").parquet(arrivals)
+    last = store.groupBy(F.lit(-1).cast("long").alias("event_id")).agg(F.max("ts").alias("ts"))
+    late = store.limit(0).unionByName(last.withColumn("ts", F.col("ts") + F.expr("interval 900 days")).withColumn("source", F.lit("close")), allowMissingColumns=True)
+    late.coalesce(1).write.mode("append").parquet(arrivals)
+    stream = t.spark.readStream.schema(store.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+    table = Table(t.spark, folder(t.spark, "stories"))
+    land(stories(stream.withColumn("ts", F.col("ts").cast("timestamp")), ["ticker", "key"], ORDER, eligible=ORDER, late="400 days"), table, ["ticker", "key"], folder(t.spark, "progress"))
+    return table.read().where("event_id >= 0").select("event_id", "ticker", "key", "copies")
+
+
 @query("stream_event_dedup", "SELECT user_id, event_type, count(*) AS days FROM (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS d FROM events) GROUP BY 1, 2")
 def stream_event_dedup(t: Tables) -> DataFrame:
     stream = S.read(t.spark, f"{t._folder}/events.parque[t]", t.events.schema)
