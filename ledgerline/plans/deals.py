@@ -87,6 +87,31 @@ def deal_groups(t: Tables) -> DataFrame:
     return D.merger_groups(d, "filing", "filed", "items", "kind", "document")
 
 
+SQL_SPOKEN = """d AS (SELECT doc_id, text, coalesce(n_chars, 0) % 4 AS kind, 'Al' || coalesce(lang, 'n') || 'a' AS a, 'Be' || coalesce(lang, 'n') || 'a' AS b, doc_id % 900 + 1 AS n, doc_id % 90 + 10 AS r FROM documents)"""
+
+
+@query(
+    "document_deals",
+    f"""WITH {SQL_SPOKEN} SELECT doc_id, CASE kind WHEN 0 THEN n * 1000000 + 500000 WHEN 2 THEN n * 1000000000 END AS value_usd, CASE WHEN kind IN (0, 2) THEN r / 100e0 END AS ratio, CASE WHEN kind IN (0, 2) THEN a END AS acquirer, CASE WHEN kind IN (0, 2) THEN b END AS target,
+  CASE WHEN kind IN (0, 2) THEN 'AL' END AS acquirer_ticker, CASE WHEN kind = 0 THEN 'BE' END AS target_ticker, CASE kind WHEN 0 THEN 'announced' WHEN 1 THEN 'terminated' WHEN 2 THEN 'completed' END AS state FROM d""",
+)
+def document_deals(t: Tables) -> DataFrame:
+    """Deals told in the midst of whole documents; whose deal it is and its figures follow from the document's language, length and id."""
+    d = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("body"), (F.coalesce("n_chars", F.lit(0)) % 4).alias("kind"), F.concat(F.lit("Al"), F.coalesce("lang", F.lit("n")), F.lit("a")).alias("a"), F.concat(F.lit("Be"), F.coalesce("lang", F.lit("n")), F.lit("a")).alias("b"))
+    n, r = (F.col("doc_id") % 900 + 1).cast("string"), F.concat(F.lit("0."), (F.col("doc_id") % 90 + 10).cast("string"))
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) and x not in "ab" else F.col(x) if isinstance(x, str) else x for x in parts))
+    told = (
+        F.when(F.col("kind") == 0, say("a", " Bancorp (NASDAQ: AL) will acquire ", "b", " Bank (NYSE: BE) in a deal valued at\n approximately US$ ", n, ".5 million. Holders will receive ", r, " shares of ", "a", " common stock for each share of ", "b", " common stock, and a fee of $3 million."))
+        .when(F.col("kind") == 1, say("The merger of ", "a", " and ", "b", " valued at $", n, " million, at a purchase price of $", n, ".1 million, was terminated; holders were to receive ", r, " ", "a", " shares for each ", "b", " share or receive 9.5 ", "a", " shares for each ", "b", " share."))
+        .when(F.col("kind") == 2, say("a", " Bancorp (NYSE American: AL) has completed its purchase for $", n, " billion in the aggregate. Each share of ", "b", " stock is converted into the right to receive ", r, " of a share of ", "a", " common stock."))
+        .otherwise(F.lit("A branch opens at a cost of $7 million."))
+    )
+    half = F.floor(F.length("body") / 2).cast("int")
+    x = d.withColumn("text", F.concat(F.left("body", half), F.lit(". "), told, F.lit(" "), F.substr("body", half + 1))).withColumn("x", D.exchange_ratio(F.col("text")))
+    ticker = lambda side: D.listed_ticker(F.col("text"), F.col(f"x.{side}")).alias(f"{side}_ticker")
+    return x.select("doc_id", D.stated_value(F.col("text")).alias("value_usd"), "x.ratio", "x.acquirer", "x.target", ticker("acquirer"), ticker("target"), D.deal_state(F.col("text")).alias("state"))
+
+
 @query("prospectus_covers", f"SELECT c_custkey AS k, {_chosen(COVER_KINDS, 'c_custkey')} AS kind, nullif({_chosen(COVER_SECURITIES, 'c_custkey')}, '') AS security, TRY_CAST({_chosen(COVER_GROSS, 'c_custkey')} AS BIGINT) AS gross_usd, TRY_CAST({_chosen(COVER_PRICES, 'c_custkey')} AS DOUBLE) AS price_per_share FROM customer")
 def prospectus_covers(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("k"), D.prospectus(_pick(COVERS, "c_custkey")).alias("p")).select("k", "p.*")

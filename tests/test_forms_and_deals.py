@@ -63,3 +63,22 @@ def test_filings_of_mergers(spark):
     df = spark.createDataFrame(rows, "filing string, filed string, items array<string>, kind string, document string")
     got = {r.filing: (r.document, r.side) for r in deals.merger_groups(df, "filing", "filed", "items", "kind", "document").collect()}
     assert got == {"a": ("z.htm", "announcement"), "b": ("b.htm", "termination")}
+
+
+def test_money_and_its_surroundings(spark):
+    def of(f, text):
+        return spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("x")).first().x
+
+    got = of(deals.money, "A fee of $1,000.50. Then valued at about $ 2 million in the aggregate, $ n/a")
+    assert [(m.amount, m.unit) for m in got] == [(1000.5, ""), (2.0, "million")] and got[1].before.endswith(" valued at about ") and got[1].after.startswith(" in the aggregate ")
+    assert of(deals.money, "") == [] and of(deals.stated_value, "valued at $5") is None  # no unit
+    assert of(deals.stated_value, "devalued at $5 million") is None
+    assert of(deals.exchange_ratio, "Each share of Beta stock is converted into 1.5 shares of Alpha Corp. common stock") == (1.5, "Alpha Corp.", "Beta")
+    assert of(deals.exchange_ratio, "receive 1.5 Alpha shares for each Beta share, or receive 2 Alpha shares for each Beta share") is None
+    cover = "The 4.125% Fixed-to-Floating Rate  Subordinated Notes due 2031 rank below senior notes. $50,000,000 aggregate principal amount"
+    assert tuple(of(deals.prospectus, cover)) == ("DCM", "4.125% Fixed-to-Floating Rate Subordinated Notes due 2031", 50_000_000, None)
+    assert tuple(of(deals.prospectus, "Perpetual Preferred Stock, price to public $25 $ 75,000,000")) == ("ECM", "Perpetual Preferred Stock", 75_000_000, 25.0)
+    assert tuple(of(deals.prospectus, "We are offering 2,000,000 shares of common stock at a public offering price of $10")) == ("ECM", "Common Stock", 20_000_000, 10.0)
+    assert of(deals.placement_gross, "It sold notes for $25 million. It sold notes for $25,000,000.") == 25_000_000 and of(deals.placement_gross, None) is None
+    assert of(lambda t: deals.listed_ticker(t, F.lit("Alpha Bank")), "Alpha Bancorp (NYSE American: ALF) met Beta (NASDAQ: BET)") == "ALF"
+    assert of(lambda t: deals.listed_ticker(t, F.lit("Alpha Bank")), "Alpha (NASDAQ: A) or Alpha (NYSE: B)") is None
