@@ -31,7 +31,8 @@ from .storage import NewFile, place
 NAME = "op5_warc"
 ORACLE_SQL = None
 DICTIONARY_BYTES = 64 << 10
-SAMPLE_RECORDS, SAMPLE_BYTES = 1000, 64 << 10
+#: Records that the dictionary is trained on, about, and letters of each: of a long page its head.
+SAMPLE_RECORDS, SAMPLE_LETTERS = 1000, 16 << 10
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
@@ -142,8 +143,8 @@ def archived(pages: DataFrame, where: str, least: int = 0, archive_bytes: int =
     spark = pages.sparkSession
     count = pages.count()
     share = min(1.0, SAMPLE_RECORDS / max(1, count))
-    short = pages.where(F.coalesce(F.octet_length("html"), F.lit(0)) <= SAMPLE_BYTES).select("page_id", "url", "html")
-    chosen = short.where(fraction(share, "sample", "page_id")).limit(2 * SAMPLE_RECORDS).collect() or short.limit(SAMPLE_RECORDS).collect()
+    heads = pages.select("page_id", "url", F.left("html", F.lit(SAMPLE_LETTERS)).alias("html"))
+    chosen = heads.where(fraction(share, "sample", "page_id")).limit(2 * SAMPLE_RECORDS).collect() or heads.limit(SAMPLE_RECORDS).collect()
     dictionary = train([page_record(r.page_id, r.url, r.html, None, False) for r in chosen])
     spread = spark.sparkContext.broadcast(dictionary)
 

@@ -45,6 +45,17 @@ def test_round_trip_of_the_table(spark, small):
     assert rows(op.query(spark, small)) == brute([(r.page_id, r.url, r.html) for r in table])
 
 
+def test_long_pages_have_a_dictionary_too(pages, tmp_path):
+    """Every page is over 64 KiB: the dictionary comes from their heads."""
+    long = [(k, f"http://h/{k}", "".join(f"<div class='row{(i * 7 + k) % 97}'>item {i} of {k}</div>" for i in range(3000))) for k in range(8)]
+    assert all(len(h) > 65536 for _, _, h in long)
+    (m, *_) = op.archived(pages(long), f"file://{tmp_path}/warc").collect()
+    with open(m.archive.removeprefix("file://"), "rb") as f:
+        magic, size = struct.unpack("<II", f.read(8))
+    assert magic == 0x184D2A5D and size > 1000
+    assert rows(op.round_trip(pages(long))) == brute(long)
+
+
 def test_archive_layout(spark, small, tmp_path):
     """A dictionary in a leading skippable frame; each record is a frame of its own, readable alone with that dictionary."""
     source = spark.read.parquet(f"{small}/pages.parquet")
