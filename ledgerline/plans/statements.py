@@ -84,7 +84,16 @@ def composition_reconcile(t: Tables) -> DataFrame:
     return S.compositions(p.join(totals, "grp"), "grp", "member", "value", "total", 0.5, None)
 
 
-@query("statement_row_order")
+@query(
+    "statement_row_order",
+    """WITH RECURSIVE r AS (SELECT l_suppkey AS company, year(l_shipdate) AS filing, p_name AS label, min({'o': l_orderkey, 'n': l_linenumber}) AS first_at FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
+n AS (SELECT company, label, row_number() OVER (PARTITION BY company ORDER BY filing DESC, first_at, label) AS k, row_number() OVER (PARTITION BY company, filing ORDER BY first_at, label) AS f FROM r),
+w AS (SELECT DISTINCT company, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS ls, '' AS before FROM n
+  UNION ALL SELECT company, k, CASE WHEN list_contains(ls, label) THEN ls ELSE list_concat(list_concat(ls[:p], [label]), ls[p + 1:]) END, label
+  FROM (SELECT n.company, n.k, ls, label, CASE WHEN f = 1 THEN 0 ELSE list_position(ls, before) END AS p FROM w JOIN n ON n.company = w.company AND n.k = w.k + 1)),
+l AS (SELECT company, ls FROM w QUALIFY row_number() OVER (PARTITION BY company ORDER BY k DESC) = 1)
+SELECT company, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS position, unnest(ls) AS label FROM l""",
+)
 def statement_row_order(t: Tables) -> DataFrame:
     rows = t.lineitem.join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     first = rows.groupBy(F.col("l_suppkey").alias("company"), F.year("l_shipdate").alias("filing"), "p_name").agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("at"))

@@ -114,11 +114,21 @@ def tornado(t: Tables) -> DataFrame:
     return out.select("bank", "param", *(F.round(c, 9).alias(c) for c in ("low", "high", "spread")))
 
 
-@query("implied_irr")
+def _worth_sql(k: str) -> str:
+    paid = " + ".join(f"power((1 + g / 100) / (1 + ({k}) / 100), {i})" for i in range(1, 6))
+    return f"eps * payout * ({paid} + power((1 + g / 100) / (1 + ({k}) / 100), 5) * 1.03 / ((({k}) - 3) / 100))"
+
+
+@query(
+    "implied_irr",
+    f"""WITH {SQL_INPUTS}, s AS (SELECT bank, price, {_worth_sql("3.5e0")} AS high, {_worth_sql("60e0")} AS low, list_reduce(list_concat([[3.5e0, 60e0]], list_transform(range(60), lambda i: [0e0, 0e0])),
+  lambda a, i: CASE WHEN {_worth_sql("(a[1] + a[2]) / 2")} > price THEN [(a[1] + a[2]) / 2, a[2]] ELSE [a[1], (a[1] + a[2]) / 2] END) AS ends FROM x)
+SELECT bank, price, CASE WHEN high >= price AND low <= price THEN round((ends[1] + ends[2]) / 2, 6) END AS rate FROM s""",
+)
 def implied_irr(t: Tables) -> DataFrame:
     x = _inputs(t)
     value = lambda k: V.dcf(F.col("eps"), F.col("g"), F.col("payout"), k, F.lit(3.0))
-    return x.select("bank", "price", F.round(V.implied_rate(F.col("price"), value), 9).alias("rate"))
+    return x.select("bank", "price", F.round(V.implied_rate(F.col("price"), value), 6).alias("rate"))
 
 
 @query(
