@@ -64,23 +64,20 @@ def past_due(reports: DataFrame, scale: float = 1000.0) -> DataFrame:
     """
     cells = [(c, s, code) for c, lists in PAST_DUE.items() for s, codes in zip(STATUSES, lists) for code in codes] + [("total", s, code) for s, code in zip(STATUSES, TOTALS)]
     values = concepts(reports, BALANCE, largest=True).where(F.col("code").isin([c for *_, c in cells]))
-    maps = values.groupBy(*ON).agg(F.map_from_entries(F.collect_list(F.struct("code", "value"))).alias("m"))
-
-    def total(codes: list[str]) -> Column:
-        filed = F.array_compact(F.array(*(F.try_element_at("m", F.lit(c)) for c in codes)))
-        return F.when(F.size(filed) > 0, F.aggregate(filed, F.lit(0.0), lambda a, x: a + x))
-
+    total = lambda codes, name: F.sum(F.when(F.col("code").isin(codes), F.col("value"))).alias(name)
+    sums = [total(codes, f"{c}_{s}") for c, lists in PAST_DUE.items() for s, codes in zip(STATUSES, lists)] + [total([code], f"total_{s}") for s, code in zip(STATUSES, TOTALS)]
+    wide = values.groupBy(*ON).agg(*sums)
     rows = []
-    for k, s in enumerate(STATUSES):
-        named = {c: total(lists[k]) for c, lists in PAST_DUE.items()}
-        whole = F.try_element_at("m", F.lit(TOTALS[k]))
+    for s in STATUSES:
+        named = {c: F.col(f"{c}_{s}") for c in PAST_DUE}
+        whole = F.col(f"total_{s}")
         rest = whole
         for c, v in named.items():
             rest = rest - F.coalesce(v, F.lit(0.0)) if c not in WITHIN_OTHER else rest
         tied = rest >= 0
         entry = lambda c, v, t: F.struct(F.lit(c).alias("category"), F.lit(s).alias("status"), (v * scale).cast("double").alias("value"), t.alias("tied"))  # noqa: B023, E731
         rows += [entry(c, v, F.lit(None).cast("boolean")) for c, v in named.items()] + [entry("total", whole, tied), entry("other", F.when(tied, rest), tied)]
-    return maps.select(*ON, F.explode(F.array(*rows)).alias("x")).select(*ON, "x.*")
+    return wide.select(*ON, F.explode(F.array(*rows)).alias("x")).select(*ON, "x.*")
 
 
 def capital_lines(reports: DataFrame, lines: dict[str, str], derived: dict[str, list[tuple[int, str]]], residuals: dict[str, tuple[str, list[str]]], scale: float = 1000.0) -> DataFrame:

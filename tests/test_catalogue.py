@@ -7,7 +7,6 @@ from ledgerline.plans import catalogue
 from tests.oracle import compare
 
 FOLDERS = ("/root/testdata/sf0.001", "/root/testdata/sf0.01")
-FOLDER = FOLDERS[0]
 
 
 @pytest.mark.parametrize("folder", FOLDERS)
