@@ -110,7 +110,7 @@ def _points(t: Tables) -> DataFrame:
 )
 def geo_radius_pairs(t: Tables) -> DataFrame:
     p = _points(t)
-    return geo.within(p, p, 15.0).where("id != other").withColumn("miles", F.round("miles", 6))
+    return geo.within(p, p, 15.0, 6).where("id != other")
 
 
 @query(

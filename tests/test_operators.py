@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,38 @@ def test_points_within_a_radius(spark):
         assert found == sorted((a[0], b[0]) for a in rows for b in rows if miles(a, b) <= radius)
 
 
+def test_nearest_of_many_points_at_one_place(spark):
+    many = spark.range(30_000).select("id", F.lit(40.0).alias("lat"), F.lit(-75.0).alias("lng"))
+    df = many.union(spark.createDataFrame([(40_000, 40.1, -75.0), (40_001, 40.1, -75.0), (40_002, 50.0, 0.0)], "id long, lat double, lng double"))
+    before = time.monotonic()  # 9e8 pairs of points, but two places
+    got = geo.nearest(df, df, 3, 30.0).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "other"))).alias("x"))
+    found = {r.id: [tuple(y) for y in r.x] for r in got.collect()}
+    assert time.monotonic() - before < 60
+    assert len(found) == 30_002 and found[0] == [(1, 1), (2, 2), (3, 3)] and found[2] == [(1, 0), (2, 1), (3, 3)] and found[29_999] == [(1, 0), (2, 1), (3, 2)]
+    assert found[40_000] == [(1, 40_001), (2, 0), (3, 1)] and 40_002 not in found
+
+
+def test_nearest_against_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(k, 40 + rng.randrange(6) / 10, -75 + rng.randrange(6) / 10) for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, lat double, lng double")
+    pairs = df.toDF("id", "lat", "lng").crossJoin(df.toDF("other", "lat2", "lng2")).where("id != other").withColumn("m", F.round(geo.miles(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")), 9))
+    near = {}
+    for r in pairs.where("m <= 12").collect():
+        near.setdefault(r.id, []).append((r.m, r.other))
+    wanted = {(k, n + 1, o) for k, x in near.items() for n, (_, o) in enumerate(sorted(x)[:4])}
+    assert {(r.id, r.rank, r.other) for r in geo.nearest(df, df, 4, 12.0).collect()} == wanted
+
+
+def test_places_within_are_judged_once(spark, monkeypatch):
+    seen, places = [], geo._places
+    monkeypatch.setattr(geo, "_places", lambda l, r, radius: seen.append((l.count(), r.count())) or places(l, r, radius))
+    monkeypatch.setattr(geo, "LIST", 4)
+    df = spark.range(30).select("id", (40 + F.col("id") % 2 * 0.1).alias("lat"), F.lit(-75.0).alias("lng"))
+    got = [(r.id, r.other, r.miles) for r in geo.within(df, df, 10.0, 3).collect()]
+    assert seen == [(2, 2)] and sorted(got) == [(a, b, 6.909 if (a + b) % 2 else 0.0) for a in range(30) for b in range(30)]
+
+
 def test_consensus(spark):
     df = spark.createDataFrame([("T", "2024", "a", "eps", 1.20, "$"), ("T", "2024", "b", "eps", 1.36, "$"), ("T", "2024", "a", "ni", 14500.0, "$M"), ("T", "2024", "b", "ni", 14.6, "$B"), ("T", "2024", "c", "ni", 1.0, "?")], "ticker string, period string, firm string, metric string, value double, unit string")
     got = {r.metric: (r.mean, r.n) for r in estimates.consensus(df).collect()}
