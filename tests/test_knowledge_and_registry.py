@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import deque
 from datetime import date, timedelta
 
@@ -131,3 +132,23 @@ def test_matches_need_their_state(spark):
     left = spark.createDataFrame([("a", "Alpha Bancorporation", ["LA"]), ("b", "Alpha Bancorp", ["NY"]), ("c", "Alpha Bancorp", []), ("d", "Beta Holding", None), ("e", "Gamma Bank", ["TX"]), ("f", "Delta National", ["TX"]), ("g", "Nobody", ["TX"])], "ticker string, name string, states array<string>")
     got = {r.ticker: (r.cert, r.phase, r.status) for r in R.matched(left, right, "ticker", "cert").collect()}
     assert got == {"a": (2, 1, "matched"), "b": (None, 1, "state"), "c": (None, 1, "ambiguous"), "d": (3, 1, "matched"), "e": (None, 1, "tied"), "f": (6, 2, "matched"), "g": (None, None, "none")}
+
+
+def test_equal_names_are_linked_once(spark, monkeypatch):
+    seen, within = [], R._within
+    monkeypatch.setattr(R, "_within", lambda s, l, a, b: seen.append((s.count(), l.count())) or within(s, l, a, b))
+    left = spark.range(40).select(F.col("id").alias("a"), F.element_at(F.array(F.lit("Alpha Beta Gamma"), F.lit("Delta Epsilon")), (F.col("id") % 2 + 1).cast("int")).alias("name"))
+    left = left.union(left.where("a = 1").withColumn("name", F.lit("Alpha Beta Gamma")))  # two names of one key
+    right = spark.range(30).select(F.col("id").alias("b"), F.lit("Alpha Beta Gamma Inc").alias("name")).union(spark.createDataFrame([(3, "Alpha Beta Gamma")], "b long, name string"))
+    got = [tuple(r) for r in R.name_links(left, right, "a", "name", "b", "name").collect()]
+    assert seen == [(2, 2), (2, 2)] and len(got) == len(set(got))
+    assert set(got) == {(a, b) for a in range(40) for b in range(30) if a % 2 == 0 or a == 1}
+
+
+def test_rows_of_equal_names_and_states_are_matched_once(spark):
+    left = spark.range(60_000).select(F.when(F.col("id") > 0, F.col("id")).alias("ticker"), F.lit("Alpha Bancorp").alias("name"), F.array(F.lit("MO")).alias("states"))
+    right = spark.range(5_000).select(F.col("id").alias("cert"), F.lit("ALPHA BANCORP").alias("holder"), F.array(F.lit("MO")).alias("states"), F.col("id").cast("double").alias("size"))
+    before = time.monotonic()  # 3e8 pairs of rows, but one of names
+    got = {(r.cert, r.phase, r.status): r["count"] for r in R.matched(left, right, "ticker", "cert").groupBy("cert", "phase", "status").count().collect()}
+    assert time.monotonic() - before < 60
+    assert got == {(4_999, 1, "matched"): 59_999, (None, None, "none"): 1}
