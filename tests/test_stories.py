@@ -39,3 +39,18 @@ def test_shuffled_arrivals_and_a_restart(spark, tmp_path):
     before = table.version()
     run()  # nothing new
     assert table.version() == before
+
+
+def test_keys_share_states(spark, tmp_path, monkeypatch):
+    """A state for each key took a call of Python a key and batch."""
+    monkeypatch.setattr("ledgerline.streaming.stories.BUCKETS", 8, raising=False)
+    df = spark.range(600).select(F.col("id").alias("event_id"), F.when(F.col("id") % 150 > 0, F.concat(F.lit('T "'), F.col("id") % 150)).alias("ticker"), F.lit("wire").alias("source"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 60).alias("ts"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    told, states = [], []
+    stream = stories(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), ["ticker"], ["wire"], eligible=["wire"], late="1 minute")
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).foreachBatch(lambda b, n: told.extend(b.collect())).start()
+    query.awaitTermination()
+    states = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert 0 < max(states) <= 8
+    last = {r.ticker: (r.event_id, r.copies) for r in sorted(told, key=lambda r: r.copies)}
+    assert len(last) == 150 and last[None] == (0, 4) and last['T "7'] == (7, 4)
