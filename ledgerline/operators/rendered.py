@@ -30,6 +30,11 @@ SHUFFLED = set("total interest fees fee dividend dividends income on including s
 PER_SHARE = re.compile(r"per share|per common share|\(in shares\)|in shares", re.I)
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that is never a broadcast: cells and lines repeat so much that their files are small, and as rows they would fill the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def lines(cells: DataFrame, key: str) -> DataFrame:
     """The lines of each page's statement, its first table: key, row, label, line, header, section, kind, ref, figures.
 
@@ -44,20 +49,21 @@ def lines(cells: DataFrame, key: str) -> DataFrame:
     """
     main = cells.where("tab = 0")
     flags = main.groupBy(key, "row").agg(F.min("head").alias("all_head"))
-    marked = main.join(flags, [key, "row"])
+    marked = _met(main, flags, [key, "row"])
     titles = main.where(F.array_contains(F.split("style", " "), "tl")).groupBy(key).agg(F.min_by("text", F.struct("row", "col")).alias("title"))
     heads = marked.where("all_head").withColumn("period", R.period_end(F.col("text")))
     last = Window.partitionBy(key)
     dated = heads.withColumn("_last", F.max("row").over(last)).where("row = _last and period is not null")
     periods = dated.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "period"))), lambda x: x.period).alias("periods"))
     types = cells.where("name like 'defref%' and col = 0 and text = 'Data Type:'").select(key, "tab", "row", F.substring("name", 8, 500).alias("ref"))
-    types = types.join(cells.where("col = 1").select(key, "tab", "row", F.col("text").alias("type")), [key, "tab", "row"]).groupBy(key, "ref").agg(F.min("type").alias("type"))
+    types = _met(types, cells.where("col = 1").select(key, "tab", "row", F.col("text").alias("type")), [key, "tab", "row"]).groupBy(key, "ref").agg(F.min("type").alias("type"))
     body = marked.where("not all_head")
     spacer = (F.col("col") > 0) & F.array_contains(F.split("style", " "), "th")
     row = body.where(~spacer).groupBy(key, "row").agg(F.array_sort(F.collect_list(F.struct("col", "text", "ref"))).alias("c"))
     label = F.col("c")[0].text
     row = row.select(key, "row", label.alias("label"), F.col("c")[0].ref.alias("ref"), F.transform(F.slice("c", 2, 500), lambda x: x.text).alias("texts")).where(F.col("label") != "")
-    row = row.where(~F.col("label").rlike(NOISE)).join(types, [key, "ref"], "left").join(periods, key).join(titles, key, "left")
+    row = _met(row.where(~F.col("label").rlike(NOISE)), types, [key, "ref"], "left")
+    row = _met(_met(row, periods, key), titles, key, "left")
     kind = rules.row_kind(F.col("label"), F.coalesce("type", F.lit("")))
     values = F.transform("texts", lambda x: number(x, notes=False))
     row = row.withColumns({"kind": kind, "header": (F.size("texts") > 0) & (F.size(F.filter("texts", lambda x: x != "")) == 0), "some": F.size(F.filter(values, lambda v: v.isNotNull())) > 0})
@@ -83,12 +89,13 @@ def stitched(lines: DataFrame, company: str, filing: str, years: int = 5) -> Dat
     stated = cells.groupBy(company, "period").agg(F.max(filing).alias("owner"))
     newest = stated.withColumn("n", F.row_number().over(Window.partitionBy(company).orderBy(F.desc("period")))).where(F.col("n") <= years)
     one = cells.groupBy(company, "period", "line").agg(F.max(filing).alias("seen"), F.max_by("value", F.when(F.col("value").isNotNull(), F.col(filing))).alias("value"))
-    owned = newest.join(one, [company, "period"]).where("seen = owner")
+    owned = _met(newest, one, [company, "period"]).where("seen = owner")
     by_line = owned.groupBy(company, "line").agg(F.map_from_entries(F.collect_list(F.struct("period", "value"))).alias("known"))
     periods = newest.groupBy(company).agg(F.reverse(F.array_sort(F.collect_list("period"))).alias("periods"))
     order = row_order(lines.groupBy(company, filing).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x.line).alias("labels")), company, filing, "labels")
     shown = lines.groupBy(company, "line").agg(F.max_by(F.struct("label", "header", "ref"), F.struct(filing, -F.col("row"))).alias("s"))
-    rows = order.withColumnRenamed("label", "line").join(shown, [company, "line"]).join(by_line, [company, "line"], "left").join(periods, company)
+    rows = _met(_met(order.withColumnRenamed("label", "line"), shown, [company, "line"]), by_line, [company, "line"], "left")
+    rows = _met(rows, periods, company)
     values = F.transform("periods", lambda p: F.struct(p.alias("period"), F.try_element_at("known", p).alias("value")))
     section = F.last(F.when(F.col("s.header"), F.col("position")), True).over(Window.partitionBy(company).orderBy("position"))
     return rows.select(company, "position", "line", "s.label", "s.header", F.coalesce(section, F.lit(-1)).alias("section"), "s.ref", F.when(~F.col("s.header"), values).alias("values"))

@@ -29,7 +29,7 @@ def _pages(t: Tables) -> DataFrame:
     o = t.orders.groupBy(F.col("o_custkey").alias("c"), F.year("o_orderdate").alias("y"), "o_orderpriority").agg(F.floor(F.sum("o_totalprice") / 1000).alias("v"))
     filed = o.select("c", F.col("y").alias("filing")).distinct()
     own = o.select("c", "o_orderpriority", "v", F.explode(F.array(F.struct(F.col("y").alias("filing"), F.lit(0).alias("b")), F.struct((F.col("y") + 1).alias("filing"), F.lit(1).alias("b")))).alias("x"))
-    wide = own.select("c", "x.*", "o_orderpriority", "v").join(filed, ["c", "filing"], "left_semi").groupBy("c", "filing").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "o_orderpriority", "b"), F.col("v")))).alias("m"))
+    wide = own.select("c", "x.*", "o_orderpriority", "v").join(filed.hint("merge"), ["c", "filing"], "left_semi").groupBy("c", "filing").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "o_orderpriority", "b"), F.col("v")))).alias("m"))
     even = F.col("filing") % 2 == 0
 
     def cell(priority: str, b: int, k: int):

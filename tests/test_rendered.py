@@ -86,3 +86,13 @@ def test_folded_statement(lines):
     assert [(r.position, r.label, r.value and r.value / 1e6) for r in out] == [
         (0, "Revenues", None), (1, "High orders", 10), (1, "High orders", 9), (1, "High orders", 8), (1, "High orders", 7), (2, "High orders and returns", 1), (2, "High orders and returns", 1), (2, "High orders and returns", 1), (2, "High orders and returns", 1)
     ]
+
+
+def test_joins_of_lines_are_no_broadcasts(spark, tmp_path):
+    """Cells that repeat make small files, which Spark took for small tables and sent whole to the driver."""
+    schema = "page string, tab int, row int, col int, width int, height int, head boolean, style string, ref string, name string, text string"
+    spark.createDataFrame([("a", 0, 0, 0, 1, 1, True, "tl", "", "", "Sheet")], schema).write.parquet(str(tmp_path / "cells"))
+    lines = S.lines(spark.read.parquet(str(tmp_path / "cells")), "page").withColumn("c", F.lit(1)).withColumn("filing", F.lit(2))
+    lines.write.parquet(str(tmp_path / "lines"))
+    for df in (lines, S.stitched(spark.read.parquet(str(tmp_path / "lines")), "c", "filing")):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
