@@ -19,6 +19,9 @@ pair of different texts goes unjudged.
 Bands, minima and the cut-off of the estimate follow from the similarity asked for: the
 chance of losing a link that just reaches it is at most LOSS in the bands and at most LOSS
 in the estimate. What is confirmed is exact.
+
+No join is a broadcast: tables with copies compress, and one whose files are under the
+broadcast threshold can be many times that as rows on the driver.
 """
 
 from __future__ import annotations
@@ -296,7 +299,7 @@ def _rest_cells(df: DataFrame, key: str, size: int) -> DataFrame:
     """
     counts = df.groupBy(key).agg(F.count("*").alias("_n"), F.count_if("rest").alias("_r")).where("_r > 0 and _n > 1")
     blocks = lambda n: F.ceil(F.col(n) / size).cast("int")
-    met = looked_up(df, counts, key, "rep", "inner").withColumn("_is", blocks("_r")).withColumn("_js", blocks("_n"))
+    met = looked_up(df, counts, key, "rep", "inner", merge=True).withColumn("_is", blocks("_r")).withColumn("_js", blocks("_n"))
     met = met.withColumn("_i", F.pmod(F.xxhash64("rep"), F.col("_is")).cast("int")).withColumn("_j", F.pmod(F.xxhash64("rep"), F.col("_js")).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     down = F.transform(F.filter(every("_is"), lambda i: ~F.col("rest") | (i != F.col("_i"))), lambda i: F.struct(i.alias("i"), F.col("_j").alias("j")))
@@ -327,28 +330,28 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
     # classes that may be similar
     banded = classes.select(F.explode("bands").alias("band"), "rep", "sig")
     shared = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
-    shared = shared.join(classes.select(F.col("rep").alias("hub"), F.col("sig").alias("hub_sig")), "hub").drop("size")
-    met = looked_up(banded, shared, "band", "rep", "inner").where("rep != hub")
+    shared = shared.join(classes.select(F.col("rep").alias("hub"), F.col("sig").alias("hub_sig")).hint("merge"), "hub").drop("size")
+    met = looked_up(banded, shared, "band", "rep", "inner", merge=True).where("rep != hub")
     judged = written(met.mapInArrow(lambda it: _near_hub(it, own_plan), "band long, rep long, sig binary, hub long, rest boolean"), "judged")
     cells = _rest_cells(judged.drop("hub"), "band", BAND_BLOCK).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     more = cells.mapInArrow(lambda it: _soft(it, own_plan), "a long, b long")
     clusters = components(judged.where("not rest").select("rep", "hub").distinct().union(more).toDF("a", "b")).toDF("rep", "cluster")
     # links of full sets within clusters
-    members = clusters.join(classes.select("rep", "digest"), "rep")
+    members = clusters.join(classes.select("rep", "digest").hint("merge"), "rep")
     hashes = signed.select(F.col("doc_id").alias("rep"), "digest", "text_hash")
-    members = members.join(hashes, ["rep", "digest"]).groupBy("rep", "cluster").agg(F.min("text_hash").alias("text_hash"))
-    texts = written(members.join(hashed.withColumnRenamed("doc_id", "rep"), ["rep", "text_hash"]).select("rep", "cluster", "text"), "texts")
+    members = members.join(hashes.hint("merge"), ["rep", "digest"]).groupBy("rep", "cluster").agg(F.min("text_hash").alias("text_hash"))
+    texts = written(members.join(hashed.withColumnRenamed("doc_id", "rep").hint("merge"), ["rep", "text_hash"]).select("rep", "cluster", "text"), "texts")
     hubs = texts.where("rep = cluster").groupBy("cluster").agg(F.first("text").alias("hub_text"))
-    met = looked_up(texts.where("rep != cluster"), hubs, "cluster", "rep", "inner")
+    met = looked_up(texts.where("rep != cluster"), hubs, "cluster", "rep", "inner", merge=True)
     judged = written(met.mapInArrow(lambda it: _to_hub(it, n, percent), "cluster long, rep long, rest boolean"), "judged")
     cells = _rest_cells(judged.distinct(), "cluster", CLUSTER_BLOCK)
-    wanted = texts.join(cells.select("rep").distinct(), "rep", "left_semi").select("rep", "text").dropDuplicates(["rep"])
-    cells = cells.join(wanted, "rep").select("cluster", "i", "j", "rep", "rest", "text")
+    wanted = texts.join(cells.select("rep").distinct().hint("merge"), "rep", "left_semi").select("rep", "text").dropDuplicates(["rep"])
+    cells = cells.join(wanted.hint("merge"), "rep").select("cluster", "i", "j", "rep", "rest", "text")
     more = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda it: _exact(it, n, percent), "a long, b long")
     linked = components(judged.where("not rest").select("rep", "cluster").union(more).toDF("a", "b"))
-    named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    named = classes.join(linked.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return looked_up(signed.select("doc_id", "text_hash", "n_shingles", "digest"), named, "digest", "doc_id").select(
+    return looked_up(signed.select("doc_id", "text_hash", "n_shingles", "digest"), named, "digest", "doc_id", merge=True).select(
         "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "text_hash"
     )
 
@@ -361,7 +364,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     h, r = free(docs.columns, "_hash", "_row")
     kept = near_duplicates(docs, *STAGE).where("kept and doc_id is not null").select("doc_id", F.col("text_hash").alias(h)).distinct()
-    named = docs.withColumn(h, F.xxhash64("text")).join(kept, ["doc_id", h], "left_semi")
+    named = docs.withColumn(h, F.xxhash64("text")).join(kept.hint("merge"), ["doc_id", h], "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.lit(0)))
     return named.withColumn(r, first).where(F.col(r) == 1).select(docs.columns).unionByName(docs.where("doc_id is null"))
 

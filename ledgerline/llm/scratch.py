@@ -41,14 +41,15 @@ def fraction(share: float, salt: str, *columns: str) -> Column:
     return F.xxhash64(*columns, F.lit(salt)).bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(min((1 << 63) - 1, int(share * 2.0**63)))
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "left") -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "left", merge: bool = False) -> DataFrame:
     """``rows`` joined to ``table`` (one row per ``key``), inner or left, where one key may hold any share of the rows.
 
     A key's rows are dealt over PLACES by a hash of the column ``spread``, and the table's
-    row goes to the places that the key has. Rows without key join nothing.
+    row goes to the places that the key has. Rows without key join nothing. With ``merge``
+    neither join is a broadcast: for tables whose rows are far larger than their files.
     """
     (place,) = free([*rows.columns, *table.columns], "_place")
     dealt = rows.where(F.col(key).isNotNull()).withColumn(place, F.pmod(F.xxhash64(spread), F.lit(PLACES)).cast("int"))
-    wide = dealt.select(key, place).distinct().join(table, key)
-    joined = dealt.join(wide, [key, place], how).drop(place)
+    wide = dealt.select(key, place).distinct().join(table.hint("merge") if merge else table, key)
+    joined = dealt.join(wide.hint("merge") if merge else wide, [key, place], how).drop(place)
     return joined if how == "inner" else joined.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)

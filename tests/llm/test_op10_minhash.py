@@ -141,3 +141,11 @@ def test_a_third_copies_and_a_third_near_copies(docs, monkeypatch):
     assert rows(op.near_duplicates(docs(pairs))) == brute(pairs)
     moved = [(d + 1000 if d == 0 else d, t) for d, t in pairs]  # the base is no longer the smallest
     assert rows(op.near_duplicates(docs(moved))) == brute(moved)
+
+
+def test_no_join_of_the_stage_is_a_broadcast(spark):
+    """Texts with copies make small files; as broadcast tables they filled the driver."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(30 + k % 2))) for k in range(8)], "doc_id long, text string")
+    out = op.stage(spark, docs, "")
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 1
