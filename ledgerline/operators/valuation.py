@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.binding import once
+
 
 def multiple(price: Column, base: Column) -> Column:
     """Price over a per-share base; null where the base isn't positive."""
@@ -44,21 +46,23 @@ def terminal(flow: Column, rate: Column, growth: Column) -> Column:
 
 def dcf(eps: Column, growth: Column, payout: Column, coe: Column, last_growth: Column, years: int = 5) -> Column:
     """Value per share: payouts on earnings that grow at ``growth`` percent, then a terminal value on ``last_growth``."""
-    path = F.transform(F.sequence(F.lit(1), F.lit(years)), lambda k: eps * F.pow(1 + growth / 100, k) * payout)
+    value, factor = F.lit(0.0), F.lit(1.0)
+    for k in range(1, years + 1):  # written out: by a function of arrays a search for a rate took many times as long
+        factor = factor * (1 + coe / 100)
+        value = value + eps * F.pow(1 + growth / 100, F.lit(k)) * payout / factor
     end = terminal(eps * F.pow(1 + growth / 100, F.lit(years)) * (1 + last_growth / 100) * payout, coe, last_growth)
-    return F.when(eps > 0, present_value(path, coe) + end / F.pow(1 + coe / 100, F.lit(years)))
+    return F.when(eps > 0, value + end / F.pow(1 + coe / 100, F.lit(years)))
 
 
 def implied_rate(price: Column, value, low: float = 3.5, high: float = 60.0, rounds: int = 60) -> Column:
     """The rate at which ``value(rate)`` is the price, by bisection inside one expression; null where the bracket doesn't hold it."""
 
     def halve(a, _):
-        mid = (a["lo"] + a["hi"]) / 2
-        above = value(mid) > price
-        return F.struct(F.when(above, mid).otherwise(a["lo"]).alias("lo"), F.when(above, a["hi"]).otherwise(mid).alias("hi"))
+        side = lambda mid, above: F.struct(F.when(above, mid).otherwise(a["lo"]).alias("lo"), F.when(above, a["hi"]).otherwise(mid).alias("hi"))
+        return once((a["lo"] + a["hi"]) / 2, lambda mid: once(value(mid) > price, lambda above: side(mid, above)))
 
     end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi")), halve)
-    return F.when((value(F.lit(low)) >= price) & (value(F.lit(high)) <= price), (end["lo"] + end["hi"]) / 2)
+    return F.when((value(F.lit(low)) >= price) & (value(F.lit(high)) <= price), once(end, lambda e: (e["lo"] + e["hi"]) / 2))
 
 
 def grid(df: DataFrame, name_a: str, a: list[float], name_b: str, b: list[float]) -> DataFrame:

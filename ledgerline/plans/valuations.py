@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import rates as R
 from ledgerline.operators import valuation as V
 
-from .base import SQL_FILINGS, Tables, query
+from .base import SQL_FILINGS, Tables, query, spread
 
 SQL_INPUTS = """x AS (SELECT c_custkey AS bank, c_mktsegment AS scope, CASE WHEN c_acctbal > 0 THEN c_acctbal / 1000 END AS eps, CAST(2 + c_custkey % 7 AS DOUBLE) AS g, 0.4::DOUBLE AS payout,
   CAST(9 + c_custkey % 4 AS DOUBLE) AS k, CAST(8 + c_custkey % 9 AS DOUBLE) AS roe, CAST(10 + c_custkey % 30 AS DOUBLE) AS price, c_acctbal AS size FROM customer)"""
@@ -126,7 +126,7 @@ def _worth_sql(k: str) -> str:
 SELECT bank, price, CASE WHEN high >= price AND low <= price THEN round((ends[1] + ends[2]) / 2, 6) END AS rate FROM s""",
 )
 def implied_irr(t: Tables) -> DataFrame:
-    x = _inputs(t)
+    x = spread(_inputs(t), "bank")
     value = lambda k: V.dcf(F.col("eps"), F.col("g"), F.col("payout"), k, F.lit(3.0))
     return x.select("bank", "price", F.round(V.implied_rate(F.col("price"), value), 6).alias("rate"))
 

@@ -400,3 +400,10 @@ def test_other_currencies_do_not_displace_dollars(spark):
     assert {r.cik: r.value for r in facts.trailing_dividend(df, day).collect()} == {1: 400, 2: 1}
     assert {(r.cik, r.val) for r in facts.series(df).collect()} == {(1, 100), (2, 0.25)}
     assert {(r.cik, r.direct) for r in facts.fiscal(df, ["C", "D"]).collect()} == {(1, 100), (2, 8)}
+
+
+def test_implied_rate_mentions_its_value_once_a_step(spark):
+    df = spark.range(1).select(F.lit(2.0).alias("marked")).select(valuation.implied_rate(F.lit(0.2), lambda k: F.col("marked") / k).alias("r"))
+    plan = df._jdf.queryExecution().analyzed().toString().splitlines()[0]
+    assert plan.count("marked#") == 3  # one in the search, one at each end of the bracket
+    assert df.first().r == pytest.approx(10.0, abs=1e-6)
