@@ -33,6 +33,14 @@ def backward(probes: DataFrame, facts: DataFrame, key: str, at: str) -> DataFram
     return _answered(both, probes, facts, key, at, F.last("_fact", True).over(w))
 
 
+def backward_repeated(probes: DataFrame, facts: DataFrame, key: str, at: str) -> DataFrame:
+    """As ``backward``, for probes that share few moments: each moment is answered once and dealt back in a join, so a key's probes don't meet in one task."""
+    moments = probes.select(F.col(key).alias("_key"), F.col(at).alias("_at")).distinct()
+    answers = backward(moments, facts.withColumnsRenamed({key: "_key", at: "_at"}), "_key", "_at")
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(at).eqNullSafe(F.col("_at"))
+    return probes.join(answers, same).drop("_key", "_at")
+
+
 def forward(probes: DataFrame, facts: DataFrame, key: str, at: str) -> DataFrame:
     """Each probe with the first fact at or after it."""
     both = _both(probes, facts, key, at)

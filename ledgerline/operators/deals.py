@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.binding import once
+from ledgerline.sources.workspace import written
+
 from . import asof
 
 # Word lists and patterns of the filings' phrasings.
@@ -52,7 +55,11 @@ def _plain(text: Column) -> Column:
 
 def _says(text: Column, phrases: list[str]) -> Column:
     """Whether a text has one of the phrases, word for word."""
-    words, found = _plain(text), F.lit(False)
+    return once(_plain(text), lambda words: _holds(words, phrases))
+
+
+def _holds(words: Column, phrases: list[str]) -> Column:
+    found = F.lit(False)
     for p in phrases:
         found = found | F.contains(words, F.lit(f" {p} "))
     return found
@@ -67,26 +74,29 @@ def _ends(words: Column, phrases: list[str]) -> Column:
 
 def _only(values: Column) -> Column:
     """The one distinct value of an array, null where there are none or several."""
-    d = F.array_distinct(F.array_compact(values))
-    return F.when(F.size(d) == 1, F.try_element_at(d, F.lit(1)))
+    return once(F.array_distinct(F.array_compact(values)), lambda d: F.when(F.size(d) == 1, F.try_element_at(d, F.lit(1))))
 
 
 def money(text: Column) -> Column:
     """The dollar amounts of a text in order: array of before (words since the amount before, NEAR letters at most), amount, unit (million, billion or empty), after (words that follow)."""
-    parts = F.split(text, r"\$")
     figure, unit = r"^\s?(\d[\d,]*(?:\.\d+)?)", r"^\s?\d[\d,]*(?:\.\d+)?\s*(million|billion)\b"
 
-    def one(k: Column) -> Column:
-        own = F.get(parts, k)
+    def one(last: Column, own: Column) -> Column:
         number, word = F.regexp_extract(own, figure, 1), F.regexp_extract(F.lower(own), unit, 1)
         rest = F.regexp_replace(own, r"(?i)^\s?\d[\d,]*(?:\.\d+)?\s*(?:million\b|billion\b)?", "")
-        tail = F.right(F.get(parts, k - 1), F.lit(NEAR))
+        tail = F.right(last, F.lit(NEAR))
         return F.struct(_plain(F.regexp_replace(tail, r"^.*\.\s", "")).alias("before"), F.replace(number, F.lit(","), F.lit("")).try_cast("double").alias("amount"), word.alias("unit"), _plain(F.left(rest, F.lit(NEAR))).alias("after"), (F.trim(tail) == F.regexp_extract(F.trim(tail), figure, 1)).alias("next"))
 
-    every = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), one)).otherwise(F.array().cast("array<struct<before:string,amount:double,unit:string,after:string,next:boolean>>"))
+    none = F.array().cast("array<struct<before:string,amount:double,unit:string,after:string,next:boolean>>")
+    every = once(F.split(text, r"\$"), lambda parts: F.when(F.size(parts) > 1, _neighbours(parts, one)).otherwise(none))
     return F.filter(every, lambda m: m.amount.isNotNull())
 
 
+def _neighbours(parts: Column, one) -> Column:
+    """``one(part, next)`` of each part but the last of two parts or more."""
+    return F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts) - 1), one)
+
+
 def stated_value(text: Column) -> Column:
     """The deal's value in dollars from phrases that state one, in millions or billions; several amounts give null.
 
@@ -94,10 +104,13 @@ def stated_value(text: Column) -> Column:
     aggregate" right after it.
     """
     def valued(m: Column) -> Column:
-        words = m.before
-        for w in ROUGHLY:
-            words = F.when(F.endswith(words, F.lit(f" {w} ")), F.left(words, F.length(words) - len(w) - 1)).otherwise(words)
-        return (m.unit != "") & (_ends(words, VALUED) | m.after.startswith(" in the aggregate ") | m.after.startswith(" in aggregate "))
+        def bare(words: Column, rest: list[str]) -> Column:
+            if not rest:
+                return _ends(words, VALUED)
+            size = len(rest[0]) + 1
+            return once(F.when(F.endswith(words, F.lit(f" {rest[0]} ")), F.left(words, F.length(words) - size)).otherwise(words), lambda w: bare(w, rest[1:]))
+
+        return (m.unit != "") & (bare(m.before, ROUGHLY) | m.after.startswith(" in the aggregate ") | m.after.startswith(" in aggregate "))
 
     dollars = lambda m: (m.amount * F.when(m.unit == "billion", 1e9).otherwise(1e6)).cast("long")
     return F.when(text.isNotNull(), _only(F.transform(F.filter(money(text), valued), dollars)))
@@ -116,29 +129,30 @@ def exchange_ratio(text: Column) -> Column:
     these words and the target behind; or ``each share of`` the target is converted into
     the ratio in shares of the acquirer.
     """
-    tidy = _tidy(text)
     number, side = r"^(\d{1,2}(?:\.\d{1,4})?) ", "struct<ratio:double,acquirer:string,target:string>"
 
     def told(offer: Column, target: Column) -> Column:
         ratio = F.nullif(F.regexp_extract(offer, number, 1), F.lit("")).cast("double")
         acquirer = _name(F.regexp_replace(offer, number, ""))
-        whole = ratio.isNotNull() & (acquirer != "") & (target != "") & (F.length(acquirer) <= 62) & (F.length(target) <= 62)
-        return F.when(whole, F.struct(ratio.alias("ratio"), acquirer.alias("acquirer"), target.alias("target")))
-
-    behind = lambda word: F.slice(F.split(tidy, word), 2, 1 << 20)
+        whole = lambda z: z.ratio.isNotNull() & (z.acquirer != "") & (z.target != "") & (F.length(z.acquirer) <= 62) & (F.length(z.target) <= 62)
+        return once(F.struct(ratio.alias("ratio"), acquirer.alias("acquirer"), target.alias("target")), lambda z: F.when(whole(z), z))
 
     def received(piece: Column) -> Column:
-        halves = F.split(F.left(piece, F.lit(4 * NEAR)), " for each ", 2)
-        return F.when(F.size(halves) == 2, told(F.get(halves, F.lit(0)), _name(F.get(halves, F.lit(1)))))
+        return once(F.split(F.left(piece, F.lit(4 * NEAR)), " for each ", 2), lambda halves: F.when(F.size(halves) == 2, told(F.get(halves, F.lit(0)), _name(F.get(halves, F.lit(1))))))
 
     def converted(piece: Column) -> Column:
-        halves = F.split(F.left(piece, F.lit(4 * NEAR)), " converted into ", 2)
-        name, offer = F.get(halves, F.lit(0)), F.get(halves, F.lit(1))
-        owned = F.regexp_extract(name, r"^([A-Z].*?) (?:common )?stock (?:will be|shall be|is)$", 1)
-        return F.when(F.size(halves) == 2, told(F.regexp_replace(offer, "^the right to receive ", ""), F.trim(owned)))
+        def read(halves: Column) -> Column:
+            name, offer = F.get(halves, F.lit(0)), F.get(halves, F.lit(1))
+            owned = F.regexp_extract(name, r"^([A-Z].*?) (?:common )?stock (?:will be|shall be|is)$", 1)
+            return F.when(F.size(halves) == 2, told(F.regexp_replace(offer, "^the right to receive ", ""), F.trim(owned)))
+
+        return once(F.split(F.left(piece, F.lit(4 * NEAR)), " converted into ", 2), read)
+
+    def offers(tidy: Column) -> Column:
+        behind = lambda word: F.slice(F.split(tidy, word), 2, 1 << 20)
+        return F.array_compact(F.concat(F.transform(behind(r"\breceive "), received), F.transform(behind(r"\b[Ee]ach share of "), converted)).cast(f"array<{side}>"))
 
-    every = F.array_compact(F.concat(F.transform(behind(r"\breceive "), received), F.transform(behind(r"\b[Ee]ach share of "), converted)).cast(f"array<{side}>"))
-    return F.when(F.size(F.array_distinct(F.transform(every, lambda z: z.ratio))) == 1, F.try_element_at(every, F.lit(1)))
+    return once(once(_tidy(text), offers), lambda every: F.when(F.size(F.array_distinct(F.transform(every, lambda z: z.ratio))) == 1, F.try_element_at(every, F.lit(1))))
 
 
 def brand(name: Column) -> Column:
@@ -149,24 +163,23 @@ def brand(name: Column) -> Column:
 
 def listed_ticker(text: Column, side: Column) -> Column:
     """The ticker printed in parentheses beside the name that holds the side's brand as a word; null where none or several do."""
-    parts = F.split(text, r"\(")
+    def one(last: Column, own: Column) -> Column:
+        def read(inside: Column) -> Column:
+            halves = F.split(F.get(inside, F.lit(0)), ":", 2)
+            market, ticker = F.upper(F.regexp_extract(F.trim(F.get(halves, F.lit(0))), r"(\w+)$", 1)), F.trim(F.get(halves, F.lit(1)))
+            name = F.element_at(F.split(F.right(last, F.lit(NEAR)), r"[();]"), -1)
+            return F.when((F.size(inside) == 2) & market.isin(EXCHANGES) & ticker.rlike("^[A-Z]{1,6}$"), F.struct(F.split(F.lower(name), "[^a-z0-9&']+").alias("words"), ticker.alias("ticker")))
 
-    def one(k: Column) -> Column:
-        inside = F.split(F.get(parts, k), r"\)", 2)
-        halves = F.split(F.get(inside, F.lit(0)), ":", 2)
-        market, ticker = F.upper(F.regexp_extract(F.trim(F.get(halves, F.lit(0))), r"(\w+)$", 1)), F.trim(F.get(halves, F.lit(1)))
-        name = F.element_at(F.split(F.right(F.get(parts, k - 1), F.lit(NEAR)), r"[();]"), -1)
-        return F.when((F.size(inside) == 2) & market.isin(EXCHANGES) & ticker.rlike("^[A-Z]{1,6}$"), F.struct(F.split(F.lower(name), "[^a-z0-9&']+").alias("words"), ticker.alias("ticker")))
+        return once(F.split(own, r"\)", 2), read)
 
-    pairs = F.when(F.size(parts) > 1, F.array_compact(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), one)))
-    b = brand(side)
-    named = F.filter(pairs, lambda p: F.array_contains(p["words"], b))
-    return F.when(b.isNotNull(), _only(F.transform(named, lambda p: p["ticker"])))
+    pairs = once(F.split(text, r"\("), lambda parts: F.when(F.size(parts) > 1, F.array_compact(_neighbours(parts, one))))
+    named = lambda b: F.filter(pairs, lambda p: F.array_contains(p["words"], b))
+    return once(brand(side), lambda b: F.when(b.isNotNull(), _only(F.transform(named(b), lambda p: p["ticker"]))))
 
 
 def deal_state(text: Column) -> Column:
     """completed, terminated, announced, or null; completion is told from boilerplate on the future closing by its tense."""
-    return F.when(_says(text, COMPLETED), "completed").when(_says(text, TERMINATED), "terminated").when(_says(text, ANNOUNCED), "announced")
+    return once(_plain(text), lambda words: F.when(_holds(words, COMPLETED), "completed").when(_holds(words, TERMINATED), "terminated").when(_holds(words, ANNOUNCED), "announced"))
 
 
 def merger_groups(df: DataFrame, filing: str, filed: str, items: str, kind: str, document: str) -> DataFrame:
@@ -195,9 +208,10 @@ def stock_values(deals: DataFrame, text: str, announced: str, shares: DataFrame,
     r = r.withColumns({"acquirer": listed_ticker(F.col(text), F.col("_x.acquirer")), "target": listed_ticker(F.col(text), F.col("_x.target"))})
     sure = F.col("acquirer") != F.col("target")
     r = r.withColumns({"ratio": F.col("_x.ratio"), "acquirer": F.when(sure, F.col("acquirer")), "target": F.when(sure, F.col("target"))}).drop("_x")
-    priced = asof.backward(r.withColumns({"ticker": F.col("acquirer"), "d": F.date_sub(F.to_date(announced), 1)}), closes.select("ticker", "d", "close"), "ticker", "d")
+    r = written(r, "ratios")  # texts are read once, for the days and for the deals
+    priced = asof.backward_repeated(r.withColumns({"ticker": F.col("acquirer"), "d": F.date_sub(F.to_date(announced), 1)}), closes.select("ticker", "d", "close"), "ticker", "d")
     priced = priced.withColumn("_price", F.when(F.datediff(F.to_date(announced), "fact_at") <= PRICE_AGE, F.col("close"))).drop("fact_at", "close", "ticker", "d")
-    counted = asof.backward(priced.withColumns({"ticker": F.col("target"), "d": F.to_date(announced)}), shares.select("ticker", "d", "shares"), "ticker", "d")
+    counted = asof.backward_repeated(priced.withColumns({"ticker": F.col("target"), "d": F.to_date(announced)}), shares.select("ticker", "d", "shares"), "ticker", "d")
     fresh = F.when(F.datediff("d", "fact_at") <= SHARES_AGE, F.col("shares"))
     return counted.withColumn("value_usd", F.round(fresh * F.col("ratio") * F.col("_price")).cast("long")).drop("_price", "fact_at", "shares", "ticker", "d")
 
@@ -210,19 +224,19 @@ def _first_phrase(text: Column, phrases: list[str]) -> Column:
 
 def debt_security(cover: Column) -> Column:
     """The debt that a cover names first, as printed: with its rate and kind of interest before and its year after; null without any."""
-    tidy = _tidy(cover)
-    hit = _first_phrase(F.lower(tidy), DEBTS)
-    before, core = F.left(tidy, hit.at - 1), F.substr(tidy, hit.at, -hit["size"])
-    due = F.regexp_extract(F.substr(tidy, hit.at - hit["size"]), r"(?i)^( due \d{4})", 1)
-    kind = F.regexp_extract(before, r"(?i)(fixed[- ]to[- ]floating (?:rate )?)$", 1)
-    rate = F.regexp_extract(F.left(before, F.length(before) - F.length(kind)), r"(\d+\.\d+% )$", 1)
-    return F.when(hit.isNotNull(), F.concat(rate, kind, core, due))
+    def named(tidy: Column, hit: Column) -> Column:
+        before, core = F.left(tidy, hit.at - 1), F.substr(tidy, hit.at, -hit["size"])
+        due = F.regexp_extract(F.substr(tidy, hit.at - hit["size"]), r"(?i)^( due \d{4})", 1)
+        kind = F.regexp_extract(before, r"(?i)(fixed[- ]to[- ]floating (?:rate )?)$", 1)
+        rate = F.regexp_extract(F.left(before, F.length(before) - F.length(kind)), r"(\d+\.\d+% )$", 1)
+        return F.when(hit.isNotNull(), F.concat(rate, kind, core, due))
+
+    return once(_tidy(cover), lambda tidy: once(_first_phrase(F.lower(tidy), DEBTS), lambda hit: named(tidy, hit)))
 
 
 def equity_security(cover: Column) -> Column:
     """The equity that a cover names first, as a title; null without any."""
-    hit = _first_phrase(F.lower(_tidy(cover)), EQUITIES)
-    return F.initcap(hit.phrase)
+    return once(F.lower(_tidy(cover)), lambda text: F.initcap(_first_phrase(text, EQUITIES).phrase))
 
 
 def prospectus(cover: Column) -> Column:
@@ -231,8 +245,11 @@ def prospectus(cover: Column) -> Column:
     Gross of debt is an amount called principal; of equity the total in a table of the
     offering price, or shares offered times the price they are offered at.
     """
-    amounts = money(cover)
-    debt, equity = debt_security(cover), equity_security(cover)
+    parts = F.struct(money(cover).alias("amounts"), debt_security(cover).alias("debt"), equity_security(cover).alias("equity"))
+    return once(parts, lambda x: _prospectus(cover, x.amounts, x.debt, x.equity))
+
+
+def _prospectus(cover: Column, amounts: Column, debt: Column, equity: Column) -> Column:
     first = lambda cond: F.try_element_at(F.filter(amounts, cond), F.lit(1)).amount
     principal = first(lambda m: m.after.startswith(" principal amount ") | m.after.startswith(" aggregate principal amount "))
     pairs = F.zip_with(amounts, F.slice(amounts, 2, 1 << 20), lambda m, n: F.when(n["next"] & _ends(m.before, ["public offering price", "price to public", "price to the public"]), F.struct(m.amount.alias("each"), n.amount.alias("total"))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import deals as D
 from ledgerline.sources import forms
 
-from .base import Tables, query
+from .base import Tables, query, spread
 from .rules import _chosen, _pick
 
 #: Announcements; {n} is a number of the row, {r} a ratio.
@@ -69,7 +69,7 @@ def deal_stock_value(t: Tables) -> DataFrame:
     days = t.orders.groupBy(F.to_date("o_orderdate").alias("d")).agg(F.max("o_totalprice").alias("close"), (F.max("o_orderkey") % 7).alias("gap"))
     closes = days.where("gap > 1").select(F.lit("ALFA").alias("ticker"), "d", "close")
     shares = days.groupBy(F.to_date(F.date_trunc("quarter", "d")).alias("d")).agg((F.count("*") * 1000.0).alias("shares")).withColumn("ticker", F.lit("BETA"))
-    deals = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("announced")).withColumn("text", _announcement("k"))
+    deals = spread(t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("announced")), "k").withColumn("text", _announcement("k"))
     return D.stock_values(deals, "text", "announced", shares, closes).select("k", "value_usd")
 
 
@@ -114,7 +114,8 @@ def document_deals(t: Tables) -> DataFrame:
 
 @query("prospectus_covers", f"SELECT c_custkey AS k, {_chosen(COVER_KINDS, 'c_custkey')} AS kind, nullif({_chosen(COVER_SECURITIES, 'c_custkey')}, '') AS security, TRY_CAST({_chosen(COVER_GROSS, 'c_custkey')} AS BIGINT) AS gross_usd, TRY_CAST({_chosen(COVER_PRICES, 'c_custkey')} AS DOUBLE) AS price_per_share FROM customer")
 def prospectus_covers(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_custkey").alias("k"), D.prospectus(_pick(COVERS, "c_custkey")).alias("p")).select("k", "p.*")
+    covers = spread(t.customer.select(F.col("c_custkey").alias("k")), "k")
+    return covers.select("k", D.prospectus(_pick(COVERS, "k")).alias("p")).select("k", "p.*")
 
 
 @query("placement_gross", f"SELECT c_custkey AS k, TRY_CAST({_chosen(PLACED, 'c_custkey')} AS BIGINT) AS gross_usd FROM customer")

@@ -82,3 +82,21 @@ def test_money_and_its_surroundings(spark):
     assert of(deals.placement_gross, "It sold notes for $25 million. It sold notes for $25,000,000.") == 25_000_000 and of(deals.placement_gross, None) is None
     assert of(lambda t: deals.listed_ticker(t, F.lit("Alpha Bank")), "Alpha Bancorp (NYSE American: ALF) met Beta (NASDAQ: BET)") == "ALF"
     assert of(lambda t: deals.listed_ticker(t, F.lit("Alpha Bank")), "Alpha (NASDAQ: A) or Alpha (NYSE: B)") is None
+
+
+def test_deals_mention_their_text_a_few_times(spark):
+    """Each mention inside a branch or a function of arrays is computed anew, so costs must not multiply."""
+    df = spark.range(1).select(F.lit("x").alias("marked"), F.lit("y").alias("side"))
+    text = F.col("marked")
+    made = {"money": deals.money(text), "value": deals.stated_value(text), "ratio": deals.exchange_ratio(text), "ticker": deals.listed_ticker(text, F.col("side")), "state": deals.deal_state(text), "cover": deals.prospectus(text)}
+    counted = {name: df.select(c.alias("c"))._jdf.queryExecution().analyzed().toString().splitlines()[0].count("marked#") for name, c in made.items()}
+    assert {k: n for k, n in counted.items() if n > (10 if k == "cover" else 3)} == {}
+
+
+def test_asof_of_repeated_probes_equals_asof(spark):
+    from ledgerline.operators import asof
+
+    facts = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), ("b", 1, 10)], "key string, at int, v int")
+    probes = spark.createDataFrame([(k, at, n) for n in range(3) for k in ("a", "b", "c", None) for at in (1, 2, 4, 5, None)], "key string, at int, n int")
+    shown = lambda df: sorted(map(str, df.select("key", "at", "n", "fact_at", "v").collect()))
+    assert shown(asof.backward_repeated(probes, facts, "key", "at")) == shown(asof.backward(probes, facts, "key", "at"))
