@@ -59,3 +59,15 @@ def test_values_of_models(spark):
     rows = [("f", "s", 0, 1, "2026", None), ("f", "s", 0, 2, "2027", None)] + [("f", "s", k + 1, 0, t, None) for k, t in enumerate(given)] + [("f", "s", k + 1, 1, t, None) for k, t in enumerate(given)]
     got = {r.metric: r.value for r in A.estimates(spark.createDataFrame(rows, A.CELLS)).collect()}
     assert got == {k: v for k, v in given.items() if v is not None}
+
+
+def test_driver_opens_no_small_workbook(monkeypatch, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.xlsx").write_bytes(A.sheet_bytes([[k]]))
+    reader, opened, own = A._Cells(str(tmp_path), 1 << 20), [], A._open
+    monkeypatch.setattr(A, "_open", lambda uri: (opened.append(uri), own(uri))[1])
+    packs = reader.partitions()
+    assert len(packs) == 1 and not opened
+    assert [c[-2] for c in reader.read(packs[0])] == ["0", "1", "2"]
+    monkeypatch.setattr(A, "PACK", 1)
+    assert [p.name for pack in reader.partitions() for p in pack.parts] == ["Sheet1"] * 3
