@@ -2,7 +2,8 @@
 
 A code is a prefix of four letters, which says whose figure it is, and four characters that
 say what. A concept is read over its prefixes; a line that isn't filed is null, which is
-not zero. All of it is one grouping by (bank, period) and code, and one by schedule.
+not zero. A schedule is one grouping by report, whose aggregates are plain numbers: codes
+are looked up in a small table of those that it wants, so a row is tested by a number.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def _value() -> Column:
     """The number of a row by its type; text, flags and NaN are none."""
     kind = F.lower("data_type")
     v = F.when(kind == "float", F.col("float_data")).when(kind == "int", F.col("int_data").cast("double"))
-    return F.when(~F.isnan(v), v)
+    return F.nanvl(v, F.lit(None).cast("double"))
 
 
 def concepts(reports: DataFrame, prefixes: list[str], largest: bool = False) -> DataFrame:
@@ -48,10 +49,22 @@ def concepts(reports: DataFrame, prefixes: list[str], largest: bool = False) ->
     """
     code = F.upper("mdrm")
     own = reports.select(*ON, F.substring(code, 1, 4).alias("prefix"), F.substring(code, 5, 8).alias("code"), _value().alias("value"))
-    own = own.where(F.col("prefix").isin(prefixes) & F.col("value").isNotNull())
-    place = F.array_position(F.array(*map(F.lit, prefixes)), F.col("prefix"))
-    best = F.max("value") if largest else F.min_by("value", F.struct(place.alias("p"), "value"))
-    return own.groupBy(*ON, "code").agg(best.alias("value"))
+    of = lambda p: F.when(F.col("prefix") == p, F.col("value"))
+    best = F.max(F.when(F.col("prefix").isin(prefixes), F.col("value"))) if largest else F.coalesce(*(F.min(of(p)) for p in prefixes))
+    return own.groupBy(*ON, "code").agg(best.alias("value")).where("value is not null")
+
+
+def _wide(reports: DataFrame, prefixes: list[str], codes: list[str], largest: bool = False) -> DataFrame:
+    """``concepts`` of some codes as one row a report, a column a code; a report that files none of them is left out."""
+    places = 1 if largest else len(prefixes)
+    wanted = [F.struct(F.lit(p + c).alias("wanted"), F.lit(k * places + j % places).alias("slot")) for k, c in enumerate(codes) for j, p in enumerate(prefixes)]
+    slots = reports.sparkSession.range(1).select(F.explode(F.array(*wanted)).alias("w")).select("w.*")
+    own = reports.select(*ON, F.upper("mdrm").alias("wanted"), _value().alias("value")).join(F.broadcast(slots), "wanted")
+    best = F.max if largest else F.min
+    filed = own.groupBy(*ON).agg(*(best(F.when(F.col("slot") == n, F.col("value"))).alias(f"_{n}") for n in range(len(codes) * places)))
+    first = lambda k: F.coalesce(*(F.col(f"_{k * places + j}") for j in range(places)))
+    out = filed.select(*ON, *(first(k).alias(c) for k, c in enumerate(codes)))
+    return out.where(F.coalesce(*codes).isNotNull())
 
 
 def past_due(reports: DataFrame, scale: float = 1000.0) -> DataFrame:
@@ -62,29 +75,26 @@ def past_due(reports: DataFrame, scale: float = 1000.0) -> DataFrame:
     that would be negative the mapping doesn't hold: ``other`` is null and ``tied`` false.
     Reports without any of the codes give nothing.
     """
-    cells = [(c, s, code) for c, lists in PAST_DUE.items() for s, codes in zip(STATUSES, lists) for code in codes] + [("total", s, code) for s, code in zip(STATUSES, TOTALS)]
-    values = concepts(reports, BALANCE, largest=True).where(F.col("code").isin([c for *_, c in cells]))
-    total = lambda codes, name: F.sum(F.when(F.col("code").isin(codes), F.col("value"))).alias(name)
-    sums = [total(codes, f"{c}_{s}") for c, lists in PAST_DUE.items() for s, codes in zip(STATUSES, lists)] + [total([code], f"total_{s}") for s, code in zip(STATUSES, TOTALS)]
-    wide = values.groupBy(*ON).agg(*sums)
-    rows = []
-    for s in STATUSES:
-        named = {c: F.col(f"{c}_{s}") for c in PAST_DUE}
-        whole = F.col(f"total_{s}")
-        rest = whole
-        for c, v in named.items():
-            rest = rest - F.coalesce(v, F.lit(0.0)) if c not in WITHIN_OTHER else rest
-        tied = rest >= 0
-        entry = lambda c, v, t: F.struct(F.lit(c).alias("category"), F.lit(s).alias("status"), (v * scale).cast("double").alias("value"), t.alias("tied"))  # noqa: B023, E731
-        rows += [entry(c, v, F.lit(None).cast("boolean")) for c, v in named.items()] + [entry("total", whole, tied), entry("other", F.when(tied, rest), tied)]
-    return wide.select(*ON, F.explode(F.array(*rows)).alias("x")).select(*ON, "x.*")
+    codes = [c for lists in PAST_DUE.values() for own in lists for c in own] + TOTALS
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    total = lambda own: F.when(F.coalesce(*own).isNotNull(), sum(map(zero, own[1:]), zero(own[0])))
+    sums = {f"{c}_{s}": total(own) for c, lists in PAST_DUE.items() for s, own in zip(STATUSES, lists)} | {f"total_{s}": F.col(code) for s, code in zip(STATUSES, TOTALS)}
+    wide = _wide(reports, BALANCE, codes, largest=True).select(*ON, *(x.alias(n) for n, x in sums.items()))
+    named = [c for c in PAST_DUE if c not in WITHIN_OTHER]
+    left = {f"other_{s}": sum((-zero(f"{c}_{s}") for c in named), F.col(f"total_{s}")) for s in STATUSES}
+    wide = wide.select("*", *(x.alias(n) for n, x in left.items()))
+    lines = [(c, s) for s in STATUSES for c in [*PAST_DUE, "total", "other"]]
+    value = lambda c, s: F.when(F.col(f"other_{s}") >= 0, F.col(f"other_{s}")) if c == "other" else F.col(f"{c}_{s}")
+    # values are one array of numbers, their names literals by place: a struct a line makes a method that the JVM doesn't compile
+    each = wide.select(*ON, F.array(*(F.col(f"other_{s}") >= 0 for s in STATUSES)).alias("ties"), F.posexplode(F.array(*(value(*n) for n in lines))).alias("at", "v"))
+    name = lambda k: F.get(F.array(*(F.lit(n[k]) for n in lines)), F.col("at"))
+    at = F.get(F.array(*(F.lit(STATUSES.index(s) if c in ("total", "other") else None).cast("int") for c, s in lines)), F.col("at"))
+    return each.select(*ON, name(0).alias("category"), name(1).alias("status"), (F.col("v") * scale).alias("value"), F.get("ties", at).alias("tied"))
 
 
 def capital_lines(reports: DataFrame, lines: dict[str, str], derived: dict[str, list[tuple[int, str]]], residuals: dict[str, tuple[str, list[str]]], scale: float = 1000.0) -> DataFrame:
     """One row a report of its capital schedule in dollars: ``lines`` (name to code), ``derived`` (name to signed lines; null if none is filed), ``residuals`` (name to a line and those that it holds; null unless the line is filed)."""
-    wanted = concepts(reports, CAPITAL).where(F.col("code").isin(list(lines.values())))
-    of = lambda code: F.max(F.when(F.col("code") == code, F.col("value"))) * scale
-    out = wanted.groupBy(*ON).agg(*(of(code).alias(name) for name, code in lines.items()))
+    out = _wide(reports, CAPITAL, list(dict.fromkeys(lines.values()))).select(*ON, *((F.col(code) * scale).alias(name) for name, code in lines.items()))
     zero = lambda n: F.coalesce(F.col(n), F.lit(0.0))
     for name, terms in derived.items():
         filed = F.coalesce(*(F.col(n) for _, n in terms)).isNotNull()

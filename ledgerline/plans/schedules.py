@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import schedules as S
 
-from .base import Tables, query
+from .base import Tables, query, spread
 
 CODES = [c for lists in S.PAST_DUE.values() for codes in lists for c in codes] + S.TOTALS
 LINES = {"common": "P742", "retained": "KW00", "aoci": "B530", "goodwill": "P841", "other_intangibles": "P842", "unrealised": "P844", "cet1": "P859"}
@@ -20,13 +20,13 @@ SQL_REPORTS = "reports AS (SELECT o_custkey AS bank, CAST(year(o_orderdate) AS I
 
 def _reports(t: Tables, codes: list[str], prefixes: list[str]) -> DataFrame:
     """Rows of codes: consolidated ones from every third bank, some as floats, text or NaN; figures by bank, year, code's place and prefix."""
-    r = t.orders.groupBy(F.col("o_custkey").alias("bank"), F.year("o_orderdate").alias("period")).agg(F.count("*").alias("n"))
-    every = F.array(*(F.struct(F.lit(p).alias("prefix"), F.lit(j).alias("j"), F.lit(c).alias("code"), F.lit(k).alias("k")) for j, p in enumerate(prefixes) for k, c in enumerate(codes)))
+    r = spread(t.orders.groupBy(F.col("o_custkey").alias("bank"), F.year("o_orderdate").alias("period")).agg(F.count("*").alias("n")), "bank")
+    every = F.array(*(F.struct(F.lit(p.lower() + c).alias("mdrm"), F.lit(j).alias("j"), F.lit(k).alias("k")) for j, p in enumerate(prefixes) for k, c in enumerate(codes)))
     x = r.select("*", F.explode(every).alias("x")).select("bank", "period", "n", "x.*").withColumn("h", F.expr("(bank * 7 + period * 3 + k * 5 + j) % 11"))
     x = x.where("h > 2 and (j > 0 or bank % 3 = 0)").withColumn("v", F.expr("n * 10 + h * (k % 4) - CASE WHEN k % 6 = 5 THEN 40 ELSE 0 END"))
     kind = F.when(F.col("h") == 3, "float").when(F.col("h") == 4, "str").otherwise("int")
     return x.select(
-        "bank", "period", F.concat(F.lower("prefix"), "code").alias("mdrm"), kind.alias("data_type"), F.when(F.col("h") > 4, F.col("v")).alias("int_data"),
+        "bank", "period", "mdrm", kind.alias("data_type"), F.when(F.col("h") > 4, F.col("v")).alias("int_data"),
         F.when(F.col("h") == 3, F.when(F.col("k") % 7 == 6, float("nan")).otherwise(F.col("v") + 0.5)).alias("float_data"), F.when(F.col("h") == 4, "12").alias("str_data"),
     )
 

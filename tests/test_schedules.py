@@ -1,6 +1,7 @@
 """Codes of schedules: prefixes, missing against zero, totals that don't hold, written-in lines."""
 
 from ledgerline.operators import schedules as S
+from ledgerline.plans.catalogue import QUERIES
 
 SCHEMA = "bank int, period int, mdrm string, data_type string, int_data long, float_data double, str_data string"
 
@@ -37,3 +38,19 @@ def test_written_in_lines(spark):
     got = [(r.line, r.label, r.value) for r in S.itemised(reports(spark, rows), {"legal": "4141"}, ["4464", "4467", "4468"]).orderBy("place").collect()]
     assert got == [("legal", "legal", 0), ("written_in", "Armoured cars", 2000), ("written_in", "Write-in 4467", 3000)]
     assert S.itemised(reports(spark, []), {"legal": "4141"}, []).collect() == []
+
+
+def test_schedules_are_one_hash_grouping_dealt_over_all_tasks(spark):
+    """A row ordered by a struct makes a sort of all rows; a small shuffle of reports makes one task of all their codes."""
+    for name in ("capital_schedule", "past_due_matrix"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "REPARTITION_BY_NUM" in plan, name
+
+
+def test_reports_without_figures_and_codes_filed_twice(spark):
+    rows = [(1, "RCFA3493", "str", "7"), (1, "RCFAP742", "float", float("nan")), (2, "RCONP742", "int", 8), (2, "RCOAP742", "int", 6), (2, "rcoap742", "int", 5), (2, "RCFAP742", "float", float("nan")), (3, "RCFD1594", "int", 2), (3, "RCFDF173", "int", 4)]
+    df = reports(spark, rows)
+    assert {(r.bank, r.code): r.value for r in S.concepts(df.where("bank = 2"), S.CAPITAL).collect()} == {(2, "P742"): 5}
+    assert [(r.bank, r.common, r.also) for r in S.capital_lines(df, {"common": "P742", "also": "P742"}, {}, {}).collect()] == [(2, 5000, 5000)]
+    got = {(r.bank, r.category, r.status): (r.value, r.tied) for r in S.past_due(df).collect()}
+    assert len(got) == 36 and got[3, "construction", "pd30_89"] == (4000, None) and got[3, "other", "pd30_89"] == (None, None)
