@@ -1,6 +1,9 @@
 """Companies named in headlines: word runs meet a table of names in equi-joins, so neither side has to be small.
 
 Headlines are short; a row becomes at most ``longest`` runs a word. A null or empty headline names nobody.
+A few names and words stand in most headlines, so rows of one name are dealt over SALTS
+tasks, each with its copy of the names. The names' side is hashed: it is the smaller by
+far, whatever the files say, and the runs need no sort.
 """
 
 from __future__ import annotations
@@ -8,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 32
 # Word lists and patterns of names.
 SUFFIXES = "INC INCORPORATED CORP CORPORATION BANCORPORATION CO LTD LLC LP LLP NA HOLDINGS HOLDING GROUP COMPANY & AND".split()
 COMMON = (
@@ -44,15 +48,25 @@ def _runs(headlines: DataFrame, key: str, text: str, context: str, longest: int)
     return runs.select(key, "all", "i", "n", F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("name"), word(F.col("i") - 1).alias("before"), word(F.col("i") + F.col("n")).alias("after"))
 
 
+def _met(rows: DataFrame, names: DataFrame, on: list[str], key: str, how: str = "inner") -> DataFrame:
+    """Rows joined to a table of names, rows of one name dealt over SALTS tasks by their key."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    copies = names.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies.hint("shuffle_hash"), [*on, "salt"], how).drop("salt")
+
+
 def _first_real(runs: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """The first occurrence of each name that isn't part of a larger proper noun."""
-    last = F.regexp_extract("name", r"(\S+)$", 1)
+    """The first occurrence of each name (name, ticker, shared) that isn't part of a larger proper noun.
+
+    ``kind`` repeats shared as an aggregate: a filter on it stays above the grouping, which is then done once for both kinds.
+    """
     trapped = F.lit(False)
     for word, following in TRAPS.items():
-        trapped = trapped | ((last == word) & F.coalesce(F.col("after").isin(following), F.lit(False)))
-    met = runs.join(names, "name").where(~trapped)
-    rest = [c for c in met.columns if c not in (key, "name", "ticker")]
-    return met.groupBy(key, "name", "ticker").agg(F.min(F.struct("i", *[c for c in rest if c != "i"])).alias("o")).select(key, "name", "ticker", "o.*")
+        trapped = trapped | ((F.col("last") == word) & F.coalesce(F.col("after").isin(following), F.lit(False)))
+    # the last word is the name's column, so that it is cut from names and not from every run
+    met = _met(runs, names.withColumn("last", F.regexp_extract("name", r"(\S+)$", 1)), ["name"], key).where(~trapped)
+    rest = [c for c in met.columns if c not in (key, "name", "ticker", "shared", "last")]
+    return met.groupBy(key, "name", "ticker", "shared").agg(F.min(F.struct("i", *[c for c in rest if c != "i"])).alias("o"), F.max("shared").alias("kind")).select(key, "name", "ticker", "kind", "o.*")
 
 
 def subjects(headlines: DataFrame, key: str, text: str, context: str, names: DataFrame, ambiguous: DataFrame, longest: int = 6) -> DataFrame:
@@ -66,9 +80,11 @@ def subjects(headlines: DataFrame, key: str, text: str, context: str, names: Dat
     names the one with the single best score: 2 for its ticker as a word, 1 for each cue.
     """
     runs = _runs(headlines, key, text, context, longest)
-    seen = _first_real(runs, names.select("name", "ticker"), key)
+    both = names.select("name", "ticker", F.lit(False).alias("shared")).unionByName(ambiguous.select("name", "ticker", F.lit(True).alias("shared")))
+    met = _first_real(runs, both, key)
+    seen = met.where(~F.col("kind"))
     leading = names.where(F.col("name").contains(" ")).select(F.regexp_extract("name", r"^(\S+)", 1).alias("before")).distinct()
-    free = seen.join(leading, "before", "left_anti")
+    free = _met(seen, leading, ["before"], key, "left_anti")
     risky = ~F.col("name").contains(" ") & (F.col("name").isin(COMMON) | (F.length("name") <= 4))
     listed = F.regexp_extract_all(F.upper("all"), F.lit(EXCHANGE + r"\s*:?\s*([A-Z][A-Z0-9.]*)\b"), F.lit(1))
     sure = F.coalesce(F.col("after").isin(SUFFIXES), F.lit(False)) | F.array_contains(listed, F.upper("ticker"))
@@ -80,7 +96,7 @@ def subjects(headlines: DataFrame, key: str, text: str, context: str, names: Dat
 
     hay = _padded(F.col("all"))
     word = lambda w: hay.contains(F.concat(F.lit(" "), F.upper(w), F.lit(" ")))
-    shared = _first_real(runs, ambiguous.select("name", "ticker"), key).join(ambiguous, ["name", "ticker"])
+    shared = _met(met.where("kind"), ambiguous, ["name", "ticker"], key)
     scored = shared.select(key, "name", "ticker", (F.when(word(F.col("ticker")), 2).otherwise(0) + F.size(F.filter(F.coalesce("cues", F.array().cast("array<string>")), word))).alias("score")).where("score > 0")
     best = scored.groupBy(key, "name").agg(F.max("score").alias("top"), F.collect_list(F.struct("score", "ticker")).alias("c"))
     first = F.filter("c", lambda x: x["score"] == F.col("top"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import releases as R
 from ledgerline.operators import tagging as G
 
-from .base import Tables, query
+from .base import Tables, query, spread
 from .rules import _chosen, _pick
 
 NAMES = [("FIRST UNITED", "FUNC"), ("CITIZENS", "CIZN"), ("FNB", "FNB"), ("COMMUNITY BANCORP", "CMTV"), ("VALLEY NATIONAL", "VLY"), ("BANNER", "BANR"), ("ALPHA TRUST BANK", "ATB"), ("ALPHA TRUST", "AT")]
@@ -31,7 +31,7 @@ MEMBERS = [("us:LegalEntityAxis", "own:AlphaBankNA", "bank", ""), ("us:Consolida
 def headline_subjects(t: Tables) -> DataFrame:
     names = t.spark.createDataFrame(NAMES, "name string, ticker string")
     shared = t.spark.createDataFrame(SHARED, "name string, ticker string, cues array<string>")
-    heads = t.events.select("event_id", _pick([x[0] for x in TEXTS], "event_id").alias("headline"), _pick([x[1] for x in TEXTS], "event_id").alias("body"))
+    heads = spread(t.events.select("event_id"), "event_id").select("event_id", _pick([x[0] for x in TEXTS], "event_id").alias("headline"), _pick([x[1] for x in TEXTS], "event_id").alias("body"))
     return G.subjects(heads, "event_id", "headline", "body", names, shared)
 
 

@@ -39,3 +39,14 @@ def test_printed_figures_without_text(spark):
     assert [r.x for r in spark.range(1).select(releases.row_values(F.array().cast("array<string>")).alias("x")).collect()] == [[]]
     none = spark.range(1).select(releases.entity_basis(F.create_map().cast("map<string,string>")).alias("x")).first().x
     assert (none.basis, none.confidence) == ("holdco", "default")
+
+
+def test_no_name_is_one_task_and_no_runs_are_broadcast(spark):
+    h = spark.range(640).selectExpr("CAST(id AS int) AS k", "'Alpha news' AS t", "CAST(NULL AS string) AS c")
+    runs = tagging._runs(h, "k", "t", "c", 6).where("name = 'ALPHA'")
+    names = spark.createDataFrame([("ALPHA", "A", False)], "name string, ticker string, shared boolean")
+    met = tagging._met(runs, names, ["name"], "k")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and "salt" in plan
+    assert met.count() == 640 and "salt" not in met.columns
+    assert found(spark, [(1, "First United Kingdom deal", None), (2, "First United deal", None)], [("FIRST UNITED", "F")]) == [(2, "F")]
