@@ -32,12 +32,15 @@ def pattern(quote: Column) -> Column:
     return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), body, F.lit(r"(?![\p{L}\p{N}])"))
 
 
+def _placed(text: Column, p: Column) -> Column:
+    """Struct of start (from 1) and length of a pattern's first match, null without one. The text is searched once: what stands before and behind tells both."""
+    of = lambda a: F.struct((F.char_length(F.get(a, F.lit(0))) + 1).alias("start"), (F.char_length(text) - F.char_length(F.get(a, F.lit(0))) - F.char_length(F.get(a, F.lit(1)))).alias("length"))
+    return F.get(F.transform(F.array(F.split(text, p, 2)), lambda a: F.when(F.size(a) == 2, of(a))), F.lit(0))
+
+
 def located(text: Column, quote: Column) -> Column:
     """Struct of start (from 1) and length of a quote in a text as it is written; null where it isn't there or has no words."""
-    p = pattern(quote)
-    around = F.split(text, p, 2)
-    place = F.struct((F.char_length(F.get(around, F.lit(0))) + 1).alias("start"), F.char_length(F.regexp_substr(text, p)).alias("length"))
-    return F.when((F.size(words(quote)) > 0) & (F.size(around) == 2), place)
+    return F.when(F.size(words(quote)) > 0, _placed(text, pattern(quote)))
 
 
 def judged(sources: DataFrame, claims: DataFrame, source: str, text: str, bounds: dict[str, tuple[float, float, str]]) -> DataFrame:
@@ -51,9 +54,12 @@ def judged(sources: DataFrame, claims: DataFrame, source: str, text: str, bounds
     passed has the key and period with a value more than AGREE away), ``kept``.
     """
     per = claims.groupBy(source).agg(F.collect_list(F.struct("claim", "key", "period", "value", "quote")).alias("_c"))
-    own = per.join(sources.select(source, F.col(text).alias("_text")).dropDuplicates([source]), source, "left")
-    found = F.transform("_c", lambda c: F.struct(c.claim.alias("claim"), c.key.alias("key"), c.period.alias("period"), c.value.alias("value"), c.quote.alias("quote"), located(F.col("_text"), c.quote).alias("at")))
-    rows = own.select(source, F.explode(found).alias("c")).select(source, "c.*")
+    own = per.join(sources.select(source, F.col(text).alias("_text")).dropDuplicates([source]).hint("merge"), source, "left")
+    # a quote of several claims is searched once, and the text is left behind before claims are rows
+    own = own.withColumn("_q", F.array_distinct(F.transform("_c", lambda c: c.quote)))
+    own = own.select(source, "_c", "_q", F.transform("_q", lambda q: located(F.col("_text"), q)).alias("_at"))
+    quoted = own.select(source, F.explode("_c").alias("c"), "_q", "_at")
+    rows = quoted.select(source, "c.*", F.get("_at", F.array_position("_q", F.col("c.quote")).cast("int") - 1).alias("at"))
     n, spoken = F.size(words(F.col("quote"))), F.array_join(words(F.col("quote")), " ")
     known, fits, named = F.lit(False), F.lit(False), F.lit(False)
     for key, (low, high, label) in bounds.items():

@@ -37,3 +37,14 @@ def test_guards_in_order_and_conflicts(spark):
     rows = {r.claim: r.status for r in out.collect()}
     assert rows == {0: "conflict", 1: "conflict", 2: "kept", 3: "kept", 4: "variant", 5: "variant", 6: "kept", 7: "range", 8: "quote", 9: "unknown", 99: "absent"}
     assert {(r.key, r.period): (r.value, r.claims) for r in E.settled(out, "source").collect()} == {("nim", "prior"): (3.42, 2), ("roa", "cur"): (1.2, 1)}
+
+
+def test_a_text_is_searched_once_a_quote(spark):
+    df = spark.createDataFrame([("a b", "b")], "t string, q string").select(E.located(F.col("t"), F.col("q")).alias("x"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("(?iu)") == 1, plan
+    sources = spark.createDataFrame([("s", "a margin \U0001f600 was 3.42%")], "source string, text string")
+    claims = spark.createDataFrame([("s", k, "nim", p, 3.42, q) for k, (p, q) in enumerate([("cur", "margin was 3.42"), ("prior", "margin was 3.42"), ("yoy", None)])], "source string, claim long, key string, period string, value double, quote string")
+    out = E.judged(sources, claims, "source", "text", BOUNDS)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.claim, r.start, r.length, r.status) for r in out.collect()) == [(0, 3, 17, "kept"), (1, 3, 17, "kept"), (2, None, None, "quote")]
