@@ -221,7 +221,9 @@ def inline_facts(t: Tables) -> DataFrame:
         F.lit('" unitRef="u1"'), F.when(k % 4 == 2, ' sign="-"').otherwise(""), F.lit(">"), told, F.lit("</ix:nonFraction>"),
     )
     unit = F.lit('<xbrli:unit id="u1"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit>')
-    o = t.orders.groupBy(F.col("o_custkey").alias("filing"))
-    facts = o.agg(F.concat(F.lit("<html><p>"), F.array_join(F.collect_list(tag), "</p><p>"), F.lit("</p></html>")).alias("doc"))
-    heads = o.agg(F.concat(F.lit("<html><ix:resources>"), unit, F.array_join(F.collect_list(_context("xbrli:")), ""), F.lit("</ix:resources></html>")).alias("doc"))
-    return _seen(forms.inline_facts(facts.unionByName(heads), "filing", "doc"))
+    # both documents of a filing come from one grouping
+    per = t.orders.groupBy(F.col("o_custkey").alias("filing")).agg(F.collect_list(tag).alias("tags"), F.collect_list(_context("xbrli:")).alias("contexts"))
+    facts = F.concat(F.lit("<html><p>"), F.array_join("tags", "</p><p>"), F.lit("</p></html>"))
+    heads = F.concat(F.lit("<html><ix:resources>"), unit, F.array_join("contexts", ""), F.lit("</ix:resources></html>"))
+    docs = per.select("filing", F.explode(F.array(facts, heads)).alias("doc"))
+    return _seen(forms.inline_facts(docs, "filing", "doc"))

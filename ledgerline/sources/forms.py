@@ -101,6 +101,9 @@ def contexts(df: DataFrame, filing: str, column: str) -> DataFrame:
     An id used twice takes its last use within a document and the greatest text across documents; so does an axis.
     """
     c = df.select(filing, F.posexplode_outer(_all(F.col(column), _element("context"))).alias("at", "c")).where("c is not null")
+    named = c.select(filing, _attribute(F.col("c"), "id").alias("context"), "at", "c").where("context is not null")
+    # texts are grouped first and the one that counts is parsed, for all else follows from it
+    best = named.groupBy(filing, "context").agg(F.max(F.struct("at", "c")).alias("b")).select(filing, "context", F.col("b.c").alias("c"))
     member = F.col("m")
     explicit = F.transform(_all(F.col("c"), _element("explicitMember")), lambda m: F.struct(_attribute(m, "dimension").alias("axis"), F.trim(F.regexp_extract(m, ">([^<]*)<", 1)).alias("member")))
     typed = F.transform(
@@ -110,15 +113,11 @@ def contexts(df: DataFrame, filing: str, column: str) -> DataFrame:
             F.concat(F.lit("typed:"), F.regexp_replace(F.regexp_extract(m, r"(?s)^<[^>]*>\s*(<(?:[\w.-]+:)?[\w.-]+[^>]*>[^<]*)<", 1), r"(?s)^<(?:[\w.-]+:)?([\w.-]+)[^>]*>\s*(.*?)\s*$", "$1=$2")).alias("member"),
         ),
     )
-    named = c.select(filing, "at", "c", _attribute(F.col("c"), "id").alias("context"), F.filter(F.concat(explicit, typed), lambda m: m.axis.isNotNull()).alias("m")).where("context is not null")
+    parsed = best.select(filing, "context", "c", F.filter(F.concat(explicit, typed), lambda m: m.axis.isNotNull()).alias("m"))
     last = F.filter(member, lambda m, i: ~F.array_contains(F.transform(F.slice(member, i + 2, F.size(member)), lambda n: n.axis), m.axis))
-    parsed = named.select(
-        filing, "context", "at", "c", _inner(F.col("c"), "startDate").alias("start"),
-        F.coalesce(_inner(F.col("c"), "instant"), _inner(F.col("c"), "endDate")).alias("end"), F.array_sort(last).alias("m"),
-    )
-    best = parsed.groupBy(filing, "context").agg(F.max(F.struct("at", "c", "start", "end", "m")).alias("b"))
-    day = lambda x: F.try_to_date(F.col(f"b.{x}"), "yyyy-MM-dd").alias(x)
-    return best.select(filing, "context", day("start"), day("end"), F.map_from_entries("b.m").alias("dims"))
+    day = lambda x: F.try_to_date(x, "yyyy-MM-dd")
+    end = F.coalesce(_inner(F.col("c"), "instant"), _inner(F.col("c"), "endDate"))
+    return parsed.select(filing, "context", day(_inner(F.col("c"), "startDate")).alias("start"), day(end).alias("end"), F.map_from_entries(F.array_sort(last)).alias("dims"))
 
 
 def units(df: DataFrame, filing: str, column: str) -> DataFrame:

@@ -100,3 +100,12 @@ def test_asof_of_repeated_probes_equals_asof(spark):
     probes = spark.createDataFrame([(k, at, n) for n in range(3) for k in ("a", "b", "c", None) for at in (1, 2, 4, 5, None)], "key string, at int, n int")
     shown = lambda df: sorted(map(str, df.select("key", "at", "n", "fact_at", "v").collect()))
     assert shown(asof.backward_repeated(probes, facts, "key", "at")) == shown(asof.backward(probes, facts, "key", "at"))
+
+
+def test_contexts_are_parsed_behind_their_grouping(spark):
+    """Of an id that is used twice only the text that counts is parsed, and no parsed parts are sorted or shuffled."""
+    doc = '<a><context id="c"><startDate>2020-01-01</startDate><endDate>2020-03-31</endDate></context><context id="c"><instant>2021-02-03</instant><explicitMember dimension="x:A">m</explicitMember></context></a>'
+    out = forms.contexts(spark.createDataFrame([(1, doc)], "filing int, doc string"), "filing", "doc")
+    assert [(r.filing, r.context, r.start, str(r.end), r.dims) for r in out.collect()] == [(1, "c", None, "2021-02-03", {"x:A": "m"})]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explicitMember" not in plan[plan.index("Aggregate") :]
