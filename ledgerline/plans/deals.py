@@ -167,12 +167,16 @@ def ownership_forms(t: Tables) -> DataFrame:
 round(l_extendedprice) * CASE WHEN l_orderkey % 2 = 0 THEN 1000 ELSE 1 END AS value_usd FROM lineitem""",
 )
 def holdings_tables(t: Tables) -> DataFrame:
-    part = F.col("l_partkey").cast("string")
-    one = _tag(
-        "n1:infoTable", _tag("n1:nameOfIssuer", F.concat(F.lit(" Issuer "), part)), _tag("n1:titleOfClass", "COM"), _tag("n1:cusip", part), _tag("n1:value", F.round("l_extendedprice").cast("long").cast("string")),
-        _tag("n1:shrsOrPrnAmt", _tag("n1:sshPrnamt", F.when(F.col("l_linenumber") == 7, "none").otherwise(F.col("l_quantity").cast("string")))),
-    )
-    per = t.lineitem.groupBy(F.col("l_orderkey").alias("filing")).agg(F.array_join(F.collect_list(one), "").alias("x"))
+    def one(r):
+        part = r.l_partkey.cast("string")
+        return _tag(
+            "n1:infoTable", _tag("n1:nameOfIssuer", F.concat(F.lit(" Issuer "), part)), _tag("n1:titleOfClass", "COM"), _tag("n1:cusip", part), _tag("n1:value", F.round(r.l_extendedprice).cast("long").cast("string")),
+            _tag("n1:shrsOrPrnAmt", _tag("n1:sshPrnamt", F.when(r.l_linenumber == 7, "none").otherwise(r.l_quantity.cast("string")))),
+        )
+
+    # rows are dealt and grouped as numbers, texts are made of whole filings
+    lines = F.collect_list(F.struct("l_partkey", "l_extendedprice", "l_linenumber", "l_quantity"))
+    per = spread(t.lineitem, "l_orderkey").groupBy(F.col("l_orderkey").alias("filing")).agg(F.array_join(F.transform(lines, one), "").alias("x"))
     filed = F.when(F.col("filing") % 2 == 0, F.lit("2022-11-14")).otherwise("2023-02-14").cast("date")
     return forms.holdings(per.select("filing", filed.alias("filed"), _tag("n1:informationTable", F.col("x"), attributes=' xmlns:n1="urn:x"').alias("doc")), "filing", "doc", "filed")
 

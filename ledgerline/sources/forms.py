@@ -27,6 +27,35 @@ OWNERSHIP = (
 HOLDINGS = "struct<infoTable:array<struct<nameOfIssuer:string,titleOfClass:string,cusip:string,value:string,shrsOrPrnAmt:struct<sshPrnamt:string>>>>"
 PLAIN = {"ignoreNamespace": "true"}
 
+SPACE = r"[ \t\r\n]*"
+CONTROL = "".join(rf"\x{c:02x}" for c in range(32))
+TEXT = f"[^<>&{CONTROL}]*"
+
+
+def _leaf(name: str) -> str:
+    """An element of one prefix, with a text that is not blank."""
+    return rf"<\1{name}>( *[^<>& {CONTROL}]{TEXT})</\1{name}>{SPACE}"
+
+
+def _others(group: int) -> str:
+    """Elements of other names, with a text or with elements that have one."""
+    tag = rf"<\1(?!(?i:value|nameOfIssuer|titleOfClass|cusip|shrsOrPrnAmt|sshPrnamt|infoTable)>)([A-Za-z][\w.-]*)>{TEXT}"
+    return rf"(?:{tag}(?:{SPACE}{tag}</\1\{group + 1}>)*+{SPACE}</\1\{group}>{SPACE})*+"
+
+
+#: A position of a holdings table in the order of its schema, without attributes, entities, comments and what else needs a reader.
+#: Or the control character that opens a cut position: where a document has one itself, it opens a position without fields.
+PLAIN_POSITION = (
+    rf"<((?:[A-Za-z][\w.-]*:)?)infoTable>{SPACE}" + _leaf("nameOfIssuer") + _leaf("titleOfClass") + _leaf("cusip") + _others(5) + _leaf("value")
+    + rf"<\1shrsOrPrnAmt>{SPACE}" + _leaf("sshPrnamt") + _others(9) + rf"</\1shrsOrPrnAmt>{SPACE}" + _others(11) + rf"</\1infoTable>{SPACE}|\x02"
+)
+#: A table that has only such positions, once they are cut.
+NAME = r"[A-Za-z][\w.-]*(?::[A-Za-z][\w.-]*)?"
+PLAIN_TABLE = (
+    rf"""^(?:<\?xml version="1\.0"(?: encoding="[Uu][Tt][Ff]-8")?\?>{SPACE})?<({NAME})(?:[ \t\r\n]+({NAME})="[^"<>&{CONTROL}]*"(?![^<>]*\s\2=))*+{SPACE}>{SPACE}"""
+    r"(?:\x02[^\x01\x03][^\x03]*\x03)*+" + rf"</\1>{SPACE}\z"
+)
+
 
 def trades(df: DataFrame, key: str, column: str) -> DataFrame:
     """Transactions of ownership forms: key, ticker, insider, role, d, code, shares, price, value_usd, shares_after, direction, derivative.
@@ -67,12 +96,23 @@ def trades(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def holdings(df: DataFrame, key: str, column: str, filed: str) -> DataFrame:
-    """Positions of quarterly holdings tables: key, issuer, title, cusip, shares, value_usd. Values filed before 2023 are in thousands."""
-    i = df.select(key, filed, F.from_xml(column, HOLDINGS, PLAIN).alias("x")).select(key, filed, F.explode_outer("x.infoTable").alias("i")).where("i is not null")
+    """Positions of quarterly holdings tables: key, issuer, title, cusip, shares, value_usd. Values filed before 2023 are in thousands.
+
+    Tables that are plain throughout are cut by one pattern, the XML reader has the rest, with
+    the same rows. A position is a text of its fields, closed by control characters, which no
+    document may have.
+    """
+    cut = df.select(key, filed, column, F.regexp_replace(column, PLAIN_POSITION, "\x02$2\x01$3\x01$4\x01$7\x01$8\x01\x03").alias("cut"))
+    read = F.filter(F.from_xml(column, HOLDINGS, PLAIN).infoTable, lambda i: i.isNotNull())
+    missing = lambda x: F.coalesce(x, F.lit("\0"))
+    told = F.transform(read, lambda i: F.concat(*(F.concat(missing(x), F.lit("\x01")) for x in (i.nameOfIssuer, i.titleOfClass, i.cusip, i.value, i.shrsOrPrnAmt.sshPrnamt))))
+    positions = F.when(F.col("cut").rlike(PLAIN_TABLE), F.slice(F.split("cut", "\x02"), 2, 2**30)).otherwise(told)
+    i = cut.select(key, filed, F.explode_outer(positions).alias("i")).where("i is not null").select(key, filed, F.split("i", "\x01").alias("i"))
+    issuer, title, cusip, value, shares = (F.nullif(F.get("i", F.lit(k)), F.lit("\0")) for k in range(5))
     scale = F.when(F.col(filed) < F.lit("2023-01-01").cast("date"), 1000.0).otherwise(1.0)
     return i.select(
-        key, F.trim("i.nameOfIssuer").alias("issuer"), F.trim("i.titleOfClass").alias("title"), F.trim("i.cusip").alias("cusip"),
-        number(F.col("i.shrsOrPrnAmt.sshPrnamt")).alias("shares"), (number(F.col("i.value")) * scale).alias("value_usd"),
+        key, F.trim(issuer).alias("issuer"), F.trim(title).alias("title"), F.trim(cusip).alias("cusip"),
+        number(shares).alias("shares"), (number(value) * scale).alias("value_usd"),
     )
 
 

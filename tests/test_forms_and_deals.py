@@ -109,3 +109,43 @@ def test_contexts_are_parsed_behind_their_grouping(spark):
     assert [(r.filing, r.context, r.start, str(r.end), r.dims) for r in out.collect()] == [(1, "c", None, "2021-02-03", {"x:A": "m"})]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "explicitMember" not in plan[plan.index("Aggregate") :]
+
+
+def _position(prefix, gap="", **given):
+    tag = lambda name, *inner: f"<{prefix}{name}>{gap if inner[0][:1] == '<' else ''}{''.join(inner)}</{prefix}{name}>{gap}"
+    told = {"nameOfIssuer": "A", "titleOfClass": "COM", "cusip": "1", "value": "5", "sshPrnamt": "7"} | given
+    head = [tag(n, told[n]) for n in ("nameOfIssuer", "titleOfClass", "cusip", "value") if told[n] is not None]
+    return tag("infoTable", *head, tag("shrsOrPrnAmt", tag("sshPrnamt", told["sshPrnamt"]), tag("sshPrnamtType", "SH")), tag("votingAuthority", tag("Sole", "7"), tag("None", "0")))
+
+
+def _table(prefix, body, head="", attributes=""):
+    return f"{head}<{prefix}informationTable{attributes}>{body}</{prefix}informationTable>"
+
+
+def test_holdings_cut_by_a_pattern_equal_the_reader(spark):
+    head, one = '<?xml version="1.0" encoding="UTF-8"?>\n', _position("n:")
+    plain = [_table(p, gap + _position(p, gap) + _position(p, gap, nameOfIssuer=" \u00c9 b ", value=" 2.5 ", sshPrnamt="none"), h, a) for p in ("", "n:") for gap in ("", "\r\n  ") for h in ("", head) for a in ("", ' xmlns="u" xmlns:n="v"')]
+    whole = _table("n:", one * 2)
+    inner = ["", " ", "\n", "x\ny", "a&amp;b", "&bad;", "<!-- c -->x", "<![CDATA[z]]>", "<b>c</b>", "\x01", "\x02", "a>b", "]]>", None]
+    odd = [_table("n:", _position("n:", **{f: x}) + one) for f in ("nameOfIssuer", "value") for x in inner]
+    odd += [whole[:at] + x + whole[at:] for at in (0, whole.index(">") + 1, whole.index(">") + 1 + len(one), len(whole)) for x in ("text", "<!-- c -->", "<x/>", "</x>", "\x02", "\x03", "\x02a\x01b\x01c\x01d\x01e\x01\x03", "<n:infoTable/>")]
+    odd += [whole.replace("<n:cusip>", '<n:cusip a="1">', 1), whole.replace("</n:cusip>", "</m:cusip>"), whole.replace("cusip", "CUSIP"), whole.replace("Sole>", "value>"), whole.replace("votingAuthority", "Value"), whole[:-5], one, one * 2, None, ""]
+    odd += [_table("n:", one, "", a) for a in (' a="1" a="2"', " a='1'", ' a="<"', ' a="&"', ' a="1"b="2"', " a")] + [_table("n:", f"<n:x>{one}</n:x>"), _table("n:", one, " " + head)]
+    df = spark.createDataFrame([(k, d, datetime.date(2022 + k % 2, 6, 1)) for k, d in enumerate(plain + odd)], "k int, doc string, filed date")
+    read = df.select("k", "filed", F.explode_outer(F.from_xml("doc", forms.HOLDINGS, forms.PLAIN).infoTable).alias("i")).where("i is not null")
+    text = lambda c: F.trim(c)
+    number = lambda c: F.col(c).try_cast("double")
+    expected = read.select("k", text("i.nameOfIssuer"), text("i.titleOfClass"), text("i.cusip"), number("i.shrsOrPrnAmt.sshPrnamt"), number("i.value") * F.when(F.year("filed") < 2023, 1000.0).otherwise(1.0))
+    got = forms.holdings(df, "k", "doc", "filed")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, expected.collect())))
+    # and of all of them, the plain ones are those that need no reader
+    cut = df.select("k", F.regexp_replace("doc", forms.PLAIN_POSITION, "\x02$2\x01$3\x01$4\x01$7\x01$8\x01\x03").rlike(forms.PLAIN_TABLE).alias("plain")).where("plain")
+    assert sorted(r.k for r in cut.collect()) == list(range(len(plain)))
+
+
+def test_holdings_are_grouped_as_numbers(spark):
+    """A filing's text is made behind its grouping, and rows meet in one shuffle."""
+    from ledgerline.plans import catalogue
+
+    plan = catalogue.QUERIES["holdings_tables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "infoTable" not in plan[plan.index("Exchange ") :]
