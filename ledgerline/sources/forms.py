@@ -39,7 +39,7 @@ def _leaf(name: str) -> str:
 
 def _others(group: int) -> str:
     """Elements of other names, with a text or with elements that have one."""
-    tag = rf"<\1(?!(?i:value|nameOfIssuer|titleOfClass|cusip|shrsOrPrnAmt|sshPrnamt|infoTable)>)([A-Za-z][\w.-]*)>{TEXT}"
+    tag = rf"<\1(?!(?i:value|nameOfIssuer|titleOfClass|cusip|shrsOrPrnAmt|sshPrnamt|infoTable)>)([A-Za-z][\w.-]*)>(?>{TEXT})"
     return rf"(?:{tag}(?:{SPACE}{tag}</\1\{group + 1}>)*+{SPACE}</\1\{group}>{SPACE})*+"
 
 

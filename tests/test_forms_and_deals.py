@@ -131,6 +131,7 @@ def test_holdings_cut_by_a_pattern_equal_the_reader(spark):
     odd += [whole[:at] + x + whole[at:] for at in (0, whole.index(">") + 1, whole.index(">") + 1 + len(one), len(whole)) for x in ("text", "<!-- c -->", "<x/>", "</x>", "\x02", "\x03", "\x02a\x01b\x01c\x01d\x01e\x01\x03", "<n:infoTable/>")]
     odd += [whole.replace("<n:cusip>", '<n:cusip a="1">', 1), whole.replace("</n:cusip>", "</m:cusip>"), whole.replace("cusip", "CUSIP"), whole.replace("Sole>", "value>"), whole.replace("votingAuthority", "Value"), whole[:-5], one, one * 2, None, ""]
     odd += [_table("n:", one, "", a) for a in (' a="1" a="2"', " a='1'", ' a="<"', ' a="&"', ' a="1"b="2"', " a")] + [_table("n:", f"<n:x>{one}</n:x>"), _table("n:", one, " " + head)]
+    odd.append(whole.replace("<n:votingAuthority>", "<n:votingAuthority>" + " " * 100_000 + "<!-- c -->", 1))  # takes minutes where blanks are gone over again
     df = spark.createDataFrame([(k, d, datetime.date(2022 + k % 2, 6, 1)) for k, d in enumerate(plain + odd)], "k int, doc string, filed date")
     read = df.select("k", "filed", F.explode_outer(F.from_xml("doc", forms.HOLDINGS, forms.PLAIN).infoTable).alias("i")).where("i is not null")
     text = lambda c: F.trim(c)
