@@ -158,7 +158,7 @@ def ownership_forms(t: Tables) -> DataFrame:
     links = _tag("reportingOwnerRelationship", _tag("isDirector", F.when((k % 4).isin(1, 2), "1").otherwise("0")), _tag("isOfficer", F.when(k % 4 < 2, "1").otherwise("0")), _tag("officerTitle", F.when(k % 4 == 0, "Chief").otherwise("")))
     owner = _tag("reportingOwner", _tag("reportingOwnerId", _tag("rptOwnerName", F.concat(F.lit("Owner "), who))), links)
     doc = _tag("ownershipDocument", _tag("issuer", _tag("issuerTradingSymbol", F.concat(F.lit("T"), who))), owner, _tag("nonDerivativeTable", plain), _tag("derivativeTable", option))
-    return forms.trades(t.orders.select(k.alias("k"), doc.alias("doc")), "k", "doc")
+    return forms.trades(spread(t.orders, "o_orderkey").select(k.alias("k"), doc.alias("doc")), "k", "doc")
 
 
 @query(

@@ -150,3 +150,11 @@ def test_holdings_are_grouped_as_numbers(spark):
 
     plan = catalogue.QUERIES["holdings_tables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "infoTable" not in plan[plan.index("Exchange ") :]
+
+
+def test_ownership_forms_are_dealt_over_all_tasks(spark):
+    """A small file is a split or two, and the reader takes long for each of its rows."""
+    from ledgerline.plans import catalogue
+
+    plan = catalogue.QUERIES["ownership_forms"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ownershipDocument" not in plan[plan.index("Exchange ") :]
