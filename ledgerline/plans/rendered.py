@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import rendered as S
-from ledgerline.sources import pages
-from ledgerline.sources.workspace import written
 
-from .base import Tables, query
+from .base import Tables, query, spread
 
 #: Lines: order priority, label in even years, label in odd years, element.
 LINES = [
@@ -25,15 +23,17 @@ stated AS (SELECT * FROM every QUALIFY bool_or(value IS NOT NULL) OVER (PARTITIO
 
 
 def _pages(t: Tables) -> DataFrame:
-    """(c, filing, html): a page per customer and year over this year and the last, which it states one thousand higher; some leave the last blank."""
-    o = t.orders.groupBy(F.col("o_custkey").alias("c"), F.year("o_orderdate").alias("y"), "o_orderpriority").agg(F.floor(F.sum("o_totalprice") / 1000).alias("v"))
-    filed = o.select("c", F.col("y").alias("filing")).distinct()
-    own = o.select("c", "o_orderpriority", "v", F.explode(F.array(F.struct(F.col("y").alias("filing"), F.lit(0).alias("b")), F.struct((F.col("y") + 1).alias("filing"), F.lit(1).alias("b")))).alias("x"))
-    wide = own.select("c", "x.*", "o_orderpriority", "v").join(filed.hint("merge"), ["c", "filing"], "left_semi").groupBy("c", "filing").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "o_orderpriority", "b"), F.col("v")))).alias("m"))
+    """(c, filing, html): a page per customer and year over this year and the last, which it states one thousand higher; some leave the last blank. One shuffle of orders; pages are dealt over all tasks."""
+    o = t.orders.select(F.col("o_custkey").alias("c"), F.year("o_orderdate").alias("filing"), "o_orderpriority", "o_totalprice").where("c is not null and filing is not null")
+    kinds = sorted({p for p, *_ in LINES})
+    sums = [F.floor(F.sum(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice"))) / 1000).alias(f"{p}/0") for p in kinds]
+    year = Window.partitionBy("c").orderBy("filing")
+    before = [F.when(F.lag("filing").over(year) == F.col("filing") - 1, F.lag(f"{p}/0").over(year)).alias(f"{p}/1") for p in kinds]
+    wide = spread(o, "c").groupBy("c", "filing").agg(*sums).select("*", *before)
     even = F.col("filing") % 2 == 0
 
     def cell(priority: str, b: int, k: int):
-        raw = F.try_element_at("m", F.lit(f"{priority}/{b}"))
+        raw = F.col(f"`{priority}/{b}`")
         shown = F.format_number(raw + b + int(k == 5), 0)
         text = F.when(raw % 7 == 3, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(F.concat(F.lit("$ "), shown))
         return F.coalesce(F.when(F.lit(b == 0) | (F.col("c") % 5 > 0), text), F.lit("&#160;"))
@@ -53,7 +53,7 @@ def _pages(t: Tables) -> DataFrame:
 
 def _lines(t: Tables) -> DataFrame:
     part = lambda k: F.split_part("page", F.lit("/"), F.lit(k))
-    return S.lines(written(pages.table_cells(_pages(t), "page", "html"), "cells"), "page").withColumns({"c": part(1).cast("long"), "filing": part(2).cast("int")}).drop("page")
+    return S.page_lines(_pages(t), "page", "html").withColumns({"c": part(1).cast("long"), "filing": part(2).cast("int")}).drop("page")
 
 
 @query(
@@ -76,6 +76,6 @@ SELECT c, shown AS label, make_date(p, 12, 31) AS period, value FROM named WHERE
     dates=["period"],
 )
 def rendered_statements(t: Tables) -> DataFrame:
-    out = S.consolidated(S.stitched(written(_lines(t), "lines"), "c", "filing", 20), "c")
+    out = S.consolidated(S.stitched(_lines(t), "c", "filing", 20), "c")
     own = [x for _, a, b, _ in LINES for x in (a, b)]
     return out.where(F.col("value").isNotNull() & F.col("label").isin(own)).select("c", "label", "period", "value")

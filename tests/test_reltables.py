@@ -103,3 +103,13 @@ def test_pages_cut_by_pattern_read_as_by_the_parser(monkeypatch):
         while parsed.open:
             parsed._shut(parsed.open.pop())
         assert read.cells == parsed.cells and seen == ([page] if page in odd else [])
+
+
+def test_blanks_in_tags_are_cut_by_pattern(monkeypatch):
+    """Pages with blanks before the end of a tag, or line breaks between attributes, never reach the parser."""
+    page = "<table><tr\n><td class='a'\n rowspan='2' ><a >x</a ></td><td >1</td\n></tr><tr><td>2 </td></tr></table >"
+    want = pages._Tables()
+    want.feed(page)
+    want.close()
+    monkeypatch.setattr(pages.HTMLParser, "feed", lambda self, page: pytest.fail("fed to the parser"))
+    assert pages.parsed(page) == want.cells and [c[-1] for c in want.cells] == ["x", "1", "2"]

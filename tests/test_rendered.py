@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import rendered as S
+from ledgerline.plans import catalogue
 from ledgerline.sources import pages
 
 
@@ -96,3 +97,21 @@ def test_joins_of_lines_are_no_broadcasts(spark, tmp_path):
     lines.write.parquet(str(tmp_path / "lines"))
     for df in (lines, S.stitched(spark.read.parquet(str(tmp_path / "lines")), "c", "filing")):
         assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_ruled_where_they_are_read(spark):
+    """Pages give the lines that their cells give, without a shuffle; blanks before the end of a tag don't send a page to the parser."""
+    given = [
+        ("a", page(row("Assets", "", ""), row("Loans", "$ 1,200", "(3)", ref="Loans"), row("[1]", "9", "9"), row("Units", "7", "8", ref="Units"), row("Total liabilities and equity", "1", "2"), row("Others", "3", "4")) + "<table id='defref_Units'><tr><td>Data Type:</td><td>xbrli:sharesItemType</td></tr></table>"),
+        ("b", None), ("c", "<table><tr><th>T</th></tr><tr><td>a</td><td>1</td></tr></table>"), ("d", page("<tr><td>only a label</td></tr>")), ("e", page("<tr><td>x</td><td class='th z'></td><td>4<td>5<td>6</tr>", row("Liabilities and equity, total"))),
+    ]
+    df = spark.createDataFrame(given, "page string, html string")
+    one, cells = S.page_lines(df, "page", "html"), S.lines(pages.table_cells(df, "page", "html"), "page")
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    got = sorted(one.collect(), key=str)
+    assert got == sorted(cells.collect(), key=str) and [(r.page, r.label) for r in sorted(got)] == [("a", "Assets"), ("a", "Loans"), ("a", "Units"), ("a", "Total liabilities and equity"), ("e", "x")]  # what follows the last figure goes
+
+
+def test_rendered_lines_shuffles_once(spark):
+    plan = catalogue.QUERIES["rendered_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
