@@ -76,6 +76,6 @@ SELECT c, shown AS label, make_date(p, 12, 31) AS period, value FROM named WHERE
     dates=["period"],
 )
 def rendered_statements(t: Tables) -> DataFrame:
-    out = S.consolidated(S.stitched(_lines(t), "c", "filing", 20), "c")
+    out = S.statements(_lines(t), "c", "filing", 20)
     own = [x for _, a, b, _ in LINES for x in (a, b)]
     return out.where(F.col("value").isNotNull() & F.col("label").isin(own)).select("c", "label", "period", "value")

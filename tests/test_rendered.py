@@ -1,5 +1,7 @@
 """Rendered statements: lines of a page, owners of periods, folding of rewordings."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,23 @@ def test_pages_are_ruled_where_they_are_read(spark):
     assert got == sorted(cells.collect(), key=str) and [(r.page, r.label) for r in sorted(got)] == [("a", "Assets"), ("a", "Loans"), ("a", "Units"), ("a", "Total liabilities and equity"), ("e", "x")]  # what follows the last figure goes
 
 
-def test_rendered_lines_shuffles_once(spark):
-    plan = catalogue.QUERIES["rendered_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+def test_rendered_queries_shuffle_once_and_twice(spark):
+    """Orders by customer, and lines by company."""
+    for name, most in (("rendered_lines", 1), ("rendered_statements", 2)):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == most
+
+
+def test_statements_are_stitched_and_folded_in_one_pass(spark):
+    figures = lambda y, *vs: [(datetime.date(y - k, 12, 31), v) for k, v in enumerate(vs)]
+    given = [
+        ("c", 2025, 1, "assets|", "Assets", True, "", None), ("c", 2025, 2, "cash", "Cash", False, "us_C", figures(2025, 10.0, None)), ("c", 2025, 3, "new loans", "New loans", False, "us_L", figures(2025, 20.0, 19.0)),
+        ("c", 2024, 2, "cash", "Cash 1", False, "us_C", figures(2024, 8.0, 7.0)), ("c", 2024, 4, "old loans", "Old loans", False, "us_L", figures(2023, 5.0)), ("c", 2024, 5, "gold", "Gold", False, "", figures(2024, 1.0, 1.0)),
+        ("none", 2024, 1, "assets|", "Assets", True, "", None), (None, 2024, 1, "cash", "Cash", False, "", figures(2024, 1.0)),
+    ]
+    df = spark.createDataFrame(given, "company string, filing int, row int, line string, label string, header boolean, ref string, figures array<struct<period:date,value:double>>")
+    one = sorted(S.statements(df, "company", "filing", 3).collect(), key=str)
+    assert one == sorted(S.consolidated(S.stitched(df, "company", "filing", 3), "company").collect(), key=str)
+    assert {(r.label, r.period.year if r.period else None): r.value for r in one} == {
+        ("Assets", None): None, ("Cash", 2025): 10, ("Cash", 2024): 8, ("Cash", 2023): 7, ("New loans", 2025): 20, ("New loans", 2024): 19, ("New loans", 2023): 5, ("Gold", 2025): None, ("Gold", 2024): None, ("Gold", 2023): 1
+    }
