@@ -152,3 +152,16 @@ def test_rows_of_equal_names_and_states_are_matched_once(spark):
     got = {(r.cert, r.phase, r.status): r["count"] for r in R.matched(left, right, "ticker", "cert").groupBy("cert", "phase", "status").count().collect()}
     assert time.monotonic() - before < 60
     assert got == {(4_999, 1, "matched"): 59_999, (None, None, "none"): 1}
+
+
+def test_linked_rows_are_expanded_from_lists(spark, monkeypatch):
+    """Rows of linked names are made by two explodes of lists, above every join and shuffle, whatever the lists' lengths."""
+    monkeypatch.setattr(R, "LIST", 7)
+    monkeypatch.setattr(R, "CHUNK", 3)
+    left = spark.range(40).select(F.col("id").alias("a"), F.when(F.col("id") % 2 == 0, "Alpha Bancorp").otherwise("Gamma Trust").alias("name"))
+    right = spark.range(30).select(F.col("id").alias("b"), F.when(F.col("id") < 22, "ALPHA BANCORP INC").otherwise("Other").alias("name"))
+    links = R.name_links(left, right, "a", "name", "b", "name")
+    above = links._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert above.count("Generate explode") == 4 and above.count("Repartition") == 2
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) == 440 and set(got) == {(a, b) for a in range(0, 40, 2) for b in range(22)}
