@@ -5,6 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.plans import catalogue
 from ledgerline.sources import archives as A
 
 
@@ -71,3 +72,26 @@ def test_driver_opens_no_small_workbook(monkeypatch, tmp_path):
     assert [c[-2] for c in reader.read(packs[0])] == ["0", "1", "2"]
     monkeypatch.setattr(A, "PACK", 1)
     assert [p.name for pack in reader.partitions() for p in pack.parts] == ["Sheet1"] * 3
+
+
+def test_driver_lists_no_file_of_folders(spark, tmp_path):
+    """Folders of workbooks are parts of their own, listed by their task; so the driver holds one level only."""
+    for k in range(6):
+        (tmp_path / str(k % 2) / "deep").mkdir(parents=True, exist_ok=True)
+        (tmp_path / str(k % 2) / ("deep" if k > 3 else "") / f"{k}.xlsx").write_bytes(A.sheet_bytes([[k]]))
+    (tmp_path / "top.xlsx").write_bytes(A.sheet_bytes([["t"]]))
+    reader = A._Cells(str(tmp_path), 1)
+    packs = reader.partitions()
+    assert [p.file[len(str(tmp_path)) :] for pack in packs for p in pack.parts] == ["/0", "/1", "/top.xlsx"]
+    assert sorted(c[-2] for pack in packs for c in reader.read(pack)) == ["0", "1", "2", "3", "4", "5", "t"]
+    assert sorted(r.text for r in A.cells(spark, str(tmp_path)).collect()) == ["0", "1", "2", "3", "4", "5", "t"]
+
+
+def test_models_are_dealt_over_folders(spark, monkeypatch):
+    """The parts that the driver holds are folders, however many banks there are."""
+    made, cells = [], A.cells
+    monkeypatch.setattr(A, "cells", lambda spark, path, pack=A.PACK: (made.append(path), cells(spark, path, pack))[1])
+    monkeypatch.setattr("ledgerline.plans.archives.FOLDERS", 3)
+    catalogue.QUERIES["workbook_estimates"](spark, "/root/testdata/sf0.001")
+    parts = [p for pack in A._Cells(made[0], 1).partitions() for p in pack.parts]
+    assert len(parts) == 3 and all(p.member is None for p in parts)
